@@ -162,7 +162,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str
             if out:
                 yield pd.DataFrame(out, columns=["id", "n", "end", "hs"])
 
-    postings = source.where("id IS NOT NULL").mapInPandas(prefixes, "id long, n int, end long, hs array<long>").select(F.explode("hs").alias("h"), "id", "n", "end")
+    # kept, since both the count of each shingle and the join with it read them
+    made = checkpoint(source.where("id IS NOT NULL").mapInPandas(prefixes, "id long, n int, end long, hs array<long>"))
+    postings = made.select(F.explode("hs").alias("h"), "id", "n", "end")
     shared = postings.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("h")
     listed = checkpoint(postings.join(shared, "h").join(copies.select("id"), "id", "left_anti"))
     leaders = listed.groupBy("h").agg(F.min(F.struct("id", "n", "end")).alias("l")).select("h", "l.id", "l.n", "l.end")
