@@ -164,14 +164,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, max_passages:
     driver; scoring has no such bound. Null labels and ids with contrary labels teach nothing."""
     ship(docs.sparkSession)
     one = labels.groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high AND low IN (0, 1)")
-    known = docs.select("doc_id", F.col(text_col).alias("text")).join(one, "doc_id").where(f"NOT ({HELD_OUT})")
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", F.md5("text")).limit(max_train)
+    # ids alone are joined and ordered; the texts meet the few that are picked, whose number is bound
+    known = docs.select("doc_id").distinct().join(one.where(f"NOT ({HELD_OUT})"), "doc_id")
+    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("doc_id", "low")
+    picked = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")
 
     def encoded(batches):
         for pdf in batches:
             yield pd.DataFrame({"x": [encode_passages(t, max_passages).tobytes() for t in pdf["text"]], "y": pdf["low"]})
 
     rows = picked.select("text", "low").mapInPandas(encoded, "x binary, y int").collect()
+    rows.sort(key=lambda r: (bytes(r["x"]), r["y"]))
     return train([np.frombuffer(r["x"], dtype=np.float32).reshape(-1, WIDTH) for r in rows], [r["y"] for r in rows])
 
 
