@@ -8,6 +8,7 @@ into full sequences, its rest into sequences whose lengths are powers of two: no
 
 from __future__ import annotations
 
+import base64
 import zlib
 from collections.abc import Iterator
 
@@ -25,17 +26,18 @@ DIMS, BITS, BUCKETS = 4, 12, 2048
 SAFE_CUT = regex.compile(r"(?<=\p{L})(?= \p{L})")
 SEGMENT = 200_000
 
-_tokenizers: dict = {}
+_encodings: dict = {}
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
+def _encoding(path: str, pattern: str, special: tuple[tuple[str, int], ...]):
+    """The encoder of a rank file; special strings inside texts become their ids."""
+    if (key := (path, pattern, special)) not in _encodings:
+        import tiktoken
 
-        t = _tokenizers[path] = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-    return _tokenizers[path]
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        _encodings[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
+    return _encodings[key]
 
 
 def segments(text: str) -> list[str]:
@@ -47,22 +49,11 @@ def segments(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
-def token_ids(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
-    """The ids of each whole text, then 0, as unsigned 32-bit integers; a null text is empty."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    t = _tokenizer(path)
-    for i in range(0, len(texts), 32):
-        parts = [segments(x or "") for x in texts[i : i + 32]]
-        flat = [p for own in parts for p in own]
-        ids: list[np.ndarray] = []
-        for j in range(0, len(flat), 8):
-            ids += [np.array(e.ids, dtype="<u4") for e in t.encode_batch(flat[j : j + 8], add_special_tokens=False)]
-        at = 0
-        for own in parts:
-            yield np.concatenate([*ids[at : at + len(own)], np.zeros(1, dtype="<u4")])
-            at += len(own)
+def token_ids(text: str | None, tokenizer: tuple) -> np.ndarray:
+    """The ids of a whole text, then 0, as unsigned 32-bit integers; a null text is empty."""
+    e = _encoding(*tokenizer)
+    parts = [e.encode_to_numpy(p, allowed_special="all").astype("<u4") for p in segments(text or "")]
+    return np.concatenate([*parts, np.zeros(1, dtype="<u4")])
 
 
 def projection() -> np.ndarray:
@@ -143,8 +134,10 @@ def _pack(rows: Iterator, size: int) -> Iterator[tuple]:
                 lengths, offset, sequence = lengths[1:], 0, sequence + 1
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, text_col: str = "text") -> DataFrame:
-    """One row for each piece of a document: doc_id, start, length, ids (binary, little-endian unsigned
+def pack_documents(docs: DataFrame, tokenizer: tuple, size: int = 1024, text_col: str = "text") -> DataFrame:
+    """Packs whole texts, tokenised by (rank file, pattern, ((special string, id), ...)).
+
+    One row for each piece of a document: doc_id, start, length, ids (binary, little-endian unsigned
     32-bit), doc_tokens, sequence_id, offset.
 
     Null and empty texts are one token (the closing 0). Repeated rows are packed once each; null
@@ -159,7 +152,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, text_
         for pdf in batches:
             for i in range(0, len(pdf), 512):
                 part = pdf.iloc[i : i + 512]
-                ids = list(token_ids(part["text"].tolist(), tokenizer_path))
+                ids = [token_ids(x, tokenizer) for x in part["text"]]
                 salt = [zlib.crc32(str(x).encode()) for x in part["key"]]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "curve": curve_keys(ids), "salt": salt, "ids": [(x.astype("<u2") if x.max() < 65536 else x).tobytes() for x in ids], "wide": [bool(x.max() >= 65536) for x in ids]})
 

@@ -33,8 +33,13 @@ def op4_substring_dedup(spark, sf_dir: str):
     return out.select("doc_id", "n_words_removed", "removed", "text")
 
 
+def packing_tokenizer() -> tuple:
+    """byte_bpe_50k as ranks, with the special token of its .json: the same ids, several times faster."""
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),)
+
+
 def op5_packing(spark, sf_dir: str):
-    pieces = packing.pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), packing_tokenizer())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
