@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewell.llm import jaccard, line_dedup, packing, passages, quality
 from lorewell.llm.common import checkpoint
+from lorewell.llm.queries import packing_tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -45,7 +45,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 1024 tokens."""
-    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack_documents(docs, packing_tokenizer())
     return pieces.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
