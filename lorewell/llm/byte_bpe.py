@@ -130,8 +130,9 @@ class ByteBPE:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         out: list[int] = []
         known, parts = self.words.get, []
-        for found in self.pattern.finditer(text or ""):
-            match = found.group()
+        text = text or ""
+        # a list of all matches is faster, but too large for the longest texts
+        for match in self.pattern.findall(text) if len(text) < 1 << 20 else (m.group() for m in self.pattern.finditer(text)):
             out += known(match) or self.word(match)
             if len(out) > 1_000_000:
                 parts.append(np.array(out, dtype="<u4"))
@@ -182,3 +183,18 @@ def decode_ids(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "i
     return without(rows, "decoded").withColumn("decoded", decoded(F.col(ids_col)))
 
 
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """encode_texts() and decode_ids() at once: ``docs`` with ids and decoded, each text encoded once."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        b = loaded(ranks_path, pattern)
+        ids = [b.encode(x) for x in texts]
+        return pd.DataFrame({"ids": [x.tobytes() for x in ids], "decoded": [b.decode(x) for x in ids]})
+
+    base = without(docs, "ids", "decoded")
+    rows = base.select("*", both(F.col(text_col)).alias("_both"))
+    return rows.select(*[F.col(f"`{c}`") for c in base.columns], "_both.ids", "_both.decoded")

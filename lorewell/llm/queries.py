@@ -24,7 +24,7 @@ def op2_chat_formatting(spark, sf_dir: str):
 def op3_byte_bpe(spark, sf_dir: str):
     where = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = byte_bpe.decode_ids(byte_bpe.encode_texts(docs, *where), *where)
+    both = byte_bpe.round_trip(docs, *where)
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
