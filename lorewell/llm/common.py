@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import os
 import shutil
+import sys
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +62,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for words seen before and emptied when too many."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
@@ -68,6 +73,39 @@ class WordHashes(dict):
         return value
 
 
+#: One for a worker process; tidied() empties it after each task.
+hashes_of_words = WordHashes()
+#: What else to empty after each task.
+forget: list[Callable[[], None]] = [hashes_of_words.clear]
+
+
+def tidied(rows):
+    """A generator function over the batches of a task that gives its memory back when the task ends.
+
+    Workers live on, and several operators of a job meet in one; so caches and freed blocks of one
+    stage would take room from the next."""
+
+    @functools.wraps(rows)
+    def wrapper(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            import pyarrow
+
+            for empty in forget:
+                empty()
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapper
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(hashes_of_words.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each run of ``k`` neighbours in ``hashes``."""
     n = len(hashes) - k + 1

@@ -22,23 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import WordHashes, checkpoint, connected_components, rolled, ship
+from .common import checkpoint, connected_components, rolled, ship, tidied, word_hashes
 
 #: Cells of the sketch; a cell is heavy when it holds that many deviations over the median cell.
 CELLS, DEVIATIONS, SLACK = 1 << 16, 8, 64
 #: Bits of the filter that keeps texts out of the shuffle that no pair asks for.
 FILTER_BITS = 1 << 22
 
-_hashes = WordHashes()
-
-
 def shingles(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct hashes of the runs of k words (or of all words, if fewer) of a text."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    return np.unique(rolled(h, min(k, len(words))))
+    return np.unique(rolled(word_hashes(words), min(k, len(words))))
 
 
 def ranked(found: np.ndarray, heavy: np.ndarray) -> np.ndarray:
@@ -92,6 +88,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     # the side that repeats (a) joins last, so that its text is only repeated on the way to Python
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
+    @tidied
     def overlaps(batches):
         sets = Sets()
         for pdf in batches:
@@ -128,6 +125,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
+    @tidied
     def signed(batches):
         cells = np.zeros(CELLS, dtype=np.int64)
         for pdf in batches:
@@ -151,6 +149,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str
     classes = named.groupBy("mark").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep != last").select("mark", "rep")
     copies = checkpoint(named.join(classes, "mark").where("id != rep").select("id", "rep").distinct())
 
+    @tidied
     def prefixes(batches):
         for pdf in batches:
             out = []

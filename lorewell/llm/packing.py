@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix64, ship
+from .common import checkpoint, mix64, ship, tidied
 
 DIMS, BITS, BUCKETS = 4, 12, 2048
 #: Between a letter and a space with a letter the pre-tokenizer always splits.
@@ -148,6 +148,7 @@ def pack_documents(docs: DataFrame, tokenizer: tuple, size: int = 1024, text_col
     if size & (size - 1):
         raise ValueError("size must be a power of two")
 
+    @tidied
     def keyed(batches):
         for pdf in batches:
             for i in range(0, len(pdf), 512):
@@ -162,6 +163,7 @@ def pack_documents(docs: DataFrame, tokenizer: tuple, size: int = 1024, text_col
     order = ["curve", "salt", "doc_id", "ids"]
     ranged = tokens.repartitionByRange("curve", "salt", "doc_id").sortWithinPartitions(*order)
 
+    @tidied
     def packed(batches):
         def rows():
             for pdf in batches:

@@ -8,6 +8,7 @@ labels of whole documents, weigh the passages, and the weighted mean is scored.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import mix64, ship, without
+from .common import forget, mix64, ship, tidied, without
 
 PASSAGE, HASHED, FORMS = 64, 48, 9
 WIDTH = 2 * HASHED + FORMS + 3
@@ -54,7 +55,7 @@ class Shapes(dict):
 class Words(dict):
     """Of words seen: row of the word table, and row of the shapes times WORD_ROWS."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __init__(self):
         self.shapes = Shapes()
@@ -69,16 +70,23 @@ class Words(dict):
 _words = Words()
 
 
+def _renew() -> None:
+    global _words
+    _words = Words()
+
+
+forget.append(_renew)
+
+
 def encode_passages(text: str | None, most: int | None = None) -> np.ndarray:
     """A row for each passage of PASSAGE words (at least one row). ``most``: only so many, evenly
     spaced, for training; scoring takes all."""
-    global _words
     words = (text or "").split()
     starts = np.arange(0, max(len(words), 1), PASSAGE)
     out = np.zeros((len(starts), WIDTH), dtype=np.float32)
     if words:
         if len(_words) >= Words.LIMIT or len(_words.shapes) >= Shapes.LIMIT:
-            _words = Words()
+            _renew()
         index = np.fromiter(map(_words.__getitem__, words), dtype=np.int64, count=len(words))
         for b in range(0, len(starts), 256):
             own = starts[b : b + 256]
@@ -169,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, max_passages:
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("doc_id", "low")
     picked = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")
 
+    @tidied
     def encoded(batches):
         for pdf in batches:
             yield pd.DataFrame({"x": [encode_passages(t, max_passages).tobytes() for t in pdf["text"]], "y": pdf["low"]})
@@ -188,14 +197,10 @@ def score(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFr
     packed = pickle.dumps(model)
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         p = pickle.loads(packed)
-        out = np.full(len(texts), 0.5)
-        if p is not None:
-            for i, text in enumerate(texts):
-                x = encode_passages(text)
-                out[i] = forward(p, x, np.array([0]))[0][0]
-        return pd.Series(out)
+        one = lambda text: 0.5 if p is None else float(forward(p, encode_passages(text), np.array([0]))[0][0])
+        yield from tidied(lambda texts: (pd.Series([one(x) for x in own], dtype="float64") for own in texts))(batches)
 
     base = without(docs, "score", "predicted")
     return base.withColumn("score", scored(F.col(text_col))).withColumn("predicted", F.expr("int(score >= 0.5)"))
