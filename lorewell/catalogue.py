@@ -1,4 +1,656 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine and, beside each, the same in DuckDB's SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .functions import security, vectors, vocab
+from .functions import text as T
+from .operators import ingest as I
+from .operators import knowledge as K
+from .operators import retrieval as R
+from .sources import bindings as B
+from .streaming import ingest as S
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def quoted(words) -> str:
+    return ", ".join("'" + w + "'" for w in words)
+
+
+# --- shared parts of the SQL ------------------------------------------------------------------
+
+DOCS = """docs AS (
+  SELECT d.doc_id::VARCHAR AS id, d.source || '_' || d.lang || '_' || d.doc_id || '.txt' AS name, d.text,
+         (['official', 'analyst', 'rumor'])[substr(d.source, 4)::INT % 3 + 1] AS source_tier,
+         coalesce(t.toxic, 0) = 1 AS controlled, d.source AS department, d.doc_id AS seq
+  FROM documents d LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) t USING (doc_id))"""
+FIRST = "firsts AS (SELECT * FROM docs QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY seq) = 1)"
+BODY = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+CHUNKS = f"""bodies AS (SELECT *, {BODY} AS body FROM docs),
+spots AS (SELECT *, unnest(generate_series(0, (greatest(0, ceil((length(body) - 500) / 420.0)) * 420)::BIGINT, 420)) AS pos FROM bodies WHERE length(body) > 0),
+chunks AS (SELECT substr(md5(id || '||' || pos), 1, 12) AS chunk_id, id AS doc_id, substr(md5(id || '|'), 1, 12) AS parent_id, pos,
+                  substr(body, pos + 1, 500) AS text, controlled, name, department FROM spots)"""
+TOKENS = "regexp_extract_all(lower(%s), '[A-Za-z0-9]+|[\\x{4e00}-\\x{9fff}]')"
+POSTS = f"""toks AS (SELECT chunk_id, {TOKENS % 'text'} AS t FROM chunks),
+post AS (SELECT chunk_id, len, term, count(*) AS tf FROM (SELECT chunk_id, len(t) AS len, unnest(t) AS term FROM toks) GROUP BY ALL),
+stat AS (SELECT count(*) AS n, sum(len(t)) / greatest(count(*), 1) AS avg_len FROM toks),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term)"""
+ASKED = [(1, "what is the tion of the er", "analyst"), (2, "overall trend across der und die", "viewer"), (3, "status of la ment and of que", "strategy"), (4, "main themes in general", "compliance")]
+QUESTIONS = "questions(query_id, query, role) AS (VALUES " + ", ".join(f"({i}, '{q}', '{r}')" for i, q, r in ASKED) + ")"
+TERMS = f"terms AS (SELECT DISTINCT query_id, unnest({TOKENS % 'query'}) AS term FROM questions)"
+BM25 = """hits AS (
+  SELECT t.query_id, p.chunk_id, round(sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.len / s.avg_len))) + 1e-9, 6) AS score
+  FROM post p JOIN terms t USING (term) JOIN dfs d USING (term) CROSS JOIN stat s GROUP BY ALL)"""
+SEEN = "seen AS (SELECT h.* FROM hits h JOIN chunks c USING (chunk_id) JOIN questions q USING (query_id) WHERE score > 0 AND (NOT c.controlled OR q.role != 'viewer'))"
+FEATURES = """f_tok AS (SELECT id, md5(f) AS h, count(*)::DOUBLE AS n FROM (SELECT id, unnest(%s) AS f FROM src) GROUP BY ALL),
+f_tri AS (SELECT id, md5(f) AS h, count(*)::DOUBLE AS n FROM (SELECT id, substr(text, i, 3) AS f FROM (SELECT id, text, unnest(generate_series(1, length(text) - 2)) AS i FROM src WHERE length(text) >= 3)) GROUP BY ALL),
+f_all AS (SELECT id, ('0x' || right(h, 2))::INT AS bucket, n * CASE WHEN ('0x' || substr(h, 30, 1))::INT %% 2 = 1 THEN 1 ELSE -1 END AS v FROM f_tok
+          UNION ALL SELECT id, ('0x' || right(h, 2))::INT, n * 0.5 FROM f_tri),
+feats AS (SELECT id, bucket, sum(v) AS value FROM f_all GROUP BY ALL HAVING sum(v) != 0),
+norms AS (SELECT id, sqrt(sum(value * value)) AS norm FROM feats GROUP BY id)""" % (TOKENS % "text")
+
+
+def questions(spark):
+    return spark.createDataFrame(ASKED, "query_id int, query string, role string")
+
+
+def docs_and_chunks(spark, sf_dir):
+    d = B.documents(spark, sf_dir)
+    return d, I.chunks(d)
+
+
+# --- ingest -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {DOCS}, {FIRST} SELECT seq, sha256(text) AS sha256 FROM firsts")
+def doc_dedup_fingerprint(spark, sf_dir):
+    return I.dedup(B.documents(spark, sf_dir)).select("seq", "sha256")
+
+
+def _any(words, at="t"):
+    return "(" + " OR ".join(f"contains({at}, '{w}')" for w in words) + ")"
+
+
+TIERED = f"""tiered AS (SELECT *, CASE WHEN source_tier = 'official' AND {_any(vocab.HIGH_VALUE)} THEN 'A' WHEN {_any(vocab.LOW_VALUE)} THEN 'C'
+  WHEN source_tier = 'rumor' AND NOT {_any(vocab.HIGH_VALUE)} THEN 'C' WHEN source_tier = 'official' OR {_any(vocab.HIGH_VALUE)} THEN 'A'
+  WHEN length(text) < 200 AND NOT {_any(vocab.ENTITY_HINTS)} THEN 'C' ELSE 'B' END AS tier
+  FROM (SELECT *, lower(name || ' ' || substr(text, 1, 2000)) AS t FROM %s))"""
+
+
+@query(f"WITH {DOCS}, {TIERED % 'docs'} SELECT id, tier FROM tiered")
+def doc_tier_classify(spark, sf_dir):
+    return I.classify(B.documents(spark, sf_dir)).select("id", "tier")
+
+
+@query(f"WITH {DOCS}, {FIRST}, {TIERED % 'firsts'} SELECT tier, count(*) AS n FROM tiered GROUP BY tier UNION ALL SELECT 'deduped', (SELECT count(*) FROM docs) - (SELECT count(*) FROM firsts)")
+def doc_tier_counts(spark, sf_dir):
+    docs = B.documents(spark, sf_dir)
+    return I.stats(docs, I.classify(I.dedup(docs)))
+
+
+@query(f"WITH {DOCS}, {CHUNKS} SELECT chunk_id, doc_id, parent_id, pos, length(text) AS n FROM chunks")
+def chunk_windows(spark, sf_dir):
+    return docs_and_chunks(spark, sf_dir)[1].select("chunk_id", "doc_id", "parent_id", "pos", F.length("text").cast("long").alias("n"))
+
+
+HTML = r"""web AS (SELECT page_id::VARCHAR AS id, url AS name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<h[1-3][^>]*>', chr(10) || '# ', 'g'), '<[^>]*>', chr(10), 'g'), '^\s+|\s+$', '', 'g'), '\n(#{1,3}\s)', chr(1) || '\1', 'g') AS text FROM pages),
+parts AS (SELECT id, name, unnest(string_split(text, chr(1))) AS p, generate_subscripts(string_split(text, chr(1)), 1) - 1 AS ord FROM web),
+split AS (SELECT id, name, ord, CASE WHEN regexp_matches(p, '^#{1,3}\s*.') THEN regexp_replace(regexp_extract(p, '^#{1,3}\s*(.+)', 1), '^\s+|\s+$', '', 'g') ELSE '' END AS section,
+  regexp_replace(CASE WHEN regexp_matches(p, '^#{1,3}\s*.') THEN regexp_replace(p, '^#{1,3}\s*.+', '') ELSE p END, '^\s+|\s+$', '', 'g') AS body FROM parts),
+kept AS (SELECT * FROM split WHERE body != '' QUALIFY row_number() OVER (PARTITION BY id, section ORDER BY ord DESC) = 1)"""
+
+
+@query(f"WITH {HTML} SELECT substr(md5(id || '|' || section), 1, 12) AS page_id, id AS doc_id, section, length(body) AS n FROM kept")
+def page_sections(spark, sf_dir):
+    rows = I.sectioned(B.web_pages(spark, sf_dir)).where("body != ''")
+    return I.latest(rows, ["id", "section"], "ord").select(T.stable_id(F.col("id"), F.col("section")).alias("page_id"), F.col("id").alias("doc_id"), "section", F.length("body").cast("long").alias("n"))
+
+
+@query(f"WITH {HTML} SELECT substr(md5(id || '|' || section), 1, 12) AS page_id, CASE WHEN section = '' THEN name ELSE section END AS title, substr(body, 1, 160) AS summary FROM kept")
+def page_summary(spark, sf_dir):
+    return I.pages(B.web_pages(spark, sf_dir).withColumn("tier", F.lit("B"))).where("body != ''").select("page_id", "title", "summary")
+
+
+@query("SELECT page_id, regexp_extract(url, '^https?://([^/:]+)', 1) AS host, length(html) AS n FROM pages")
+def page_sources(spark, sf_dir):
+    return B.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/:]+)", 1).alias("host"), F.length("html").cast("long").alias("n"))
+
+
+TERM = (("[A-Z][a-z]{7,}", "Term"),)
+MENTIONS = f"""found AS (SELECT id AS doc_id, unnest(m) AS name, generate_subscripts(m, 1) AS rank FROM (SELECT id, regexp_extract_all({BODY}, '[A-Z][a-z]{{7,}}') AS m FROM docs)),
+ments AS (SELECT doc_id, name, min(rank) AS rank FROM found GROUP BY ALL)"""
+
+
+def _entities(spark, sf_dir):
+    return I.entities(B.documents(spark, sf_dir).withColumn("tier", F.lit("A")), patterns=TERM, names=())
+
+
+@query(f"WITH {DOCS}, {MENTIONS} SELECT doc_id, substr(md5('ent|' || name), 1, 12) AS entity_id, name, 'Term' AS type FROM ments")
+def entity_extract(spark, sf_dir):
+    return _entities(spark, sf_dir)
+
+
+@query(f"WITH {DOCS}, {MENTIONS} SELECT name, count(*) AS docs FROM ments GROUP BY name")
+def entity_dedup(spark, sf_dir):
+    return _entities(spark, sf_dir).groupBy("name").agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query(f"WITH {DOCS}, {MENTIONS} SELECT a.name AS src, b.name AS dst, count(*) AS n FROM ments a JOIN ments b ON a.doc_id = b.doc_id AND a.rank < b.rank GROUP BY ALL")
+def entity_cooccur(spark, sf_dir):
+    r = I.relations(B.documents(spark, sf_dir).withColumn("tier", F.lit("A")), patterns=TERM, names=())
+    return r.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- sparse index -----------------------------------------------------------------------------
+
+
+@query(f"WITH {DOCS}, {CHUNKS}, {POSTS} SELECT term, sum(tf)::BIGINT AS tf FROM post GROUP BY term")
+def token_freq(spark, sf_dir):
+    return R.postings(docs_and_chunks(spark, sf_dir)[1]).groupBy("term").agg(F.sum("tf").alias("tf"))
+
+
+@query(f"WITH {DOCS}, {CHUNKS}, {POSTS} SELECT term, df FROM dfs")
+def doc_freq(spark, sf_dir):
+    return R.doc_freq(R.postings(docs_and_chunks(spark, sf_dir)[1]))
+
+
+@query(f"WITH {DOCS}, {CHUNKS}, {POSTS} SELECT n, round(avg_len, 6) AS avg_len FROM stat")
+def corpus_stats(spark, sf_dir):
+    return R.corpus_stats(docs_and_chunks(spark, sf_dir)[1]).withColumn("avg_len", F.round("avg_len", 6))
+
+
+@query(f"WITH {DOCS}, {CHUNKS}, {POSTS}, {QUESTIONS}, {TERMS}, {BM25} SELECT query_id, chunk_id, score FROM hits WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 30")
+def bm25_topk(spark, sf_dir):
+    return R.bm25(docs_and_chunks(spark, sf_dir)[1], questions(spark)).select("query_id", "chunk_id", "score")
+
+
+@query(f"WITH {DOCS}, {CHUNKS}, {POSTS}, {QUESTIONS}, {TERMS}, {BM25} SELECT query_id, chunk_id, score FROM hits JOIN chunks c USING (chunk_id) WHERE score > 0 AND NOT c.controlled AND department IN ('src1', 'src3') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 30")
+def bm25_filtered_topk(spark, sf_dir):
+    where = R.metadata_filter({"controlled": False}) & F.col("department").isin("src1", "src3")
+    return R.bm25(docs_and_chunks(spark, sf_dir)[1], questions(spark), where=where).select("query_id", "chunk_id", "score")
+
+
+# --- vectors ----------------------------------------------------------------------------------
+
+UNIT = """unit AS (SELECT vec_id, label, list_transform(e, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS v FROM (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)))"""
+TOPK = "SELECT query_id, id, score FROM (SELECT q.vec_id AS query_id, u.vec_id AS id, round(list_dot_product(u.v, q.v) + 1e-9, 6) AS score FROM unit q JOIN unit u ON %s WHERE q.vec_id %% 50 = 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10"
+
+
+def _vectors(spark, sf_dir):
+    e = B.table(spark, sf_dir, "embeddings")
+    return e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
+
+
+@query(f"WITH {UNIT} {TOPK % 'true'}")
+def vector_topk_exact(spark, sf_dir):
+    e, q = _vectors(spark, sf_dir)
+    return R.vector_topk(e, q, 10).select("query_id", "id", "score")
+
+
+@query(f"WITH {UNIT} {TOPK % 'u.label IN (1, 3)'}")
+def vector_topk_filtered(spark, sf_dir):
+    e, q = _vectors(spark, sf_dir)
+    return R.vector_topk(e.where("label IN (1, 3)"), q, 10).select("query_id", "id", "score")
+
+
+@query(f"WITH {UNIT} {TOPK % 'u.label = q.label'}")
+def vector_topk_partition(spark, sf_dir):
+    e, q = _vectors(spark, sf_dir)
+    v = e.select(F.col("vec_id").alias("id"), F.col("label").alias("q_label"), vectors.normalised(vectors.doubles(F.col("embedding"))).alias("v"))
+    scored = v.join(q, "q_label").select("query_id", "id", F.round(vectors.dot(F.col("v"), vectors.normalised(vectors.doubles(F.col("q")))) + 1e-9, 6).alias("score"))
+    return R.ranked(scored, ["query_id"], [F.col("score").desc(), "id"], 10).select("query_id", "id", "score")
+
+
+INT8 = """codes AS (SELECT vec_id, s AS scale, list_transform(e, lambda x: least(greatest(round_even(x / s, 0), -127), 127)::TINYINT) AS c FROM (SELECT vec_id, e, CASE WHEN m = 0 THEN 1e-9 ELSE m END / 127 AS s FROM (SELECT vec_id, e, coalesce(list_max(list_transform(e, lambda x: abs(x))), 0) AS m FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))))"""
+
+
+@query(f"WITH {INT8} SELECT vec_id, round(scale, 9) AS scale, array_to_string(c, ',') AS codes FROM codes")
+def vector_int8_codes(spark, sf_dir):
+    v = vectors.doubles(F.col("embedding"))
+    return B.table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.int8_scale(v), 9).alias("scale"), F.array_join(F.transform(vectors.int8_codes(v), lambda x: x.cast("string")), ",").alias("codes"))
+
+
+@query(f"WITH {INT8}, embeddings2 AS (SELECT vec_id, list_transform(c, lambda x: x * scale) AS e FROM codes), unit AS (SELECT vec_id, list_transform(e, lambda x: x / n) AS v FROM (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM embeddings2)) {TOPK % 'true'}")
+def vector_int8_topk(spark, sf_dir):
+    e, q = _vectors(spark, sf_dir)
+    v = vectors.doubles(F.col("embedding"))
+    coded = e.select("vec_id", vectors.int8_decoded(vectors.int8_codes(v), vectors.int8_scale(v)).alias("embedding"))
+    asked = coded.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return R.vector_topk(coded, asked, 10).select("query_id", "id", "score")
+
+
+@query("SELECT label AS shard, count(*) AS vectors, sum(len(embedding) + 4)::BIGINT AS int8_bytes, sum(4 * len(embedding))::BIGINT AS raw_bytes FROM embeddings WHERE embedding IS NOT NULL GROUP BY label")
+def vector_store_stats(spark, sf_dir):
+    e = B.table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
+    return e.groupBy(F.col("label").alias("shard")).agg(F.count(F.lit(1)).alias("vectors"), F.sum(F.size("embedding") + 4).alias("int8_bytes"), F.sum(4 * F.size("embedding")).alias("raw_bytes"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(e[1:16], lambda x: x * x)) / 1, 6) AS share, round(e[1] / sqrt(list_sum(list_transform(e[1:16], lambda x: x * x))), 6) AS first FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+def vector_truncate_norm(spark, sf_dir):
+    v = vectors.doubles(F.col("embedding"))
+    t = F.slice(v, 1, 16)
+    return B.table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.dot(t, t), 6).alias("share"), F.round(F.element_at(vectors.truncated(v, 16), 1), 6).alias("first"))
+
+
+@query()
+def vector_ann_recall(spark, sf_dir):
+    """Recall at 10 of random-projection buckets against exact search."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    e, q = _vectors(spark, sf_dir)
+    exact = R.vector_topk(e, q, 10).select("query_id", "id")
+    rows = e.select(F.col("vec_id").alias("id"), array_to_vector(vectors.doubles(F.col("embedding"))).alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=1.5, numHashTables=6, seed=42).fit(rows)
+    near = model.approxSimilarityJoin(rows.where("id % 50 = 0"), rows, 2.1, "d").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), "d")
+    found = R.ranked(near, ["query_id"], ["d", "id"], 10).select("query_id", "id")
+    return exact.join(found, ["query_id", "id"]).agg(F.count(F.lit(1)).alias("hits")).crossJoin(exact.agg(F.count(F.lit(1)).alias("wanted"))).withColumn("recall", F.col("hits") / F.col("wanted"))
+
+
+@query(f"WITH src AS (SELECT item_id AS id, text FROM benchmark), {FEATURES} SELECT id, bucket, round(value / norm, 6) AS value FROM feats JOIN norms USING (id)")
+def hash_embed_buckets(spark, sf_dir):
+    return vectors.hashed_features(B.table(spark, sf_dir, "benchmark"), "item_id", "text").select("id", "bucket", F.round(F.col("value") / F.col("norm"), 6).alias("value"))
+
+
+@query("SELECT a.vec_id, count(*) AS near FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) > 0.86 GROUP BY a.vec_id")
+def entity_type_neighbours(spark, sf_dir):
+    e = B.table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors.normalised(vectors.doubles(F.col("embedding"))).alias("v"))
+    pairs = e.alias("a").join(e.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
+    return pairs.where(vectors.dot(F.col("a.v"), F.col("b.v")) > 0.86).groupBy(F.col("a.vec_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("near"))
+
+
+# --- the read path ----------------------------------------------------------------------------
+
+_G = " + ".join(f"contains(lower(query), '{w}')::INT" for w in vocab.GLOBAL_SIGNALS)
+_L = " + ".join(f"contains(lower(query), '{w}')::INT" for w in vocab.LOCAL_SIGNALS)
+ROUTED = f"routed AS (SELECT *, CASE WHEN ({_G}) > ({_L}) AND NOT regexp_matches(query, '\\bN[0-9]+|\\bHBM|\\bEUV|JESD[0-9]+') THEN 'global' ELSE 'local' END AS mode FROM questions)"
+
+
+@query(f"WITH {QUESTIONS}, {ROUTED} SELECT query_id, mode FROM routed")
+def route_queries(spark, sf_dir):
+    return R.route(questions(spark)).select("query_id", "mode")
+
+
+DENSE = """qsrc AS (SELECT query_id, query AS text FROM questions),
+qf AS (SELECT query_id, ('0x' || right(h, 2))::INT AS bucket, n * CASE WHEN ('0x' || substr(h, 30, 1))::INT %% 2 = 1 THEN 1 ELSE -1 END AS v FROM (SELECT query_id, md5(f) AS h, count(*)::DOUBLE AS n FROM (SELECT query_id, unnest(%s) AS f FROM qsrc) GROUP BY ALL)
+       UNION ALL SELECT query_id, ('0x' || right(h, 2))::INT, n * 0.5 FROM (SELECT query_id, md5(f) AS h, count(*)::DOUBLE AS n FROM (SELECT query_id, substr(text, i, 3) AS f FROM (SELECT query_id, text, unnest(generate_series(1, length(text) - 2)) AS i FROM qsrc)) GROUP BY ALL)),
+qv AS (SELECT query_id, bucket, sum(v) AS q FROM qf GROUP BY ALL HAVING sum(v) != 0), qn AS (SELECT query_id, sqrt(sum(q * q)) AS q_norm FROM qv GROUP BY query_id),
+dense AS (SELECT query_id, f.id AS chunk_id, round(sum(f.value * q) / max(norm) / max(q_norm) + 1e-9, 6) AS score FROM feats f JOIN norms USING (id) JOIN qv USING (bucket) JOIN qn USING (query_id) GROUP BY ALL)""" % (TOKENS % "text")
+FUSED = """dense_seen AS (SELECT d.* FROM dense d JOIN chunks c USING (chunk_id) JOIN questions q USING (query_id) WHERE NOT c.controlled OR q.role != 'viewer'),
+lists AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM dense_seen
+          UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 FROM seen),
+fused AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)) + 1e-12, 9) AS rrf FROM lists WHERE rank < 30 GROUP BY query_id, chunk_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0 / (60 + rank)) + 1e-12, 9) DESC, chunk_id) <= 30)"""
+READ = f"{DOCS}, {CHUNKS}, {POSTS}, {QUESTIONS}, {TERMS}, {BM25}, {SEEN}, src AS (SELECT chunk_id AS id, text FROM chunks), {FEATURES}, {DENSE}, {FUSED}"
+
+
+def _fused(spark, sf_dir):
+    _, c = docs_and_chunks(spark, sf_dir)
+    q = questions(spark)
+    return R.rrf(R.dense_hashed(c, q, secure=True), R.bm25(c, q, secure=True)), c, q
+
+
+@query(f"WITH {READ} SELECT query_id, chunk_id, rrf FROM fused")
+def rrf_fuse(spark, sf_dir):
+    return _fused(spark, sf_dir)[0].select("query_id", "chunk_id", "rrf")
+
+
+PARTS = f"""cand AS (SELECT f.query_id, q.query, q.role, c.*, {TOKENS % 'q.query'} AS qt, {TOKENS % 'c.text'} AS ct FROM fused f JOIN questions q USING (query_id) JOIN chunks c USING (chunk_id)),
+parts AS (SELECT *, len(list_filter(qt, lambda w: list_contains(ct, w))) AS covered, len(qt) AS terms, list_filter(qt, lambda w: regexp_matches(w, '^[a-z]?\\d') OR length(w) <= 2) AS rl,
+  list_filter(range(1, len(ct) + 1), lambda i: list_contains(qt, ct[i])) AS hitl FROM cand),
+scored AS (SELECT *, len(rl) AS rare, len(list_filter(rl, lambda w: list_contains(ct, w))) AS rare_hits, len(hitl) AS hits, CASE WHEN len(hitl) >= 2 THEN hitl[-1] - hitl[1] + 1 ELSE 0 END AS span FROM parts),
+reranked AS (SELECT *, round(CASE WHEN terms = 0 OR len(ct) = 0 THEN 0 ELSE 0.6 * covered / terms + 0.25 * rare_hits / greatest(rare, 1) + 0.15 * CASE WHEN hits >= 2 AND span > 0 THEN hits / span ELSE 0 END END + 1e-9, 6) AS score FROM scored),
+top8 AS (SELECT *, 1 / (1 + exp(-6 * (score - 0.4))) AS confidence, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM reranked QUALIFY rank < 8)"""
+
+
+def _reranked(spark, sf_dir):
+    fused, c, q = _fused(spark, sf_dir)
+    return R.rerank(fused.select("query_id", "chunk_id").join(q.select("query_id", "query"), "query_id").join(c, "chunk_id"))
+
+
+@query(f"WITH {READ}, {PARTS} SELECT query_id, chunk_id, score, round(confidence, 6) AS confidence, covered, rare_hits, hits, span FROM top8")
+def rerank_score(spark, sf_dir):
+    r = _reranked(spark, sf_dir)
+    return r.select("query_id", "chunk_id", "score", F.round("confidence", 6).alias("confidence"), *[F.col(f"parts.{c}").cast("long").alias(c) for c in ("covered", "rare_hits", "hits", "span")])
+
+
+@query(f"WITH {READ}, {PARTS} SELECT query_id, count(*) FILTER (confidence >= 0.5) AS kept, count(*) FILTER (confidence < 0.5) AS dropped FROM top8 GROUP BY query_id")
+def confidence_gate(spark, sf_dir):
+    r = _reranked(spark, sf_dir)
+    kept = R.gate(r).groupBy("query_id").agg(F.count(F.lit(1)).alias("kept"))
+    return r.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(kept, "query_id", "left").select("query_id", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("n") - F.coalesce("kept", F.lit(0))).alias("dropped"))
+
+
+@query(f"WITH {QUESTIONS}, q AS (SELECT query_id, {TOKENS % 'query'} AS qt FROM questions), b AS (SELECT item_id, text FROM benchmark), "
+       f"s AS (SELECT query_id, qt, item_id, text, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(text, '[^。.!?！？\\n]*[。.!?！？\\n]|[^。.!?！？\\n]+$') AS l FROM q CROSS JOIN b)), "
+       f"o AS (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS st FROM s WHERE trim(raw, E' \\n\\t\\r') != ''), "
+       f"r AS (SELECT *, len(list_intersect(list_distinct(qt), list_distinct({TOKENS % 'st'}))) AS ov FROM o), "
+       f"t AS (SELECT *, row_number() OVER (PARTITION BY query_id, item_id ORDER BY ov DESC, i) AS rn FROM r), "
+       f"c AS (SELECT query_id, item_id, string_agg(st, ' ' ORDER BY rn) FILTER (ov > 0 AND rn <= 3) AS text FROM t GROUP BY ALL) "
+       f"SELECT q.query_id, b.item_id, coalesce(c.text, substr(b.text, 1, 200)) AS text FROM q CROSS JOIN b LEFT JOIN c USING (query_id, item_id)")
+def compress_sentences(spark, sf_dir):
+    both = B.table(spark, sf_dir, "benchmark").crossJoin(F.broadcast(questions(spark)))
+    return both.select("query_id", "item_id", T.compress(F.col("text"), F.col("query")).alias("text"))
+
+
+PARENTS = """kept8 AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS turn FROM top8 WHERE confidence >= 0.5),
+paged AS (SELECT k.*, b.body, t.tier FROM kept8 k JOIN bodies b ON b.id = k.doc_id JOIN tiered t ON t.id = k.doc_id),
+ctx AS (SELECT *, turn = 1 AND tier != 'C' AS page FROM paged)"""
+
+
+@query(f"WITH {READ}, {PARTS}, {TIERED % 'docs'}, {PARENTS} SELECT query_id, rank::INT AS rank, doc_id, page FROM ctx")
+def parent_restore(spark, sf_dir):
+    d, _ = docs_and_chunks(spark, sf_dir)
+    kept = R.gate(_reranked(spark, sf_dir))
+    pages = I.pages(I.classify(d)).select(F.col("page_id").alias("parent_id"), F.lit(True).alias("has"))
+    from pyspark.sql import Window
+
+    turn = F.row_number().over(Window.partitionBy("query_id", "parent_id").orderBy("rank"))
+    return kept.withColumn("turn", turn).join(pages, "parent_id", "left").select("query_id", "rank", "doc_id", ((F.col("turn") == 1) & F.coalesce("has", F.lit(False))).alias("page"))
+
+
+ANSWERS = f"""cs AS (SELECT c.query_id, c.rank, c.role, c.controlled, c.qt, CASE WHEN page THEN body ELSE text END AS source FROM ctx c),
+sen AS (SELECT *, unnest(l) AS raw, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(source, '[^。.!?！？\\n]*[。.!?！？\\n]|[^。.!?！？\\n]+$') AS l FROM cs)),
+ove AS (SELECT *, len(list_intersect(list_distinct(qt), list_distinct({TOKENS % 'st'}))) AS ov FROM (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS st FROM sen) WHERE st != ''),
+sel AS (SELECT query_id, rank, string_agg(st, ' ' ORDER BY rn) FILTER (ov > 0 AND rn <= 3) AS picked FROM (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY ov DESC, i) AS rn FROM ove) GROUP BY ALL),
+con AS (SELECT c.query_id, c.rank, c.role, c.controlled, coalesce(s.picked, substr(c.source, 1, 200)) AS text FROM cs c LEFT JOIN sel s USING (query_id, rank)),
+shown AS (SELECT query_id, rank, CASE WHEN NOT controlled OR role = 'compliance' THEN text WHEN role = 'strategy' THEN '{vocab.SUMMARY_PREFIX}' || substr(text, 1, 8) || '{vocab.ELLIPSIS}' WHEN role = 'analyst' THEN '{vocab.MASKED}' END AS text, controlled AND role != 'compliance' AS masked FROM con),
+told AS (SELECT query_id, count(*) AS n, count(*) FILTER (masked) AS m, string_agg(substr(text, 1, 60), '{vocab.ANSWER_JOIN}' ORDER BY rank) FILTER (k <= 3) AS bits FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM shown WHERE text IS NOT NULL) GROUP BY query_id)"""
+
+
+@query(f"WITH {READ}, {PARTS}, {TIERED % 'docs'}, {PARENTS}, {ANSWERS}, {ROUTED} SELECT r.query_id, r.mode, coalesce(t.n, 0) AS n_contexts, coalesce(t.m, 0) AS n_masked, coalesce(t.n, 0) > 0 AS grounded, CASE WHEN t.n > 0 THEN '{vocab.ANSWER_PREFIX}' || t.bits ELSE '{vocab.NO_CONTENT}' END AS answer FROM routed r LEFT JOIN told t USING (query_id)")
+def ask_flagship(spark, sf_dir):
+    d, c = docs_and_chunks(spark, sf_dir)
+    return R.ask(questions(spark), c, I.pages(I.classify(d)))
+
+
+# --- graph ------------------------------------------------------------------------------------
+
+LINES = """ln AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 40),
+hub AS (SELECT line, min(doc_id) AS dst, count(*) AS n FROM ln GROUP BY line HAVING count(*) > 1),
+edges AS (SELECT DISTINCT ln.doc_id AS src, hub.dst FROM ln JOIN hub USING (line) WHERE ln.doc_id != hub.dst)"""
+REACH = f"""{LINES}, pair2 AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+reach(node, goal) AS (SELECT src, src FROM pair2 UNION SELECT r.node, b.dst FROM reach r JOIN pair2 b ON b.src = r.goal),
+comm AS (SELECT node, min(goal) AS community FROM reach GROUP BY node)"""
+
+
+def _shared_lines(spark, sf_dir):
+    """Documents linked to the first document with the same line of 40 or more characters."""
+    line = B.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where("length(line) >= 40").distinct()
+    hub = line.groupBy("line").agg(F.min("doc_id").alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return line.join(hub, "line").where("doc_id != dst").select(F.col("doc_id").alias("src"), "dst").distinct()
+
+
+def _communities(spark, sf_dir):
+    e = _shared_lines(spark, sf_dir)
+    return K.communities(e.select(F.col("src").alias("node")), e)
+
+
+@query(f"WITH RECURSIVE {REACH} SELECT node, community FROM comm")
+def graph_components(spark, sf_dir):
+    return _communities(spark, sf_dir)
+
+
+@query(f"WITH {LINES}, pair2 AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), s AS (SELECT min(dst) AS node FROM edges), h1 AS (SELECT dst AS node FROM pair2 JOIN s ON src = node), h2 AS (SELECT dst AS node FROM pair2 JOIN h1 ON src = node) SELECT node FROM (SELECT node FROM h1 UNION SELECT node FROM h2) WHERE node NOT IN (SELECT node FROM s)")
+def graph_khop(spark, sf_dir):
+    e = _shared_lines(spark, sf_dir)
+    return K.khop(e, e.agg(F.min("dst").alias("node")), 2)
+
+
+SUMMED = f"""{REACH}, summ AS (SELECT community, count(*) AS members, string_agg(DISTINCT lang, ',' ORDER BY lang) AS types, list_sort(list(node))[1:8] AS f FROM comm JOIN documents ON doc_id = node GROUP BY community),
+told AS (SELECT community, members, types, '社区' || community || '：' || members || ' 实体，类型 ' || types || '。成员：' || array_to_string(f, ', ') AS summary FROM summ)"""
+
+
+def _summaries(spark, sf_dir):
+    return K.community_summaries(_communities(spark, sf_dir), B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), F.col("lang").alias("type")))
+
+
+@query(f"WITH RECURSIVE {SUMMED} SELECT * FROM told")
+def community_summary(spark, sf_dir):
+    return _summaries(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {SUMMED}, {QUESTIONS}, cand AS (SELECT query_id, query, community, {TOKENS % 'query'} AS qt, {TOKENS % 'summary'} AS ct FROM told CROSS JOIN questions),
+pt AS (SELECT *, len(list_filter(qt, lambda w: list_contains(ct, w))) AS covered, list_filter(qt, lambda w: regexp_matches(w, '^[a-z]?\\d') OR length(w) <= 2) AS rl, list_filter(range(1, len(ct) + 1), lambda i: list_contains(qt, ct[i])) AS hl FROM cand),
+sc AS (SELECT query_id, community, round(0.6 * covered / len(qt) + 0.25 * len(list_filter(rl, lambda w: list_contains(ct, w))) / greatest(len(rl), 1) + 0.15 * CASE WHEN len(hl) >= 2 THEN len(hl) / (hl[-1] - hl[1] + 1) ELSE 0 END + 1e-9, 6) AS score FROM pt)
+SELECT query_id, community, round_even(least(1.0, score), 3) AS confidence FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, community) <= 5""")
+def global_top_communities(spark, sf_dir):
+    return K.top_communities(questions(spark), _summaries(spark, sf_dir)).select("query_id", "community", "confidence")
+
+
+# --- resolution -------------------------------------------------------------------------------
+
+
+@query(f"WITH {DOCS}, {MENTIONS}, k AS (SELECT lower(name) AS key, name, doc_id::BIGINT AS seq FROM ments), f AS (SELECT key, arg_min(substr(md5('ent|' || name), 1, 12), {{'s': seq, 'n': name}}) AS canonical_id, count(DISTINCT name) AS names FROM k GROUP BY key) SELECT key, canonical_id, names FROM f")
+def entity_resolve_alias(spark, sf_dir):
+    e = _entities(spark, sf_dir).select("entity_id", "name", F.struct(F.col("doc_id").cast("long"), "name").alias("seq"))
+    r = K.resolve_aliases(e).distinct().join(e.select("entity_id", F.lower("name").alias("key"), "name").distinct(), "entity_id")
+    return r.groupBy("key", "canonical_id").agg(F.countDistinct("name").alias("names"))
+
+
+@query()
+def entity_resolve_vector(spark, sf_dir):
+    e = B.table(spark, sf_dir, "embeddings")
+    return K.resolve_vectors(e.select(F.col("vec_id").alias("entity_id"), F.col("vec_id").alias("seq"), F.col("label").alias("type"), F.col("embedding").alias("v")))
+
+
+# --- bitemporal -------------------------------------------------------------------------------
+
+OBS = "obs AS (SELECT user_id AS obj_id, strftime(ts, '%Y-%m-%d') AS valid_time, event_id AS seq, value FROM events)"
+
+
+@query(f"WITH {OBS} SELECT obj_id, valid_time, seq, lead(seq) OVER (PARTITION BY obj_id, valid_time ORDER BY seq) AS superseded_by FROM obs")
+def obs_supersede_chain(spark, sf_dir):
+    return K.superseded(B.observations(spark, sf_dir)).select("obj_id", "valid_time", "seq", "superseded_by")
+
+
+@query(f"WITH {OBS} SELECT obj_id, valid_time, seq, value FROM obs WHERE substr(valid_time, 1, 4)::INT <= 2024 QUALIFY row_number() OVER (PARTITION BY obj_id ORDER BY valid_time DESC, seq DESC) = 1")
+def obs_asof(spark, sf_dir):
+    return K.as_of(B.observations(spark, sf_dir), 2024)
+
+
+@query(f"WITH {OBS}, open AS (SELECT *, lead(seq) OVER (PARTITION BY obj_id, valid_time ORDER BY seq) AS nxt FROM obs) SELECT obj_id, valid_time, seq, value FROM open WHERE nxt IS NULL QUALIFY row_number() OVER (PARTITION BY obj_id ORDER BY valid_time DESC, seq DESC) = 1")
+def obs_truth(spark, sf_dir):
+    return K.truth(B.observations(spark, sf_dir))
+
+
+@query(f"WITH {OBS}, moments AS (SELECT DISTINCT obj_id, unnest(['2024-01-10', '2024-01-20']) AS \"at\" FROM obs) SELECT m.obj_id, m.\"at\", max(o.valid_time) AS valid_time, arg_max(o.value, {{'v': o.valid_time, 's': o.seq}}) AS value FROM moments m LEFT JOIN obs o ON o.obj_id = m.obj_id AND o.valid_time <= m.\"at\" GROUP BY ALL")
+def obs_asof_join(spark, sf_dir):
+    o = B.observations(spark, sf_dir)
+    times = o.select("obj_id").distinct().withColumn("at", F.explode(F.array(F.lit("2024-01-10"), F.lit("2024-01-20"))))
+    return K.as_of_at(o, times)
+
+
+@query("SELECT o_custkey AS node, o_orderstatus AS status, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def status_latest(spark, sf_dir):
+    return K.status_latest(B.status_events(spark, sf_dir)).select("node", "status", F.col("seq.o_orderkey").alias("o_orderkey"))
+
+
+@query("WITH h AS (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) SELECT o_custkey AS node, o_orderkey, b AS before, o_orderstatus AS status FROM h WHERE b IS NOT NULL AND NOT ((b = 'O' AND o_orderstatus = 'F') OR (b = 'F' AND o_orderstatus = 'P'))")
+def fsm_violations(spark, sf_dir):
+    return K.fsm_violations(B.status_events(spark, sf_dir), {"O": "F", "F": "P"}).select("node", "o_orderkey", "before", "status")
+
+
+# --- actions and stores -----------------------------------------------------------------------
+
+_ALLOWED = " OR ".join(f"(action = '{a}' AND role IN ({quoted(r)}))" for a, (r, _) in vocab.ACTIONS.items())
+_SANDBOX = quoted(a for a, (_, s) in vocab.ACTIONS.items() if s)
+ACTS = f"""acts AS (SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'review' WHEN 'view' THEN 'create_link' WHEN 'purchase' THEN 'revise-capacity' WHEN 'signup' THEN 'mark' ELSE 'drop-all' END AS action,
+  (['viewer', 'analyst', 'strategy', 'compliance'])[user_id % 4 + 1] AS role, event_id % 2 = 0 AS confirmed, CASE WHEN event_id % 5 = 0 THEN 'rumor' ELSE 'official' END AS source_tier FROM events),
+decided AS (SELECT *, CASE WHEN action NOT IN ({quoted(vocab.ACTIONS)}) THEN 'unknown_action' WHEN NOT ({_ALLOWED}) THEN 'permission_denied' WHEN action = 'revise-capacity' AND source_tier = 'rumor' THEN 'rumor_rejected'
+  WHEN action IN ({_SANDBOX}) AND NOT confirmed THEN 'pending_review' ELSE 'executed' END AS decision FROM acts)"""
+
+
+@query(f"WITH {ACTS} SELECT seq, decision FROM decided")
+def action_decisions(spark, sf_dir):
+    return K.decide(B.actions(spark, sf_dir)).select("seq", "decision")
+
+
+@query(f"WITH {ACTS} SELECT action, role, count(*) AS n FROM decided WHERE decision = 'executed' GROUP BY ALL")
+def action_audit_counts(spark, sf_dir):
+    return K.audit(K.decide(B.actions(spark, sf_dir))).groupBy("action", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
+_MATRIX = [(a, r, r in roles, s) for a, (roles, s) in vocab.ACTIONS.items() for r in ("viewer", "analyst", "strategy", "compliance")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{r}', {str(p).lower()}, {str(s).lower()})" for a, r, p, s in _MATRIX) + ") t(action, role, permitted, sandbox)")
+def action_permission_matrix(spark, sf_dir):
+    spec = spark.createDataFrame([(a, list(r), s) for a, (r, s) in vocab.ACTIONS.items()], "action string, roles array<string>, sandbox boolean")
+    roles = spark.createDataFrame([(r,) for r in ("viewer", "analyst", "strategy", "compliance")], "role string")
+    return spec.crossJoin(roles).select("action", "role", F.array_contains("roles", F.col("role")).alias("permitted"), "sandbox")
+
+
+@query(f"WITH {ACTS} SELECT seq, action, role FROM decided WHERE decision = 'executed' ORDER BY seq DESC LIMIT 100")
+def audit_tail(spark, sf_dir):
+    return K.tail(K.audit(K.decide(B.actions(spark, sf_dir))), ["seq"], 100).select("seq", "action", "role")
+
+
+@query("SELECT conv_id, turn, text, n AS version FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1")
+def page_latest_version(spark, sf_dir):
+    return K.versions(B.table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "text", "version")
+
+
+@query("SELECT p_brand AS id, arg_min(p_name, p_partkey) AS title, array_to_string(list_sort(list_distinct(list(p_type))), ',') AS aliases, count(*) AS writes FROM part GROUP BY p_brand")
+def object_fold(spark, sf_dir):
+    p = B.table(spark, sf_dir, "part")
+    w = p.select(F.col("p_brand").alias("id"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("title"), F.lit("Part").alias("object_type"), F.array("p_type").alias("aliases"), F.array(F.col("p_size").cast("string")).alias("doc_ids"), F.lit(False).alias("controlled"))
+    return K.fold_objects(w).select("id", "title", F.array_join(F.array_sort("aliases"), ",").alias("aliases"), "writes")
+
+
+@query("SELECT l_suppkey AS src, l_partkey AS dst, 'supplies' AS lt, count(*) AS times FROM lineitem GROUP BY ALL")
+def link_dedup(spark, sf_dir):
+    li = B.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("supplies").alias("lt"))
+    return K.link_view(li)
+
+
+@query("SELECT s_suppkey AS id, s_name AS title, count(DISTINCT l_partkey) AS n_links, coalesce(array_to_string(list_sort(list_distinct(list(l_partkey) FILTER (l_partkey IS NOT NULL)))[1:5], ','), '') AS first FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL")
+def object_with_links(spark, sf_dir):
+    o = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"))
+    li = B.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("supplies").alias("lt"))
+    out = K.object_with_links(o, li)
+    return out.select("id", "title", F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.array_join(F.slice(F.transform("links", lambda x: x["dst"].cast("string")), 1, 5), ","), F.lit("")).alias("first"))
+
+
+@query("SELECT s_name AS title, count(*) AS n FROM supplier GROUP BY s_name")
+def objects_by_title(spark, sf_dir):
+    return B.table(spark, sf_dir, "supplier").groupBy(F.col("s_name").alias("title")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id HAVING count(*) > 1")
+def unique_check(spark, sf_dir):
+    return K.duplicates(B.table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+MASKS = f"""CASE WHEN NOT controlled OR role = 'compliance' THEN text WHEN role = 'strategy' THEN '{vocab.SUMMARY_PREFIX}' || substr(text, 1, 8) || '{vocab.ELLIPSIS}' WHEN role = 'analyst' THEN '{vocab.MASKED}' END"""
+ROLES = "roles(role) AS (VALUES ('viewer'), ('analyst'), ('strategy'), ('compliance'), ('stranger'))"
+
+
+def _roles(spark):
+    return spark.createDataFrame([(r,) for r in ("viewer", "analyst", "strategy", "compliance", "stranger")], "role string")
+
+
+@query(f"WITH {DOCS}, {ROLES} SELECT id, role, md5({MASKS}) AS shown, controlled AND role != 'compliance' AS masked FROM docs CROSS JOIN roles")
+def field_security_mask(spark, sf_dir):
+    facts = B.documents(spark, sf_dir).select("id", F.col("text").alias("value"), "controlled")
+    return K.field_security(facts, _roles(spark)).select("id", "role", F.md5("display").alias("shown"), "masked")
+
+
+@query(f"WITH {DOCS}, {ROLES} SELECT role, count(*) AS visible FROM docs CROSS JOIN roles WHERE NOT controlled OR role != 'viewer' GROUP BY role")
+def row_visibility(spark, sf_dir):
+    both = B.documents(spark, sf_dir).select("controlled").crossJoin(F.broadcast(_roles(spark)))
+    return both.where(security.row_visible(F.col("role"), F.col("controlled"))).groupBy("role").agg(F.count(F.lit(1)).alias("visible"))
+
+
+@query(f"WITH {DOCS}, m AS (SELECT DISTINCT doc_id::VARCHAR AS e FROM labels WHERE quality = 0) SELECT substr(md5(id || '|'), 1, 12) AS page_id, id AS doc_id, controlled OR id IN (SELECT e FROM m) AS controlled FROM docs")
+def mark_controlled_join(spark, sf_dir):
+    d = B.documents(spark, sf_dir)
+    pages = d.select(T.stable_id(F.col("id"), F.lit("")).alias("page_id"), F.col("id").alias("doc_id"), "controlled")
+    marked = B.table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").cast("string").alias("entity_id"))
+    return K.mark_controlled(d.select("id", "controlled"), pages, marked)[1]
+
+
+@query(f"WITH {DOCS} SELECT id AS entity_id, name AS doc, 'controlled document ingested' AS reason FROM docs WHERE controlled")
+def pending_controls(spark, sf_dir):
+    d = B.documents(spark, sf_dir)
+    return K.governed_writes(_entities(spark, sf_dir), spark.createDataFrame([], "src string, dst string, lt string, doc_id string"), d)[2]
+
+
+@query("SELECT p_brand AS id, least(1.0, 0.78 + 0.03 * count(*)) AS confidence FROM part GROUP BY p_brand")
+def review_confidence(spark, sf_dir):
+    p = B.table(spark, sf_dir, "part")
+    facts = p.select(F.col("p_brand").alias("id")).distinct().withColumn("confidence", F.lit(None).cast("double"))
+    return K.bumped_confidence(facts, p.select(F.col("p_brand").alias("id"), F.lit(0.03).alias("delta"))).withColumn("confidence", F.round("confidence", 9))
+
+
+_FACTS = [("o1", "status", 0.82), ("o1", "fake", 0.80), ("o1", "weak", 0.78), ("o2", "status", 0.9), ("o3", "at60", 0.60), ("o3", "at85", 0.85), ("o3", "plain", None)]
+_VERDICTS = [("o1", "status", False, True, True, 0.05), ("o1", "fake", False, True, False, -0.5), ("o1", "weak", False, True, True, -0.05), ("o2", None, False, False, None, None)]
+
+
+@query("SELECT object_id, key, band, confidence::DOUBLE AS confidence FROM (VALUES ('o1', 'status', 'keep', 0.87), ('o1', 'fake', 'dropped', 0.3), ('o1', 'weak', 'pending', 0.73), ('o2', 'status', 'object_dropped', 0.9), ('o3', 'at60', 'pending', 0.6), ('o3', 'at85', 'keep', 0.85), ('o3', 'plain', 'pending', 0.78)) t(object_id, key, band, confidence)")
+def verify_apply(spark, sf_dir):
+    facts = spark.createDataFrame(_FACTS, "object_id string, key string, confidence double")
+    return K.apply_verdicts(facts, spark.createDataFrame(_VERDICTS, "object_id string, key string, drop boolean, valid_type boolean, supported boolean, delta double"))
+
+
+@query("SELECT 3::BIGINT AS objects_in, 2::BIGINT AS objects_kept, 1::BIGINT AS objects_dropped, 1::BIGINT AS facts_dropped, 3::BIGINT AS facts_pending")
+def verify_counts(spark, sf_dir):
+    return K.review_counts(verify_apply(spark, sf_dir))
+
+
+@query("SELECT * FROM (VALUES (1, 2::BIGINT, 'n3'), (2, NULL, NULL), (3, 1::BIGINT, 'x')) t(id, objects, first)")
+def llm_json_parse(spark, sf_dir):
+    rows = [(1, '```json\n{"objects":[{"id":"n3","type":"ProcessNode"},{"id":"n5","type":"ProcessNode"}],"links":[]}\n```'), (2, "sorry, no data"), (3, 'here: {"objects":[{"id":"x","type":"T"}]} done')]
+    p = K.parse_reply(F.col("reply"))
+    return spark.createDataFrame(rows, "id int, reply string").select("id", F.when(p.isNotNull(), F.size(p["objects"])).cast("long").alias("objects"), F.try_element_at(p["objects"], F.lit(1))["id"].alias("first"))
+
+
+@query("SELECT * FROM (VALUES ('http://localhost:8000/v1', true), ('https://10.1.2.3/x', true), ('http://172.20.0.1:80', true), ('http://172.40.0.1', false), ('https://api.example.com/v1', false), ('http://192.168.0.9', true)) t(url, local)")
+def egress_hosts(spark, sf_dir):
+    urls = ["http://localhost:8000/v1", "https://10.1.2.3/x", "http://172.20.0.1:80", "http://172.40.0.1", "https://api.example.com/v1", "http://192.168.0.9"]
+    return spark.createDataFrame([(u,) for u in urls], "url string").select("url", security.is_local(F.col("url")).alias("local"))
+
+
+# --- streams, as batches over the same functions ----------------------------------------------
+
+
+def _drained(spark, stream, mode="append"):
+    """What a stream gives when it has read all that is there, from a table in memory."""
+    import tempfile
+    import uuid
+
+    name = f"stream_{uuid.uuid4().hex}"
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lorewell-stream-")
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_event_windows(spark, sf_dir):
+    schema = B.table(spark, sf_dir, "events").schema
+    return _drained(spark, S.windows(S.timed(S.source(spark, sf_dir, schema, "events.parquet"))), "complete")
+
+
+@query("SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
+def stream_dedup(spark, sf_dir):
+    schema = B.table(spark, sf_dir, "documents").schema
+    return _drained(spark, S.first_of_each(S.source(spark, sf_dir, schema, "documents.parquet")).select("sha256"))
+
+
+@query("WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS s FROM events), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM g GROUP BY user_id, k")
+def event_sessions(spark, sf_dir):
+    e = B.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return S.sessions(e).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
