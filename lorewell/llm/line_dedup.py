@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 
 from .common import without
 
-#: Lines in the rolling window, and the mean length of a chunk in lines.
-WINDOW, DIVISOR = 3, 4
+#: Lines in the rolling window; one of DIVISOR hashes is a boundary, which makes chunks of some four lines.
+WINDOW, DIVISOR = 3, 2
 
 
 def _chunks(docs: DataFrame, text_col: str) -> DataFrame:
     """(id, mark, k, first, n, chunk) of every chunk; k counts from 0, first from 1."""
-    rolled = " + ".join(f"coalesce(get(h, i - {j + 1}), 0) * {31**j}" for j in range(WINDOW))
+    rolled = lambda back: " + ".join(f"coalesce(get(h, i - {j + 1 + back}), 0) * {31**j}" for j in range(WINDOW))
+    # no boundary follows another at once, nor the first line, so that chunks have two lines at least
+    bound = f"({rolled(0)}) % {DIVISOR} = 0 AND ({rolled(1)}) % {DIVISOR} != 0"
     lines = docs.selectExpr("doc_id AS id", f"md5(`{text_col}`) AS mark", f"split(`{text_col}`, '\\n', -1) AS lines").where("mark IS NOT NULL")
     ends = lines.selectExpr("*", "transform(lines, l -> cast(conv(substr(md5(l), 1, 8), 16, 10) AS bigint)) AS h").selectExpr(
-        "id", "mark", "lines", f"filter(sequence(1, size(lines)), i -> i = size(lines) OR ({rolled}) % {DIVISOR} = 0) AS ends"
+        "id", "mark", "lines", f"filter(sequence(1, size(lines)), i -> i = size(lines) OR ({bound})) AS ends"
     )
     cut = ends.selectExpr("id", "mark", "lines", "posexplode(transform(ends, (e, j) -> struct(coalesce(get(ends, j - 1), 0) + 1 AS first, e AS last))) AS (k, c)")
     return cut.selectExpr("id", "mark", "k", "c.first AS first", "c.last - c.first + 1 AS n", "array_join(slice(lines, c.first, c.last - c.first + 1), '\\n') AS chunk")
@@ -61,7 +63,8 @@ WITH l AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line
   FROM documents WHERE text IS NOT NULL),
 h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l),
-r AS (SELECT *, CASE WHEN ({_ROLLED}) % {DIVISOR} = 0 THEN 1 ELSE 0 END AS e FROM h),
+b AS (SELECT *, ({_ROLLED}) % {DIVISOR} = 0 AS hit FROM h),
+r AS (SELECT *, CASE WHEN hit AND NOT lag(hit, 1, true) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS e FROM b),
 c AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM r),
 chunks AS (SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, k),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) AS rn FROM chunks WHERE n > 1 AND regexp_matches(chunk, '\S')),
