@@ -588,7 +588,7 @@ def pending_controls(spark, sf_dir):
     return K.governed_writes(_entities(spark, sf_dir), spark.createDataFrame([], "src string, dst string, lt string, doc_id string"), d)[2]
 
 
-@query("SELECT p_brand AS id, least(1.0, 0.78 + 0.03 * count(*)) AS confidence FROM part GROUP BY p_brand")
+@query("SELECT p_brand AS id, least(1.0, 0.78 + 0.03 * count(*))::DOUBLE AS confidence FROM part GROUP BY p_brand")
 def review_confidence(spark, sf_dir):
     p = B.table(spark, sf_dir, "part")
     facts = p.select(F.col("p_brand").alias("id")).distinct().withColumn("confidence", F.lit(None).cast("double"))
