@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +62,29 @@ def hashed_features(rows: DataFrame, id_col: str, text_col: str, dims: int = 256
     summed = every.groupBy("id", "bucket").agg(F.sum("value").alias("value")).where("value != 0")
     norms = summed.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
     return summed.join(norms, "id")
+
+
+class Hashed:
+    """hashed_features() of single texts as dense vectors, for Arrow batches; hashes are kept up to a limit."""
+
+    TOKEN, LIMIT = re.compile("[A-Za-z0-9]+|[一-鿿]"), 200_000
+
+    def __init__(self):
+        self.known: dict[str, tuple[int, float]] = {}
+
+    def of(self, feature: str) -> tuple[int, float]:
+        """The bucket of a feature, and its sign as a token."""
+        if (found := self.known.get(feature)) is None:
+            if len(self.known) >= self.LIMIT:
+                self.known.clear()
+            h = hashlib.md5(feature.encode()).digest()
+            found = self.known[feature] = (h[15], 1.0 if h[14] & 1 else -1.0)
+        return found
+
+    def vector(self, text: str) -> np.ndarray:
+        tokens = [self.of(t) for t in self.TOKEN.findall(text.lower())]
+        grams = [self.of(text[i : i + 3])[0] for i in range(len(text) - 2)]
+        v = 0.5 * np.bincount(np.array(grams, dtype=np.int64), minlength=256)
+        if tokens:
+            v += np.bincount([b for b, _ in tokens], weights=[s for _, s in tokens], minlength=256)
+        return v

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,8 +65,48 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = vocab.RECALL, where:
     return ranked(scored, ["query_id"], [F.col("score").desc(), "chunk_id"], k)
 
 
+#: Up to so many questions travel in the code of a task; more of them are joined.
+CARRIED = 1024
+
+
 def dense_hashed(chunks: DataFrame, questions: DataFrame, k: int = vocab.RECALL, secure: bool = False) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by cosine of hashed embeddings."""
+    """(query_id, chunk_id, score, rank) by cosine of hashed embeddings.
+
+    A batch of few questions is carried to the chunks, which are hashed and scored batch by batch
+    with each batch's k best kept; a larger one is joined to the chunks on buckets."""
+    asked = questions.select("query_id", "query", *(["role"] if secure else [])).limit(CARRIED + 1).collect()
+    if len(asked) > CARRIED:
+        return dense_joined(chunks, questions, k, secure)
+    viewers = np.array([secure and q["role"] == "viewer" for q in asked], dtype=bool)
+    ids = np.array([q["query_id"] for q in asked])
+    texts = [q["query"] for q in asked]
+
+    def scored(batches):
+        hashed = vectors.Hashed()
+        q = np.stack([hashed.vector(t) for t in texts]) if texts else np.zeros((0, 256))
+        lengths = np.sqrt((q * q).sum(axis=1))
+        for pdf in batches:
+            v = np.stack([hashed.vector(t) for t in pdf["text"]])
+            norms = np.sqrt((v * v).sum(axis=1))
+            common = (v != 0).astype(np.float64) @ (q != 0).T.astype(np.float64) > 0
+            names, hidden = pdf["chunk_id"].to_numpy(), pdf["controlled"].to_numpy(dtype=bool)
+            out = []
+            for j in range(len(q)):
+                at = np.flatnonzero(common[:, j] & ~(hidden & viewers[j]))
+                s = np.floor((v[at] @ q[j] / norms[at] / lengths[j] + 1e-9) * 1e6 + 0.5) / 1e6
+                best = np.lexsort((names[at], -s))[:k]
+                out.append(pd.DataFrame({"query_id": ids[j], "chunk_id": names[at[best]], "score": s[best]}))
+            if out:
+                yield pd.concat(out)
+
+    controlled = F.col("controlled") if secure else F.lit(False).alias("controlled")
+    kind = questions.schema["query_id"].dataType.simpleString()
+    found = chunks.select("chunk_id", "text", controlled).where("text IS NOT NULL").mapInPandas(scored, f"query_id {kind}, chunk_id string, score double")
+    return ranked(found, ["query_id"], [F.col("score").desc(), "chunk_id"], k)
+
+
+def dense_joined(chunks: DataFrame, questions: DataFrame, k: int = vocab.RECALL, secure: bool = False) -> DataFrame:
+    """dense_hashed() for any number of questions."""
     of_chunks = vectors.hashed_features(chunks, "chunk_id", "text").withColumnRenamed("id", "chunk_id")
     of_queries = vectors.hashed_features(questions, "query_id", "query").select(F.col("id").alias("query_id"), "bucket", F.col("value").alias("q"), F.col("norm").alias("q_norm"))
     both = of_chunks.join(of_queries, "bucket")

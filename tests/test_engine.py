@@ -141,7 +141,7 @@ def test_rrf_and_gate(spark):
 
 
 def test_routes(spark):
-    q = [(1, "overall trend", "local" if False else "global"), (2, "what is the trend", "local"), (3, "overall trend of N3", "local"), (4, "总体格局", "global"), (5, "hello", "local")]
+    q = [(1, "overall trend", "global"), (2, "what is the trend", "local"), (3, "overall trend of N3", "local"), (4, "总体格局", "global"), (5, "hello", "local")]
     got = {r["query_id"]: r["mode"] for r in retrieval.route(spark.createDataFrame([x[:2] for x in q], "query_id int, query string")).collect()}
     assert got == {i: m for i, _, m in q}
 
