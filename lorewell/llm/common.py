@@ -31,9 +31,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows in an Arrow batch at most: some rows hold long texts or whole blocks.
+BATCH_ROWS = 64
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on executors that don't have it on their path."""
+    """Makes this package importable on executors that don't have it on their path, and keeps the
+    session's Arrow batches small enough for rows with long texts."""
     sc = spark.sparkContext
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_lorewell_shipped", False):
         return

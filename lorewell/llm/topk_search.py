@@ -26,12 +26,24 @@ NONE = -(2**62)
 def _blocks(rows: DataFrame, size: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, v, ...extra longs) as blocks (dim, ids, m, ...extra) of at most ``size`` rows."""
 
+    def block(dim: int, own: pd.DataFrame) -> pd.DataFrame:
+        m = np.concatenate([np.asarray(v, dtype=np.int64) for v in own["v"]]).tobytes()
+        return pd.DataFrame({"dim": [dim], "ids": [own["id"].to_numpy(np.int64).tobytes()], "m": [m]} | {e: [own[e].to_numpy(np.int64).tobytes()] for e in extra})
+
     def packed(batches):
+        held: dict[int, list[pd.DataFrame]] = {}
         for pdf in batches:
             for dim, at in by_length(pdf["v"]).items():
-                for i in range(0, len(at), size):
-                    own = pdf.iloc[at[i : i + size]]
-                    yield pd.DataFrame({"dim": [dim], "ids": [own["id"].to_numpy(np.int64).tobytes()], "m": [np.concatenate([np.asarray(v, dtype=np.int64) for v in own["v"]]).tobytes()]} | {e: [own[e].to_numpy(np.int64).tobytes()] for e in extra})
+                held.setdefault(dim, []).append(pdf.iloc[at])
+                if sum(map(len, held[dim])) >= size:
+                    rest = pd.concat(held[dim])
+                    while len(rest) >= size:
+                        yield block(dim, rest.iloc[:size])
+                        rest = rest.iloc[size:]
+                    held[dim] = [rest]
+        for dim, parts in held.items():
+            if len(rest := pd.concat(parts)):
+                yield block(dim, rest)
 
     return rows.mapInPandas(packed, "dim int, ids binary, m binary" + "".join(f", {e} binary" for e in extra))
 
