@@ -126,8 +126,12 @@ def vector_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
 
 def rrf(dense: DataFrame, sparse: DataFrame, k: int = vocab.RECALL, c: int = vocab.RRF_K) -> DataFrame:
     """(query_id, chunk_id, dense, sparse, rrf, rank): reciprocal ranks of both lists added up."""
-    each = dense.select("query_id", "chunk_id", "rank", F.col("score").alias("dense"), F.lit(0.0).alias("sparse")).unionByName(sparse.select("query_id", "chunk_id", "rank", F.lit(0.0).alias("dense"), F.col("score").alias("sparse")))
-    fused = each.groupBy("query_id", "chunk_id").agg(F.max("dense").alias("dense"), F.max("sparse").alias("sparse"), F.round(F.sum(1.0 / (c + F.col("rank"))) + 1e-12, 9).alias("rrf"))
+    keys = ["query_id", "chunk_id"]
+    one = dense.select(*keys, F.col("rank").alias("r1"), F.col("score").alias("dense"))
+    two = sparse.select(*keys, F.col("rank").alias("r2"), F.col("score").alias("sparse"))
+    part = lambda rank: F.coalesce(1.0 / (c + F.col(rank)), F.lit(0.0))
+    # both sides lie by query_id already, where a union of them would lose its partitions
+    fused = one.join(two, keys, "full").select(*keys, F.coalesce("dense", F.lit(0.0)).alias("dense"), F.coalesce("sparse", F.lit(0.0)).alias("sparse"), F.round(part("r1") + part("r2") + 1e-12, 9).alias("rrf"))
     return ranked(fused, ["query_id"], [F.col("rrf").desc(), "chunk_id"], k)
 
 
