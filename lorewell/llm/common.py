@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import os
+import re
 import shutil
 import sys
 import tempfile
@@ -66,24 +67,64 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), kept for words seen before and emptied when too many."""
+#: A value for each byte, 0 for white space, and which bytes are white space.
+_byte_values = mix64(np.arange(1, 257, dtype=np.uint64) << np.uint64(32))
+_is_space = np.zeros(256, dtype=bool)
+_is_space[[0x20, *range(0x09, 0x0E)]] = True
+_byte_values[_is_space] = 0
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+BLOCK = 1 << 20
 
-    LIMIT = 200_000
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
+def _place_factors(n: int) -> np.ndarray:
+    """Odd factors for the first n places of a word."""
+    return mix64(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
 
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxh3_64_intdigest(word)
-        return value
 
+_first_places = _place_factors(256)
 
-#: One for a worker process; tidied() empties it after each task.
-hashes_of_words = WordHashes()
-#: What else to empty after each task.
-forget: list[Callable[[], None]] = [hashes_of_words.clear]
+
+def folded(text: str | None) -> bytes:
+    """The UTF-8 bytes of a text with ASCII letters in lower case; none for null."""
+    return text.encode("utf-8", "surrogatepass").lower() if text else b""
+
+
+def word_starts(data: bytes) -> np.ndarray:
+    """The places at which the words of ``data`` begin."""
+    space = _is_space[np.frombuffer(data, dtype=np.uint8)]
+    return np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(space) else np.zeros(0, dtype=np.int64)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of folded() texts, in order.
+
+    A word's hash is the scrambled sum of a value of each byte times a factor of its place, so that
+    a block of text is hashed by array operations without splitting it."""
+    if len(data) > BLOCK:
+        out, at = [], 0
+        while at < len(data):
+            gap = _SPACE.search(data, at + BLOCK)
+            end = gap.end() if gap else len(data)
+            out.append(_block_hashes(data[at:end]))
+            at = end
+        return np.concatenate(out)
+    return _block_hashes(data)
+
+
+def _block_hashes(data: bytes) -> np.ndarray:
+    starts = word_starts(data)
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    sizes = np.diff(starts, append=len(data))
+    factors = _first_places if (most := int(sizes.max())) <= len(_first_places) else _place_factors(most)
+    own = np.frombuffer(data, dtype=np.uint8)[starts[0] :]
+    starts = starts - starts[0]
+    places = np.arange(len(own)) - np.repeat(starts, sizes)
+    return mix64(np.add.reduceat(_byte_values[own] * factors[places], starts))
+
+
+#: What to empty after each task.
+forget: list[Callable[[], None]] = []
 
 
 def tidied(rows):
@@ -109,10 +150,6 @@ def tidied(rows):
     return wrapper
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(hashes_of_words.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each run of ``k`` neighbours in ``hashes``."""
     n = len(hashes) - k + 1

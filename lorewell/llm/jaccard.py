@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import checkpoint, connected_components, rolled, ship, tidied, word_hashes
+from .common import checkpoint, connected_components, folded, rolled, ship, tidied, word_hashes
 
 #: Cells of the sketch; a cell is heavy when it holds that many deviations over the median cell.
 CELLS, DEVIATIONS, SLACK = 1 << 16, 8, 64
@@ -31,10 +31,10 @@ FILTER_BITS = 1 << 22
 
 def shingles(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct hashes of the runs of k words (or of all words, if fewer) of a text."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
+    words = word_hashes(folded(text))
+    if not len(words):
         return np.zeros(0, dtype=np.uint64)
-    return np.unique(rolled(word_hashes(words), min(k, len(words))))
+    return np.unique(rolled(words, min(k, len(words))))
 
 
 def ranked(found: np.ndarray, heavy: np.ndarray) -> np.ndarray:
