@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 
 from lorewell.llm import byte_bpe, chat, jaccard, line_dedup, packing, passages, quality, queries, token_counts, topk_search, vector_dedup
-from lorewell.llm.common import connected_components
+from lorewell.llm.common import connected_components, folded, rolled, word_hashes
 
 ODD = [None, "", " ", "a", "  two  words ", "été ﬁ 日本語 😀", "a\x00b\tc\n\n", "<s> <|endoftext|> <0x0A>", "x" * 5000, "ab" * 3000, "日本" * 2000, " ".join(["It"] * 400), "thing " * 3000]
 SCHEMA = "doc_id long, text string, n_tokens string, ids int, score string, removed int, n_lines_removed int"
@@ -99,6 +99,14 @@ def test_runs_of_one_word_meet_runs_as_long(spark):
     assert got[5].split() == (prose(8, 60) + " " + prose(9, 60)).split()
 
 
+def test_only_runs_that_are_long_enough_are_seeds():
+    for n, found in ((30, 0), (49, 0), (50, 1), (51, 1), (200, 1)):
+        for seed in range(20):
+            grams = rolled(word_hashes(folded(prose(seed, 60) + " spam" * n + " " + prose(seed + 50, 60))), passages.K)
+            runs = passages.repeated_runs(grams, passages.minimizers(grams), 50)
+            assert len(runs) == found and all(r[2] - r[1] + passages.K == n for r in runs)
+
+
 def test_chains_are_best_by_brute_force():
     r = random.Random(3)
     for _ in range(30):
