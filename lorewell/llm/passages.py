@@ -1,12 +1,11 @@
 """Substring dedup by collinear chaining (operator 4).
 
-Minimizers (the least k-mer hash of each window of words) are the seeds. A seed that several
-documents share is joined to its first document only, so that a passage in n documents makes n - 1
-matches for each seed. The matches of two documents are chained in order with gap costs, by a
-Fenwick tree of prefix maxima; what a chain spans, and some words around, is aligned over all its
-k-mers, and stretches of MIN_WORDS or more of which four fifths agree are cut from the later document.
-A word or phrase that is repeated over and over makes a seed of its own for a run of MIN_WORDS or
-more, so that long runs meet the first document with a long run and not the first with the phrase.
+Minimizers (the least k-mer hash of each window of words) that several documents share are seeds, at every place; each leads to the first
+place in the first document that holds it, so that a passage in n documents makes n - 1 matches for
+each k-mer. Hashes are dealt to parts in packed blocks and met by array operations. The matches of
+two documents are chained in order with gap costs, by a Fenwick tree of prefix maxima; what a chain
+spans, and some words around, is aligned over all its k-mers, and stretches of MIN_WORDS or more of
+which four fifths agree are cut from the later document.
 """
 
 from __future__ import annotations
@@ -22,9 +21,11 @@ from pyspark.sql import functions as F
 from .common import checkpoint, folded, mix64, rolled, ship, tidied, without, word_hashes, word_starts
 from .jaccard import wanted
 
-K, WINDOW, MARGIN = 5, 10, 40
-#: Cost of a word in a gap; gaps over which chains of seeds and aligned stretches are split.
-GAP_COST, SEED_GAP, ALIGN_GAP = 0.1, 60, 10
+K, WINDOW, MARGIN = 5, 10, 60
+#: Cost of a word in a gap; gap over which chains of seeds may be split; agreeing words that make two texts be aligned.
+GAP_COST, SEED_GAP, ALIGN_GAP, EVIDENCE = 0.1, 60, 10, 10
+#: Parts into which k-mers and then documents are dealt, and k-mers that a task holds before it deals them.
+PARTS, BUFFER = 2048, 1 << 19
 #: Sets the seeds of repeated runs apart from those of single k-mers.
 RUN = np.uint64(0x5BD1E995)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,26 +106,107 @@ def chains(y: np.ndarray, x: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def regions(seeds: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
-    """(y from, y to, x from, x to) in words of the chains of seeds that may be ``least`` words long.
+def regions(own: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int, int]]:
+    """(other, y from, y to, x from, x to) in words of the chains of shared k-mers of one document.
 
-    Seeds are rows (first, last, times, first in x, last in x). One that comes back every few words
-    on both sides, as in a text with a short period, spans a region of its own."""
-    out = []
-    periodic = (seeds[:, 1] > seeds[:, 0]) & (seeds[:, 4] > seeds[:, 3]) & (seeds[:, 1] - seeds[:, 0] <= 2 * WINDOW * seeds[:, 2])
-    out += [(int(a), int(b) + K, int(c), int(d) + K) for a, b, _, c, d in seeds[periodic] if b - a + K + 2 * WINDOW >= least]
-    if len(seeds) < 2:
+    Rows of ``own`` are (id, y, other, x) in the order of y. Neighbours on one diagonal are one anchor.
+    A chain counts from EVIDENCE agreeing words on, as k-mers of a passage may lead to other documents.
+    It is split at gaps over SEED_GAP that are more than the percentage leaves to all of it."""
+    out: list[tuple[int, int, int, int, int]] = []
+    rows = own[own[:, 2] != own[:, 0]]
+    if not len(rows):
         return out
-    y, x = seeds[:, 0], seeds[:, 3]
-    for chain in chains(y, x, np.full(len(y), K)):
-        a, b = y[chain], x[chain]
-        cuts = np.flatnonzero((np.diff(a) > SEED_GAP) | (np.diff(b) > SEED_GAP)) + 1
-        for p, q in zip(np.split(a, cuts), np.split(b, cuts)):
-            if p[-1] - p[0] + K + 2 * WINDOW >= least or len(p) > 2:
-                out.append((int(p[0]), int(p[-1]) + K, int(q[0]), int(q[-1]) + K))
+    y, other, x = rows[:, 1], rows[:, 2], rows[:, 3]
+    order = np.lexsort((y, y - x, other))
+    y, other, x = y[order], other[order], x[order]
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(other) != 0) | (np.diff(y) != 1) | (np.diff(x) != 1)]))
+    size = np.diff(np.append(starts, len(y))) + K - 1
+    y, other, x = y[starts], other[starts], x[starts]
+    cuts = np.flatnonzero(np.diff(other)) + 1
+    for at in np.split(np.arange(len(y)), cuts):
+        if size[at].sum() < EVIDENCE:
+            continue
+        for chain in chains(y[at], x[at], size[at]):
+            a, b, n = y[at][chain], x[at][chain], size[at][chain]
+            most = max(SEED_GAP, int(n.sum()) * (100 - percent) // percent)
+            split = np.flatnonzero((a[1:] - a[:-1] - n[:-1] > most) | (b[1:] - b[:-1] - n[:-1] > most)) + 1
+            for p, q, r in zip(np.split(a, split), np.split(b, split), np.split(n, split)):
+                if r.sum() >= EVIDENCE:
+                    out.append((int(other[at[0]]), int(p[0]), int((p + r).max()), int(q[0]), int((q + r).max())))
     return out
 
 
+def packed(columns: list[np.ndarray], sizes: tuple[int, ...]) -> bytes:
+    """Integer columns as the planes of their low bytes, which compress well where values are small."""
+    return b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes() for c, k in zip(columns, sizes))
+
+
+def unpacked(data: bytes, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    n, at, out = len(data) // sum(sizes), 0, []
+    for k in sizes:
+        c = np.zeros((n, 8), dtype=np.uint8)
+        c[:, :k] = np.frombuffer(data, dtype=np.uint8, count=n * k, offset=at).reshape(k, n).T
+        out.append(c.view("<i8")[:, 0])
+        at += n * k
+    return out
+
+
+def dealt(rows: Iterator[tuple[np.ndarray, ...]], part, sizes: tuple[int, ...]) -> Iterator[pd.DataFrame]:
+    """Rows of columns, packed for each of PARTS parts; ids (columns of 8 bytes) as differences."""
+    waiting, n = [], 0
+
+    def full():
+        columns = [np.concatenate(c) for c in zip(*waiting)]
+        to = part(*columns)
+        order = np.argsort(to.astype(np.int16), kind="stable")
+        to, columns = to[order], [c[order] for c in columns]
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(to) != 0])), len(to)).tolist()
+        data = [packed([np.diff(c[a:b], prepend=0) if k == 8 else c[a:b] for c, k in zip(columns, sizes)], sizes) for a, b in zip(cuts, cuts[1:])]
+        for i in range(0, len(data), 256):
+            yield pd.DataFrame({"part": to[cuts[i : min(i + 256, len(data))]], "data": data[i : i + 256]})
+
+    for columns in rows:
+        if len(columns[0]):
+            waiting.append(columns)
+            n += len(columns[0])
+        if n >= BUFFER:
+            yield from full()
+            waiting, n = [], 0
+    if n:
+        yield from full()
+
+
+def gathered(batches, columns: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The parts that dealt() has packed, from rows in the order of the part."""
+    sizes = (5, 8, 4) if columns == 3 else (8, 4, 8, 4)
+    at, waiting = None, []
+    for pdf in batches:
+        for part, data in zip(pdf["part"], pdf["data"]):
+            if part != at and waiting:
+                yield at, [np.concatenate(c) for c in zip(*waiting)]
+                waiting = []
+            at = part
+            waiting.append([np.cumsum(c) if k == 8 else c for c, k in zip(unpacked(data, sizes), sizes)])
+    if waiting:
+        yield at, [np.concatenate(c) for c in zip(*waiting)]
+
+
+def firsts(h: np.ndarray, i: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(id, y, other, x) of every place of the k-mers that several documents hold: x is the first place
+    in the first of these documents, which is the row's own in that document."""
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    twice = np.concatenate([[False], h[1:] == h[:-1]])
+    twice[:-1] |= twice[1:]
+    h, i, y = h[twice], i[order[twice]], y[order[twice]]
+    order = np.lexsort((y, i, h))
+    h, i, y = h[order], i[order], y[order]
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(np.append(starts, len(h)))
+    several = np.repeat(i[starts] != i[starts + sizes - 1], sizes)
+    return i[several], y[several], np.repeat(i[starts], sizes)[several], np.repeat(y[starts], sizes)[several]
+
+
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of each run of ``n`` neighbours, made from two overlapping halves."""
     size, out = 1, hashes
@@ -138,8 +220,8 @@ def aligned(one: np.ndarray, two: np.ndarray, shift: int, least: int, percent: i
     """Stretches (from, to) of word hashes ``one`` that ``two`` holds almost alike.
 
     Each k-mer of ``one`` is anchored at its occurrence in ``two`` next to the diagonal ``shift``
-    (place in two less place in one); runs of anchors are chained, and neighbouring runs stay
-    together as long as ``percent`` of the words on either side agree."""
+    (place in two less place in one); runs of anchors are chained, and runs stay
+    together where ``percent`` of the words on either side agree."""
     a, b = rolled(one, min(K, len(one))), rolled(two, min(K, len(two)))
     if not len(a) or not len(b) or len(one) < K or len(two) < K:
         return []
@@ -223,40 +305,37 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, text
 
     @tidied
     def seeded(batches):
-        for pdf in batches:
-            out = []
-            for i, text in zip(pdf["id"], pdf["text"]):
-                words = word_hashes(folded(text))
-                if len(words) >= min_words:
-                    grams = rolled(words, K)
-                    at = minimizers(grams)
-                    hs, first, times = np.unique(grams[at], return_index=True, return_counts=True)
-                    last = len(at) - 1 - np.unique(grams[at][::-1], return_index=True)[1]
-                    columns = [hs, at[first], at[last], times]
-                    if runs := repeated_runs(grams, at, min_words):
-                        columns = [np.concatenate([c, np.array(r, dtype=c.dtype)]) for c, r in zip(columns, zip(*runs))]
-                    out.append((i, columns[0].view(np.int64), *[c.astype(np.int32) for c in columns[1:]]))
-            if out:
-                yield pd.DataFrame(out, columns=["id", "hs", "y0", "y1", "times"])
+        def held():
+            for pdf in batches:
+                for i, text in zip(pdf["id"], pdf["text"]):
+                    words = word_hashes(folded(text))
+                    if len(words) >= max(min_words, K):
+                        grams = rolled(words, K)
+                        at = minimizers(grams)
+                        yield (grams[at] >> np.uint64(13)).view(np.int64), np.full(len(at), i, dtype=np.int64), at
 
-    arrays = source.mapInPandas(seeded, "id long, hs array<long>, y0 array<int>, y1 array<int>, times array<int>")
-    seeds = arrays.select("id", F.explode(F.arrays_zip("hs", "y0", "y1", "times")).alias("s")).select(F.col("s.hs").alias("h"), "id", "s.y0", "s.y1", "s.times")
-    first = seeds.groupBy("h").agg(F.min(F.struct("id", "y0", "y1")).alias("f"), F.max("id").alias("last")).where("f.id != last").select("h", F.col("f.id").alias("other"), F.col("f.y0").alias("x0"), F.col("f.y1").alias("x1"))
-    matches = seeds.join(first, "h").where("id != other").groupBy("id").agg(F.collect_list(F.struct("other", "y0", "y1", "times", "x0", "x1")).alias("m"))
+        yield from dealt(held(), lambda h, i, y: h >> 40, (5, 8, 4))
+
+    @tidied
+    def shared(batches):
+        yield from dealt((firsts(h | part << 40, i, y) for part, (h, i, y) in gathered(batches, 3)), lambda i, y, other, x: mix64(i.view(np.uint64)).view(np.int64) & (PARTS - 1), (8, 4, 8, 4))
 
     @tidied
     def chained(batches):
-        for pdf in batches:
+        for _, columns in gathered(batches, 4):
+            rows = np.stack(columns, axis=1)
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
             out = []
-            for i, m in zip(pdf["id"], pdf["m"]):
-                rows = np.array([tuple(s.values()) for s in m], dtype=np.int64)
-                rows = rows[np.argsort(rows[:, 0], kind="stable")]
-                for own in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
-                    out += [(i, int(own[0, 0]), *r) for r in regions(own[:, 1:], min_words)]
+            for own in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
+                i = int(own[0, 0])
+                out += [(i, *r) for r in regions(own, min_words, percent)]
             if out:
                 yield pd.DataFrame(out, columns=["id", "other", "y0", "y1", "x0", "x1"])
 
-    spans = checkpoint(matches.mapInPandas(chained, "id long, other long, y0 int, y1 int, x0 int, x1 int"))
+    parts = lambda df: df.repartition("part").sortWithinPartitions("part")
+    blobs = parts(source.mapInPandas(seeded, "part long, data binary"))
+    seeds = parts(blobs.mapInPandas(shared, "part long, data binary"))
+    spans = checkpoint(seeds.mapInPandas(chained, "id long, other long, y0 int, y1 int, x0 int, x1 int"))
     texts = wanted(source, spans.select(F.col("other").alias("id")).distinct())
 
     @tidied
