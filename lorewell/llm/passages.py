@@ -1,6 +1,6 @@
 """Substring dedup by collinear chaining (operator 4).
 
-Minimizers (the least k-mer hash of each window of words) that several documents share are seeds, at every place; each leads to the first
+All k-mers of words that several documents share are seeds, at every place; each leads to the first
 place in the first document that holds it, so that a passage in n documents makes n - 1 matches for
 each k-mer. Hashes are dealt to parts in packed blocks and met by array operations. The matches of
 two documents are chained in order with gap costs, by a Fenwick tree of prefix maxima; what a chain
@@ -311,8 +311,7 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, text
                     words = word_hashes(folded(text))
                     if len(words) >= max(min_words, K):
                         grams = rolled(words, K)
-                        at = minimizers(grams)
-                        yield (grams[at] >> np.uint64(13)).view(np.int64), np.full(len(at), i, dtype=np.int64), at
+                        yield (grams >> np.uint64(13)).view(np.int64), np.full(len(grams), i, dtype=np.int64), np.arange(len(grams))
 
         yield from dealt(held(), lambda h, i, y: h >> 40, (5, 8, 4))
 
