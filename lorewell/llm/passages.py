@@ -5,7 +5,9 @@ place in the first document that holds it, so that a passage in n documents make
 each k-mer. Hashes are dealt to parts in packed blocks and met by array operations. The matches of
 two documents are chained in order with gap costs, by a Fenwick tree of prefix maxima; what a chain
 spans, and some words around, is aligned over all its k-mers, and stretches of MIN_WORDS or more of
-which four fifths agree are cut from the later document.
+which four fifths agree are cut from the later document. Windows of MIN_WORDS words whose k-mers lead
+to different places (pieced together, or a phrase over and over) meet the first document that holds
+the whole window, so that each run of MIN_WORDS words that an earlier document has is cut.
 """
 
 from __future__ import annotations
@@ -136,6 +138,48 @@ def regions(own: np.ndarray, least: int, percent: int) -> list[tuple[int, int, i
     return out
 
 
+def mixed_windows(own: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(hash, first place, last place) of the windows of ``least`` words whose k-mers lead to several places.
+
+    Each shared k-mer is named by its first document and place, the same in all documents, so that
+    the names' hash is one of the window's words. Where all names are neighbours in one document,
+    that document holds the whole window, and the chain of its k-mers finds it. Places of a window
+    that comes back within ``least`` words are one row."""
+    n = least - K + 1
+    # of rows that repeat an id, one k-mer at each place
+    own = own[np.concatenate([[True], np.diff(own[:, 1]) != 0])]
+    y, other, x = own[:, 1], own[:, 2], own[:, 3]
+    if len(y) < n or n < 1:
+        return []
+    names = windows(mix64(mix64(other.view(np.uint64)) ^ x.astype(np.uint64)), n)
+    jumps = np.concatenate([[0], np.cumsum((np.diff(other) != 0) | (np.diff(x) != 1))])
+    at = np.flatnonzero((y[n - 1 :] - y[: 1 - n or None] == n - 1) & (jumps[n - 1 :] != jumps[: 1 - n or None]))
+    if not len(at):
+        return []
+    h, places = names[at].view(np.int64), y[at]
+    order = np.lexsort((places, h))
+    h, places = h[order], places[order]
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(h) != 0) | (np.diff(places) > least)]))
+    return list(zip(h[starts].tolist(), places[starts].tolist(), places[np.append(starts[1:], len(h)) - 1].tolist()))
+
+
+def boxes(rows: list[tuple[int, int, int, int, int]], least: int) -> list[tuple[int, int, int, int, int]]:
+    """Windows (other, y first, y last, x first, x last) as regions, those that overlap on both sides together."""
+    out: list[tuple[int, int, int, int, int]] = []
+    open_: list[list[int]] = []
+    for other, a, b, c, d in sorted(rows):
+        b, d = b + least, d + least
+        out += [tuple(r) for r in open_ if r[0] != other or r[2] < a]
+        open_ = [r for r in open_ if r[0] == other and r[2] >= a]
+        for r in open_:
+            if r[3] <= d and c <= r[4] and (abs((a - c) - (r[1] - r[3])) <= least or abs((b - d) - (r[2] - r[4])) <= least):
+                r[2], r[3], r[4] = max(r[2], b), min(r[3], c), max(r[4], d)
+                break
+        else:
+            open_.append([other, a, b, c, d])
+    return out + [tuple(r) for r in open_]
+
+
 def packed(columns: list[np.ndarray], sizes: tuple[int, ...]) -> bytes:
     """Integer columns as the planes of their low bytes, which compress well where values are small."""
     return b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes() for c, k in zip(columns, sizes))
@@ -327,14 +371,31 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, text
             out = []
             for own in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
                 i = int(own[0, 0])
-                out += [(i, *r) for r in regions(own, min_words, percent)]
+                out += [(i, *r, None) for r in regions(own, min_words, percent)]
+                out += [(i, None, lo, hi, None, None, h) for h, lo, hi in mixed_windows(own, min_words)]
             if out:
-                yield pd.DataFrame(out, columns=["id", "other", "y0", "y1", "x0", "x1"])
+                # hashes would lose their low bits in a column that pandas makes of numbers and nulls
+                yield pd.DataFrame({c: pd.array(list(v), dtype="Int64") for c, v in zip(["id", "other", "y0", "y1", "x0", "x1", "h"], zip(*out))})
 
     parts = lambda df: df.repartition("part").sortWithinPartitions("part")
     blobs = parts(source.mapInPandas(seeded, "part long, data binary"))
     seeds = parts(blobs.mapInPandas(shared, "part long, data binary"))
-    spans = checkpoint(seeds.mapInPandas(chained, "id long, other long, y0 int, y1 int, x0 int, x1 int"))
+    met = checkpoint(seeds.mapInPandas(chained, "id long, other long, y0 int, y1 int, x0 int, x1 int, h long"))
+    # whole windows whose k-mers lead to several places meet the first document that holds them
+    mixed = met.where("h IS NOT NULL").select("h", "id", "y0", "y1")
+    first = mixed.groupBy("h").agg(F.min(F.struct("id", "y0", "y1")).alias("f"), F.max("id").alias("last")).where("f.id != last").select("h", F.col("f.id").alias("other"), F.col("f.y0").alias("x0"), F.col("f.y1").alias("x1"))
+    again = mixed.join(first, "h").where("id != other").groupBy("id").agg(F.collect_list(F.struct("other", "y0", "y1", "x0", "x1")).alias("m"))
+
+    @tidied
+    def boxed(batches):
+        for pdf in batches:
+            out = []
+            for i, m in zip(pdf["id"], pdf["m"]):
+                out += [(i, *r) for r in boxes([tuple(s.values()) for s in m], min_words)]
+            yield pd.DataFrame(out, columns=["id", "other", "y0", "y1", "x0", "x1"])
+
+    columns = "id long, other long, y0 int, y1 int, x0 int, x1 int"
+    spans = checkpoint(met.where("h IS NULL").drop("h").unionByName(again.mapInPandas(boxed, columns)))
     texts = wanted(source, spans.select(F.col("other").alias("id")).distinct())
 
     @tidied

@@ -47,3 +47,30 @@ def test_a_passage_twice_in_a_later_document(spark):
     p = words(1, 60)
     docs = {1: p, 2: p + words(2, 200) + p, 3: words(3, 30) + p + p + words(4, 30) + p}
     assert dedup(spark, docs) == left(docs) == {1: p, 2: words(2, 200), 3: words(3, 30) + words(4, 30)}
+
+
+def test_pieces_in_earlier_documents_hide_no_passage(spark):
+    p, q = words(1, 60), words(2, 50)
+    docs = {1: p[:30] + words(3, 40), 2: words(4, 40) + p[30:], 3: words(5, 20) + p + words(6, 20), 4: words(7, 20) + p + words(8, 20)}
+    docs |= {11: q[:20] + words(9, 40) + q[15:35] + words(10, 40), 12: q[30:] + words(11, 40), 13: words(12, 20) + q, 14: q + words(13, 20)}
+    # the first document holds the pieces apart and then the whole
+    docs |= {21: (s := words(14, 60))[20:40] + words(15, 30) + s, 22: s + words(16, 30)}
+    assert dedup(spark, docs) == left(docs)
+    assert dedup(spark, docs)[4] == words(7, 20) + words(8, 20)
+
+
+def test_runs_that_stay_are_none_in_pieced_texts(spark):
+    r, pool = random.Random(3), [words(100 + i, 70) for i in range(8)]
+    docs = {}
+    for i in range(60):
+        docs[i] = []
+        for _ in range(r.randint(1, 5)):
+            p = r.choice(pool)
+            a = r.randrange(0, 40)
+            docs[i] += p[a : a + r.randint(10, 70)] + words(r.random(), r.choice([0, 3, 40]))
+        docs[i] += ["spam"] * r.choice([0, 0, 45, 80]) + ["ham", "eggs"] * r.choice([0, 0, 40])
+    got, exact = dedup(spark, docs), left(docs)
+    # fuzzy stretches may go as well, but nothing stays that a run of 50 words would take
+    for i in docs:
+        rest = iter(exact[i])
+        assert all(w in rest for w in got[i])
