@@ -12,6 +12,7 @@ the whole window, so that each run of MIN_WORDS words that an earlier document h
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from .jaccard import wanted
 
 K, WINDOW, MARGIN = 5, 10, 60
 #: Cost of a word in a gap; gap over which chains of seeds may be split; agreeing words that make two texts be aligned.
-GAP_COST, SEED_GAP, ALIGN_GAP, EVIDENCE = 0.1, 60, 10, 10
+GAP_COST, SEED_GAP, EVIDENCE = 0.1, 60, 10
 #: Parts into which k-mers and then documents are dealt, and k-mers that a task holds before it deals them.
 PARTS, BUFFER = 2048, 1 << 19
 #: Sets the seeds of repeated runs apart from those of single k-mers.
@@ -108,59 +109,76 @@ def chains(y: np.ndarray, x: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def regions(own: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int, int]]:
-    """(other, y from, y to, x from, x to) in words of the chains of shared k-mers of one document.
+def regions(rows: np.ndarray, percent: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(id, other, y from, y to, x from, x to) in words of the chains of shared k-mers of two documents.
 
-    Rows of ``own`` are (id, y, other, x) in the order of y. Neighbours on one diagonal are one anchor.
-    A chain counts from EVIDENCE agreeing words on, as k-mers of a passage may lead to other documents.
-    It is split at gaps over SEED_GAP that are more than the percentage leaves to all of it."""
-    out: list[tuple[int, int, int, int, int]] = []
-    rows = own[own[:, 2] != own[:, 0]]
+    Rows are (id, y, other, x). Neighbours on one diagonal are one anchor. A chain counts from
+    EVIDENCE agreeing words on, as k-mers of a passage may lead to other documents. It is split at
+    gaps over SEED_GAP that are more than the percentage leaves to all of it."""
+    rows = rows[rows[:, 2] != rows[:, 0]]
     if not len(rows):
-        return out
-    y, other, x = rows[:, 1], rows[:, 2], rows[:, 3]
-    order = np.lexsort((y, y - x, other))
-    y, other, x = y[order], other[order], x[order]
-    starts = np.flatnonzero(np.concatenate([[True], (np.diff(other) != 0) | (np.diff(y) != 1) | (np.diff(x) != 1)]))
-    size = np.diff(np.append(starts, len(y))) + K - 1
-    y, other, x = y[starts], other[starts], x[starts]
-    cuts = np.flatnonzero(np.diff(other)) + 1
-    for at in np.split(np.arange(len(y)), cuts):
-        if size[at].sum() < EVIDENCE:
-            continue
-        for chain in chains(y[at], x[at], size[at]):
-            a, b, n = y[at][chain], x[at][chain], size[at][chain]
+        return []
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 1] - rows[:, 3], rows[:, 2], rows[:, 0]))]
+    step = np.diff(rows, axis=0)
+    starts = np.flatnonzero(np.concatenate([[True], (step != (0, 1, 0, 1)).any(axis=1)]))
+    sizes = np.diff(np.append(starts, len(rows))) + K - 1
+    anchors = rows[starts]
+    pairs = np.flatnonzero(np.concatenate([[True], (np.diff(anchors[:, [0, 2]], axis=0) != 0).any(axis=1)]))
+    ends = np.append(pairs[1:], len(anchors))
+    enough = np.add.reduceat(sizes, pairs) >= EVIDENCE
+    # one anchor or two, as most pairs have, need no tree
+    single, two = pairs[enough & (ends - pairs == 1)], pairs[enough & (ends - pairs == 2)]
+    one = np.where(anchors[two, 1] <= anchors[two + 1, 1], two, two + 1)
+    next_ = 2 * two + 1 - one
+    a, b, n, m = anchors[one], anchors[next_], sizes[one], sizes[next_]
+    dy, dx = b[:, 1] - a[:, 1], b[:, 3] - a[:, 3]
+    joined = (dy > 0) & (dx > 0) & (n > GAP_COST * (dy + dx - 2 * n)) & (np.maximum(dy, dx) - n <= np.maximum(SEED_GAP, (n + m) * (100 - percent) // percent))
+    a, b, n, m = a[joined], b[joined], n[joined], m[joined]
+    alone = np.concatenate([single, one[~joined], next_[~joined]])
+    alone = alone[sizes[alone] >= EVIDENCE]
+    i, y, other, x = anchors[alone].T
+    out = list(zip(*(c.tolist() for c in (i, other, y, y + sizes[alone], x, x + sizes[alone]))))
+    out += zip(*(c.tolist() for c in (a[:, 0], a[:, 2], a[:, 1], np.maximum(a[:, 1] + n, b[:, 1] + m), a[:, 3], np.maximum(a[:, 3] + n, b[:, 3] + m))))
+    several = enough & (ends - pairs > 2)
+    for start, end in zip(pairs[several].tolist(), ends[several].tolist()):
+        i, y, other, x = anchors[start:end].T
+        size = sizes[start:end]
+        for chain in chains(y, x, size):
+            a, b, n = y[chain], x[chain], size[chain]
             most = max(SEED_GAP, int(n.sum()) * (100 - percent) // percent)
             split = np.flatnonzero((a[1:] - a[:-1] - n[:-1] > most) | (b[1:] - b[:-1] - n[:-1] > most)) + 1
             for p, q, r in zip(np.split(a, split), np.split(b, split), np.split(n, split)):
                 if r.sum() >= EVIDENCE:
-                    out.append((int(other[at[0]]), int(p[0]), int((p + r).max()), int(q[0]), int((q + r).max())))
+                    out.append((int(i[0]), int(other[0]), int(p[0]), int((p + r).max()), int(q[0]), int((q + r).max())))
     return out
 
 
-def mixed_windows(own: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(hash, first place, last place) of the windows of ``least`` words whose k-mers lead to several places.
+def mixed_windows(rows: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
+    """(id, first place, last place, hash) of windows of ``least`` words whose k-mers lead to several places.
 
-    Each shared k-mer is named by its first document and place, the same in all documents, so that
-    the names' hash is one of the window's words. Where all names are neighbours in one document,
-    that document holds the whole window, and the chain of its k-mers finds it. Places of a window
-    that comes back within ``least`` words are one row."""
+    Rows are (id, y, other, x) in order. Each shared k-mer is named by its first document and place,
+    the same in all documents, so that the names' hash is one of the window's words. Where all names
+    are neighbours in one document, that document holds the whole window, and the chain of its
+    k-mers finds it. Places of a window that comes back within ``least`` words are one row."""
     n = least - K + 1
+    if n < 1 or not len(rows):
+        return []
     # of rows that repeat an id, one k-mer at each place
-    own = own[np.concatenate([[True], np.diff(own[:, 1]) != 0])]
-    y, other, x = own[:, 1], own[:, 2], own[:, 3]
-    if len(y) < n or n < 1:
+    rows = rows[np.concatenate([[True], (np.diff(rows[:, :2], axis=0) != 0).any(axis=1)])]
+    if len(rows) < n:
         return []
-    names = windows(mix64(mix64(other.view(np.uint64)) ^ x.astype(np.uint64)), n)
+    i, y, other, x = np.ascontiguousarray(rows.T)
+    names = windows(mix64(mix64(other.view(np.uint64)) ^ x.view(np.uint64)), n)
     jumps = np.concatenate([[0], np.cumsum((np.diff(other) != 0) | (np.diff(x) != 1))])
-    at = np.flatnonzero((y[n - 1 :] - y[: 1 - n or None] == n - 1) & (jumps[n - 1 :] != jumps[: 1 - n or None]))
+    low, high = slice(0, len(rows) - n + 1), slice(n - 1, len(rows))
+    at = np.flatnonzero((i[high] == i[low]) & (y[high] - y[low] == n - 1) & (jumps[high] != jumps[low]))
     if not len(at):
         return []
-    h, places = names[at].view(np.int64), y[at]
-    order = np.lexsort((places, h))
-    h, places = h[order], places[order]
-    starts = np.flatnonzero(np.concatenate([[True], (np.diff(h) != 0) | (np.diff(places) > least)]))
-    return list(zip(h[starts].tolist(), places[starts].tolist(), places[np.append(starts[1:], len(h)) - 1].tolist()))
+    h, i, y = names[at].view(np.int64), i[at], y[at]
+    order = np.lexsort((y, h, i))
+    h, i, y = h[order], i[order], y[order]
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 0) | (h[1:] != h[:-1]) | (np.diff(y) > least)]))
+    return list(zip(*(c.tolist() for c in (i[starts], y[starts], y[np.append(starts[1:], len(h)) - 1], h[starts]))))
 
 
 def boxes(rows: list[tuple[int, int, int, int, int]], least: int) -> list[tuple[int, int, int, int, int]]:
@@ -180,6 +198,12 @@ def boxes(rows: list[tuple[int, int, int, int, int]], least: int) -> list[tuple[
     return out + [tuple(r) for r in open_]
 
 
+def zigzag(ids: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, with the sign in the lowest bit."""
+    d = np.diff(ids, prepend=0)
+    return (d << 1) ^ (d >> 63)
+
+
 def packed(columns: list[np.ndarray], sizes: tuple[int, ...]) -> bytes:
     """Integer columns as the planes of their low bytes, which compress well where values are small."""
     return b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes() for c, k in zip(columns, sizes))
@@ -196,16 +220,16 @@ def unpacked(data: bytes, sizes: tuple[int, ...]) -> list[np.ndarray]:
 
 
 def dealt(rows: Iterator[tuple[np.ndarray, ...]], part, sizes: tuple[int, ...]) -> Iterator[pd.DataFrame]:
-    """Rows of columns, packed for each of PARTS parts; ids (columns of 8 bytes) as differences."""
+    """Rows of columns, packed for each of PARTS parts; ids (columns of 8 bytes) as differences, in order of the first."""
     waiting, n = [], 0
 
     def full():
         columns = [np.concatenate(c) for c in zip(*waiting)]
         to = part(*columns)
-        order = np.argsort(to.astype(np.int16), kind="stable")
+        order = np.argsort(to.astype(np.int16), kind="stable") if sizes[0] != 8 else np.lexsort((columns[1], columns[0], to))
         to, columns = to[order], [c[order] for c in columns]
         cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(to) != 0])), len(to)).tolist()
-        data = [packed([np.diff(c[a:b], prepend=0) if k == 8 else c[a:b] for c, k in zip(columns, sizes)], sizes) for a, b in zip(cuts, cuts[1:])]
+        data = [packed([zigzag(c[a:b]) if k == 8 else c[a:b] for c, k in zip(columns, sizes)], sizes) for a, b in zip(cuts, cuts[1:])]
         for i in range(0, len(data), 256):
             yield pd.DataFrame({"part": to[cuts[i : min(i + 256, len(data))]], "data": data[i : i + 256]})
 
@@ -222,7 +246,7 @@ def dealt(rows: Iterator[tuple[np.ndarray, ...]], part, sizes: tuple[int, ...])
 
 def gathered(batches, columns: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The parts that dealt() has packed, from rows in the order of the part."""
-    sizes = (5, 8, 4) if columns == 3 else (8, 4, 8, 4)
+    sizes = (4, 8, 4) if columns == 3 else (8, 4, 8, 4)
     at, waiting = None, []
     for pdf in batches:
         for part, data in zip(pdf["part"], pdf["data"]):
@@ -230,7 +254,7 @@ def gathered(batches, columns: int) -> Iterator[tuple[int, list[np.ndarray]]]:
                 yield at, [np.concatenate(c) for c in zip(*waiting)]
                 waiting = []
             at = part
-            waiting.append([np.cumsum(c) if k == 8 else c for c, k in zip(unpacked(data, sizes), sizes)])
+            waiting.append([np.cumsum((c.view(np.uint64) >> np.uint64(1)).view(np.int64) ^ -(c & 1)) if k == 8 else c for c, k in zip(unpacked(data, sizes), sizes)])
     if waiting:
         yield at, [np.concatenate(c) for c in zip(*waiting)]
 
@@ -260,6 +284,29 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def together(parts: list[list[int]], percent: int) -> list[list[int]]:
+    """Parts (from, to, other from, other to, words) in order, those together whose words are ``percent``
+    of what they span on either side, however long a single gap is.
+
+    A part goes with as many before it as the percentage allows, until nothing more goes together."""
+    while True:
+        out: list[list[int]] = []
+        for f, t, g, u, n in parts:
+            words, best = n, None
+            for k in range(len(out) - 1, -1, -1):
+                words += out[k][4]
+                if 100 * words >= percent * max(t - out[k][0], u - out[k][2]):
+                    best = (k, words)
+            if best:
+                k, words = best
+                f, g, n = out[k][0], out[k][2], words
+                del out[k:]
+            out.append([f, t, g, u, n])
+        if len(out) == len(parts):
+            return out
+        parts = out
+
+
 def aligned(one: np.ndarray, two: np.ndarray, shift: int, least: int, percent: int) -> list[tuple[int, int]]:
     """Stretches (from, to) of word hashes ``one`` that ``two`` holds almost alike.
 
@@ -291,19 +338,11 @@ def aligned(one: np.ndarray, two: np.ndarray, shift: int, least: int, percent: i
         parts: list[list[int]] = []
         for i in chain.tolist():
             f, g, n = int(y[i]), int(x[i]), int(sizes[i])
-            if parts:
-                last = parts[-1]
-                # runs that overlap on either side count their common words once
-                over = max(0, last[1] - f, last[3] - g)
-                f, g, n = f + over, g + over, n - over
-                if n <= 0:
-                    continue
-                joined = last[4] + n
-                near = f - last[1] <= ALIGN_GAP and g - last[3] <= ALIGN_GAP
-                if near and 100 * joined >= percent * max(f + n - last[0], g + n - last[2]):
-                    parts[-1] = [last[0], f + n, last[2], g + n, joined]
-                    continue
-            parts.append([f, f + n, g, g + n, n])
+            # runs that overlap on either side count their common words once
+            over = max(0, parts[-1][1] - f, parts[-1][3] - g) if parts else 0
+            if n > over:
+                parts.append([f + over, f + n, g + over, g + n, n - over])
+        parts = together(parts, percent)
         found += [(p[0], p[1]) for p in parts if p[4] >= least]
     # a chain takes each word of ``two`` once; a run repeated more often in ``one``, whose k-mers then
     # come back there, is found by whole windows
@@ -349,30 +388,29 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, text
 
     @tidied
     def seeded(batches):
+        # 43 bits of a hash, 11 of them in the part: a k-mer that meets another one's place only makes
+        # windows go to several places, which are then compared whole
         def held():
             for pdf in batches:
                 for i, text in zip(pdf["id"], pdf["text"]):
                     words = word_hashes(folded(text))
                     if len(words) >= max(min_words, K):
                         grams = rolled(words, K)
-                        yield (grams >> np.uint64(13)).view(np.int64), np.full(len(grams), i, dtype=np.int64), np.arange(len(grams))
+                        yield (grams >> np.uint64(21)).view(np.int64), np.full(len(grams), i, dtype=np.int64), np.arange(len(grams))
 
-        yield from dealt(held(), lambda h, i, y: h >> 40, (5, 8, 4))
+        yield from dealt(held(), lambda h, i, y: h >> 32, (4, 8, 4))
 
     @tidied
     def shared(batches):
-        yield from dealt((firsts(h | part << 40, i, y) for part, (h, i, y) in gathered(batches, 3)), lambda i, y, other, x: mix64(i.view(np.uint64)).view(np.int64) & (PARTS - 1), (8, 4, 8, 4))
+        yield from dealt((firsts(h, i, y) for _, (h, i, y) in gathered(batches, 3)), lambda i, y, other, x: mix64(i.view(np.uint64)).view(np.int64) & (PARTS - 1), (8, 4, 8, 4))
 
     @tidied
     def chained(batches):
         for _, columns in gathered(batches, 4):
             rows = np.stack(columns, axis=1)
             rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-            out = []
-            for own in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
-                i = int(own[0, 0])
-                out += [(i, *r, None) for r in regions(own, min_words, percent)]
-                out += [(i, None, lo, hi, None, None, h) for h, lo, hi in mixed_windows(own, min_words)]
+            out = [(*r, None) for r in regions(rows, percent)]
+            out += [(i, None, lo, hi, None, None, h) for i, lo, hi, h in mixed_windows(rows, min_words)]
             if out:
                 # hashes would lose their low bits in a column that pandas makes of numbers and nulls
                 yield pd.DataFrame({c: pd.array(list(v), dtype="Int64") for c, v in zip(["id", "other", "y0", "y1", "x0", "x1", "h"], zip(*out))})
@@ -381,6 +419,7 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, text
     blobs = parts(source.mapInPandas(seeded, "part long, data binary"))
     seeds = parts(blobs.mapInPandas(shared, "part long, data binary"))
     met = checkpoint(seeds.mapInPandas(chained, "id long, other long, y0 int, y1 int, x0 int, x1 int, h long"))
+    del blobs, seeds
     # whole windows whose k-mers lead to several places meet the first document that holds them
     mixed = met.where("h IS NOT NULL").select("h", "id", "y0", "y1")
     first = mixed.groupBy("h").agg(F.min(F.struct("id", "y0", "y1")).alias("f"), F.max("id").alias("last")).where("f.id != last").select("h", F.col("f.id").alias("other"), F.col("f.y0").alias("x0"), F.col("f.y1").alias("x1"))
@@ -396,6 +435,10 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, text
 
     columns = "id long, other long, y0 int, y1 int, x0 int, x1 int"
     spans = checkpoint(met.where("h IS NULL").drop("h").unionByName(again.mapInPandas(boxed, columns)))
+    # nothing needs the shuffled blocks any more; Spark removes them once the driver has let go of them
+    del met, mixed, first, again
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
     texts = wanted(source, spans.select(F.col("other").alias("id")).distinct())
 
     @tidied

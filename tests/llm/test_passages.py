@@ -74,3 +74,48 @@ def test_runs_that_stay_are_none_in_pieced_texts(spark):
     for i in docs:
         rest = iter(exact[i])
         assert all(w in rest for w in got[i])
+
+
+@pytest.mark.parametrize("every", [6, 7, 8, 10])
+def test_edited_passages_are_found(spark, every):
+    docs, r = {}, random.Random(every)
+    for n in range(40):
+        p = words(n, 66)
+        edited = [f"new{n}x{k}" if k % every == every - 1 else w for k, w in enumerate(p)] if n % 2 else list(p)
+        for k in r.sample(range(66), 66 // every) if not n % 2 else ():
+            edited[k] = f"new{n}x{k}"
+        docs[n], docs[100 + n] = words(1000 + n, 30) + p, words(2000 + n, 30) + edited + words(3000 + n, 30)
+    assert dedup(spark, docs) == brute(docs)
+
+
+def test_a_long_insertion_splits_no_passage(spark):
+    p = words(1, 90)
+    docs = {1: words(2, 30) + p + words(3, 30), 2: words(4, 30) + p[:45] + words(5, 12) + p[45:] + words(6, 30), 3: words(7, 30) + p[:45] + words(8, 30) + p[45:]}
+    got = dedup(spark, docs)
+    assert got[2] == words(4, 30) + words(6, 30)
+    assert got[3] == docs[3]  # 90 of 120 words are less than 80 %
+    assert got == brute(docs)
+
+
+def test_repeated_edited_and_pieced_passages_against_brute_force(spark):
+    r, docs = random.Random(8), {}
+    pool = [words(50 + i, 120) for i in range(10)]
+    for i in range(30):
+        docs[i] = words(500 + i, 30)
+        for _ in range(r.randint(0, 3)):
+            p = list(r.choice(pool)[r.choice([0, 30]) : r.choice([90, 120])])
+            for _ in range(r.randint(0, 6)):
+                k = r.randrange(len(p))
+                p[k : k + 1] = words(r.random(), r.choice([0, 1, 2, 12]))
+            docs[i] += p + words(r.random(), 40)
+    got, plain, exact = dedup(spark, docs), brute(docs), left(docs)
+    cut = [(i, w) for i in docs for w in set(docs[i]) - set(plain[i])]
+    # alignment ends a little earlier where a passage's k-mers lead to other documents
+    assert sum(w in got[i] for i, w in cut) <= 0.01 * len(cut)
+    assert not any(set(got[i]) - set(exact[i]) for i in docs)
+
+
+def test_runs_of_a_phrase_meet_a_run_as_long(spark):
+    docs = {1: words(1, 40) + ["spam"] * 30 + words(2, 40), 2: words(3, 60) + ["spam"] * 60 + words(4, 60), 3: words(5, 60) + ["spam"] * 190 + words(6, 60), 4: ["spam"] * 49 + words(7, 60)}
+    docs |= {5: words(8, 60) + ["ham", "eggs", "and"] * 30, 6: words(9, 60) + ["ham", "eggs", "and"] * 80 + words(10, 60)}
+    assert dedup(spark, docs) == docs | {3: words(5, 60) + words(6, 60), 6: words(9, 60) + words(10, 60)}
