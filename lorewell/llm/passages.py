@@ -12,7 +12,6 @@ the whole window, so that each run of MIN_WORDS words that an earlier document h
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 
@@ -29,6 +28,8 @@ K, WINDOW, MARGIN = 5, 10, 60
 GAP_COST, SEED_GAP, EVIDENCE = 0.1, 60, 10
 #: Parts into which k-mers and then documents are dealt, and k-mers that a task holds before it deals them.
 PARTS, BUFFER = 2048, 1 << 19
+#: Bytes of the columns of packed k-mers, windows (hash, id, place) and matches (id, place, other, place).
+KMERS, WINDOWS, MATCHES = (4, 8, 4), (6, 8, 4), (8, 4, 8, 4)
 #: Sets the seeds of repeated runs apart from those of single k-mers.
 RUN = np.uint64(0x5BD1E995)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -153,49 +154,49 @@ def regions(rows: np.ndarray, percent: int) -> list[tuple[int, int, int, int, in
     return out
 
 
-def mixed_windows(rows: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
-    """(id, first place, last place, hash) of windows of ``least`` words whose k-mers lead to several places.
+def mixed_windows(rows: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(hash, id, place) of the windows of ``least`` words whose k-mers lead to several places.
 
     Rows are (id, y, other, x) in order. Each shared k-mer is named by its first document and place,
     the same in all documents, so that the names' hash is one of the window's words. Where all names
     are neighbours in one document, that document holds the whole window, and the chain of its
-    k-mers finds it. Places of a window that comes back within ``least`` words are one row."""
-    n = least - K + 1
+    k-mers finds it."""
+    n, none = least - K + 1, (np.zeros(0, dtype=np.int64),) * 3
     if n < 1 or not len(rows):
-        return []
+        return none
     # of rows that repeat an id, one k-mer at each place
     rows = rows[np.concatenate([[True], (np.diff(rows[:, :2], axis=0) != 0).any(axis=1)])]
     if len(rows) < n:
-        return []
+        return none
     i, y, other, x = np.ascontiguousarray(rows.T)
     names = windows(mix64(mix64(other.view(np.uint64)) ^ x.view(np.uint64)), n)
     jumps = np.concatenate([[0], np.cumsum((np.diff(other) != 0) | (np.diff(x) != 1))])
     low, high = slice(0, len(rows) - n + 1), slice(n - 1, len(rows))
     at = np.flatnonzero((i[high] == i[low]) & (y[high] - y[low] == n - 1) & (jumps[high] != jumps[low]))
-    if not len(at):
+    return (names[at] >> np.uint64(5)).view(np.int64), i[at], y[at]
+
+
+def boxes(rows: np.ndarray, least: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Windows (id, y, other, x) as regions like those of regions(), overlapping ones together."""
+    rows = rows[rows[:, 2] != rows[:, 0]]
+    if not len(rows):
         return []
-    h, i, y = names[at].view(np.int64), i[at], y[at]
-    order = np.lexsort((y, h, i))
-    h, i, y = h[order], i[order], y[order]
-    starts = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 0) | (h[1:] != h[:-1]) | (np.diff(y) > least)]))
-    return list(zip(*(c.tolist() for c in (i[starts], y[starts], y[np.append(starts[1:], len(h)) - 1], h[starts]))))
-
-
-def boxes(rows: list[tuple[int, int, int, int, int]], least: int) -> list[tuple[int, int, int, int, int]]:
-    """Windows (other, y first, y last, x first, x last) as regions, those that overlap on both sides together."""
-    out: list[tuple[int, int, int, int, int]] = []
-    open_: list[list[int]] = []
-    for other, a, b, c, d in sorted(rows):
-        b, d = b + least, d + least
-        out += [tuple(r) for r in open_ if r[0] != other or r[2] < a]
-        open_ = [r for r in open_ if r[0] == other and r[2] >= a]
-        for r in open_:
-            if r[3] <= d and c <= r[4] and (abs((a - c) - (r[1] - r[3])) <= least or abs((b - d) - (r[2] - r[4])) <= least):
-                r[2], r[3], r[4] = max(r[2], b), min(r[3], c), max(r[4], d)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 1] - rows[:, 3], rows[:, 2], rows[:, 0]))]
+    starts = np.flatnonzero(np.concatenate([[True], (np.diff(rows, axis=0) != (0, 1, 0, 1)).any(axis=1)]))
+    low, high = rows[starts], rows[np.append(starts[1:], len(rows)) - 1] + least
+    runs = np.stack([low[:, 0], low[:, 2], low[:, 1], high[:, 1], low[:, 3], high[:, 3]], axis=1)
+    out: list[tuple] = []
+    near: list[list[int]] = []
+    for i, other, a, b, c, d in sorted(map(tuple, runs.tolist())):
+        out += [tuple(r) for r in near if r[:2] != [i, other] or r[3] < a]
+        near = [r for r in near if r[:2] == [i, other] and r[3] >= a]
+        for r in near:
+            if r[4] <= d and c <= r[5] and (abs((a - c) - (r[2] - r[4])) <= least or abs((b - d) - (r[3] - r[5])) <= least):
+                r[3], r[4], r[5] = max(r[3], b), min(r[4], c), max(r[5], d)
                 break
         else:
-            open_.append([other, a, b, c, d])
-    return out + [tuple(r) for r in open_]
+            near.append([i, other, a, b, c, d])
+    return out + [tuple(r) for r in near]
 
 
 def zigzag(ids: np.ndarray) -> np.ndarray:
@@ -244,9 +245,8 @@ def dealt(rows: Iterator[tuple[np.ndarray, ...]], part, sizes: tuple[int, ...])
         yield from full()
 
 
-def gathered(batches, columns: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+def gathered(batches, sizes: tuple[int, ...]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The parts that dealt() has packed, from rows in the order of the part."""
-    sizes = (4, 8, 4) if columns == 3 else (8, 4, 8, 4)
     at, waiting = None, []
     for pdf in batches:
         for part, data in zip(pdf["part"], pdf["data"]):
@@ -398,47 +398,43 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, text
                         grams = rolled(words, K)
                         yield (grams >> np.uint64(21)).view(np.int64), np.full(len(grams), i, dtype=np.int64), np.arange(len(grams))
 
-        yield from dealt(held(), lambda h, i, y: h >> 32, (4, 8, 4))
+        yield from dealt(held(), lambda h, i, y: h >> 32, KMERS)
 
-    @tidied
-    def shared(batches):
-        yield from dealt((firsts(h, i, y) for _, (h, i, y) in gathered(batches, 3)), lambda i, y, other, x: mix64(i.view(np.uint64)).view(np.int64) & (PARTS - 1), (8, 4, 8, 4))
+    def shared(sizes):
+        def met(batches):
+            yield from dealt((firsts(h, i, y) for _, (h, i, y) in gathered(batches, sizes)), lambda i, y, other, x: mix64(i.view(np.uint64)).view(np.int64) & (PARTS - 1), MATCHES)
+
+        return tidied(met)
+
+    names = ["id", "other", "y0", "y1", "x0", "x1"]
+    regions_of = lambda out: pd.DataFrame({c: pd.array(list(v), dtype="Int64") for c, v in zip(names, zip(*out))})
 
     @tidied
     def chained(batches):
-        for _, columns in gathered(batches, 4):
+        mixed = []
+        for _, columns in gathered(batches, MATCHES):
             rows = np.stack(columns, axis=1)
             rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-            out = [(*r, None) for r in regions(rows, percent)]
-            out += [(i, None, lo, hi, None, None, h) for i, lo, hi, h in mixed_windows(rows, min_words)]
-            if out:
-                # hashes would lose their low bits in a column that pandas makes of numbers and nulls
-                yield pd.DataFrame({c: pd.array(list(v), dtype="Int64") for c, v in zip(["id", "other", "y0", "y1", "x0", "x1", "h"], zip(*out))})
+            if out := regions(rows, percent):
+                yield regions_of(out).assign(part=pd.array([None] * len(out), dtype="Int64"), data=None)
+            mixed.append(mixed_windows(rows, min_words))
+        for pdf in dealt(iter(mixed), lambda h, i, y: h >> 48, WINDOWS):
+            yield pd.DataFrame({c: pd.array([None] * len(pdf), dtype="Int64") for c in names}).assign(part=pdf["part"], data=pdf["data"])
+
+    @tidied
+    def boxed(batches):
+        for _, columns in gathered(batches, MATCHES):
+            if out := boxes(np.stack(columns, axis=1), min_words):
+                yield regions_of(out)
 
     parts = lambda df: df.repartition("part").sortWithinPartitions("part")
     blobs = parts(source.mapInPandas(seeded, "part long, data binary"))
-    seeds = parts(blobs.mapInPandas(shared, "part long, data binary"))
-    met = checkpoint(seeds.mapInPandas(chained, "id long, other long, y0 int, y1 int, x0 int, x1 int, h long"))
-    del blobs, seeds
+    seeds = parts(blobs.mapInPandas(shared(KMERS), "part long, data binary"))
+    spanned = "id long, other long, y0 int, y1 int, x0 int, x1 int"
+    met = checkpoint(seeds.mapInPandas(chained, f"{spanned}, part long, data binary"))
     # whole windows whose k-mers lead to several places meet the first document that holds them
-    mixed = met.where("h IS NOT NULL").select("h", "id", "y0", "y1")
-    first = mixed.groupBy("h").agg(F.min(F.struct("id", "y0", "y1")).alias("f"), F.max("id").alias("last")).where("f.id != last").select("h", F.col("f.id").alias("other"), F.col("f.y0").alias("x0"), F.col("f.y1").alias("x1"))
-    again = mixed.join(first, "h").where("id != other").groupBy("id").agg(F.collect_list(F.struct("other", "y0", "y1", "x0", "x1")).alias("m"))
-
-    @tidied
-    def boxed(batches):
-        for pdf in batches:
-            out = []
-            for i, m in zip(pdf["id"], pdf["m"]):
-                out += [(i, *r) for r in boxes([tuple(s.values()) for s in m], min_words)]
-            yield pd.DataFrame(out, columns=["id", "other", "y0", "y1", "x0", "x1"])
-
-    columns = "id long, other long, y0 int, y1 int, x0 int, x1 int"
-    spans = checkpoint(met.where("h IS NULL").drop("h").unionByName(again.mapInPandas(boxed, columns)))
-    # nothing needs the shuffled blocks any more; Spark removes them once the driver has let go of them
-    del met, mixed, first, again
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
+    again = parts(parts(met.where("data IS NOT NULL").select("part", "data")).mapInPandas(shared(WINDOWS), "part long, data binary"))
+    spans = checkpoint(met.where("data IS NULL").select(*names).unionByName(again.mapInPandas(boxed, spanned)))
     texts = wanted(source, spans.select(F.col("other").alias("id")).distinct())
 
     @tidied
