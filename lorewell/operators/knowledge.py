@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import security, vocab
 from ..functions import text as T
+from .graph import connected_components
 
 # --- stores ---------------------------------------------------------------------------------
 
@@ -178,32 +177,11 @@ def khop(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return seen.join(start.select("node"), "node", "left_anti")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, community): the smallest node that edges reach; isolated nodes are their own.
-
-    Minimum labels move along edges and then jump to the label of the label; ``keep`` cuts the
-    lineage of each round (a checkpoint by default)."""
-    keep = keep or shared_checkpoint
-    both = keep(symmetric(edges).where("src != dst"))
-    labels = keep(nodes.select("node").union(both.select(F.col("src").alias("node"))).distinct().withColumn("community", F.col("node")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("community").alias("m"))
-        moved = labels.join(near, "node", "left").select("node", F.col("community").alias("old"), F.least("community", F.coalesce("m", "community")).alias("community"))
-        roots = moved.select(F.col("node").alias("community"), F.col("community").alias("r"))
-        new = keep(moved.join(roots, "community", "left").select("node", "old", F.coalesce("r", "community").alias("community")))
-        labels = new.select("node", "community")
-        if not new.where("old != community").limit(1).count():
-            return labels
-
-
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder that spark.checkpoint.dir names, or a temporary one where it is unset."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lorewell-checkpoint-"))
-    return df.checkpoint()
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, community): the smallest node that edges reach; isolated nodes are their own."""
+    found = connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    ends = nodes.select("node").union(edges.select("src")).union(edges.select("dst")).where("node IS NOT NULL").distinct()
+    return ends.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
 
 
 def community_summaries(labels: DataFrame, types: DataFrame | None = None) -> DataFrame:
