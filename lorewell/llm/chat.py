@@ -7,7 +7,7 @@ is dropped by an anti-join, equal ones keep the smallest id, and what is left is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,26 +17,23 @@ def format_chats(turns: DataFrame) -> DataFrame:
     Turns sort by (turn, role, text), nulls first; repeated rows count once. A null role is
     rendered as "user", a null text as empty. Rows without conv_id are left out. Other columns are
     ignored. An empty table gives an empty one. Equality of turns is that of 128-bit hashes over
-    lengths and contents. Each conversation is gathered in one row, as its rendering has to be; the
-    hashes of prefixes are aggregated before they are joined, so a first turn that many
-    conversations share is one row there."""
-    said = turns.where("conv_id is not null").select(
-        "conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    gathered = said.groupBy("conv_id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("t"))
-    one = lambda x: F.md5(F.concat_ws("\n", F.length(x["role"]).cast("string"), x["role"], x["text"]))
-    hashed = gathered.select(
-        "conv_id",
-        "t",
-        F.aggregate(F.transform("t", one), F.array().cast("array<string>"), lambda acc, h: F.concat(acc, F.array(F.md5(F.concat(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("")), h))))).alias("prefixes"),
-    ).withColumn("whole", F.element_at("prefixes", -1))
-    proper = hashed.select(F.explode(F.slice("prefixes", F.lit(1), F.size("prefixes") - 1)).alias("whole")).distinct()
-    first = hashed.groupBy("whole").agg(F.min("conv_id").alias("conv_id"))
-    kept = first.join(proper, "whole", "left_anti")
-    line = lambda x: F.concat(F.lit("<|"), x["role"], F.lit("|>\n"), x["text"], F.lit("\n<|end|>\n"))
-    return hashed.join(kept.select("conv_id"), "conv_id", "left_semi").select(
-        "conv_id", F.size("t").cast("long").alias("n_turns"), F.array_join(F.transform("t", line), "").alias("rendered")
-    )
+    places and contents, which roll: the hash of a prefix is that of the one before it, xor the
+    hash of its last turn at its place. So a conversation of any length is sorted and read once;
+    only kept ones are gathered in a row each, as their rendering has to be. Prefixes are made
+    distinct before they are joined, so a first turn that many share is one row there."""
+    said = turns.where("conv_id IS NOT NULL").select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    in_order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    row = F.struct("turn", "role", "text")
+    once = said.withColumn("n", F.dense_rank().over(in_order)).withColumn("again", F.lag(row).over(in_order).eqNullSafe(row)).where("NOT again")
+    own = [F.xxhash64(F.lit(seed), "n", F.length("role"), "role", "text") for seed in (1, 2)]
+    rolled = once.select("conv_id", "n", "role", "text", *[F.bit_xor(h).over(Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)).alias(f"p{k}") for k, h in enumerate(own)])
+    placed = rolled.withColumn("last", F.lead("n").over(Window.partitionBy("conv_id").orderBy("n")).isNull())
+    proper = placed.where("NOT last").select("p0", "p1", "n").distinct()
+    first = placed.where("last").groupBy("p0", "p1", "n").agg(F.min("conv_id").alias("conv_id"))
+    kept = first.join(proper, ["p0", "p1", "n"], "left_anti").select("conv_id")
+    line = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n<|end|>\n"))
+    told = once.join(kept, "conv_id", "left_semi").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(F.struct("n", line.alias("line")))).alias("t"))
+    return told.select("conv_id", "n_turns", F.array_join(F.transform("t", lambda x: x["line"]), "").alias("rendered"))
 
 
 FORMAT_CHATS_SQL = r"""

@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: checkpoints, shipping of code, components, words."""
+"""Helpers shared by the corpus operators: shipping of code, joins on frequent keys, words."""
 
 from __future__ import annotations
 
@@ -16,32 +16,23 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import checkpoint, connected_components  # noqa: F401
+
 #: ASCII white space, at which the word operators split; bytes.split() uses the same set.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of ``df`` with files in the shared folder named by spark.checkpoint.dir.
-
-    Only where the session names none (tests on one machine) a temporary folder is used."""
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lorewell-checkpoint-"))
-    return df.checkpoint()
-
-
-#: Rows in an Arrow batch at most: some rows hold long texts or whole blocks.
-BATCH_ROWS = 64
+#: Bytes in an Arrow batch at most: some rows hold long texts or whole blocks.
+BATCH_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on executors that don't have it on their path, and keeps the
-    session's Arrow batches small enough for rows with long texts."""
+    """Makes this package importable on executors that don't have it on their path, and keeps the bytes
+    of the session's Arrow batches (not their rows) small enough for long texts."""
     sc = spark.sparkContext
-    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    most = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().rstrip("b")
+    if not most.lstrip("-").isdigit() or not 0 < int(most) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_lorewell_shipped", False):
         return
@@ -56,6 +47,38 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has (names compare without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+#: Keys that spread_join() spreads at most, the parts of each, and the rows from which on it does.
+HOT, SALTS, HOT_ROWS = 256, 64, 1024
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row for each key, so that no key fills a task.
+
+    The HOT most frequent keys (so many rows are broadcast) are dealt to SALTS parts by the hash of
+    the row, and their row of ``keyed`` goes to each; no row is left out. ``counts`` (key, count) is
+    known, or ``rows`` is read twice."""
+    n, hot, salt = fresh(rows.join(keyed.limit(0), key), "_n", "_hot", "_salt")
+    often = rows.groupBy(key).agg(F.count(F.lit(1)).alias(n)) if counts is None else counts.select(key, F.col("count").alias(n))
+    often = often.where(f"{n} >= {HOT_ROWS}").orderBy(F.col(n).desc(), key).limit(HOT)
+    often = F.broadcast(often.select(key, F.lit(True).alias(hot)))
+    own = F.when(F.col(hot), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    every = F.when(F.col(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(often, key, "left").withColumn(salt, own).drop(hot)
+    right = keyed.join(often, key, "left").withColumn(salt, F.explode(every)).drop(hot)
+    return left.join(right, [key, salt], how).drop(salt)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers (xor-shift and multiply)."""
     x = x.astype(np.uint64)
@@ -159,26 +182,3 @@ def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
             out = (out ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(29)
         return mix64(out)
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every end of the rows (a, b): component is the smallest node reachable.
-
-    Labels move along edges and then jump to the label of the label, so that the number of rounds
-    grows with the logarithm of the longest path. Each round joins and aggregates; nothing but a
-    count of changes reaches the driver. Loops and repeated edges do no harm; nulls are left out."""
-    e = edges.select("a", "b").where("a is not null and b is not null and a != b")
-    both = checkpoint(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        hooked = labels.join(seen.select(F.col("a").alias("node"), "c"), "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("component"))
-        #: the best label that any member brings goes to the root as well, so that trees hook as a whole
-        roots = hooked.groupBy(F.col("old").alias("node")).agg(F.min("component").alias("r"))
-        nxt = hooked.join(roots, "node", "left").select("node", "old", F.least("component", F.coalesce("r", "component")).alias("component"))
-        jump = nxt.select(F.col("node").alias("component"), F.col("component").alias("j"))
-        nxt = checkpoint(nxt.join(jump, "component", "left").select("node", "old", F.coalesce("j", "component").alias("component")))
-        changed = nxt.where("old != component").limit(1).count()
-        labels = nxt.select("node", "component")
-        if not changed:
-            return labels
