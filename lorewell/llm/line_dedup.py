@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import checkpoint, fresh, spread_join, without
 
 #: Lines in the rolling window; one of DIVISOR hashes is a boundary, which makes chunks of some four lines.
 WINDOW, DIVISOR = 3, 2
@@ -35,24 +35,28 @@ def dedup_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     The first occurrence, by (doc_id, md5 of the text, place), stays. Chunks of a single line and of
     white space only stay too. A null text stays null, an empty one empty; a text of which nothing
     is left becomes empty. Rows with equal doc_id and text are one document: all stay, changed
-    alike. doc_id may be null. Other columns are kept; one named n_lines_removed is replaced. All
-    steps are aggregations and equi-joins on hashes or documents: a chunk that is everywhere is
-    counted before the shuffle, and the join on it can be split."""
+    alike. doc_id may be null. Other columns are kept, whatever their names; one named
+    n_lines_removed is replaced. An empty table gives an empty one. All steps are aggregations and
+    equi-joins on hashes or documents: a chunk that is everywhere is counted before the shuffle, and
+    its rows are dealt to many tasks in the join on it."""
     base = without(docs, "n_lines_removed")
     chunks = _chunks(base, text_col).where("n > 1 AND chunk RLIKE '\\\\S'").withColumn("hash", F.expr("unhex(md5(chunk))"))
     place = F.struct("id", "mark", "k")
-    #: equal smallest and largest text: all texts under the hash are the same bytes
-    keepers = chunks.groupBy("hash").agg(F.min(place).alias("keep"), F.max(place).alias("last"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
-    keepers = keepers.where("keep != last AND low = high").select("hash", "keep")
-    repeated = chunks.select("hash", "id", "mark", "k", "first", "n").join(keepers, "hash").where(~place.eqNullSafe(F.col("keep")))
-    spans = repeated.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
-    joined = base.withColumn("_mark", F.md5(F.col(text_col))).join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark")), "left")
-    left = F.expr(
-        f"array_join(filter(split(`{text_col}`, '\\n', -1), (l, i) -> NOT exists(spans, s -> i + 1 >= s.first AND i + 1 < s.first + s.n)), '\\n')"
-    )
+    # equal smallest and largest text: all texts under the hash are the same bytes
+    keepers = chunks.groupBy("hash").agg(F.min(place).alias("keep"), F.max(place).alias("last"), F.min("chunk").alias("low"), F.max("chunk").alias("high"), F.count(F.lit(1)).alias("count"))
+    keepers = checkpoint(keepers.where("keep != last AND low = high").select("hash", "keep", "count"))
+    again = spread_join(chunks.select("hash", "id", "mark", "k", "first", "n"), keepers.select("hash", "keep"), "hash", counts=keepers)
+    i, mark, spans, own = fresh(base, "_id", "_marked", "_spans", "_mark")
+    gone = again.where(~place.eqNullSafe(F.col("keep"))).groupBy(F.col("id").alias(i), F.col("mark").alias(mark)).agg(F.array_sort(F.collect_set(F.struct("first", "n"))).alias(spans))
+    joined = base.withColumn(own, F.md5(F.col(f"`{text_col}`"))).join(gone, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(mark)), "left")
+    # the lines before, between and after the spans, which are in order and apart; the text is split once
+    after, start = f"get({spans}, j - 1)", f"get({spans}, j).first"
+    from_, to = f"coalesce({after}.first + {after}.n, 1)", f"coalesce({start}, size(ls) + 1)"
+    pieces = f"transform(sequence(0, size({spans})), j -> slice(ls, {from_}, {to} - {from_}))"
+    left = F.expr(f"transform(array(split(`{text_col}`, '\\n', -1)), ls -> array_join(flatten({pieces}), '\\n'))[0]")
     return joined.select(
-        *[F.when(F.col("spans").isNull(), F.col(f"`{c}`")).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns],
-        F.coalesce(F.expr("aggregate(spans, 0L, (a, s) -> a + s.n)"), F.lit(0)).cast("long").alias("n_lines_removed"),
+        *[F.when(F.col(spans).isNull(), F.col(f"`{c}`")).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns],
+        F.coalesce(F.expr(f"aggregate({spans}, 0L, (a, s) -> a + s.n)"), F.lit(0)).cast("long").alias("n_lines_removed"),
     )
 
 
