@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, without
+from .common import fresh, ship, without
 
 #: White space as the Unicode property has it; regex's own class also holds U+001C to U+001F.
 SPACE = r"\p{White_Space}"
@@ -196,5 +196,6 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
         return pd.DataFrame({"ids": [x.tobytes() for x in ids], "decoded": [b.decode(x) for x in ids]})
 
     base = without(docs, "ids", "decoded")
-    rows = base.select("*", both(F.col(text_col)).alias("_both"))
-    return rows.select(*[F.col(f"`{c}`") for c in base.columns], "_both.ids", "_both.decoded")
+    (name,) = fresh(base, "_both")
+    rows = base.select("*", both(F.col(f"`{text_col}`")).alias(name))
+    return rows.select(*[F.col(f"`{c}`") for c in base.columns], f"{name}.ids", f"{name}.decoded")
