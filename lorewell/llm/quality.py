@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -21,6 +21,8 @@ from .common import forget, mix64, ship, tidied, without
 PASSAGE, HASHED, FORMS = 64, 48, 9
 WIDTH = 2 * HASHED + FORMS + 3
 HIDDEN, ATTENTION = 32, 16
+#: Passages that go through the model together.
+BAGS = 2048
 
 
 def _signs(keys: np.ndarray) -> np.ndarray:
@@ -78,9 +80,8 @@ def _renew() -> None:
 forget.append(_renew)
 
 
-def encode_passages(text: str | None, most: int | None = None) -> np.ndarray:
-    """A row for each passage of PASSAGE words (at least one row). ``most``: only so many, evenly
-    spaced, for training; scoring takes all."""
+def encode_passages(text: str | None) -> np.ndarray:
+    """A row for each passage of PASSAGE words (at least one row)."""
     words = (text or "").split()
     starts = np.arange(0, max(len(words), 1), PASSAGE)
     out = np.zeros((len(starts), WIDTH), dtype=np.float32)
@@ -101,8 +102,6 @@ def encode_passages(text: str | None, most: int | None = None) -> np.ndarray:
             out[r, -2] = len(set(own)) / len(own)
             again = index[s + 1 : s + PASSAGE] == index[s : s + len(own) - 1]
             out[r, -3] = again.sum() / len(own)
-    if most and len(starts) > most:
-        return out[np.arange(most) * len(starts) // most]
     return out
 
 
@@ -166,27 +165,48 @@ def train(bags: list[np.ndarray], labels: list[int], epochs: int = 30, seed: int
 HELD_OUT = "crc32(cast(cast(doc_id AS string) AS binary)) % 3 = 1"
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, max_passages: int = 32, text_col: str = "text") -> dict | None:
-    """A model from at most ``max_train`` labelled rows that aren't held out, chosen by the hash of
-    their id, each by at most ``max_passages`` of its passages. These two bound what reaches the
-    driver; scoring has no such bound. Null labels and ids with contrary labels teach nothing."""
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, max_chars: int = 48_000_000, text_col: str = "text") -> dict | None:
+    """A model from a bounded sample of the labelled rows that aren't held out.
+
+    Ids are taken in the order of their hash, at most ``max_train``, as long as their texts have at
+    most ``max_chars`` characters together (some 8 M words); a text that doesn't fit any more is left
+    out of the sample as a whole. Of a sampled document every passage is encoded. These two bound
+    what reaches the driver; scoring has no such bound. Null labels and ids with contrary labels
+    teach nothing; rows that repeat an id each count."""
     ship(docs.sparkSession)
     one = labels.groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high AND low IN (0, 1)")
-    # ids alone are joined and ordered; the texts meet the few that are picked, whose number is bound
-    known = docs.select("doc_id").distinct().join(one.where(f"NOT ({HELD_OUT})"), "doc_id")
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("doc_id", "low")
+    # ids and lengths alone are joined and ordered; the texts meet the few that are picked, whose number is bound
+    sizes = docs.groupBy("doc_id").agg(F.sum(F.coalesce(F.length(text_col), F.lit(0))).alias("chars"))
+    known = sizes.join(one.where(f"NOT ({HELD_OUT})"), "doc_id")
+    few = known.where(f"chars <= {max_chars}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    so_far = F.sum("chars").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    picked = few.withColumn("so_far", so_far).where(f"so_far <= {max_chars}").select("doc_id", "low")
     picked = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")
 
     @tidied
     def encoded(batches):
         for pdf in batches:
-            yield pd.DataFrame({"x": [encode_passages(t, max_passages).tobytes() for t in pdf["text"]], "y": pdf["low"]})
+            yield pd.DataFrame({"x": [encode_passages(t).tobytes() for t in pdf["text"]], "y": pdf["low"]})
 
     rows = picked.select("text", "low").mapInPandas(encoded, "x binary, y int").collect()
     rows.sort(key=lambda r: (bytes(r["x"]), r["y"]))
     return train([np.frombuffer(r["x"], dtype=np.float32).reshape(-1, WIDTH) for r in rows], [r["y"] for r in rows])
 
 
+def scores(p: dict, texts) -> list[float]:
+    """The scores of texts; bags of up to BAGS passages go through the model together."""
+    out, waiting, n = [], [], 0
+    for i, text in enumerate(texts):
+        waiting.append(encode_passages(text))
+        n += len(waiting[-1])
+        if n >= BAGS or i == len(texts) - 1:
+            starts = np.cumsum([0] + [len(x) for x in waiting[:-1]])
+            # rounded, since sums in a product may depend on the rows beside
+            out += np.round(forward(p, np.concatenate(waiting), starts)[0], 9).tolist()
+            waiting, n = [], 0
+    return out
+
+
 def score(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
     """``docs`` with score (likelihood of label 1) and predicted (1 if score >= 0.5, else 0).
 
@@ -199,8 +219,7 @@ def score(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFr
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         p = pickle.loads(packed)
-        one = lambda text: 0.5 if p is None else float(forward(p, encode_passages(text), np.array([0]))[0][0])
-        yield from tidied(lambda texts: (pd.Series([one(x) for x in own], dtype="float64") for own in texts))(batches)
+        yield from tidied(lambda many: (pd.Series([0.5] * len(own) if p is None else scores(p, own.tolist()), dtype="float64") for own in many))(batches)
 
     base = without(docs, "score", "predicted")
     return base.withColumn("score", scored(F.col(text_col))).withColumn("predicted", F.expr("int(score >= 0.5)"))
