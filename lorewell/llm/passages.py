@@ -17,54 +17,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, folded, mix64, rolled, ship, tidied, without, word_hashes, word_starts
+from .common import checkpoint, folded, fresh, mix64, rolled, ship, tidied, without, word_hashes, word_starts
 from .jaccard import wanted
 
-K, WINDOW, MARGIN = 5, 10, 60
+K, MARGIN = 5, 60
 #: Cost of a word in a gap; gap over which chains of seeds may be split; agreeing words that make two texts be aligned.
 GAP_COST, SEED_GAP, EVIDENCE = 0.1, 60, 10
 #: Parts into which k-mers and then documents are dealt, and k-mers that a task holds before it deals them.
 PARTS, BUFFER = 2048, 1 << 19
 #: Bytes of the columns of packed k-mers, windows (hash, id, place) and matches (id, place, other, place).
 KMERS, WINDOWS, MATCHES = (4, 8, 4), (6, 8, 4), (8, 4, 8, 4)
-#: Sets the seeds of repeated runs apart from those of single k-mers.
-RUN = np.uint64(0x5BD1E995)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-def minimizers(grams: np.ndarray) -> np.ndarray:
-    """Positions of the least gram of each window of WINDOW grams (one window, if there are fewer)."""
-    if len(grams) <= WINDOW:
-        return np.array([grams.argmin()]) if len(grams) else np.zeros(0, dtype=np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    return np.unique(views.argmin(axis=1) + np.arange(len(views)))
-
-
-def repeated_runs(grams: np.ndarray, at: np.ndarray, least: int) -> list[tuple[int, int, int, int]]:
-    """(hash, first, last, times) of stretches of ``least`` words or more that repeat a phrase.
-
-    In them each minimizer of ``at`` is the one before it, WINDOW words on at most. Their length is
-    that over which the k-mers come back at this distance, so that a run just too short is no seed."""
-    own = grams[at]
-    if not (own[1:] == own[:-1]).any():
-        return []
-    breaks = np.flatnonzero((own[1:] != own[:-1]) | (np.diff(at) > WINDOW)) + 1
-    first, last = np.concatenate([[0], breaks]), np.append(breaks, len(at)) - 1
-    long = (last > first) & (at[last] - at[first] + K + 2 * WINDOW >= least)
-    out, differ = [], {}
-    for a, b in zip(first[long].tolist(), last[long].tolist()):
-        period, low, high = int(at[a + 1] - at[a]), int(at[a]), int(at[b])
-        if period not in differ:
-            differ[period] = np.flatnonzero(grams[period:] != grams[:-period])
-        before, after = np.searchsorted(differ[period], low), np.searchsorted(differ[period], high - period, "right")
-        low = min(low, int(differ[period][before - 1]) + 1 if before else 0)
-        high = max(high, int(differ[period][after]) - 1 + period if after < len(differ[period]) else len(grams) - 1)
-        if high - low + K >= least:
-            out.append((int(mix64(own[a : a + 1] ^ RUN)[0]), low, high, b - a + 1))
-    return out
-
 
 def chains(y: np.ndarray, x: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     """Disjoint chains of the anchors (y, x, size), each in ascending y and x, best first.
@@ -145,7 +113,13 @@ def regions(rows: np.ndarray, percent: int) -> list[tuple[int, int, int, int, in
         i, y, other, x = anchors[start:end].T
         size = sizes[start:end]
         for chain in chains(y, x, size):
-            a, b, n = y[chain], x[chain], size[chain]
+            n = size[chain]
+            if n.sum() < EVIDENCE:
+                continue
+            a, b = y[chain], x[chain]
+            if len(n) == 1:
+                out.append((int(i[0]), int(other[0]), int(a[0]), int(a[0] + n[0]), int(b[0]), int(b[0] + n[0])))
+                continue
             most = max(SEED_GAP, int(n.sum()) * (100 - percent) // percent)
             split = np.flatnonzero((a[1:] - a[:-1] - n[:-1] > most) | (b[1:] - b[:-1] - n[:-1] > most)) + 1
             for p, q, r in zip(np.split(a, split), np.split(b, split), np.split(n, split)):
@@ -205,23 +179,30 @@ def zigzag(ids: np.ndarray) -> np.ndarray:
     return (d << 1) ^ (d >> 63)
 
 
+def stepped(sizes: tuple[int, ...]) -> list[bool]:
+    """Which columns are kept as differences: ids, and the places of matches, which are in order."""
+    return [k == 8 or sizes[0] == 8 for k in sizes]
+
+
 def packed(columns: list[np.ndarray], sizes: tuple[int, ...]) -> bytes:
-    """Integer columns as the planes of their low bytes, which compress well where values are small."""
-    return b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes() for c, k in zip(columns, sizes))
+    """Integer columns as the planes of their low bytes, compressed (most planes have few values)."""
+    columns = [zigzag(c) if d else c for c, d in zip(columns, stepped(sizes))]
+    return zstandard.compress(b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes() for c, k in zip(columns, sizes)), 1)
 
 
 def unpacked(data: bytes, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    data = zstandard.decompress(data)
     n, at, out = len(data) // sum(sizes), 0, []
     for k in sizes:
         c = np.zeros((n, 8), dtype=np.uint8)
         c[:, :k] = np.frombuffer(data, dtype=np.uint8, count=n * k, offset=at).reshape(k, n).T
         out.append(c.view("<i8")[:, 0])
         at += n * k
-    return out
+    return [np.cumsum((c.view(np.uint64) >> np.uint64(1)).view(np.int64) ^ -(c & 1)) if d else c for c, d in zip(out, stepped(sizes))]
 
 
 def dealt(rows: Iterator[tuple[np.ndarray, ...]], part, sizes: tuple[int, ...]) -> Iterator[pd.DataFrame]:
-    """Rows of columns, packed for each of PARTS parts; ids (columns of 8 bytes) as differences, in order of the first."""
+    """Rows of columns, packed for each of PARTS parts; matches in the order of their first two columns."""
     waiting, n = [], 0
 
     def full():
@@ -230,7 +211,7 @@ def dealt(rows: Iterator[tuple[np.ndarray, ...]], part, sizes: tuple[int, ...])
         order = np.argsort(to.astype(np.int16), kind="stable") if sizes[0] != 8 else np.lexsort((columns[1], columns[0], to))
         to, columns = to[order], [c[order] for c in columns]
         cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(to) != 0])), len(to)).tolist()
-        data = [packed([zigzag(c[a:b]) if k == 8 else c[a:b] for c, k in zip(columns, sizes)], sizes) for a, b in zip(cuts, cuts[1:])]
+        data = [packed([c[a:b] for c in columns], sizes) for a, b in zip(cuts, cuts[1:])]
         for i in range(0, len(data), 256):
             yield pd.DataFrame({"part": to[cuts[i : min(i + 256, len(data))]], "data": data[i : i + 256]})
 
@@ -254,7 +235,7 @@ def gathered(batches, sizes: tuple[int, ...]) -> Iterator[tuple[int, list[np.nda
                 yield at, [np.concatenate(c) for c in zip(*waiting)]
                 waiting = []
             at = part
-            waiting.append([np.cumsum((c.view(np.uint64) >> np.uint64(1)).view(np.int64) ^ -(c & 1)) if k == 8 else c for c, k in zip(unpacked(data, sizes), sizes)])
+            waiting.append(unpacked(data, sizes))
     if waiting:
         yield at, [np.concatenate(c) for c in zip(*waiting)]
 
@@ -450,7 +431,8 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, text
             yield pdf[["id", "other", "y0", "y1", "x0"]].assign(words=slices)
 
     held = spans.join(texts.withColumnRenamed("id", "other"), "other").select("id", "other", "y0", "y1", "x0", "x1", "text").mapInPandas(sliced, "id long, other long, y0 int, y1 int, x0 int, words binary")
-    asked = held.groupBy("id").agg(F.collect_list(F.struct("other", "y0", "y1", "x0", "words")).alias("_asked")).withColumnRenamed("id", "_id")
+    i, wants, done = fresh(base, "_id", "_asked", "_cut")
+    asked = held.groupBy(F.col("id").alias(i)).agg(F.collect_list(F.struct("other", "y0", "y1", "x0", "words")).alias(wants))
 
     def trimmed(text: str | None, some) -> tuple:
         if not text or some is None or not len(some):
@@ -469,5 +451,5 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, text
         rows = tidied(lambda pairs: (pd.DataFrame([trimmed(*x) for x in zip(*pair)], columns=["text", "n", "removed"]) for pair in pairs))
         yield from rows(batches)
 
-    joined = base.join(asked, F.col(id_col).cast("long") == F.col("_id"), "left").withColumn("_cut", trim(F.col(text_col), F.col("_asked")))
-    return joined.select(*[F.col("_cut.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns], F.col("_cut.n").alias("n_words_removed"), F.col("_cut.removed").alias("removed"))
+    joined = base.join(asked, F.col(f"`{id_col}`").cast("long") == F.col(i), "left").withColumn(done, trim(F.col(f"`{text_col}`"), F.col(wants)))
+    return joined.select(*[F.col(f"{done}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns], F.col(f"{done}.n").alias("n_words_removed"), F.col(f"{done}.removed").alias("removed"))
