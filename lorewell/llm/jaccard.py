@@ -5,11 +5,16 @@ With all shingles in one global order, two sets at the threshold share a shingle
 transpose is accumulated: overlap counts of pairs in the prefixes, which the sizes of the sets turn
 into an upper bound on the whole overlap. Pairs under the bound that the threshold needs are
 discarded, the others are verified over their whole sets. The order puts shingles that many
-documents share last (by a sketch of fixed size over all documents), so that common passages hardly
-occur in prefixes. Groups of alike documents are contracted before pairs are made: equal sets first,
-then links to the smallest document of each shingle; the product then only takes pairs of documents
-of different components, which keeps the pairs of large groups from being listed. What is discarded
-this way can't join components, so that components are exact.
+documents share last (by a sketch over all documents that grows with them), so that common passages
+hardly occur in prefixes.
+
+Groups of alike documents are contracted, so that pairs of one component are not made: equal sets
+first, then links to the smallest document of each shingle's list. Lists that still hold several
+components are multiplied by themselves if they are short. Long ones first go through rounds that pair
+each document with a few neighbours of its list, as long as that links components; the documents
+that are left are dealt to blocks, and pairs of blocks that share a long list are multiplied whole, in
+one task each, over all their shingles, and only links that join components leave it. Nothing is left
+out but pairs of one component, so that components are exact.
 """
 
 from __future__ import annotations
@@ -18,16 +23,22 @@ from collections import OrderedDict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from .common import checkpoint, connected_components, folded, rolled, ship, tidied, word_hashes
 
-#: Cells of the sketch; a cell is heavy when it holds that many deviations over the median cell.
-CELLS, DEVIATIONS, SLACK = 1 << 16, 8, 64
+#: Cells of the sketch, one for so many bytes of the input; a cell is heavy when it holds that many deviations over the median cell.
+CELLS, CELLS_MOST, CELL_BYTES = 1 << 16, 1 << 20, 1 << 14
+DEVIATIONS, SLACK = 8, 64
 #: Bits of the filter that keeps texts out of the shuffle that no pair asks for.
-FILTER_BITS = 1 << 22
+FILTER_BITS, FILTER_MOST = 1 << 16, 1 << 26
+#: Documents from which on a list is long, and from which on it goes through rounds; neighbours in a round; share of documents that a round has to link for another.
+LONG, ROUNDS_FROM, NEIGHBOURS, ROUND_SHARE = 64, 8192, 8, 0.1
+#: Documents and shingles of a block, and columns of a product at a time.
+BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 21, 4096
+
 
 def shingles(text: str | None, k: int) -> np.ndarray:
     """The sorted distinct hashes of the runs of k words (or of all words, if fewer) of a text."""
@@ -37,9 +48,19 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(rolled(words, min(k, len(words))))
 
 
+def sketch_cells(docs: DataFrame) -> int:
+    """Cells of the sketch: a power of two that follows the size that Spark knows of ``docs``."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(CELLS, 1 << (size // CELL_BYTES).bit_length()), CELLS_MOST)
+
+
+def cell_of(found: np.ndarray, cells: int) -> np.ndarray:
+    return (found & np.uint64(cells - 1)).astype(np.int64)
+
+
 def ranked(found: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     """The places of shingles in the global order, sorted: heavy cells last, hashes within."""
-    return np.sort((found >> np.uint64(1)) | (heavy[(found & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(63)))
+    return np.sort((found >> np.uint64(1)) | (heavy[cell_of(found, len(heavy))].astype(np.uint64) << np.uint64(63)))
 
 
 def prefix_length(n, percent: int):
@@ -63,22 +84,25 @@ class Sets(OrderedDict):
 
 
 def wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (id, text) that may be among ``ids`` (id), by a bitmap of fixed size.
+    """The rows of ``docs`` (id, text) that may be among ``ids`` (id), by a bitmap of 16 bits for each id.
 
-    With many ids more rows pass; joins with them decide. The bitmap has FILTER_BITS bits at any size."""
+    Joins with the ids decide. The bitmap has FILTER_MOST bits at most (8 MB); beyond some 4 M ids
+    more and more texts pass that nothing asks for, and cross the shuffle as in a plain join."""
     spark = docs.sparkSession
-    cells = ids.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int").alias("c")).distinct().groupBy((F.col("c") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, c % 32)")).alias("b"))
-    bits = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
+    bits = min(max(FILTER_BITS, 1 << (16 * ids.count()).bit_length()), FILTER_MOST)
+    cell = F.pmod(F.xxhash64("id"), F.lit(bits)).cast("int")
+    cells = ids.select(cell.alias("c")).distinct().groupBy((F.col("c") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, c % 32)")).alias("b"))
     got = cells.toPandas()
-    bits[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.uint64).astype(np.uint32)
-    held = spark.sparkContext.broadcast(bits)
+    held_bits = np.zeros(bits // 32, dtype=np.uint32)
+    held_bits[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.uint64).astype(np.uint32)
+    held = spark.sparkContext.broadcast(held_bits)
 
     @F.pandas_udf("boolean")
     def passes(cell: pd.Series) -> pd.Series:
         c = cell.to_numpy(dtype=np.int64)
         return pd.Series((held.value[c // 32] >> (c % 32).astype(np.uint32)) & 1 == 1)
 
-    return docs.where(passes(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("int")))
+    return docs.where(passes(cell))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -94,7 +118,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         for pdf in batches:
             keep = []
             for a, text_a, text_b in zip(pdf["a"], pdf["text_a"], pdf["text_b"]):
-                x, y = sets.of((a, len(text_a)), text_a, k), shingles(text_b, k)
+                x, y = sets.of((a, xxh3_128_digest(text_a)), text_a, k), shingles(text_b, k)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             if any(keep):
@@ -103,16 +127,147 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.select("a", "b", "text_a", "text_b").mapInPandas(overlaps, "a long, b long")
 
 
-def _product(left: DataFrame, right: DataFrame, where: str, percent: int) -> DataFrame:
-    """(a, b) of the pairs with a common shingle that their overlap in the prefixes doesn't rule out."""
-    side = lambda d, s: d.select("h", *[F.col(c).alias(f"{c}_{s}") for c in d.columns if c != "h"])
-    met = side(left, "a").join(side(right, "b"), "h").where(f"({where}) AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+def _bounded(met: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the rows (id, n, end of each side, one for each common shingle) that their overlap in the prefixes doesn't rule out."""
     counted = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("common"), *[F.max(c).alias(c) for c in ("n_a", "n_b", "end_a", "end_b")])
     rest = {s: f"(n_{s} - (n_{s} - (n_{s} * {percent} + 99) div 100 + 1))" for s in "ab"}
     bound = f"common + CASE WHEN end_a < end_b THEN {rest['a']} WHEN end_a > end_b THEN {rest['b']} ELSE greatest({rest['a']}, {rest['b']}) END"
     return counted.where(f"{100 + percent} * ({bound}) >= {percent} * (n_a + n_b)").select("a", "b")
 
 
+def sizes_fit(percent: int, a: str = "n_a", b: str = "n_b") -> str:
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+
+
+def _square(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs of different components in the product of lists (h, id, n, end, c) with themselves."""
+    side = lambda s: lists.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "end", "c")])
+    return _bounded(side("a").join(side("b"), "h").where(f"c_a < c_b AND {sizes_fit(percent)}"), percent)
+
+
+def _still_open(lists: DataFrame) -> DataFrame:
+    """The rows (h, ..., c) of lists that hold several components, with their length as size."""
+    mixed = lists.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high")
+    return lists.join(mixed.select("h", "size"), "h")
+
+
+def _neighbours(lists: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b, c_a, c_b): each document and the NEIGHBOURS before it in one of its lists.
+
+    The list is that with the least hash in this turn, which alike documents often agree on; in
+    lists of some thousand the order by hash is cut into parts, so that a task sorts few rows."""
+    own = lists.groupBy("id").agg(F.min(F.struct(F.xxhash64("h", F.lit(turn)), "h", "size", "n", "c")).alias("l")).select("id", "l.h", "l.size", "l.n", "l.c")
+    dealt = own.select("h", F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / BLOCK_DOCS)).alias("part"), F.struct("id", "n", "c").alias("row"), F.xxhash64("id", F.lit(turn), F.lit(1)).alias("place"))
+    w = Window.partitionBy("h", "part").orderBy("place")
+    near = dealt.withColumn("others", F.collect_list("row").over(w.rowsBetween(-NEIGHBOURS, -1))).select("row", F.explode("others").alias("other"))
+    pairs = near.where(f"row.c != other.c AND {sizes_fit(percent, 'row.n', 'other.n')}")
+    return pairs.select(*[f(f"row.{x}", f"other.{x}").alias(y) for x, y, f in (("id", "a", F.least), ("id", "b", F.greatest))], F.least("row.c", "other.c").alias("c_a"), F.greatest("row.c", "other.c").alias("c_b")).distinct()
+
+
+def overlaps_of(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of sorted sets of ``one`` with those of ``two``: a product of the
+    incidence matrices, over the shingles that occur on both sides, COLUMNS of them at a time."""
+    out = np.zeros((len(one), len(two)), dtype=np.float32)
+    columns = np.intersect1d(np.concatenate(one), np.concatenate(two))
+    sides = []
+    for sets in (one, two):
+        rows, every = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.searchsorted(columns, every)
+        at[at == len(columns)] = 0
+        hit = columns[at] == every if len(columns) else np.zeros(len(every), dtype=bool)
+        at, rows = at[hit], rows[hit]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], rows[order], len(sets)))
+    for low in range(0, len(columns), COLUMNS):
+        parts = []
+        for at, rows, n in sides:
+            a, b = np.searchsorted(at, (low, low + COLUMNS))
+            m = np.zeros((n, min(COLUMNS, len(columns) - low)), dtype=np.float32)
+            m[rows[a:b], at[a:b] - low] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) span the components that all of them make."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(up, up)
+        return x
+
+    kept = []
+    for i, (a, b) in enumerate(pairs.tolist()):
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(i)
+    return np.array(kept, dtype=np.int64)
+
+
+def _block_links(lists: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) links that join components among the documents of long lists (h, id, n, c).
+
+    Documents with the same least shingle lie together in blocks of some BLOCK_DOCS documents or
+    BLOCK_SHINGLES shingles, which take turns by hash where one shingle has more. Pairs of blocks that
+    share a list and hold several components are multiplied whole."""
+    own = checkpoint(lists.groupBy("id", "n", "c").agg(F.min("h").alias("lead")))
+    count = own.count()
+    groups = own.groupBy("lead").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    few = max(1, -(-count // BLOCK_DOCS))
+    cell, part = F.pmod(F.xxhash64("lead"), F.lit(few)), F.pmod(F.xxhash64("id"), F.col("parts"))
+    # one large group of the same least shingle has blocks of its own
+    block = F.when(F.col("parts") > 1, F.xxhash64("lead", part)).otherwise(cell)
+    placed = own.join(groups, "lead").select("id", "n", "c", block.alias("block"))
+    cut = placed.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / (2 * BLOCK_DOCS)), F.ceil(F.sum("n") / (2 * BLOCK_SHINGLES))).alias("more"))
+    placed = checkpoint(placed.join(cut, "block").select("id", "c", F.xxhash64("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("more"))).alias("block")))
+    held = lists.join(placed.select("id", "block"), "id").groupBy("h", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    side = lambda s: held.select("h", *[F.col(x).alias(f"{x}_{s}") for x in ("block", "low", "high")])
+    mixed = "block_a <= block_b AND NOT (low_a = high_a AND low_b = high_b AND low_a = low_b)"
+    meets = checkpoint(side("a").join(side("b"), "h").where(mixed).select("block_a", "block_b").distinct())
+    texts = wanted(docs, placed.select("id").distinct()).join(placed, "id")
+    ends = meets.select("block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+    both = ends.join(texts, "block").select("block_a", "block_b", "block", "id", "c", "text")
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = int(pdf["block_a"].iloc[0]), int(pdf["block_b"].iloc[0])
+        sides = []
+        for x in (a, b):
+            rows = pdf[pdf["block"] == x]
+            sets = [shingles(t, k) for t in rows["text"]]
+            sides.append((rows["id"].to_numpy(np.int64), rows["c"].to_numpy(np.int64), sets, np.array([len(y) for y in sets], dtype=np.float64)))
+            if a == b:
+                sides.append(sides[0])
+                break
+        (i, c, one, n), (j, d, two, m) = sides
+        common = overlaps_of(one, two).astype(np.float64)
+        linked = (100 * common >= percent * (n[:, None] + m[None, :] - common)) & (c[:, None] != d[None, :])
+        x, y = np.nonzero(linked)
+        kept = forest(np.stack([c[x], d[y]], axis=1))
+        return pd.DataFrame({"a": i[x[kept]], "b": j[y[kept]]})
+
+    return both.groupBy("block_a", "block_b").applyInPandas(product, "a long, b long")
+
+
+def _long_links(lists: DataFrame, docs: DataFrame, k: int, percent: int, rounds_from: int = ROUNDS_FROM) -> DataFrame:
+    """(a, b) links that join components of the long lists (h, id, n, c, size).
+
+    Lists of over ``rounds_from`` documents, whose blocks would be many, first go through rounds, as
+    long as a round links a good part of their documents; what is left goes to blocks."""
+    found, turn, more = None, 0, True
+    while more and not (longest := lists.where(f"size > {rounds_from}")).isEmpty():
+        pairs = checkpoint(_neighbours(longest, turn, percent))
+        new = checkpoint(_verified(pairs.select("a", "b"), docs, k, percent).distinct().join(pairs, ["a", "b"]))
+        turn, more = turn + 1, new.count() > ROUND_SHARE * longest.select("id").distinct().count()
+        found = new.select("a", "b") if found is None else found.unionByName(new.select("a", "b"))
+        moved = connected_components(new.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("node").alias("c"), "component")
+        lists = checkpoint(_still_open(lists.drop("size").join(moved, "c", "left").select("h", "id", "n", F.coalesce("component", "c").alias("c"))))
+    blocks = _block_links(lists, docs, k, percent)
+    return blocks if found is None else found.unionByName(blocks)
+
+
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
@@ -124,55 +279,61 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str
     empty one; other columns are ignored. Ids are longs."""
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    cells = sketch_cells(source)
 
     @tidied
     def signed(batches):
-        cells = np.zeros(CELLS, dtype=np.int64)
+        counts = np.zeros(cells, dtype=np.int64)
         for pdf in batches:
             out = []
             for text in pdf["text"]:
                 found = shingles(text, k)
-                cells += np.bincount((found & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) if len(found) > 4096 else 0
-                if len(found) <= 4096:
-                    np.add.at(cells, (found & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                if len(found) > 4096:
+                    counts += np.bincount(cell_of(found, cells), minlength=cells)
+                else:
+                    np.add.at(counts, cell_of(found, cells), 1)
                 out.append((xxh3_128_digest(found.tobytes()), len(found)))
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "mark": [x[0] for x in out], "n": [x[1] for x in out], "cells": None})
-        yield pd.DataFrame({"id": pd.array([None], dtype="Int64"), "mark": [None], "n": [-1], "cells": [cells]})
+            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "mark": [x[0] for x in out], "n": [x[1] for x in out], "counts": None})
+        yield pd.DataFrame({"id": pd.array([None], dtype="Int64"), "mark": [None], "n": [-1], "counts": [counts]})
 
-    first = checkpoint(source.mapInPandas(signed, "id long, mark binary, n long, cells array<long>"))
-    sketch = first.where("n < 0").select(F.posexplode("cells").alias("cell", "count")).groupBy("cell").agg(F.sum("count").alias("count")).toPandas()
-    counts = np.zeros(CELLS, dtype=np.int64)
+    first = checkpoint(source.mapInPandas(signed, "id long, mark binary, n long, counts array<long>"))
+    sketch = first.where("n < 0").select(F.posexplode("counts").alias("cell", "count")).groupBy("cell").agg(F.sum("count").alias("count")).toPandas()
+    counts = np.zeros(cells, dtype=np.int64)
     counts[sketch["cell"].to_numpy(dtype=np.int64)] = sketch["count"].to_numpy(dtype=np.int64)
     heavy = heavy_cells(counts)
     rows = first.where("n >= 0").select("id", "mark", "n")
     named = rows.where("n > 0 AND id IS NOT NULL")
-    classes = named.groupBy("mark").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep != last").select("mark", "rep")
-    copies = checkpoint(named.join(classes, "mark").where("id != rep").select("id", "rep").distinct())
+    classes = checkpoint(named.groupBy("mark").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep != last").select("mark", "rep"))
+    copies = checkpoint(named.join(classes, "mark").where("id != rep").select("id", "mark", "rep").distinct())
 
     @tidied
     def prefixes(batches):
         for pdf in batches:
             out = []
             for i, text in zip(pdf["id"], pdf["text"]):
-                places = ranked(shingles(text, k), heavy)
-                if n := len(places):
-                    own = (places[: prefix_length(n, percent)] ^ np.uint64(1 << 63)).view(np.int64)
-                    out.append((i, n, int(own[-1]), own))
+                found = shingles(text, k)
+                if n := len(found):
+                    own = (ranked(found, heavy)[: prefix_length(n, percent)] ^ np.uint64(1 << 63)).view(np.int64)
+                    out.append((i, xxh3_128_digest(found.tobytes()), n, int(own[-1]), own))
             if out:
-                yield pd.DataFrame(out, columns=["id", "n", "end", "hs"])
+                yield pd.DataFrame(out, columns=["id", "mark", "n", "end", "hs"])
 
     # kept, since both the count of each shingle and the join with it read them
-    made = checkpoint(source.where("id IS NOT NULL").mapInPandas(prefixes, "id long, n int, end long, hs array<long>"))
+    made = source.where("id IS NOT NULL").mapInPandas(prefixes, "id long, mark binary, n int, end long, hs array<long>")
+    made = checkpoint(made.join(copies.select("id", "mark"), ["id", "mark"], "left_anti").drop("mark"))
     postings = made.select(F.explode("hs").alias("h"), "id", "n", "end")
-    shared = postings.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("h")
-    listed = checkpoint(postings.join(shared, "h").join(copies.select("id"), "id", "left_anti"))
-    leaders = listed.groupBy("h").agg(F.min(F.struct("id", "n", "end")).alias("l")).select("h", "l.id", "l.n", "l.end")
-    links = checkpoint(_verified(checkpoint(_product(leaders, listed, "id_a != id_b", percent)), source, k, percent))
+    shared = checkpoint(postings.groupBy("h").agg(F.min(F.struct("id", "n", "end")).alias("l"), F.max("id").alias("high")).where("l.id != high").select("h", "l"))
+    listed = checkpoint(postings.join(shared, "h"))
+    leading = listed.where(f"id != l.id AND {sizes_fit(percent, 'n', 'l.n')}").select(*[F.col(f"l.{c}").alias(f"{c}_a") for c in ("id", "n", "end")], *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "end")])
+    links = checkpoint(_verified(checkpoint(_bounded(leading, percent)), source, k, percent))
     near = connected_components(links)
-    members = listed.join(near.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    mixed = members.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("h")
-    open_lists = checkpoint(members.join(mixed, "h"))
-    rest = _verified(checkpoint(_product(open_lists, open_lists, "c_a < c_b", percent)), source, k, percent)
-    edges = links.unionByName(rest).unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    members = listed.drop("l").join(near.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    lists = checkpoint(_still_open(members))
+    edges = links.unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    # a pair that shares a long list is met there, whatever the short ones make of it
+    long = lists.where(f"size > {LONG}").drop("end")
+    if not long.isEmpty():
+        edges = edges.unionByName(checkpoint(_long_links(long, source, k, percent)))
+    edges = edges.unionByName(_verified(checkpoint(_square(lists.where(f"size <= {LONG}"), percent)), source, k, percent))
     components = connected_components(edges).select(F.col("node").alias("id"), "component")
     return rows.join(components, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
