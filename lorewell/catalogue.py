@@ -9,6 +9,7 @@ from .functions import text as T
 from .operators import ingest as I
 from .operators import knowledge as K
 from .operators import retrieval as R
+from .operators.graph import shared_folder
 from .sources import bindings as B
 from .streaming import ingest as S
 
@@ -376,6 +377,24 @@ def ask_flagship(spark, sf_dir):
     return R.ask(questions(spark), c, I.pages(I.classify(d)))
 
 
+IN_DEPARTMENT = [ASKED[0] + ("src1",), ASKED[1] + ("src3",), ASKED[2] + (None,), ASKED[3] + ("src99",)]
+_VISIBLE = "(NOT c.controlled OR q.role != 'viewer') AND (q.department IS NULL OR c.department = q.department)"
+_QUESTIONS_IN = "questions(query_id, query, role, department) AS (VALUES " + ", ".join(f"({i}, '{q}', '{r}', {quoted([d]) if d else 'NULL'})" for i, q, r, d in IN_DEPARTMENT) + ")"
+
+
+@query(
+    ORACLE_SQL["ask_flagship"]
+    .replace(QUESTIONS, _QUESTIONS_IN)
+    .replace("score > 0 AND (NOT c.controlled OR q.role != 'viewer')", f"score > 0 AND {_VISIBLE}")
+    .replace("WHERE NOT c.controlled OR q.role != 'viewer')", f"WHERE {_VISIBLE})")
+)
+def ask_department(spark, sf_dir):
+    """The read path for questions of which each may only look into one department."""
+    d, c = docs_and_chunks(spark, sf_dir)
+    asked = spark.createDataFrame(IN_DEPARTMENT, "query_id int, query string, role string, department string")
+    return R.ask(asked, c, I.pages(I.classify(d)))
+
+
 # --- graph ------------------------------------------------------------------------------------
 
 LINES = """ln AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 40),
@@ -503,6 +522,14 @@ def action_audit_counts(spark, sf_dir):
     return K.audit(K.decide(B.actions(spark, sf_dir))).groupBy("action", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {ACTS}, done AS (SELECT d.*, e.user_id::VARCHAR AS id, e.value FROM decided d JOIN events e ON e.event_id = d.seq WHERE decision = 'executed')
+SELECT id, bool_or(action = 'mark') AS controlled, round(least(1.0, 0.78 + 0.03 * count(*) FILTER (action = 'review')), 9)::DOUBLE AS confidence,
+  arg_max(value, seq) FILTER (action = 'revise-capacity') AS capacity, count(*) FILTER (action = 'create_link') AS links FROM done GROUP BY id""")
+def action_apply(spark, sf_dir):
+    """What the executed actions of the log make of the objects they name."""
+    return K.applied(K.decide(B.actions(spark, sf_dir))).withColumn("confidence", F.round("confidence", 9))
+
+
 _MATRIX = [(a, r, r in roles, s) for a, (roles, s) in vocab.ACTIONS.items() for r in ("viewer", "analyst", "strategy", "compliance")]
 
 
@@ -605,6 +632,19 @@ def verify_apply(spark, sf_dir):
     return K.apply_verdicts(facts, spark.createDataFrame(_VERDICTS, "object_id string, key string, drop boolean, valid_type boolean, supported boolean, delta double"))
 
 
+JUDGED = """v AS (SELECT user_id AS object_id, event_type AS key, event_id % 3 > 0 AS supported, (event_id % 7 - 3) / 16.0 AS delta FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1),
+judged AS (SELECT object_id, key, CASE WHEN supported THEN least(1.0, greatest(0.0, 0.78 + delta)) ELSE least(0.55, greatest(0.0, 0.78 + delta)) END::DOUBLE AS c FROM v)"""
+
+
+@query(f"WITH {JUDGED} SELECT object_id, key, CASE WHEN c < 0.6 THEN 'dropped' WHEN c < 0.85 THEN 'pending' ELSE 'keep' END AS band, round_even(c, 3) AS confidence FROM judged")
+def verify_duplicates(spark, sf_dir):
+    """Facts with many verdicts each, of which the last counts."""
+    e = B.table(spark, sf_dir, "events").select(F.col("user_id").alias("object_id"), F.col("event_type").alias("key"), F.col("event_id").alias("seq"))
+    verdicts = e.withColumn("drop", F.lit(False)).withColumn("valid_type", F.lit(True)).withColumn("supported", F.col("seq") % 3 > 0).withColumn("delta", (F.col("seq") % 7 - 3) / 16)
+    facts = e.select("object_id", "key").distinct().withColumn("confidence", F.lit(None).cast("double"))
+    return K.apply_verdicts(facts, verdicts)
+
+
 @query("SELECT 3::BIGINT AS objects_in, 2::BIGINT AS objects_kept, 1::BIGINT AS objects_dropped, 1::BIGINT AS facts_dropped, 3::BIGINT AS facts_pending")
 def verify_counts(spark, sf_dir):
     return K.review_counts(verify_apply(spark, sf_dir))
@@ -627,15 +667,18 @@ def egress_hosts(spark, sf_dir):
 
 
 def _drained(spark, stream, mode="append"):
-    """What a stream gives when it has read all that is there, from a table in memory."""
-    import tempfile
+    """What a stream gives when it has read all that is there, from files in the shared folder."""
     import uuid
 
-    name = f"stream_{uuid.uuid4().hex}"
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lorewell-stream-")
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(batch, number):
+        # a batch that runs again writes over itself; in complete mode each batch replaces the last
+        batch.write.mode("overwrite").parquet(f"{at}/rows" if mode == "complete" else f"{at}/rows/batch={number}")
+
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(stream.schema).parquet(f"{at}/rows")
+    return rows.select(*stream.columns)
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -51,9 +51,15 @@ def sections(text: Column) -> Column:
 
 def windows(body: Column, size: int = 500, overlap: int = 80) -> Column:
     """Start positions of the sliding windows over a text; none for an empty one."""
-    n, step = F.length(body), size - overlap
-    last = F.greatest(F.lit(0), F.ceil((n - size) / step)) * step
-    return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"), F.lit(step).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    n = F.length(body)
+    steps = F.sequence(F.lit(0).cast("bigint"), last_window(n, size, overlap), F.lit(size - overlap).cast("bigint"))
+    return F.when(n > 0, steps).otherwise(F.array().cast("array<bigint>"))
+
+
+def last_window(n: Column, size: int = 500, overlap: int = 80) -> Column:
+    """Where the last window over n characters starts."""
+    step = size - overlap
+    return (F.greatest(F.lit(0), F.ceil((n - size) / step)) * step).cast("bigint")
 
 
 def sentences(text: Column) -> Column:

@@ -25,7 +25,7 @@ ACTIONS = {
 NEXT_STATUS = {"development": "risk", "risk": "HVM", "HVM": "EOL"}
 SUMMARY_PREFIX, MASKED, ELLIPSIS = "[受控摘要] ", "•••• 受控字段", "…"
 NO_CONTENT, ANSWER_PREFIX, ANSWER_JOIN = "（在你被授权访问的知识范围内未找到可接地的内容。）", "基于授权知识作答：", "；"
-LOCAL_HOSTS = ("localhost", "127.0.0.1", "0.0.0.0", "host.docker.internal", "vllm", "ollama", "wka-vllm", "wka-ollama")
+LOCAL_HOSTS = ("localhost", "127.0.0.1", "0.0.0.0", "host.docker.internal", "vllm", "ollama")
 WEAK_SECRETS = ("change-me", "change-me-dev-secret", "secret", "password", "neo4j")
 DROP_BELOW, KEEP_FROM, UNSUPPORTED_MOST, FACT_CONFIDENCE = 0.60, 0.85, 0.55, 0.78
 BM25_K1, BM25_B, RRF_K, RECALL, RERANK, COMMUNITIES = 1.5, 0.75, 60, 30, 8, 5

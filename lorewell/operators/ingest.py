@@ -29,19 +29,46 @@ def sectioned(docs: DataFrame) -> DataFrame:
     return docs.select(*keep, F.posexplode(T.sections(F.col("text"))).alias("ord", "s")).select(*keep, "ord", F.col("s.title").alias("section"), F.col("s.body").alias("body"))
 
 
+def overwritten(docs: DataFrame) -> DataFrame:
+    """sectioned() with ``later``: the length of the longest later section of the same title in the
+    document, null if there is none. Sections are compared within their row, without a shuffle, and
+    only where a title repeats."""
+    keep = [c for c in docs.columns if c != "text"]
+    held = docs.select(*keep, T.sections(F.col("text")).alias("all"))
+    held = held.withColumn("titles", F.transform("all", lambda s: s["title"])).withColumn("again", F.size(F.array_distinct("titles")) < F.size("titles"))
+    longest = lambda s, i: F.array_max(F.transform(F.filter("all", lambda t, j: (j > i) & (t["title"] == s["title"])), lambda t: F.length(t["body"])))
+    parts = F.transform("all", lambda s, i: F.struct(s["title"].alias("section"), s["body"].alias("body"), F.when(F.col("again"), longest(s, i)).alias("later")))
+    return held.select(*keep, F.posexplode(parts).alias("ord", "s")).select(*keep, "ord", "s.section", "s.body", "s.later")
+
+
 def chunks(docs: DataFrame, size: int = 500, overlap: int = 80) -> DataFrame:
-    """(chunk_id, doc_id, parent_id, section, pos, text, ...): windows over sections; the last of equal ids stays."""
+    """(chunk_id, doc_id, parent_id, section, pos, text, ...): windows over sections; of equal ids (a
+    title and place that repeat in a document) the last stays. Ids of documents are unique."""
     keep = [c for c in ("source_tier", "controlled", "department", "seq", "name") if c in docs.columns]
-    cut = sectioned(docs).select(F.col("id").alias("doc_id"), *keep, "ord", "section", "body", F.explode(T.windows(F.col("body"), size, overlap)).alias("pos"))
-    out = cut.select(T.stable_id(F.col("doc_id"), F.col("section"), F.col("pos")).alias("chunk_id"), "doc_id", T.stable_id(F.col("doc_id"), F.col("section")).alias("parent_id"), "section", "ord", "pos", F.substring("body", F.col("pos") + 1, F.lit(size)).alias("text"), *keep)
-    return latest(out, ["doc_id", "section", "pos"], "ord").drop("ord")
+    starts = F.filter(T.windows(F.col("body"), size, overlap), lambda at: F.col("later").isNull() | (at > T.last_window(F.col("later"), size, overlap)))
+    cut = overwritten(docs).select(F.col("id").alias("doc_id"), *keep, "section", "body", F.explode(starts).alias("pos"))
+    return cut.select(T.stable_id(F.col("doc_id"), F.col("section"), F.col("pos")).alias("chunk_id"), "doc_id", T.stable_id(F.col("doc_id"), F.col("section")).alias("parent_id"), "section", "pos", F.substring("body", F.col("pos") + 1, F.lit(size)).alias("text"), *keep)
 
 
 def pages(classified: DataFrame) -> DataFrame:
-    """(page_id, doc_id, title, summary, body, section) of the documents of tiers A and B."""
-    rows = sectioned(classified.where("tier != 'C'"))
-    out = rows.select(T.stable_id(F.col("id"), F.col("section")).alias("page_id"), F.col("id").alias("doc_id"), "ord", F.when(F.col("section") == "", F.col("name")).otherwise(F.col("section")).alias("title"), F.substring("body", 1, 160).alias("summary"), "body", "section")
-    return latest(out, ["doc_id", "section"], "ord").drop("ord")
+    """(page_id, doc_id, title, summary, body, section) of the documents of tiers A and B; of sections with one title the last stays."""
+    rows = overwritten(classified.where("tier != 'C'")).where("later IS NULL")
+    return rows.select(T.stable_id(F.col("id"), F.col("section")).alias("page_id"), F.col("id").alias("doc_id"), F.when(F.col("section") == "", F.col("name")).otherwise(F.col("section")).alias("title"), F.substring("body", 1, 160).alias("summary"), "body", "section")
+
+
+def page_entities(pages: DataFrame, entities: DataFrame) -> DataFrame:
+    """(page_id, entity_id): the entities of a page's document whose name its body contains."""
+    both = pages.select("page_id", "doc_id", "body").join(entities.select("doc_id", "entity_id", "name"), "doc_id")
+    return both.where(F.contains("body", F.col("name"))).select("page_id", "entity_id").distinct()
+
+
+def contents(docs: DataFrame, **parts: DataFrame) -> DataFrame:
+    """docs (id) with n_<part>: how many rows of each of ``parts`` (doc_id) a document gave, 0 if none."""
+    out = docs.select("id")
+    for name, rows in parts.items():
+        own = rows.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias(f"n_{name}"))
+        out = out.join(own, "id", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
+    return out
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

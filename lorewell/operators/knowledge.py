@@ -124,6 +124,21 @@ def audit(decided: DataFrame) -> DataFrame:
     return decided.where("decision = 'executed'").select("seq", "action", "role", "actor", F.lit(1).alias("schema_version"), params.alias("params"), F.sha2(params, 256).alias("params_hash"))
 
 
+def applied(decided: DataFrame) -> DataFrame:
+    """(id, controlled, confidence, capacity, links): what executed actions make of the object that their
+    parameters name: marks control it, each review raises its confidence, the last revision sets its
+    capacity, links are counted. Actions that weren't executed change nothing."""
+    done = decided.where("decision = 'executed'").withColumn("id", F.try_element_at("params", F.lit("id"))).where("id IS NOT NULL")
+    of = lambda action: F.col("action") == action
+    value = F.try_element_at("params", F.lit("value")).try_cast("double")
+    return done.groupBy("id").agg(
+        F.bool_or(of("mark")).alias("controlled"),
+        F.least(F.lit(1.0), vocab.FACT_CONFIDENCE + 0.03 * F.count_if(of("review"))).alias("confidence"),
+        F.max_by(F.when(of("revise-capacity"), value), F.when(of("revise-capacity"), F.col("seq"))).alias("capacity"),
+        F.count_if(of("create_link")).alias("links"),
+    )
+
+
 def governed_writes(entities: DataFrame, relations: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What an ingest commits: object candidates, link candidates and pending marks of controlled documents."""
     objects = entities.join(docs.select(F.col("id").alias("doc_id"), "source_tier", "controlled", "seq"), "doc_id").select(F.col("entity_id").alias("id"), "seq", F.col("name").alias("title"), F.col("type").alias("object_type"), F.array().cast("array<string>").alias("aliases"), F.array("doc_id").alias("doc_ids"), "controlled", "source_tier")
@@ -136,9 +151,12 @@ def governed_writes(entities: DataFrame, relations: DataFrame, docs: DataFrame)
 
 def apply_verdicts(facts: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Facts (object_id, key, confidence) with the judge's verdicts (object_id, key, drop, valid_type,
-    supported, delta) applied: adds confidence and band (object_dropped, dropped, pending, keep)."""
+    supported, delta, and seq where one key may have several: the last counts) applied: adds confidence
+    and band (object_dropped, dropped, pending, keep)."""
     objects = verdicts.groupBy("object_id").agg(F.bool_or(F.col("drop") | ~F.col("valid_type")).alias("gone"))
-    v = verdicts.where("key IS NOT NULL").select("object_id", "key", "supported", "delta")
+    order = F.col("seq") if "seq" in verdicts.columns else F.lit(0)
+    last = verdicts.where("key IS NOT NULL").groupBy("object_id", "key").agg(F.max(F.struct(order.alias("seq"), "supported", "delta")).alias("l"))
+    v = last.select("object_id", "key", "l.supported", "l.delta")
     joined = facts.join(v, ["object_id", "key"], "left").join(objects, "object_id", "left")
     base = F.coalesce("confidence", F.lit(vocab.FACT_CONFIDENCE))
     moved = F.least(F.lit(1.0), F.greatest(F.lit(0.0), base + F.coalesce("delta", F.lit(0.0))))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -25,10 +26,21 @@ def metadata_filter(wanted: dict) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in wanted.items()], F.lit(True))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, len)."""
+@dataclass
+class Index:
+    """What a store keeps of the chunks for asking: postings (chunk_id, len, term, tf) and stats (n, avg_len)."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+
+def postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, term, tf, len); of the terms in ``only`` (term), which occurrences meet before they are shuffled."""
     t = chunks.select("chunk_id", T.tokens(F.col("text")).alias("t"))
-    return t.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("chunk_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    every = t.select("chunk_id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    if only is not None:
+        every = every.join(only, "term", "left_semi")
+    return every.groupBy("chunk_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -41,20 +53,24 @@ def doc_freq(post: DataFrame) -> DataFrame:
 
 
 def allowed(scored: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    """The scored rows whose chunk the role of the question may see."""
-    both = scored.join(chunks.select("chunk_id", "controlled"), "chunk_id").join(questions.select("query_id", "role"), "query_id")
+    """The scored rows whose chunk the role of the question may see, in its department if it names one."""
+    own = ["department"] if "department" in questions.columns else []
+    asked = questions.select("query_id", "role", *[F.col(c).alias("_wanted") for c in own])
+    both = scored.join(chunks.select("chunk_id", "controlled", *own), "chunk_id").join(asked, "query_id")
+    if own:
+        both = both.where("_wanted IS NULL OR department = _wanted").drop("_wanted", "department")
     return both.where(security.row_visible(F.col("role"), F.col("controlled"))).drop("role", "controlled")
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k: int = vocab.RECALL, where: Column | None = None, secure: bool = False) -> DataFrame:
+def bm25(chunks: DataFrame, questions: DataFrame, k: int = vocab.RECALL, where: Column | None = None, secure: bool = False, index: Index | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) of the k best chunks; ``where`` restricts chunks, not statistics.
 
-    Only postings of the questions' terms pass the join that the questions' few terms are broadcast to."""
-    post = postings(chunks)
+    Only occurrences of the questions' terms are counted and shuffled; with an ``index``, only its
+    postings of these terms are."""
     terms = questions.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
-    asked = post.join(terms.select("term").distinct(), "term", "left_semi")
+    asked = postings(chunks, terms.select("term").distinct()) if index is None else index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     df = doc_freq(asked)
-    hits = asked.join(df, "term").join(terms, "term").crossJoin(corpus_stats(chunks))
+    hits = asked.join(df, "term").join(terms, "term").crossJoin(F.broadcast(corpus_stats(chunks) if index is None else index.stats))
     if where is not None:
         hits = hits.join(chunks.where(where).select("chunk_id"), "chunk_id", "left_semi")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -74,10 +90,12 @@ def dense_hashed(chunks: DataFrame, questions: DataFrame, k: int = vocab.RECALL,
 
     A batch of few questions is carried to the chunks, which are hashed and scored batch by batch
     with each batch's k best kept; a larger one is joined to the chunks on buckets."""
-    asked = questions.select("query_id", "query", *(["role"] if secure else [])).limit(CARRIED + 1).collect()
+    within = secure and "department" in questions.columns
+    asked = questions.select("query_id", "query", *(["role"] if secure else []), *(["department"] if within else [])).limit(CARRIED + 1).collect()
     if len(asked) > CARRIED:
         return dense_joined(chunks, questions, k, secure)
     viewers = np.array([secure and q["role"] == "viewer" for q in asked], dtype=bool)
+    wanted = [q["department"] if within else None for q in asked]
     ids = np.array([q["query_id"] for q in asked])
     texts = [q["query"] for q in asked]
 
@@ -92,7 +110,10 @@ def dense_hashed(chunks: DataFrame, questions: DataFrame, k: int = vocab.RECALL,
             names, hidden = pdf["chunk_id"].to_numpy(), pdf["controlled"].to_numpy(dtype=bool)
             out = []
             for j in range(len(q)):
-                at = np.flatnonzero(common[:, j] & ~(hidden & viewers[j]))
+                seen = common[:, j] & ~(hidden & viewers[j])
+                if wanted[j] is not None:
+                    seen &= (pdf["department"] == wanted[j]).to_numpy(dtype=bool)
+                at = np.flatnonzero(seen)
                 s = np.floor((v[at] @ q[j] / norms[at] / lengths[j] + 1e-9) * 1e6 + 0.5) / 1e6
                 best = np.lexsort((names[at], -s))[:k]
                 out.append(pd.DataFrame({"query_id": ids[j], "chunk_id": names[at[best]], "score": s[best]}))
@@ -101,7 +122,7 @@ def dense_hashed(chunks: DataFrame, questions: DataFrame, k: int = vocab.RECALL,
 
     controlled = F.col("controlled") if secure else F.lit(False).alias("controlled")
     kind = questions.schema["query_id"].dataType.simpleString()
-    found = chunks.select("chunk_id", "text", controlled).where("text IS NOT NULL").mapInPandas(scored, f"query_id {kind}, chunk_id string, score double")
+    found = chunks.select("chunk_id", "text", controlled, *(["department"] if within else [])).where("text IS NOT NULL").mapInPandas(scored, f"query_id {kind}, chunk_id string, score double")
     return ranked(found, ["query_id"], [F.col("score").desc(), "chunk_id"], k)
 
 
@@ -117,10 +138,14 @@ def dense_joined(chunks: DataFrame, questions: DataFrame, k: int = vocab.RECALL,
 
 
 def vector_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank): exact cosine top-k of every query over all rows."""
+    """(query_id, id, score, rank): exact cosine top-k of every query over all rows.
+
+    Rows are dealt to as many blocks as there are shuffle partitions, and every query goes to each."""
+    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     v = rows.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), vectors.normalised(vectors.doubles(F.col(vec_col))).alias("v"))
-    q = queries.select("query_id", vectors.normalised(vectors.doubles(F.col("q"))).alias("q"))
-    scored = v.join(q, F.size("v") == F.size("q")).select("query_id", "id", F.round(vectors.dot(F.col("v"), F.col("q")) + 1e-9, 6).alias("score"))
+    v = v.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    q = queries.select("query_id", vectors.normalised(vectors.doubles(F.col("q"))).alias("q")).withColumn("dim", F.size("q"))
+    scored = v.join(q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))), ["dim", "block"]).select("query_id", "id", F.round(vectors.dot(F.col("v"), F.col("q")) + 1e-9, 6).alias("score"))
     return ranked(scored, ["query_id"], [F.col("score").desc(), "id"], k)
 
 

@@ -40,11 +40,12 @@ class Engine:
     def ask(self, questions: DataFrame) -> DataFrame:
         return retrieval.ask(questions, self.chunks, self.pages)
 
-    def ask_one(self, query: str, role: str = "analyst") -> dict:
-        """One question, cached until the next write."""
-        key = (role, query, self.version)
+    def ask_one(self, query: str, role: str = "analyst", department: str | None = None) -> dict:
+        """One question, in one department or all, cached until the next write."""
+        key = (role, department, query, self.version)
         if key not in self.cache:
-            self.cache[key] = self.ask(self.spark.createDataFrame([(1, query, role)], "query_id int, query string, role string")).first().asDict()
+            asked = self.spark.createDataFrame([(1, query, role, department)], "query_id int, query string, role string, department string")
+            self.cache[key] = self.ask(asked).first().asDict()
         return self.cache[key]
 
     def run_actions(self, log: DataFrame) -> DataFrame:
