@@ -9,16 +9,17 @@ documents share last (by a sketch over all documents that grows with them), so t
 hardly occur in prefixes.
 
 Groups of alike documents are contracted, so that pairs of one component are not made: equal sets
-first, then links to the smallest document of each shingle's list. Lists that still hold several
-components are multiplied by themselves if they are short. Long ones first go through rounds that pair
-each document with a few neighbours of its list, as long as that links components; the documents
-that are left are dealt to blocks, and pairs of blocks that share a long list are multiplied whole, in
+first, then links to the smallest document of each shingle's list, then, where lists that still hold
+several components are long, rounds that pair each document with the next in a common order, as long
+as they join components. What is left of the lists is multiplied by itself. The documents of the
+longest lists are dealt to blocks, and pairs of blocks that share such a list are multiplied whole, in
 one task each, over all their shingles, and only links that join components leave it. Nothing is left
 out but pairs of one component, so that components are exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 
 import numpy as np
@@ -34,8 +35,8 @@ CELLS, CELLS_MOST, CELL_BYTES = 1 << 16, 1 << 20, 1 << 14
 DEVIATIONS, SLACK = 8, 64
 #: Bits of the filter that keeps texts out of the shuffle that no pair asks for.
 FILTER_BITS, FILTER_MOST = 1 << 16, 1 << 26
-#: Documents from which on a list is long, and from which on it goes through rounds; neighbours in a round; share of documents that a round has to link for another.
-LONG, ROUNDS_FROM, NEIGHBOURS, ROUND_SHARE = 64, 8192, 8, 0.1
+#: Documents from which on a list goes through rounds, and from which on through blocks; share of documents that a round has to link for another.
+LONG, BLOCKS_FROM, ROUND_SHARE = 64, 1024, 0.02
 #: Documents and shingles of a block, and columns of a product at a time.
 BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 21, 4096
 
@@ -127,12 +128,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.select("a", "b", "text_a", "text_b").mapInPandas(overlaps, "a long, b long")
 
 
-def _bounded(met: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the rows (id, n, end of each side, one for each common shingle) that their overlap in the prefixes doesn't rule out."""
-    counted = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("common"), *[F.max(c).alias(c) for c in ("n_a", "n_b", "end_a", "end_b")])
+def _bounded(met: DataFrame, percent: int, *more: str) -> DataFrame:
+    """(a, b, ...) of the rows (id, n, end of each side, one for each common shingle) that their overlap in the prefixes doesn't rule out."""
+    counted = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("common"), *[F.max(c).alias(c) for c in ("n_a", "n_b", "end_a", "end_b", *more)])
     rest = {s: f"(n_{s} - (n_{s} - (n_{s} * {percent} + 99) div 100 + 1))" for s in "ab"}
     bound = f"common + CASE WHEN end_a < end_b THEN {rest['a']} WHEN end_a > end_b THEN {rest['b']} ELSE greatest({rest['a']}, {rest['b']}) END"
-    return counted.where(f"{100 + percent} * ({bound}) >= {percent} * (n_a + n_b)").select("a", "b")
+    return counted.where(f"{100 + percent} * ({bound}) >= {percent} * (n_a + n_b)").select("a", "b", *more)
 
 
 def sizes_fit(percent: int, a: str = "n_a", b: str = "n_b") -> str:
@@ -152,16 +153,17 @@ def _still_open(lists: DataFrame) -> DataFrame:
 
 
 def _neighbours(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b, c_a, c_b): each document and the NEIGHBOURS before it in one of its lists.
+    """(a, b, c_a, c_b): documents of different components that are neighbours in lists (h, id, n, end, c, size).
 
-    The list is that with the least hash in this turn, which alike documents often agree on; in
-    lists of some thousand the order by hash is cut into parts, so that a task sorts few rows."""
-    own = lists.groupBy("id").agg(F.min(F.struct(F.xxhash64("h", F.lit(turn)), "h", "size", "n", "c")).alias("l")).select("id", "l.h", "l.size", "l.n", "l.c")
-    dealt = own.select("h", F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / BLOCK_DOCS)).alias("part"), F.struct("id", "n", "c").alias("row"), F.xxhash64("id", F.lit(turn), F.lit(1)).alias("place"))
-    w = Window.partitionBy("h", "part").orderBy("place")
-    near = dealt.withColumn("others", F.collect_list("row").over(w.rowsBetween(-NEIGHBOURS, -1))).select("row", F.explode("others").alias("other"))
-    pairs = near.where(f"row.c != other.c AND {sizes_fit(percent, 'row.n', 'other.n')}")
-    return pairs.select(*[f(f"row.{x}", f"other.{x}").alias(y) for x, y, f in (("id", "a", F.least), ("id", "b", F.greatest))], F.least("row.c", "other.c").alias("c_a"), F.greatest("row.c", "other.c").alias("c_b")).distinct()
+    All lists have the same order, by a hash of the id and the turn, so that neighbours among alike
+    documents are so in every list that both are in, and their overlap bounds them as in a product;
+    those that others part in some lists may be passed over, as a round may. There are no more pairs
+    than rows. Long lists are cut into parts along the order, so that a task sorts few rows."""
+    place = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 30))
+    dealt = lists.withColumn("place", place).withColumn("part", F.floor(F.col("place") / (1 << 30) * F.ceil(F.col("size") / BLOCK_DOCS)))
+    follows = F.lead(F.struct("id", "n", "end", "c")).over(Window.partitionBy("h", "part").orderBy("place", "id"))
+    near = dealt.withColumn("o", follows).where(f"c != o.c AND {sizes_fit(percent, 'n', 'o.n')}")
+    return _bounded(near.select(*[F.col(x + c).alias(f"{c}_{s}") for x, s in (("", "a"), ("o.", "b")) for c in ("id", "n", "end", "c")]), percent, "c_a", "c_b")
 
 
 def overlaps_of(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -210,24 +212,27 @@ def forest(pairs: np.ndarray) -> np.ndarray:
 def _block_links(lists: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b) links that join components among the documents of long lists (h, id, n, c).
 
-    Documents with the same least shingle lie together in blocks of some BLOCK_DOCS documents or
+    Documents lie in bands of sizes, so that only neighbouring bands can hold a link, and in a band
+    those with the same least shingle lie together, in blocks of some BLOCK_DOCS documents or
     BLOCK_SHINGLES shingles, which take turns by hash where one shingle has more. Pairs of blocks that
     share a list and hold several components are multiplied whole."""
-    own = checkpoint(lists.groupBy("id", "n", "c").agg(F.min("h").alias("lead")))
-    count = own.count()
-    groups = own.groupBy("lead").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
-    few = max(1, -(-count // BLOCK_DOCS))
-    cell, part = F.pmod(F.xxhash64("lead"), F.lit(few)), F.pmod(F.xxhash64("id"), F.col("parts"))
+    # a little wider than the largest ratio of sizes that a link allows, so that rounding can't part two of them by two bands
+    band = F.floor(F.log("n") / (max(math.log(100 / percent), 1e-3) * (1 + 1e-9)))
+    own = checkpoint(lists.groupBy("id", "n", "c").agg(F.min("h").alias("lead")).withColumn("band", band))
+    parts = lambda docs: F.greatest(F.ceil(F.count(F.lit(1)) / (docs * BLOCK_DOCS)), F.ceil(F.sum("n") / (docs * BLOCK_SHINGLES)))
+    groups = own.groupBy("band", "lead").agg(parts(1).alias("parts"))
+    bands = own.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("few"))
+    cell, part = F.pmod(F.xxhash64("lead"), F.col("few")), F.pmod(F.xxhash64("id"), F.col("parts"))
     # one large group of the same least shingle has blocks of its own
-    block = F.when(F.col("parts") > 1, F.xxhash64("lead", part)).otherwise(cell)
-    placed = own.join(groups, "lead").select("id", "n", "c", block.alias("block"))
-    cut = placed.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / (2 * BLOCK_DOCS)), F.ceil(F.sum("n") / (2 * BLOCK_SHINGLES))).alias("more"))
-    placed = checkpoint(placed.join(cut, "block").select("id", "c", F.xxhash64("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("more"))).alias("block")))
-    held = lists.join(placed.select("id", "block"), "id").groupBy("h", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    side = lambda s: held.select("h", *[F.col(x).alias(f"{x}_{s}") for x in ("block", "low", "high")])
-    mixed = "block_a <= block_b AND NOT (low_a = high_a AND low_b = high_b AND low_a = low_b)"
+    block = F.when(F.col("parts") > 1, F.xxhash64("band", "lead", part)).otherwise(F.xxhash64("band", cell))
+    placed = own.join(groups, ["band", "lead"]).join(bands, "band").select("id", "n", "c", "band", block.alias("block"))
+    cut = placed.groupBy("block").agg(parts(2).alias("more"))
+    placed = checkpoint(placed.join(cut, "block").select("id", "c", "band", F.xxhash64("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("more"))).alias("block")))
+    held = lists.join(placed.select("id", "band", "block"), "id").groupBy("h", "band", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    side = lambda s: held.select("h", *[F.col(x).alias(f"{x}_{s}") for x in ("band", "block", "low", "high")])
+    mixed = "block_a <= block_b AND abs(band_a - band_b) <= 1 AND NOT (low_a = high_a AND low_b = high_b AND low_a = low_b)"
     meets = checkpoint(side("a").join(side("b"), "h").where(mixed).select("block_a", "block_b").distinct())
-    texts = wanted(docs, placed.select("id").distinct()).join(placed, "id")
+    texts = wanted(docs, placed.select("id").distinct()).join(placed.drop("band"), "id")
     ends = meets.select("block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
     both = ends.join(texts, "block").select("block_a", "block_b", "block", "id", "c", "text")
 
@@ -251,21 +256,21 @@ def _block_links(lists: DataFrame, docs: DataFrame, k: int, percent: int) -> Dat
     return both.groupBy("block_a", "block_b").applyInPandas(product, "a long, b long")
 
 
-def _long_links(lists: DataFrame, docs: DataFrame, k: int, percent: int, rounds_from: int = ROUNDS_FROM) -> DataFrame:
-    """(a, b) links that join components of the long lists (h, id, n, c, size).
+def _rounds(lists: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame | None, DataFrame]:
+    """Links (a, b) that join components of long lists, and the lists (h, ..., c, size) that are open after them.
 
-    Lists of over ``rounds_from`` documents, whose blocks would be many, first go through rounds, as
-    long as a round links a good part of their documents; what is left goes to blocks."""
+    Rounds go on as long as they link a part of the documents in long lists that is worth one."""
     found, turn, more = None, 0, True
-    while more and not (longest := lists.where(f"size > {rounds_from}")).isEmpty():
-        pairs = checkpoint(_neighbours(longest, turn, percent))
+    while more and not (long := lists.where(f"size > {LONG}")).isEmpty():
+        pairs = checkpoint(_neighbours(long, turn, percent))
         new = checkpoint(_verified(pairs.select("a", "b"), docs, k, percent).distinct().join(pairs, ["a", "b"]))
-        turn, more = turn + 1, new.count() > ROUND_SHARE * longest.select("id").distinct().count()
-        found = new.select("a", "b") if found is None else found.unionByName(new.select("a", "b"))
-        moved = connected_components(new.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("node").alias("c"), "component")
-        lists = checkpoint(_still_open(lists.drop("size").join(moved, "c", "left").select("h", "id", "n", F.coalesce("component", "c").alias("c"))))
-    blocks = _block_links(lists, docs, k, percent)
-    return blocks if found is None else found.unionByName(blocks)
+        linked = new.count()
+        turn, more = turn + 1, linked > ROUND_SHARE * long.select("id").distinct().count()
+        if linked:
+            found = new.select("a", "b") if found is None else found.unionByName(new.select("a", "b"))
+            moved = connected_components(new.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("node").alias("c"), "component")
+            lists = checkpoint(_still_open(lists.drop("size").join(moved, "c", "left").select("h", "id", "n", "end", F.coalesce("component", "c").alias("c"))))
+    return found, lists
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -330,10 +335,13 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str
     members = listed.drop("l").join(near.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     lists = checkpoint(_still_open(members))
     edges = links.unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    # a pair that shares a long list is met there, whatever the short ones make of it
-    long = lists.where(f"size > {LONG}").drop("end")
-    if not long.isEmpty():
-        edges = edges.unionByName(checkpoint(_long_links(long, source, k, percent)))
-    edges = edges.unionByName(_verified(checkpoint(_square(lists.where(f"size <= {LONG}"), percent)), source, k, percent))
+    found, lists = _rounds(lists, source, k, percent)
+    if found is not None:
+        edges = edges.unionByName(found)
+    # a pair that shares one of the longest lists is met in blocks, whatever the other lists make of it
+    longest = lists.where(f"size > {BLOCKS_FROM}").drop("end")
+    if not longest.isEmpty():
+        edges = edges.unionByName(checkpoint(_block_links(longest, source, k, percent)))
+    edges = edges.unionByName(_verified(checkpoint(_square(lists.where(f"size <= {BLOCKS_FROM}"), percent)), source, k, percent))
     components = connected_components(edges).select(F.col("node").alias("id"), "component")
     return rows.join(components, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

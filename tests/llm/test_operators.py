@@ -228,6 +228,23 @@ def test_jaccard_groups_equal_brute_force(spark, odd, empty):
     assert jaccard.jaccard_groups(odd).count() == len(ODD) + 2 and jaccard.jaccard_groups(empty).count() == 0
 
 
+def test_long_lists_equal_brute_force(spark, monkeypatch):
+    """Near copies of which no document is the centre, and passages in documents of all sizes, with rounds and small blocks."""
+    r = random.Random(11)
+    docs, shared = {}, prose(500, 30)
+    for g in range(3):
+        base = prose(200 + g, 60).split()
+        for _ in range(25):
+            gone = r.randrange(50)
+            docs[len(docs)] = " ".join(base[:gone] + base[gone + r.randint(0, 12) :])
+    for _ in range(40):
+        docs[len(docs)] = shared + " " + prose(r.random(), r.choice([2, 6, 8, 30, 100]))
+    for name, value in (("LONG", 4), ("BLOCKS_FROM", 10), ("BLOCK_DOCS", 8), ("BLOCK_SHINGLES", 600), ("ROUND_SHARE", 0.1)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.jaccard_groups(rows).collect()} == brute_groups(docs)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (102, 102), (None, 5), (200, 100)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
