@@ -129,11 +129,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 
 def _bounded(met: DataFrame, percent: int, *more: str) -> DataFrame:
-    """(a, b, ...) of the rows (id, n, end of each side, one for each common shingle) that their overlap in the prefixes doesn't rule out."""
-    counted = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count(F.lit(1)).alias("common"), *[F.max(c).alias(c) for c in ("n_a", "n_b", "end_a", "end_b", *more)])
+    """(a, b, ...) of the rows (id, n, end of each side, one for each common shingle) that their overlap in the prefixes doesn't rule out.
+
+    Texts under one id are told apart by size and end, so that each pair of them has its own bound."""
+    sides = [F.col(f"{c}_{s}") for s in "ab" for c in ("id", "n", "end")]
+    counted = met.groupBy(*sides).agg(F.count(F.lit(1)).alias("common"), *[F.max(c).alias(c) for c in more])
     rest = {s: f"(n_{s} - (n_{s} - (n_{s} * {percent} + 99) div 100 + 1))" for s in "ab"}
     bound = f"common + CASE WHEN end_a < end_b THEN {rest['a']} WHEN end_a > end_b THEN {rest['b']} ELSE greatest({rest['a']}, {rest['b']}) END"
-    return counted.where(f"{100 + percent} * ({bound}) >= {percent} * (n_a + n_b)").select("a", "b", *more)
+    return counted.where(f"{100 + percent} * ({bound}) >= {percent} * (n_a + n_b)").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), *more).distinct()
 
 
 def sizes_fit(percent: int, a: str = "n_a", b: str = "n_b") -> str:

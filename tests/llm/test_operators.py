@@ -245,6 +245,19 @@ def test_long_lists_equal_brute_force(spark, monkeypatch):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.jaccard_groups(rows).collect()} == brute_groups(docs)
 
 
+def test_rows_that_repeat_an_id_link_by_each_text(spark):
+    """Two texts of like size under one id, one in the other, and a document that only the shorter one is near enough to."""
+    rows = []
+    for g in range(40):
+        words = prose(3000 + g, 100).split()
+        near = [f"{w}x" if i in (30, 60) else w for i, w in enumerate(words)]
+        rows += [(10 * g + 1, " ".join(words)), (10 * g + 1, prose(4000 + g, 20) + " " + " ".join(words)), (10 * g, " ".join(near)), (10 * g + 2, prose(5000 + g, 100))]
+    got = {}
+    for x in jaccard.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(x["doc_id"], set()).add(x["component_id"])
+    assert got == {10 * g + i: {10 * g + (2 if i == 2 else 0)} for g in range(40) for i in range(3)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (102, 102), (None, 5), (200, 100)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
