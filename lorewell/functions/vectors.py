@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -20,10 +21,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row: inside a lambda it would be for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalised(v: Column) -> Column:
     """v over its length; a zero vector stays as it is."""
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    over = lambda s: F.transform(s["v"], lambda x: x / F.when(s["n"] == 0, F.lit(1.0)).otherwise(s["n"]))
+    return bound(v, lambda w: bound(F.struct(w.alias("v"), F.sqrt(dot(w, w)).alias("n")), over))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -36,12 +42,12 @@ def int8_scale(v: Column) -> Column:
 
 
 def int8_codes(v: Column) -> Column:
-    s = int8_scale(v)
-    return F.transform(v, lambda x: F.least(F.greatest(F.rint(x / s), F.lit(-127.0)), F.lit(127.0)).cast("tinyint"))
+    code = lambda x, s: F.least(F.greatest(F.rint(x / s), F.lit(-127.0)), F.lit(127.0)).cast("tinyint")
+    return bound(F.struct(v.alias("v"), int8_scale(v).alias("s")), lambda b: F.transform(b["v"], lambda x: code(x, b["s"])))
 
 
 def int8_decoded(codes: Column, scale: Column) -> Column:
-    return F.transform(codes, lambda c: c * scale)
+    return bound(F.struct(codes.alias("c"), scale.alias("s")), lambda b: F.transform(b["c"], lambda c: c * b["s"]))
 
 
 def truncated(v: Column, dims: int) -> Column:

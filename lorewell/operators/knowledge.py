@@ -214,7 +214,8 @@ def top_communities(questions: DataFrame, summaries: DataFrame, k: int = vocab.C
     """(query_id, community, confidence, rank): the summaries that score best for each global question."""
     scored = summaries.crossJoin(F.broadcast(questions.select("query_id", "query"))).withColumn("score", F.round(T.rerank_score(T.rerank_parts(F.col("query"), F.col("summary"))) + 1e-9, 6))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "community")
-    return scored.withColumn("rank", F.row_number().over(w) - 1).where(f"rank < {k}").select("query_id", "community", F.bround(F.least(F.lit(1.0), "score"), 3).alias("confidence"), "rank")
+    best = scored.withColumn("rank", F.row_number().over(w)).where(f"rank <= {k}").withColumn("rank", F.col("rank") - 1)
+    return best.select("query_id", "community", F.bround(F.least(F.lit(1.0), "score"), 3).alias("confidence"), "rank")
 
 
 # --- resolution -------------------------------------------------------------------------------

@@ -16,9 +16,10 @@ from ..functions import text as T
 
 
 def ranked(rows: DataFrame, keys: list[str], order: list, k: int | None = None, name: str = "rank") -> DataFrame:
-    """rows with a rank from 0 within keys; the k first. Spark cuts each partition to k before it shuffles."""
-    out = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    return out.where(F.col(name) < k) if k else out
+    """rows with a rank from 0 within keys; the k first. The filter is on the bare row number, so that
+    Spark cuts each partition to k before it shuffles."""
+    out = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return (out.where(F.col(name) <= k) if k else out).withColumn(name, F.col(name) - 1)
 
 
 def metadata_filter(wanted: dict) -> Column:
@@ -142,9 +143,10 @@ def vector_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
 
     Rows are dealt to as many blocks as there are shuffle partitions, and every query goes to each."""
     blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    v = rows.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), vectors.normalised(vectors.doubles(F.col(vec_col))).alias("v"))
-    v = v.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    q = queries.select("query_id", vectors.normalised(vectors.doubles(F.col("q"))).alias("q")).withColumn("dim", F.size("q"))
+    # lengths are taken from the raw columns: Spark infers filters from join keys and puts them at the scan
+    v = rows.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.size(vec_col).alias("dim"), vectors.normalised(vectors.doubles(F.col(vec_col))).alias("v"))
+    v = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    q = queries.select("query_id", F.size("q").alias("dim"), vectors.normalised(vectors.doubles(F.col("q"))).alias("q"))
     scored = v.join(q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))), ["dim", "block"]).select("query_id", "id", F.round(vectors.dot(F.col("v"), F.col("q")) + 1e-9, 6).alias("score"))
     return ranked(scored, ["query_id"], [F.col("score").desc(), "id"], k)
 
