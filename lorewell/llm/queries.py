@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, jaccard, line_dedup, packing, passages, prefix_trie, quality, token_counts, topk_search, vector_dedup
+from . import byte_bpe, chat, jaccard, line_dedup, packing, passages, personal_data, prefix_trie, quality, token_counts, topk_search, vector_dedup
 
 
 def _table(spark, sf_dir: str, name: str):
@@ -65,13 +65,17 @@ def op10_vector_dedup(spark, sf_dir: str):
     return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_personal_data(spark, sf_dir: str):
+    return personal_data.find_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_prefix_trie(spark, sf_dir: str):
     return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_chat_formatting, op3_byte_bpe, op4_substring_dedup, op5_packing, op6_line_dedup, op7_jaccard_join, op8_topk_search, op9_quality, op10_vector_dedup, op12_prefix_trie)
+    for f in (op1_token_counts, op2_chat_formatting, op3_byte_bpe, op4_substring_dedup, op5_packing, op6_line_dedup, op7_jaccard_join, op8_topk_search, op9_quality, op10_vector_dedup, op11_personal_data, op12_prefix_trie)
 }
 
 OP8_SQL = """
@@ -89,5 +93,6 @@ ORACLE_SQL = {
     "op2_chat_formatting": chat.FORMAT_CHATS_SQL,
     "op6_line_dedup": line_dedup.DEDUP_LINES_SQL,
     "op8_topk_search": OP8_SQL,
+    "op11_personal_data": personal_data.PERSONAL_DATA_SQL,
     "op12_prefix_trie": prefix_trie.PREFIX_TRIE_SQL,
 }
