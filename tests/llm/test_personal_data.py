@@ -25,7 +25,8 @@ def luhn(d):
 def base(text):
     out = []
     for kind, pattern in PLAIN.items():
-        for m in re.finditer(pattern, text or ""):
+        # Python takes quadratic time over long runs that no match ends
+        for m in re.finditer(pattern, text or "") if P.RULES[kind][0] in (text or "") else ():
             d = re.sub("[^0-9]", "", m[0])
             fine = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}
             if fine[kind]:
