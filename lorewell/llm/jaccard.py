@@ -10,11 +10,12 @@ hardly occur in prefixes.
 
 Groups of alike documents are contracted, so that pairs of one component are not made: equal sets
 first, then links to the smallest document of each shingle's list, then, where lists that still hold
-several components are long, rounds that pair each document with the next in a common order, as long
-as they join components. What is left of the lists is multiplied by itself. The documents of the
-longest lists are dealt to blocks, and pairs of blocks that share such a list are multiplied whole, in
-one task each, over all their shingles, and only links that join components leave it. Nothing is left
-out but pairs of one component, so that components are exact.
+several components are not short, links to neighbours in orders by likeness (a few passes over
+minimum hashes, whose pairs are in proportion to the documents). What is left of short lists is
+multiplied by itself; documents of longer ones are dealt to blocks, and pairs of blocks are multiplied
+in one task each, over all the shingles of those documents that share a list with the other block.
+Only links that join components leave it. Nothing is left out but pairs of one component, so that
+components are exact.
 """
 
 from __future__ import annotations
@@ -35,10 +36,12 @@ CELLS, CELLS_MOST, CELL_BYTES = 1 << 16, 1 << 20, 1 << 14
 DEVIATIONS, SLACK = 8, 64
 #: Bits of the filter that keeps texts out of the shuffle that no pair asks for.
 FILTER_BITS, FILTER_MOST = 1 << 16, 1 << 26
-#: Documents from which on a list goes through rounds, and from which on through blocks; share of documents that a round has to link for another.
-LONG, BLOCKS_FROM, ROUND_SHARE = 64, 1024, 0.02
-#: Documents and shingles of a block, and columns of a product at a time.
-BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 21, 4096
+#: Documents from which on a list takes part in passes, and from which on in blocks.
+LONG, BLOCKS_FROM = 16, 64
+#: Minimum hashes of a document, orders in a pass, passes, and equal hashes that neighbours need to be looked at.
+BINS, ORDERS, PASSES, AGREE = 16, 8, 2, 8
+#: Documents and shingles of a block, columns of a dense product at a time, cells of a column up to which it is sparse, cells at a time.
+BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS, SPARSE, CELLS_AT_ONCE = 1024, 1 << 21, 4096, 4096, 1 << 22
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -68,6 +71,12 @@ def prefix_length(n, percent: int):
     return n - (n * percent + 99) // 100 + 1
 
 
+def signature(found: np.ndarray) -> np.ndarray:
+    """The least shingle of each of BINS ranges of hashes (the next one's where a range is empty)."""
+    bounds = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+    return found[np.minimum(np.searchsorted(found, bounds), len(found) - 1)].view(np.int64)
+
+
 def heavy_cells(counts: np.ndarray) -> np.ndarray:
     middle = float(np.median(counts))
     return counts > middle + DEVIATIONS * np.sqrt(middle) + SLACK
@@ -155,40 +164,62 @@ def _still_open(lists: DataFrame) -> DataFrame:
     return lists.join(mixed.select("h", "size"), "h")
 
 
-def _neighbours(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b, c_a, c_b): documents of different components that are neighbours in lists (h, id, n, end, c, size).
+def _alike(docs: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b, c_a, c_b): documents (id, n, c, sig) of different components that are neighbours in orders by likeness.
 
-    All lists have the same order, by a hash of the id and the turn, so that neighbours among alike
-    documents are so in every list that both are in, and their overlap bounds them as in a product;
-    those that others part in some lists may be passed over, as a round may. There are no more pairs
-    than rows. Long lists are cut into parts along the order, so that a task sorts few rows."""
-    place = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 30))
-    dealt = lists.withColumn("place", place).withColumn("part", F.floor(F.col("place") / (1 << 30) * F.ceil(F.col("size") / BLOCK_DOCS)))
-    follows = F.lead(F.struct("id", "n", "end", "c")).over(Window.partitionBy("h", "part").orderBy("place", "id"))
-    near = dealt.withColumn("o", follows).where(f"c != o.c AND {sizes_fit(percent, 'n', 'o.n')}")
-    return _bounded(near.select(*[F.col(x + c).alias(f"{c}_{s}") for x, s in (("", "a"), ("o.", "b")) for c in ("id", "n", "end", "c")]), percent, "c_a", "c_b")
+    An order sorts by the minimum hashes, each order by others first, so that the most alike lie side
+    by side. It is cut into ranges, whatever the size of a group; the last of one range doesn't meet
+    the first of the next. There are at most ORDERS pairs for each document."""
+    ways = [np.random.default_rng([7, turn, r]).permutation(BINS).tolist() for r in range(ORDERS)]
+    keys = F.array(*[F.array(*[F.get("sig", F.lit(i)) for i in way]) for way in ways])
+    laid = docs.select("id", "n", "c", "sig", F.posexplode(keys).alias("r", "key")).repartitionByRange("r", "key", "id").withColumn("part", F.spark_partition_id())
+    follows = F.lead(F.struct("id", "n", "c", "sig")).over(Window.partitionBy("r", "part").orderBy("key", "id"))
+    agree = F.size(F.filter(F.zip_with("sig", "o.sig", lambda x, y: x == y), lambda x: x)) >= AGREE
+    near = laid.withColumn("o", follows).where(f"c != o.c AND {sizes_fit(percent, 'n', 'o.n')}").where(agree)
+    swap = F.col("id") > F.col("o.id")
+    ends = [F.when(swap, F.col(f"{x}{c}")).otherwise(F.col(f"{y}{c}")).alias(f"{to}{s}") for c, to in (("id", ""), ("c", "c_")) for x, y, s in (("o.", "", "a"), ("", "o.", "b"))]
+    return near.select(*ends).distinct()
 
 
 def overlaps_of(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     """The sizes of all intersections of sorted sets of ``one`` with those of ``two``: a product of the
-    incidence matrices, over the shingles that occur on both sides, COLUMNS of them at a time."""
+    incidence matrices over the shingles that occur on both sides. Columns with few cells are added
+    cell by cell, the others as dense matrices, COLUMNS of them at a time."""
     out = np.zeros((len(one), len(two)), dtype=np.float32)
     columns = np.intersect1d(np.concatenate(one), np.concatenate(two))
-    sides = []
+    if not len(columns):
+        return out
+    sides, sizes = [], []
     for sets in (one, two):
         rows, every = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
         at = np.searchsorted(columns, every)
         at[at == len(columns)] = 0
-        hit = columns[at] == every if len(columns) else np.zeros(len(every), dtype=bool)
-        at, rows = at[hit], rows[hit]
-        order = np.argsort(at, kind="stable")
-        sides.append((at[order], rows[order], len(sets)))
-    for low in range(0, len(columns), COLUMNS):
-        parts = []
-        for at, rows, n in sides:
-            a, b = np.searchsorted(at, (low, low + COLUMNS))
-            m = np.zeros((n, min(COLUMNS, len(columns) - low)), dtype=np.float32)
-            m[rows[a:b], at[a:b] - low] = 1
+        hit = columns[at] == every
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], rows[hit][order]))
+        sizes.append(np.bincount(at[hit], minlength=len(columns)))
+    cells = sizes[0] * sizes[1]
+    # sparse columns: every row of the one side with all of the other
+    light = cells[sides[0][0]] <= SPARSE
+    at, rows = (x[light] for x in sides[0])
+    first = np.concatenate([[0], np.cumsum(sizes[1])[:-1]])
+    ends = np.cumsum(sizes[1][at])
+    low = 0
+    while low < len(at):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CELLS_AT_ONCE, "right")))
+        reps = sizes[1][at[low:high]]
+        inside = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        other = sides[1][1][np.repeat(first[at[low:high]], reps) + inside]
+        out += np.bincount(np.repeat(rows[low:high], reps) * len(two) + other, minlength=out.size).reshape(out.shape)
+        low = high
+    heavy = np.flatnonzero(cells > SPARSE)
+    for low in range(0, len(heavy), COLUMNS):
+        own, parts = heavy[low : low + COLUMNS], []
+        for (at, rows), n in zip(sides, out.shape):
+            spot = np.minimum(np.searchsorted(own, at), len(own) - 1)
+            hit = own[spot] == at
+            m = np.zeros((n, len(own)), dtype=np.float32)
+            m[rows[hit], spot[hit]] = 1
             parts.append(m)
         out += parts[0] @ parts[1].T
     return out
@@ -231,25 +262,32 @@ def _block_links(lists: DataFrame, docs: DataFrame, k: int, percent: int) -> Dat
     placed = own.join(groups, ["band", "lead"]).join(bands, "band").select("id", "n", "c", "band", block.alias("block"))
     cut = placed.groupBy("block").agg(parts(2).alias("more"))
     placed = checkpoint(placed.join(cut, "block").select("id", "c", "band", F.xxhash64("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("more"))).alias("block")))
-    held = lists.join(placed.select("id", "band", "block"), "id").groupBy("h", "band", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    rows = checkpoint(lists.select("h", "id").join(placed.select("id", "c", "band", "block"), "id"))
+    held = rows.groupBy("h", "band", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     side = lambda s: held.select("h", *[F.col(x).alias(f"{x}_{s}") for x in ("band", "block", "low", "high")])
     mixed = "block_a <= block_b AND abs(band_a - band_b) <= 1 AND NOT (low_a = high_a AND low_b = high_b AND low_a = low_b)"
-    meets = checkpoint(side("a").join(side("b"), "h").where(mixed).select("block_a", "block_b").distinct())
-    texts = wanted(docs, placed.select("id").distinct()).join(placed.drop("band"), "id")
-    ends = meets.select("block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
-    both = ends.join(texts, "block").select("block_a", "block_b", "block", "id", "c", "text")
+    meets = checkpoint(side("a").join(side("b"), "h").where(mixed).select("h", "block_a", "block_b").distinct())
+    # of a block only those documents go to a meeting that are in a list of the other block
+    ends = meets.select("h", "block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+    sent = ends.join(rows.select("h", "block", "id", "c"), ["h", "block"]).select("block_a", "block_b", "block", "id", "c").distinct()
+
+    @tidied
+    def made(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "words": [shingles(t, k).tobytes() for t in pdf["text"]]})
+
+    both = sent.join(checkpoint(wanted(docs, placed.select("id").distinct()).mapInPandas(made, "id long, words binary")), "id")
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = int(pdf["block_a"].iloc[0]), int(pdf["block_b"].iloc[0])
         sides = []
-        for x in (a, b):
+        for x in (a, b)[: 1 + (a != b)]:
             rows = pdf[pdf["block"] == x]
-            sets = [shingles(t, k) for t in rows["text"]]
+            sets = [np.frombuffer(w, np.uint64) for w in rows["words"]]
             sides.append((rows["id"].to_numpy(np.int64), rows["c"].to_numpy(np.int64), sets, np.array([len(y) for y in sets], dtype=np.float64)))
-            if a == b:
-                sides.append(sides[0])
-                break
-        (i, c, one, n), (j, d, two, m) = sides
+        (i, c, one, n), (j, d, two, m) = sides[0], sides[-1]
+        if not len(i) or not len(j):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         common = overlaps_of(one, two).astype(np.float64)
         linked = (100 * common >= percent * (n[:, None] + m[None, :] - common)) & (c[:, None] != d[None, :])
         x, y = np.nonzero(linked)
@@ -259,20 +297,20 @@ def _block_links(lists: DataFrame, docs: DataFrame, k: int, percent: int) -> Dat
     return both.groupBy("block_a", "block_b").applyInPandas(product, "a long, b long")
 
 
-def _rounds(lists: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame | None, DataFrame]:
-    """Links (a, b) that join components of long lists, and the lists (h, ..., c, size) that are open after them.
+def _passes(lists: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[list[DataFrame], DataFrame]:
+    """Links (a, b) that join components of longer lists, and the lists (h, ..., c, size) that are open after them.
 
-    Rounds go on as long as they link a part of the documents in long lists that is worth one."""
-    found, turn, more = None, 0, True
-    while more and not (long := lists.where(f"size > {LONG}")).isEmpty():
-        pairs = checkpoint(_neighbours(long, turn, percent))
+    There are PASSES passes at most, whatever they find, each with a few pairs for each document."""
+    found = []
+    for turn in range(PASSES):
+        long = lists.where(f"size > {LONG}").select("id", "n", "end", "c").distinct()
+        pairs = checkpoint(_alike(long.join(signed, ["id", "n", "end"]), turn, percent))
         new = checkpoint(_verified(pairs.select("a", "b"), docs, k, percent).distinct().join(pairs, ["a", "b"]))
-        linked = new.count()
-        turn, more = turn + 1, linked > ROUND_SHARE * long.select("id").distinct().count()
-        if linked:
-            found = new.select("a", "b") if found is None else found.unionByName(new.select("a", "b"))
-            moved = connected_components(new.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("node").alias("c"), "component")
-            lists = checkpoint(_still_open(lists.drop("size").join(moved, "c", "left").select("h", "id", "n", "end", F.coalesce("component", "c").alias("c"))))
+        if new.isEmpty():
+            break
+        found.append(new.select("a", "b"))
+        moved = connected_components(new.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("node").alias("c"), "component")
+        lists = checkpoint(_still_open(lists.drop("size").join(moved, "c", "left").select("h", "id", "n", "end", F.coalesce("component", "c").alias("c"))))
     return found, lists
 
 
@@ -322,12 +360,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str
                 found = shingles(text, k)
                 if n := len(found):
                     own = (ranked(found, heavy)[: prefix_length(n, percent)] ^ np.uint64(1 << 63)).view(np.int64)
-                    out.append((i, xxh3_128_digest(found.tobytes()), n, int(own[-1]), own))
+                    out.append((i, xxh3_128_digest(found.tobytes()), n, int(own[-1]), own, signature(found)))
             if out:
-                yield pd.DataFrame(out, columns=["id", "mark", "n", "end", "hs"])
+                yield pd.DataFrame(out, columns=["id", "mark", "n", "end", "hs", "sig"])
 
     # kept, since both the count of each shingle and the join with it read them
-    made = source.where("id IS NOT NULL").mapInPandas(prefixes, "id long, mark binary, n int, end long, hs array<long>")
+    made = source.where("id IS NOT NULL").mapInPandas(prefixes, "id long, mark binary, n int, end long, hs array<long>, sig array<long>")
     made = checkpoint(made.join(copies.select("id", "mark"), ["id", "mark"], "left_anti").drop("mark"))
     postings = made.select(F.explode("hs").alias("h"), "id", "n", "end")
     shared = checkpoint(postings.groupBy("h").agg(F.min(F.struct("id", "n", "end")).alias("l"), F.max("id").alias("high")).where("l.id != high").select("h", "l"))
@@ -338,9 +376,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str
     members = listed.drop("l").join(near.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     lists = checkpoint(_still_open(members))
     edges = links.unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    found, lists = _rounds(lists, source, k, percent)
-    if found is not None:
-        edges = edges.unionByName(found)
+    found, lists = _passes(lists, made.select("id", "n", "end", "sig"), source, k, percent)
+    for more in found:
+        edges = edges.unionByName(more)
     # a pair that shares one of the longest lists is met in blocks, whatever the other lists make of it
     longest = lists.where(f"size > {BLOCKS_FROM}").drop("end")
     if not longest.isEmpty():

@@ -229,7 +229,7 @@ def test_jaccard_groups_equal_brute_force(spark, odd, empty):
 
 
 def test_long_lists_equal_brute_force(spark, monkeypatch):
-    """Near copies of which no document is the centre, and passages in documents of all sizes, with rounds and small blocks."""
+    """Near copies of which no document is the centre, and passages in documents of all sizes, with passes and small blocks."""
     r = random.Random(11)
     docs, shared = {}, prose(500, 30)
     for g in range(3):
@@ -239,12 +239,34 @@ def test_long_lists_equal_brute_force(spark, monkeypatch):
             docs[len(docs)] = " ".join(base[:gone] + base[gone + r.randint(0, 12) :])
     for _ in range(40):
         docs[len(docs)] = shared + " " + prose(r.random(), r.choice([2, 6, 8, 30, 100]))
-    for name, value in (("LONG", 4), ("BLOCKS_FROM", 10), ("BLOCK_DOCS", 8), ("BLOCK_SHINGLES", 600), ("ROUND_SHARE", 0.1)):
+    for name, value in (("LONG", 4), ("BLOCKS_FROM", 10), ("BLOCK_DOCS", 8), ("BLOCK_SHINGLES", 600), ("SPARSE", 30), ("COLUMNS", 7), ("CELLS_AT_ONCE", 64)):
         monkeypatch.setattr(jaccard, name, value)
     rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.jaccard_groups(rows).collect()} == brute_groups(docs)
 
 
+@pytest.mark.parametrize("n", [100, 300])
+def test_pairs_of_near_copies_without_a_centre_are_in_proportion(spark, monkeypatch, n):
+    """Each of n texts lacks 19 words at another place; only like places link. A few pairs for each text lead to the one component."""
+    r, base, looked = random.Random(n), prose(700, 160).split(), []
+    docs = {i: " ".join(base[:at] + base[at + 19 :]) for i, at in enumerate(r.randrange(141) for _ in range(n))}
+    verified = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *rest: (looked.append(pairs.count()), verified(pairs, *rest))[1])
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.jaccard_groups(rows).collect()}
+    assert got == brute_groups(docs)
+    assert sum(looked) < 10 * n, looked
+
+
+@pytest.mark.parametrize("sparse", [0, 30, 10**9])
+def test_products_count_overlaps(monkeypatch, sparse):
+    r = np.random.default_rng(3)
+    sides = [[np.unique(r.integers(0, 90, r.integers(0, 60))).astype(np.uint64) for _ in range(m)] for m in (23, 17)]
+    for name, value in (("SPARSE", sparse), ("COLUMNS", 11), ("CELLS_AT_ONCE", 50)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert (jaccard.overlaps_of(*sides) == [[len(np.intersect1d(x, y)) for y in sides[1]] for x in sides[0]]).all()
+
+
 def test_rows_that_repeat_an_id_link_by_each_text(spark):
     """Two texts of like size under one id, one in the other, and a document that only the shorter one is near enough to."""
     rows = []
