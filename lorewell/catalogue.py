@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .functions import security, vectors, vocab
@@ -11,6 +13,7 @@ from .operators import knowledge as K
 from .operators import retrieval as R
 from .operators.graph import shared_folder
 from .sources import bindings as B
+from .sources.store import Store, open_store, write_store
 from .streaming import ingest as S
 
 QUERIES: dict = {}
@@ -73,6 +76,20 @@ def docs_and_chunks(spark, sf_dir):
     return d, I.chunks(d)
 
 
+_stores: dict[tuple[str, str], str] = {}
+
+
+def store(spark, sf_dir) -> Store:
+    """The stored index of the documents, written when a session first asks for it and again when their files change."""
+    files = [B.table(spark, sf_dir, t).select(*[f"_metadata.file_{c}" for c in ("path", "size", "modification_time")]).distinct() for t in ("documents", "labels")]
+    state = files[0].union(files[1]).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", *files[0].columns))), ","), 256)).first()[0]
+    key = spark.sparkContext.applicationId, state
+    if key not in _stores:
+        write_store(B.documents(spark, sf_dir), path := f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+        _stores[key] = path
+    return open_store(spark, _stores[key])
+
+
 # --- ingest -----------------------------------------------------------------------------------
 
 
@@ -175,13 +192,13 @@ def corpus_stats(spark, sf_dir):
 
 @query(f"WITH {DOCS}, {CHUNKS}, {POSTS}, {QUESTIONS}, {TERMS}, {BM25} SELECT query_id, chunk_id, score FROM hits WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 30")
 def bm25_topk(spark, sf_dir):
-    return R.bm25(docs_and_chunks(spark, sf_dir)[1], questions(spark)).select("query_id", "chunk_id", "score")
+    return R.bm25_stored(store(spark, sf_dir), questions(spark)).select("query_id", "chunk_id", "score")
 
 
 @query(f"WITH {DOCS}, {CHUNKS}, {POSTS}, {QUESTIONS}, {TERMS}, {BM25} SELECT query_id, chunk_id, score FROM hits JOIN chunks c USING (chunk_id) WHERE score > 0 AND NOT c.controlled AND department IN ('src1', 'src3') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 30")
 def bm25_filtered_topk(spark, sf_dir):
     where = R.metadata_filter({"controlled": False}) & F.col("department").isin("src1", "src3")
-    return R.bm25(docs_and_chunks(spark, sf_dir)[1], questions(spark), where=where).select("query_id", "chunk_id", "score")
+    return R.bm25_stored(store(spark, sf_dir), questions(spark), where=where).select("query_id", "chunk_id", "score")
 
 
 # --- vectors ----------------------------------------------------------------------------------
@@ -298,9 +315,8 @@ READ = f"{DOCS}, {CHUNKS}, {POSTS}, {QUESTIONS}, {TERMS}, {BM25}, {SEEN}, src AS
 
 
 def _fused(spark, sf_dir):
-    _, c = docs_and_chunks(spark, sf_dir)
-    q = questions(spark)
-    return R.rrf(R.dense_hashed(c, q, secure=True), R.bm25(c, q, secure=True)), c, q
+    held, q = store(spark, sf_dir), questions(spark)
+    return R.rrf(R.dense_stored(held, q, secure=True), R.bm25_stored(held, q, secure=True)), held.chunks, q
 
 
 @query(f"WITH {READ} SELECT query_id, chunk_id, rrf FROM fused")
@@ -353,9 +369,8 @@ ctx AS (SELECT *, turn = 1 AND tier != 'C' AS page FROM paged)"""
 
 @query(f"WITH {READ}, {PARTS}, {TIERED % 'docs'}, {PARENTS} SELECT query_id, rank::INT AS rank, doc_id, page FROM ctx")
 def parent_restore(spark, sf_dir):
-    d, _ = docs_and_chunks(spark, sf_dir)
     kept = R.gate(_reranked(spark, sf_dir))
-    pages = I.pages(I.classify(d)).select(F.col("page_id").alias("parent_id"), F.lit(True).alias("has"))
+    pages = store(spark, sf_dir).pages.select(F.col("page_id").alias("parent_id"), F.lit(True).alias("has"))
     from pyspark.sql import Window
 
     turn = F.row_number().over(Window.partitionBy("query_id", "parent_id").orderBy("rank"))
@@ -373,8 +388,8 @@ told AS (SELECT query_id, count(*) AS n, count(*) FILTER (masked) AS m, string_a
 
 @query(f"WITH {READ}, {PARTS}, {TIERED % 'docs'}, {PARENTS}, {ANSWERS}, {ROUTED} SELECT r.query_id, r.mode, coalesce(t.n, 0) AS n_contexts, coalesce(t.m, 0) AS n_masked, coalesce(t.n, 0) > 0 AS grounded, CASE WHEN t.n > 0 THEN '{vocab.ANSWER_PREFIX}' || t.bits ELSE '{vocab.NO_CONTENT}' END AS answer FROM routed r LEFT JOIN told t USING (query_id)")
 def ask_flagship(spark, sf_dir):
-    d, c = docs_and_chunks(spark, sf_dir)
-    return R.ask(questions(spark), c, I.pages(I.classify(d)))
+    held = store(spark, sf_dir)
+    return R.ask(questions(spark), held.chunks, held.pages, store=held)
 
 
 IN_DEPARTMENT = [ASKED[0] + ("src1",), ASKED[1] + ("src3",), ASKED[2] + (None,), ASKED[3] + ("src99",)]
@@ -390,9 +405,9 @@ _QUESTIONS_IN = "questions(query_id, query, role, department) AS (VALUES " + ",
 )
 def ask_department(spark, sf_dir):
     """The read path for questions of which each may only look into one department."""
-    d, c = docs_and_chunks(spark, sf_dir)
+    held = store(spark, sf_dir)
     asked = spark.createDataFrame(IN_DEPARTMENT, "query_id int, query string, role string, department string")
-    return R.ask(asked, c, I.pages(I.classify(d)))
+    return R.ask(asked, held.chunks, held.pages, store=held)
 
 
 # --- graph ------------------------------------------------------------------------------------
@@ -668,8 +683,6 @@ def egress_hosts(spark, sf_dir):
 
 def _drained(spark, stream, mode="append"):
     """What a stream gives when it has read all that is there, from files in the shared folder."""
-    import uuid
-
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def put(batch, number):

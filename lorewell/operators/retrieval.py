@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 from functools import reduce
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import security, vectors, vocab
+from ..functions import scoring, security, vectors, vocab
 from ..functions import text as T
 
+if TYPE_CHECKING:
+    from ..sources.store import Store
+
 
 def ranked(rows: DataFrame, keys: list[str], order: list, k: int | None = None, name: str = "rank") -> DataFrame:
     """rows with a rank from 0 within keys; the k first. The filter is on the bare row number, so that
@@ -27,14 +30,6 @@ def metadata_filter(wanted: dict) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in wanted.items()], F.lit(True))
 
 
-@dataclass
-class Index:
-    """What a store keeps of the chunks for asking: postings (chunk_id, len, term, tf) and stats (n, avg_len)."""
-
-    postings: DataFrame
-    stats: DataFrame
-
-
 def postings(chunks: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(chunk_id, term, tf, len); of the terms in ``only`` (term), which occurrences meet before they are shuffled."""
     t = chunks.select("chunk_id", T.tokens(F.col("text")).alias("t"))
@@ -63,38 +58,69 @@ def allowed(scored: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataF
     return both.where(security.row_visible(F.col("role"), F.col("controlled"))).drop("role", "controlled")
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k: int = vocab.RECALL, where: Column | None = None, secure: bool = False, index: Index | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, questions: DataFrame, k: int = vocab.RECALL, where: Column | None = None, secure: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, rank) of the k best chunks; ``where`` restricts chunks, not statistics.
 
-    Only occurrences of the questions' terms are counted and shuffled; with an ``index``, only its
-    postings of these terms are."""
+    Only occurrences of the questions' terms are counted and shuffled."""
     terms = questions.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
-    asked = postings(chunks, terms.select("term").distinct()) if index is None else index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = doc_freq(asked)
-    hits = asked.join(df, "term").join(terms, "term").crossJoin(F.broadcast(corpus_stats(chunks) if index is None else index.stats))
+    asked = postings(chunks, terms.select("term").distinct())
+    hits = asked.join(doc_freq(asked), "term").join(terms, "term").crossJoin(F.broadcast(corpus_stats(chunks)))
     if where is not None:
         hits = hits.join(chunks.where(where).select("chunk_id"), "chunk_id", "left_semi")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (vocab.BM25_K1 + 1) / (F.col("tf") + vocab.BM25_K1 * (1 - vocab.BM25_B + vocab.BM25_B * F.col("len") / F.col("avg_len")))
+    part = scoring.idf(F.col("n"), F.col("df")) * scoring.weight(F.col("tf"), F.col("len"), F.col("avg_len"))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part) + 1e-9, 6).alias("score")).where("score > 0")
     if secure:
         scored = allowed(scored, chunks, questions)
     return ranked(scored, ["query_id"], [F.col("score").desc(), "chunk_id"], k)
 
 
+#: Blocks that a search of the stored index looks at first.
+FIRST_BLOCKS = 2
+
+
+def bm25_stored(store: Store, questions: DataFrame, k: int = vocab.RECALL, where: Column | None = None, secure: bool = False) -> DataFrame:
+    """bm25() over the stored index: only postings of the questions' terms are read, and of those only
+    blocks that can hold one of the k best chunks.
+
+    The blocks that promise most are scored first; their k-th score is one that all others have to
+    reach by the sum of their terms' highest weights. Chunks are restricted (``where`` over department
+    and controlled, role and department of the question) before they are scored."""
+    own = [c for c in ("role", "department") if secure and c in questions.columns]
+    terms = questions.select("query_id", *[F.col(c).alias(f"_{c}") for c in own], F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term")).where(F.length("term") > 0)
+    # one row of numbers
+    known = terms.withColumn("bucket", scoring.bucket_of(F.col("term"))).join(store.terms, ["bucket", "term"]).crossJoin(F.broadcast(store.stats))
+    known = known.withColumn("idf", scoring.idf(F.col("n"), F.col("df"))).drop("df", "n")
+    reach = store.blocks.join(known, ["bucket", "term"]).groupBy("query_id", "block").agg(F.sum(F.col("idf") * F.col("most")).alias("most"))
+    best = [F.col("score").desc(), "chunk_id"]
+
+    def scores(blocks: DataFrame) -> DataFrame:
+        hits = store.postings.join(known, ["bucket", "term"]).join(blocks.select("query_id", "block"), ["query_id", "block"])
+        if where is not None:
+            hits = hits.where(where)
+        if "role" in own:
+            hits = hits.where(security.row_visible(F.col("_role"), F.col("controlled")))
+        if "department" in own:
+            hits = hits.where("_department IS NULL OR department = _department")
+        part = F.col("idf") * scoring.weight(F.col("tf"), F.col("len"), F.col("avg_len"))
+        return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part) + 1e-9, 6).alias("score")).where("score > 0")
+
+    first = ranked(reach, ["query_id"], [F.col("most").desc(), "block"], FIRST_BLOCKS)
+    floor = ranked(scores(first), ["query_id"], best, k).where(f"rank = {k - 1}").select("query_id", F.col("score").alias("floor"))
+    worth = reach.join(floor, "query_id", "left").where("floor IS NULL OR most + 2e-6 >= floor")
+    return ranked(scores(worth), ["query_id"], best, k)
+
+
 #: Up to so many questions travel in the code of a task; more of them are joined.
 CARRIED = 1024
 
 
-def dense_hashed(chunks: DataFrame, questions: DataFrame, k: int = vocab.RECALL, secure: bool = False) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by cosine of hashed embeddings.
-
-    A batch of few questions is carried to the chunks, which are hashed and scored batch by batch
-    with each batch's k best kept; a larger one is joined to the chunks on buckets."""
+def _carried(rows: DataFrame, questions: DataFrame, k: int, secure: bool) -> DataFrame | None:
+    """The k best of rows (chunk_id, text or v, controlled, department) for each of few questions, batch by
+    batch of rows; None if there are too many questions to carry."""
     within = secure and "department" in questions.columns
     asked = questions.select("query_id", "query", *(["role"] if secure else []), *(["department"] if within else [])).limit(CARRIED + 1).collect()
     if len(asked) > CARRIED:
-        return dense_joined(chunks, questions, k, secure)
+        return None
     viewers = np.array([secure and q["role"] == "viewer" for q in asked], dtype=bool)
     wanted = [q["department"] if within else None for q in asked]
     ids = np.array([q["query_id"] for q in asked])
@@ -105,7 +131,7 @@ def dense_hashed(chunks: DataFrame, questions: DataFrame, k: int = vocab.RECALL,
         q = np.stack([hashed.vector(t) for t in texts]) if texts else np.zeros((0, 256))
         lengths = np.sqrt((q * q).sum(axis=1))
         for pdf in batches:
-            v = np.stack([hashed.vector(t) for t in pdf["text"]])
+            v = np.stack(pdf["v"]).astype(np.float64) if "v" in pdf else np.stack([hashed.vector(t) for t in pdf["text"]])
             norms = np.sqrt((v * v).sum(axis=1))
             common = (v != 0).astype(np.float64) @ (q != 0).T.astype(np.float64) > 0
             names, hidden = pdf["chunk_id"].to_numpy(), pdf["controlled"].to_numpy(dtype=bool)
@@ -123,10 +149,29 @@ def dense_hashed(chunks: DataFrame, questions: DataFrame, k: int = vocab.RECALL,
 
     controlled = F.col("controlled") if secure else F.lit(False).alias("controlled")
     kind = questions.schema["query_id"].dataType.simpleString()
-    found = chunks.select("chunk_id", "text", controlled, *(["department"] if within else [])).where("text IS NOT NULL").mapInPandas(scored, f"query_id {kind}, chunk_id string, score double")
+    held = rows.select("chunk_id", "v" if "v" in rows.columns else "text", controlled, *(["department"] if within else []))
+    if wanted and None not in wanted:
+        # each question names a department: the others' files are not read
+        held = held.where(F.col("department").isin(*set(wanted)))
+    found = held.mapInPandas(scored, f"query_id {kind}, chunk_id string, score double")
     return ranked(found, ["query_id"], [F.col("score").desc(), "chunk_id"], k)
 
 
+def dense_hashed(chunks: DataFrame, questions: DataFrame, k: int = vocab.RECALL, secure: bool = False) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by cosine of hashed embeddings.
+
+    A batch of few questions is carried to the chunks, which are hashed and scored batch by batch
+    with each batch's k best kept; a larger one is joined to the chunks on buckets."""
+    found = _carried(chunks.where("text IS NOT NULL"), questions, k, secure)
+    return dense_joined(chunks, questions, k, secure) if found is None else found
+
+
+def dense_stored(store: Store, questions: DataFrame, k: int = vocab.RECALL, secure: bool = False) -> DataFrame:
+    """dense_hashed() over the stored vectors."""
+    found = _carried(store.vectors, questions, k, secure)
+    return dense_joined(store.chunks, questions, k, secure) if found is None else found
+
+
 def dense_joined(chunks: DataFrame, questions: DataFrame, k: int = vocab.RECALL, secure: bool = False) -> DataFrame:
     """dense_hashed() for any number of questions."""
     of_chunks = vectors.hashed_features(chunks, "chunk_id", "text").withColumnRenamed("id", "chunk_id")
@@ -203,10 +248,14 @@ def answers(questions: DataFrame, contexts: DataFrame) -> DataFrame:
     return joined.select("query_id", "mode", F.size("c").cast("long").alias("n_contexts"), F.size(F.filter("c", lambda x: x["masked"])).cast("long").alias("n_masked"), (F.size("c") > 0).alias("grounded"), F.when(F.size("c") > 0, F.concat(F.lit(vocab.ANSWER_PREFIX), bits)).otherwise(F.lit(vocab.NO_CONTENT)).alias("answer"))
 
 
-def ask(questions: DataFrame, chunks: DataFrame, pages: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The local read path for a batch of questions (query_id, query, role): recall to answer."""
+def ask(questions: DataFrame, chunks: DataFrame, pages: DataFrame, threshold: float = 0.5, store: Store | None = None) -> DataFrame:
+    """The local read path for a batch of questions (query_id, query, role): recall to answer; over the
+    stored index where one is given (its chunks and pages are then those given)."""
     routed = route(questions)
-    dense, sparse = dense_hashed(chunks, routed, secure=True), bm25(chunks, routed, secure=True)
+    if store is not None:
+        dense, sparse = dense_stored(store, routed, secure=True), bm25_stored(store, routed, secure=True)
+    else:
+        dense, sparse = dense_hashed(chunks, routed, secure=True), bm25(chunks, routed, secure=True)
     fused = rrf(dense, sparse).select("query_id", "chunk_id").join(routed.select("query_id", "query"), "query_id").join(chunks, "chunk_id")
     contexts = restored(gate(rerank(fused), threshold), pages)
     return answers(routed, secured(contexts, routed))
