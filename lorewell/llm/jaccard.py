@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import math
 from collections import OrderedDict
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
@@ -37,9 +38,9 @@ DEVIATIONS, SLACK = 8, 64
 #: Bits of the filter that keeps texts out of the shuffle that no pair asks for.
 FILTER_BITS, FILTER_MOST = 1 << 16, 1 << 26
 #: Documents from which on a list takes part in passes, and from which on in blocks.
-LONG, BLOCKS_FROM = 16, 64
-#: Minimum hashes of a document, orders in a pass, passes, and equal hashes that neighbours need to be looked at.
-BINS, ORDERS, PASSES, AGREE = 16, 8, 2, 8
+LONG, BLOCKS_FROM = 16, 1024
+#: Minimum hashes of a document, orders in a pass, passes, equal hashes that neighbours need to be looked at, and documents of which a pass has to link one for another.
+BINS, ORDERS, PASSES, AGREE, WORTH = 16, 8, 3, 8, 50
 #: Documents and shingles of a block, columns of a dense product at a time, cells of a column up to which it is sparse, cells at a time.
 BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS, SPARSE, CELLS_AT_ONCE = 1024, 1 << 21, 4096, 4096, 1 << 22
 
@@ -72,9 +73,9 @@ def prefix_length(n, percent: int):
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """The least shingle of each of BINS ranges of hashes (the next one's where a range is empty)."""
+    """32 bits of the least shingle of each of BINS ranges of hashes (the next one's where a range is empty)."""
     bounds = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
-    return found[np.minimum(np.searchsorted(found, bounds), len(found) - 1)].view(np.int64)
+    return found[np.minimum(np.searchsorted(found, bounds), len(found) - 1)].astype(np.uint32).view(np.int32)
 
 
 def heavy_cells(counts: np.ndarray) -> np.ndarray:
@@ -93,26 +94,31 @@ class Sets(OrderedDict):
         return self[key]
 
 
-def wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (id, text) that may be among ``ids`` (id), by a bitmap of 16 bits for each id.
-
-    Joins with the ids decide. The bitmap has FILTER_MOST bits at most (8 MB); beyond some 4 M ids
-    more and more texts pass that nothing asks for, and cross the shuffle as in a plain join."""
-    spark = docs.sparkSession
-    bits = min(max(FILTER_BITS, 1 << (16 * ids.count()).bit_length()), FILTER_MOST)
-    cell = F.pmod(F.xxhash64("id"), F.lit(bits)).cast("int")
-    cells = ids.select(cell.alias("c")).distinct().groupBy((F.col("c") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, c % 32)")).alias("b"))
+def held_bits(keys: DataFrame, key: str) -> tuple[Callable[[Column], Column], int]:
+    """(a condition on columns of longs that all of ``keys`` meet, and few others; how many keys there are).
+
+    It is a bitmap of 16 bits for each key, FILTER_MOST at most (8 MB); beyond some 4 M keys more and
+    more others pass. Joins with the keys decide; the bitmap keeps rows out of their shuffle."""
+    spark, n = keys.sparkSession, keys.count()
+    bits = min(max(FILTER_BITS, 1 << (16 * n).bit_length()), FILTER_MOST)
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("int")
+    cells = keys.select(cell(F.col(key)).alias("c")).distinct().groupBy((F.col("c") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, c % 32)")).alias("b"))
     got = cells.toPandas()
-    held_bits = np.zeros(bits // 32, dtype=np.uint32)
-    held_bits[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.uint64).astype(np.uint32)
-    held = spark.sparkContext.broadcast(held_bits)
+    words = np.zeros(bits // 32, dtype=np.uint32)
+    words[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.uint64).astype(np.uint32)
+    held = spark.sparkContext.broadcast(words)
 
     @F.pandas_udf("boolean")
     def passes(cell: pd.Series) -> pd.Series:
         c = cell.to_numpy(dtype=np.int64)
         return pd.Series((held.value[c // 32] >> (c % 32).astype(np.uint32)) & 1 == 1)
 
-    return docs.where(passes(cell))
+    return (lambda c: passes(cell(c))), n
+
+
+def wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (id, text) that may be among ``ids`` (id)."""
+    return docs.where(held_bits(ids, "id")[0](F.col("id")))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -172,9 +178,9 @@ def _alike(docs: DataFrame, turn: int, percent: int) -> DataFrame:
     the first of the next. There are at most ORDERS pairs for each document."""
     ways = [np.random.default_rng([7, turn, r]).permutation(BINS).tolist() for r in range(ORDERS)]
     keys = F.array(*[F.array(*[F.get("sig", F.lit(i)) for i in way]) for way in ways])
-    laid = docs.select("id", "n", "c", "sig", F.posexplode(keys).alias("r", "key")).repartitionByRange("r", "key", "id").withColumn("part", F.spark_partition_id())
-    follows = F.lead(F.struct("id", "n", "c", "sig")).over(Window.partitionBy("r", "part").orderBy("key", "id"))
-    agree = F.size(F.filter(F.zip_with("sig", "o.sig", lambda x, y: x == y), lambda x: x)) >= AGREE
+    laid = docs.select("id", "n", "c", F.posexplode(keys).alias("r", "key")).repartitionByRange("r", "key", "id").withColumn("part", F.spark_partition_id())
+    follows = F.lead(F.struct("id", "n", "c", "key")).over(Window.partitionBy("r", "part").orderBy("key", "id"))
+    agree = F.size(F.filter(F.zip_with("key", "o.key", lambda x, y: x == y), lambda x: x)) >= AGREE
     near = laid.withColumn("o", follows).where(f"c != o.c AND {sizes_fit(percent, 'n', 'o.n')}").where(agree)
     swap = F.col("id") > F.col("o.id")
     ends = [F.when(swap, F.col(f"{x}{c}")).otherwise(F.col(f"{y}{c}")).alias(f"{to}{s}") for c, to in (("id", ""), ("c", "c_")) for x, y, s in (("o.", "", "a"), ("", "o.", "b"))]
@@ -300,15 +306,19 @@ def _block_links(lists: DataFrame, docs: DataFrame, k: int, percent: int) -> Dat
 def _passes(lists: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[list[DataFrame], DataFrame]:
     """Links (a, b) that join components of longer lists, and the lists (h, ..., c, size) that are open after them.
 
-    There are PASSES passes at most, whatever they find, each with a few pairs for each document."""
-    found = []
+    There are PASSES passes at most, each with a few pairs for each document, and none after one that
+    linked few of them."""
+    found, signs = [], None
     for turn in range(PASSES):
         long = lists.where(f"size > {LONG}").select("id", "n", "end", "c").distinct()
-        pairs = checkpoint(_alike(long.join(signed, ["id", "n", "end"]), turn, percent))
+        if signs is None:
+            signs = checkpoint(signed.join(long.select("id", "n", "end"), ["id", "n", "end"], "left_semi"))
+        size = signs.count()
+        pairs = checkpoint(_alike(long.join(signs, ["id", "n", "end"]), turn, percent))
         new = checkpoint(_verified(pairs.select("a", "b"), docs, k, percent).distinct().join(pairs, ["a", "b"]))
-        if new.isEmpty():
-            break
         found.append(new.select("a", "b"))
+        if new.count() * WORTH < size:
+            break
         moved = connected_components(new.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("node").alias("c"), "component")
         lists = checkpoint(_still_open(lists.drop("size").join(moved, "c", "left").select("h", "id", "n", "end", F.coalesce("component", "c").alias("c"))))
     return found, lists
@@ -364,12 +374,17 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str
             if out:
                 yield pd.DataFrame(out, columns=["id", "mark", "n", "end", "hs", "sig"])
 
-    # kept, since both the count of each shingle and the join with it read them
-    made = source.where("id IS NOT NULL").mapInPandas(prefixes, "id long, mark binary, n int, end long, hs array<long>, sig array<long>")
-    made = checkpoint(made.join(copies.select("id", "mark"), ["id", "mark"], "left_anti").drop("mark"))
+    # texts whose id no copy has aren't joined with the copies; kept, since both the count of each shingle and the join with it read them
+    copied, schema = held_bits(copies, "id")[0](F.col("id")), "id long, mark binary, n int, end long, hs array<long>, sig array<int>"
+    own = source.where("id IS NOT NULL")
+    twice = own.where(copied).mapInPandas(prefixes, schema).join(copies.select("id", "mark"), ["id", "mark"], "left_anti")
+    made = checkpoint(own.where(~copied).mapInPandas(prefixes, schema).unionByName(twice).drop("mark"))
     postings = made.select(F.explode("hs").alias("h"), "id", "n", "end")
-    shared = checkpoint(postings.groupBy("h").agg(F.min(F.struct("id", "n", "end")).alias("l"), F.max("id").alias("high")).where("l.id != high").select("h", "l"))
-    listed = checkpoint(postings.join(shared, "h"))
+    shared = checkpoint(made.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h"))
+    common = postings.where(held_bits(shared, "h")[0](F.col("h"))).join(shared, "h")
+    # one exchange by h serves both the least of each list and the join with it
+    least = common.groupBy("h").agg(F.min(F.struct("id", "n", "end")).alias("l"), F.max("id").alias("high")).where("l.id != high").select("h", "l")
+    listed = checkpoint(common.join(least, "h"))
     leading = listed.where(f"id != l.id AND {sizes_fit(percent, 'n', 'l.n')}").select(*[F.col(f"l.{c}").alias(f"{c}_a") for c in ("id", "n", "end")], *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "end")])
     links = checkpoint(_verified(checkpoint(_bounded(leading, percent)), source, k, percent))
     near = connected_components(links)
