@@ -142,8 +142,12 @@ def applied(decided: DataFrame) -> DataFrame:
 def governed_writes(entities: DataFrame, relations: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What an ingest commits: object candidates, link candidates and pending marks of controlled documents."""
     objects = entities.join(docs.select(F.col("id").alias("doc_id"), "source_tier", "controlled", "seq"), "doc_id").select(F.col("entity_id").alias("id"), "seq", F.col("name").alias("title"), F.col("type").alias("object_type"), F.array().cast("array<string>").alias("aliases"), F.array("doc_id").alias("doc_ids"), "controlled", "source_tier")
-    pending = docs.where("controlled").select(F.col("id").alias("entity_id"), F.col("name").alias("doc"), F.lit("controlled document ingested").alias("reason"))
-    return objects, relations, pending
+    return objects, relations, pending_marks(docs)
+
+
+def pending_marks(docs: DataFrame) -> DataFrame:
+    """(entity_id, doc, reason): controlled documents, whose mark waits for compliance."""
+    return docs.where("controlled").select(F.col("id").alias("entity_id"), F.col("name").alias("doc"), F.lit("controlled document ingested").alias("reason"))
 
 
 # --- verdicts ---------------------------------------------------------------------------------

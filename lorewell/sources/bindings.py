@@ -10,16 +10,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, name, text, source_tier, controlled, department, seq)."""
-    toxic = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def as_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, name, text, source_tier, controlled, department, seq) of rows (doc_id, text, lang, source) and labels (doc_id, toxic)."""
+    toxic = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     tier = F.element_at(F.array(F.lit("official"), F.lit("analyst"), F.lit("rumor")), F.substring("source", 4, 10).cast("int") % 3 + 1)
-    return table(spark, sf_dir, "documents").join(toxic, "doc_id", "left").select(
-        F.col("doc_id").cast("string").alias("id"), F.concat("source", F.lit("_"), "lang", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
-        "text", tier.alias("source_tier"), (F.coalesce("toxic", F.lit(0)) == 1).alias("controlled"), F.col("source").alias("department"), F.col("doc_id").alias("seq"),
+    name = F.concat("source", F.lit("_"), "lang", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return documents.join(toxic, "doc_id", "left").select(
+        F.col("doc_id").cast("string").alias("id"),
+        name.alias("name"),
+        "text",
+        tier.alias("source_tier"),
+        (F.coalesce("toxic", F.lit(0)) == 1).alias("controlled"),
+        F.col("source").alias("department"),
+        F.col("doc_id").alias("seq"),
     )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of HTML as documents whose headings are marked: (id, name, text, source_tier, controlled, department, seq)."""
     marked = F.regexp_replace(F.regexp_replace("html", r"(?i)<h[1-3][^>]*>", "\n# "), r"<[^>]*>", "\n")

@@ -11,9 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import text as T
 
 
-def source(spark: SparkSession, path: str, schema, pattern: str = "*.parquet") -> DataFrame:
-    """A stream of the Parquet files of a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
+def source(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files: int | None = None) -> DataFrame:
+    """A stream of the Parquet files of a folder, so many in a micro-batch at most."""
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    return (stream if files is None else stream.option("maxFilesPerTrigger", files)).parquet(path)
 
 
 def timed(events: DataFrame, lateness: str = "1 day") -> DataFrame:
