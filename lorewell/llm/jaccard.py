@@ -35,8 +35,8 @@ from .common import checkpoint, connected_components, folded, rolled, ship, tidi
 #: Cells of the sketch, one for so many bytes of the input; a cell is heavy when it holds that many deviations over the median cell.
 CELLS, CELLS_MOST, CELL_BYTES = 1 << 16, 1 << 20, 1 << 14
 DEVIATIONS, SLACK = 8, 64
-#: Bits of the filter that keeps texts out of the shuffle that no pair asks for.
-FILTER_BITS, FILTER_MOST = 1 << 16, 1 << 26
+#: Bits of a bitmap, and bits and cells of its and the sketch's pieces, of which there is a row each.
+FILTER_BITS, FILTER_MOST, PIECE, CELLS_PIECE = 1 << 16, 1 << 26, 1 << 16, 1 << 11
 #: Documents from which on a list takes part in passes, and from which on in blocks.
 LONG, BLOCKS_FROM = 16, 1024
 #: Minimum hashes of a document, orders in a pass, passes, equal hashes that neighbours need to be looked at, and documents of which a pass has to link one for another.
@@ -94,6 +94,15 @@ class Sets(OrderedDict):
         return self[key]
 
 
+def gathered(pieces: DataFrame, size: int, kind) -> np.ndarray:
+    """An array of ``size`` numbers from rows (piece, b): few rows of bytes reach the driver, all of one length; what is left out is zero."""
+    out, got = np.zeros(size, dtype=kind), pieces.toPandas()
+    for piece, b in zip(got["piece"], got["b"]):
+        own = np.frombuffer(b, dtype=kind)
+        out[piece * len(own) : (piece + 1) * len(own)] = own
+    return out
+
+
 def held_bits(keys: DataFrame, key: str) -> tuple[Callable[[Column], Column], int]:
     """(a condition on columns of longs that all of ``keys`` meet, and few others; how many keys there are).
 
@@ -102,16 +111,20 @@ def held_bits(keys: DataFrame, key: str) -> tuple[Callable[[Column], Column], in
     spark, n = keys.sparkSession, keys.count()
     bits = min(max(FILTER_BITS, 1 << (16 * n).bit_length()), FILTER_MOST)
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("int")
-    cells = keys.select(cell(F.col(key)).alias("c")).distinct().groupBy((F.col("c") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, c % 32)")).alias("b"))
-    got = cells.toPandas()
-    words = np.zeros(bits // 32, dtype=np.uint32)
-    words[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.uint64).astype(np.uint32)
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(PIECE, dtype=bool)
+        own[pdf["c"].to_numpy(dtype=np.int64) % PIECE] = True
+        return pd.DataFrame({"piece": [int(pdf["c"].iloc[0]) // PIECE], "b": [np.packbits(own).tobytes()]})
+
+    cells = keys.select(cell(F.col(key)).alias("c")).distinct()
+    words = gathered(cells.groupBy(F.floor(F.col("c") / PIECE)).applyInPandas(packed, "piece int, b binary"), bits // 8, np.uint8)
     held = spark.sparkContext.broadcast(words)
 
     @F.pandas_udf("boolean")
     def passes(cell: pd.Series) -> pd.Series:
         c = cell.to_numpy(dtype=np.int64)
-        return pd.Series((held.value[c // 32] >> (c % 32).astype(np.uint32)) & 1 == 1)
+        return pd.Series((held.value[c // 8] >> (7 - c % 8).astype(np.uint8)) & 1 == 1)
 
     return (lambda c: passes(cell(c))), n
 
@@ -349,13 +362,17 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str
                 else:
                     np.add.at(counts, cell_of(found, cells), 1)
                 out.append((xxh3_128_digest(found.tobytes()), len(found)))
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "mark": [x[0] for x in out], "n": [x[1] for x in out], "counts": None})
-        yield pd.DataFrame({"id": pd.array([None], dtype="Int64"), "mark": [None], "n": [-1], "counts": [counts]})
+            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "mark": [x[0] for x in out], "n": [x[1] for x in out]})
+        pieces = counts.reshape(-1, CELLS_PIECE)
+        some = np.flatnonzero(pieces.any(axis=1))
+        yield pd.DataFrame({"id": pd.array(some, dtype="Int64"), "mark": [pieces[i].tobytes() for i in some], "n": -1})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = sum(np.frombuffer(b, dtype=np.int64) for b in pdf["mark"])
+        return pd.DataFrame({"piece": [int(pdf["id"].iloc[0])], "b": [whole.tobytes()]})
 
-    first = checkpoint(source.mapInPandas(signed, "id long, mark binary, n long, counts array<long>"))
-    sketch = first.where("n < 0").select(F.posexplode("counts").alias("cell", "count")).groupBy("cell").agg(F.sum("count").alias("count")).toPandas()
-    counts = np.zeros(cells, dtype=np.int64)
-    counts[sketch["cell"].to_numpy(dtype=np.int64)] = sketch["count"].to_numpy(dtype=np.int64)
+    first = checkpoint(source.mapInPandas(signed, "id long, mark binary, n long"))
+    counts = gathered(first.where("n < 0").groupBy("id").applyInPandas(added, "piece int, b binary"), cells, np.int64)
     heavy = heavy_cells(counts)
     rows = first.where("n >= 0").select("id", "mark", "n")
     named = rows.where("n > 0 AND id IS NOT NULL")
