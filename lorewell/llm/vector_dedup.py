@@ -141,7 +141,8 @@ def near_vectors(rows: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", v
     spark = rows.sparkSession
     ship(spark)
     fine = valid_vectors(rows, id_col, vec_col).where("id IS NOT NULL AND exists(v, x -> x != 0)")
-    classes = checkpoint(fine.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    # ids may repeat with other vectors, so that classes have numbers of their own
+    classes = checkpoint(fine.groupBy("v").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).withColumn("rep", F.monotonically_increasing_id()))
     total = classes.count()
 
     @tidied
@@ -200,7 +201,8 @@ def near_vectors(rows: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", v
     met = checkpoint(_meetings(again, split, ["rep", "n", "u", "filters"], linked, "a long, b long, w long"))
     links = met.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
     components = connected_components(met.where("b IS NOT NULL")).withColumnRenamed("node", "rep")
-    known = classes.join(links, "rep", "left").join(components, "rep", "left").select("v", (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    known = checkpoint(classes.join(links, "rep", "left").join(components, "rep", "left").select("v", "low", (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c")))
+    known = spread_join(known, known.groupBy("c").agg(F.min("low").alias("component")), "c").select("v", "n_links", "component")
     every = rows.select(F.col(id_col).alias("id"), F.when(F.col(id_col).isNotNull(), F.col(vec_col)).alias("v"))
     return (
         spread_join(every, known, "v", "left")

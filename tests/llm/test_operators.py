@@ -295,6 +295,35 @@ def _vectors(spark):
     return spark.createDataFrame([(i, x, 1) for i, x in enumerate(rows + odd)], "vec_id long, embedding array<float>, score int"), np.array(rows)
 
 
+def brute_vectors(rows, cosine=0.9):
+    """(id, n_links, component_id, kept) of rows (id, vector) of one length, by all pairs."""
+    fine = [k for k, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    m = np.array([rows[k][1] for k in fine], dtype=np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = m @ m.T >= cosine
+    label = np.array([rows[k][0] for k in fine])
+    while True:
+        new = np.array([label[x].min() for x in near])
+        if (new == label).all():
+            break
+        label = new
+    found = dict(zip(fine, zip((near.sum(axis=1) - 1).tolist(), label.tolist())))
+    out = [(i, *found.get(k, (0, i))) for k, (i, _) in enumerate(rows)]
+    return sorted([(i, n, c, None if i is None else i == c) for i, n, c in out], key=repr)
+
+
+def test_near_vectors_with_repeated_and_null_ids(spark):
+    """Ids repeat with equal and with other vectors; all rows are compared with brute force."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=(60, 16))
+    every = [(i, b) for i, b in enumerate(base)] + [(200 + i, b + r.normal(size=16) * 0.08) for i, b in enumerate(base[:30])]
+    # 7 has two vectors, each with a near one; 8 is there twice with one vector; a null id has no part in links
+    every += [(7, base[40]), (8, base[8]), (8, base[8]), (None, base[3]), (300, base[40] + 0.01)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in every] + [(400, None), (401, [None] * 16), (402, [0.0] * 16)]
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert sorted(map(tuple, got.select("vec_id", "n_links", "component_id", "kept").collect()), key=repr) == brute_vectors(rows)
+
+
 def test_topk_is_exact(spark):
     df, v = _vectors(spark)
     got = {}
