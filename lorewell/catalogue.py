@@ -11,8 +11,10 @@ from .functions import text as T
 from .operators import ingest as I
 from .operators import knowledge as K
 from .operators import retrieval as R
-from .operators.graph import shared_folder
+from .operators import governed as G
+from .operators.graph import checkpoint, merge_components, shared_folder
 from .sources import bindings as B
+from .sources import objects
 from .sources.store import Store, open_store, write_store
 from .streaming import ingest as S
 
@@ -443,12 +445,22 @@ def graph_khop(spark, sf_dir):
     return K.khop(e, e.agg(F.min("dst").alias("node")), 2)
 
 
+@query(f"WITH RECURSIVE {REACH} SELECT node, community FROM comm")
+def communities_incremental(spark, sf_dir):
+    """Communities of documents whose links arrive in three batches, each of which relabels only what it touches."""
+    edges = _shared_lines(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    labels = spark.createDataFrame([], "node long, component long")
+    for part in range(3):
+        labels, _ = merge_components(labels, edges.where(f"a % 3 = {part}"))
+    return labels.select("node", F.col("component").alias("community"))
+
+
 SUMMED = f"""{REACH}, summ AS (SELECT community, count(*) AS members, string_agg(DISTINCT lang, ',' ORDER BY lang) AS types, list_sort(list(node))[1:8] AS f FROM comm JOIN documents ON doc_id = node GROUP BY community),
 told AS (SELECT community, members, types, '社区' || community || '：' || members || ' 实体，类型 ' || types || '。成员：' || array_to_string(f, ', ') AS summary FROM summ)"""
 
 
-def _summaries(spark, sf_dir):
-    return K.community_summaries(_communities(spark, sf_dir), B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), F.col("lang").alias("type")))
+def _summaries(spark, sf_dir, labels=None):
+    return K.community_summaries(_communities(spark, sf_dir) if labels is None else labels, B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), F.col("lang").alias("type")))
 
 
 @query(f"WITH RECURSIVE {SUMMED} SELECT * FROM told")
@@ -464,6 +476,42 @@ def global_top_communities(spark, sf_dir):
     return K.top_communities(questions(spark), _summaries(spark, sf_dir)).select("query_id", "community", "confidence")
 
 
+GLOBAL = f"""gtext AS (SELECT community, summary, summary || ' ' || (SELECT string_agg(node::VARCHAR, ' ' ORDER BY node) FROM comm c WHERE c.community = csum.community) AS text FROM csum),
+gcand AS (SELECT query_id, community, summary, {TOKENS % 'query'} AS qt, {TOKENS % 'text'} AS ct FROM gtext CROSS JOIN routed WHERE mode = 'global'),
+gpt AS (SELECT *, len(list_filter(qt, lambda w: list_contains(ct, w))) AS covered, list_filter(qt, lambda w: regexp_matches(w, '^[a-z]?\\d') OR length(w) <= 2) AS rl, list_filter(range(1, len(ct) + 1), lambda i: list_contains(qt, ct[i])) AS hl FROM gcand),
+gsc AS (SELECT query_id, community, summary, round(0.6 * covered / len(qt) + 0.25 * len(list_filter(rl, lambda w: list_contains(ct, w))) / greatest(len(rl), 1) + 0.15 * CASE WHEN len(hl) >= 2 THEN len(hl) / (hl[-1] - hl[1] + 1) ELSE 0 END + 1e-9, 6) AS score FROM gpt),
+gtop AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, community) - 1 AS rank FROM gsc QUALIFY rank < 5)"""
+_SUMMED = SUMMED.replace("told AS", "csum AS")
+
+
+def global_contexts(spark, sf_dir):
+    """The communities of documents that share lines, as contexts for global questions."""
+    labels = checkpoint(_communities(spark, sf_dir))
+    summaries = checkpoint(_summaries(spark, sf_dir, labels))
+    postings = checkpoint(K.community_postings(labels, summaries))
+    return lambda asked: K.global_communities(asked, postings, summaries)
+
+
+@query(f"WITH RECURSIVE {_SUMMED}, {QUESTIONS}, {ROUTED}, {GLOBAL} SELECT query_id, community, round_even(least(1.0, score), 3) AS confidence, rank::INT AS rank FROM gtop")
+def global_contexts_topk(spark, sf_dir):
+    """The communities that answer each global question, by postings of summaries and members."""
+    asked = R.route(questions(spark)).where("mode = 'global'")
+    return global_contexts(spark, sf_dir)(asked).select("query_id", "community", "confidence", "rank")
+
+
+@query(
+    f"WITH RECURSIVE {_SUMMED}, {READ}, {PARTS}, {TIERED % 'docs'}, {PARENTS}, {ANSWERS}, {ROUTED}, {GLOBAL}, "
+    f"gtold AS (SELECT query_id, count(*) AS n, 0 AS m, string_agg(substr(summary, 1, 60), '{vocab.ANSWER_JOIN}' ORDER BY rank) FILTER (rank < 3) AS bits FROM gtop GROUP BY query_id), "
+    f"both_told AS (SELECT t.* FROM told t JOIN routed USING (query_id) WHERE mode = 'local' UNION ALL SELECT * FROM gtold) "
+    f"SELECT r.query_id, r.mode, coalesce(t.n, 0) AS n_contexts, coalesce(t.m, 0) AS n_masked, coalesce(t.n, 0) > 0 AS grounded, CASE WHEN t.n > 0 THEN '{vocab.ANSWER_PREFIX}' || t.bits ELSE '{vocab.NO_CONTENT}' END AS answer FROM routed r LEFT JOIN both_told t USING (query_id)"
+)
+def ask_global(spark, sf_dir):
+    """The read path with both modes: local questions from the index, global ones from community summaries."""
+    held = store(spark, sf_dir)
+    asked = questions(spark)
+    return R.ask(asked, held.chunks, held.pages, store=held, global_contexts=lambda routed: global_contexts(spark, sf_dir)(routed).select("query_id", "rank", F.col("summary").alias("text")))
+
+
 # --- resolution -------------------------------------------------------------------------------
 
 
@@ -545,6 +593,82 @@ def action_apply(spark, sf_dir):
     return K.applied(K.decide(B.actions(spark, sf_dir))).withColumn("confidence", F.round("confidence", 9))
 
 
+_STATES = "['development', 'risk', 'HVM', 'EOL']"
+_NEXT = "CASE cur " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in vocab.NEXT_STATUS.items()) + " END"
+ORDERED = f"""oacts AS (SELECT o_orderkey AS seq, (['create_object', 'advance-roadmap', 'correct', 'merge', 'promote'])[o_orderpriority[1]::INT] AS action, (['viewer', 'analyst', 'strategy', 'compliance'])[o_custkey % 4 + 1] AS role,
+  o_orderkey % 2 = 0 AS confirmed, ({_STATES})[o_orderkey % 4 + 1] AS cur, ({_STATES})[o_orderkey // 4 % 4 + 1] AS nxt, o_custkey % 7 = 0 AS correction, (o_custkey % 500)::VARCHAR AS id FROM orders),
+odone AS (SELECT * FROM oacts WHERE ({_ALLOWED}) AND NOT (action = 'advance-roadmap' AND NOT correction AND {_NEXT} IS DISTINCT FROM nxt) AND NOT (action IN ({_SANDBOX}) AND NOT confirmed)),
+oresult AS (SELECT seq, action, CASE action WHEN 'create_object' THEN CASE WHEN row_number() OVER (PARTITION BY action, id ORDER BY seq) = 1 THEN 'created ' ELSE 'merged ' END || id WHEN 'advance-roadmap' THEN 'advanced ' || id || ' to ' || nxt ELSE 'noop ' || action END AS result FROM odone)"""
+
+
+@query(f"""WITH {ORDERED}, {ACTS}, done AS (SELECT d.*, e.user_id::VARCHAR AS id FROM decided d JOIN events e ON e.event_id = d.seq WHERE decision = 'executed')
+SELECT 'orders' AS log, seq, action, result FROM oresult
+UNION ALL SELECT 'events', seq, action, CASE action WHEN 'review' THEN 'reviewed ' || id WHEN 'mark' THEN 'marked ' || id WHEN 'revise-capacity' THEN 'revised ' || id WHEN 'create_link' THEN 'linked ' || id || '->' || id END FROM done""")
+def action_results(spark, sf_dir):
+    """What every executed action of two logs, which name all nine actions, comes to."""
+    events = B.actions(spark, sf_dir).withColumn("params", F.map_concat("params", F.create_map(F.lit("src"), F.try_element_at("params", F.lit("id")), F.lit("dst"), F.try_element_at("params", F.lit("id")))))
+    logs = {"orders": B.order_actions(spark, sf_dir), "events": events}
+    one, two = (G.results(K.decide(log)).select(F.lit(name).alias("log"), "seq", "action", "result") for name, log in logs.items())
+    return one.unionByName(two)
+
+
+@query(f"WITH {ORDERED} SELECT id AS node, nxt AS status, count(*) OVER (PARTITION BY id) AS n FROM odone WHERE action = 'advance-roadmap' QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1")
+def action_statuses(spark, sf_dir):
+    """The status that executed actions have advanced each node to, and in how many steps."""
+    log = G.appended(K.decide(B.order_actions(spark, sf_dir)))["statuses"]
+    return log.groupBy("node").agg(F.max_by("status", "seq").alias("status"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {ORDERED}, w AS (SELECT * FROM odone WHERE action = 'create_object') SELECT id, 'object ' || min(seq) AS title, arg_min(o_orderstatus, seq) AS object_type, count(*) AS writes FROM w JOIN orders ON o_orderkey = seq GROUP BY id")
+def object_snapshots(spark, sf_dir):
+    """Objects that executed actions make, appended in three batches, with a snapshot after the second."""
+    path = f"{shared_folder(spark)}/objects-{uuid.uuid4().hex}"
+    writes = G.appended(K.decide(B.order_actions(spark, sf_dir)))["objects"]
+    third = writes.agg(F.floor(F.max("seq") / 3)).first()[0] or 1
+    for batch in range(3):
+        # the last batch is written twice, as after a failure
+        for _ in range(1 + (batch == 2)):
+            objects.append(writes.where(F.least(F.floor((F.col("seq") - 1) / third), F.lit(2)) == batch), path, batch)
+        if batch == 1:
+            objects.compact(spark, path)
+    return objects.state(spark, path).select("id", "title", "object_type", "writes")
+
+
+@query(f"""WITH {DOCS}, {MENTIONS}, o AS (SELECT doc_id, name, row_number() OVER (PARTITION BY name ORDER BY doc_id::BIGINT) = 1 AS first FROM ments),
+l AS (SELECT doc_id, count(*) * (count(*) - 1) // 2 AS n FROM ments GROUP BY doc_id)
+SELECT d.id, count(o.name) FILTER (o.first) AS objects_created, count(o.name) FILTER (NOT o.first) AS objects_merged, coalesce(max(l.n), 0)::BIGINT AS links_committed FROM docs d LEFT JOIN o ON o.doc_id = d.id LEFT JOIN l ON l.doc_id = d.id GROUP BY d.id""")
+def ingest_counts(spark, sf_dir):
+    """What governed ingest reports for each document: objects it created, objects it merged into, links."""
+    docs = B.documents(spark, sf_dir)
+    rated = docs.withColumn("tier", F.lit("A"))
+    written = _object_writes(_entities(spark, sf_dir), docs)
+    return G.ingest_counts(docs, written, I.relations(rated, patterns=TERM, names=()))
+
+
+def _object_writes(entities, docs):
+    return K.governed_writes(entities, None, docs)[0].withColumn("doc_id", F.get("doc_ids", F.lit(0)))
+
+
+_SEEN = [("compliance", None, None, "clear"), (None, None, False, "clear"), ("strategy", None, True, "summary"), ("analyst", None, True, "masked"), ("analyst", "segment", None, "clear"), ("viewer", "balance", None, "hidden")]
+_MAY = "CASE role " + " ".join(f"WHEN '{r}' THEN '{','.join(a for a, (who, _) in vocab.ACTIONS.items() if r in who)}'" for r in G.ROLES) + " ELSE '' END"
+
+
+@query(f"""WITH roles(role) AS (VALUES ('viewer'), ('analyst'), ('strategy'), ('compliance'), ('stranger')),
+f AS (SELECT c_custkey AS id, c_acctbal < 0 AS controlled, unnest(['balance', 'name', 'segment']) AS key, unnest([round(c_acctbal)::BIGINT::VARCHAR, c_name, c_mktsegment]) AS value FROM customer),
+s AS (SELECT *, CASE WHEN role = 'viewer' AND key = 'balance' THEN 'hidden' WHEN role = 'analyst' AND controlled THEN CASE WHEN key = 'segment' THEN 'masked' ELSE 'masked' END WHEN role = 'strategy' AND controlled THEN 'summary' WHEN role = 'analyst' AND key = 'segment' THEN 'clear' WHEN NOT controlled OR role = 'compliance' THEN 'clear' ELSE 'hidden' END AS see FROM f CROSS JOIN roles),
+t AS (SELECT *, CASE see WHEN 'clear' THEN value WHEN 'summary' THEN '{vocab.SUMMARY_PREFIX}' || substr(value, 1, 8) || '{vocab.ELLIPSIS}' WHEN 'masked' THEN '{vocab.MASKED}' END AS display FROM s)
+SELECT id, role, coalesce(string_agg(key || '=' || display, '; ' ORDER BY key) FILTER (see != 'hidden'), '') AS facts, count(*) FILTER (see IN ('masked', 'summary')) AS n_masked, count(*) FILTER (see = 'hidden') AS n_hidden,
+  count(*) FILTER (see != 'clear') > 0 AS filtered, {_MAY} AS actions FROM t GROUP BY id, role""")
+def object_view(spark, sf_dir):
+    """Every customer as every role sees it by a table of rules, with the actions that the role may run."""
+    c = B.table(spark, sf_dir, "customer")
+    values = {"balance": F.round("c_acctbal").cast("long").cast("string"), "name": F.col("c_name"), "segment": F.col("c_mktsegment")}
+    every = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()])
+    facts = c.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") < 0).alias("controlled"), F.explode(every).alias("f")).select("id", "controlled", "f.key", "f.value")
+    rules = spark.createDataFrame(_SEEN, "role string, key string, controlled boolean, see string")
+    return G.object_view(facts, _roles(spark), G.policy(rules))
+
+
 _MATRIX = [(a, r, r in roles, s) for a, (roles, s) in vocab.ACTIONS.items() for r in ("viewer", "analyst", "strategy", "compliance")]
 
 

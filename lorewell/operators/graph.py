@@ -55,3 +55,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = done.select("node", "component")
         if not done.where("old != component").limit(1).count():
             return labels
+
+
+def merge_components(labels: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(labels after new edges, components touched): incremental connected components.
+
+    ``labels`` (node, component) are those before, ``edges`` (a, b) the new ones alone. Components so
+    far count as single nodes: only ends of new edges are looked up, only components that an edge
+    joins are labelled anew, and old edges aren't read. Touched are the components (component) that
+    are new, larger or joined. A label is the smallest node, as in connected_components()."""
+    ends = checkpoint(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
+    nodes = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()
+    known = checkpoint(nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("new")))
+    names = known.select("node", "component")
+    between = ends.join(names.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(names.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+    joined = connected_components(between.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("into"))
+    every = labels.unionByName(known.where("new").select("node", "component"))
+    moved = every.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    alone = known.where("new").join(joined, "component", "left").select(F.coalesce("into", "component").alias("component"))
+    return checkpoint(moved), joined.select(F.col("into").alias("component")).union(alone).distinct()

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import security, vocab
 from ..functions import text as T
 from .graph import connected_components
+from .retrieval import ranked
+from .scans import running_sum
 
 # --- stores ---------------------------------------------------------------------------------
 
@@ -222,6 +224,45 @@ def top_communities(questions: DataFrame, summaries: DataFrame, k: int = vocab.C
     return best.select("query_id", "community", F.bround(F.least(F.lit(1.0), "score"), 3).alias("confidence"), "rank")
 
 
+def community_postings(labels: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(community, term, tf, first, last): how often, and where first and last, a term occurs in a community's
+    summary followed by the names of all its members in order.
+
+    Members are numbered over ranges, so that a community may have any number of them; its text is
+    never put together."""
+    told = summaries.select("community", T.tokens(F.col("summary")).alias("t"))
+    head = told.select("community", F.posexplode("t").alias("place", "term"))
+    named = labels.select("community", "node", T.tokens(F.col("node").cast("string")).alias("t")).withColumn("n", F.size("t"))
+    placed = running_sum(named, "community", ["node"], "n", "upto").join(told.select("community", F.size("t").alias("start")), "community")
+    tail = placed.select("community", (F.col("start") + F.col("upto") - F.col("n")).alias("at"), F.posexplode("t").alias("i", "term")).select("community", (F.col("at") + F.col("i")).alias("place"), "term")
+    every = head.unionByName(tail)
+    return every.groupBy("community", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("place").alias("first"), F.max("place").alias("last"))
+
+
+def global_communities(questions: DataFrame, postings: DataFrame, summaries: DataFrame, k: int = vocab.COMMUNITIES) -> DataFrame:
+    """(query_id, community, summary, score, confidence, rank): the k communities whose summaries and members
+    score best for each question.
+
+    Questions meet only communities that hold one of their terms; those that hold none score 0 and
+    follow by their number, so that some of the smallest are enough."""
+    asked = questions.select("query_id", T.tokens(F.col("query")).alias("q"))
+    terms = asked.select("query_id", F.size("q").alias("terms"), F.explode("q").alias("term"))
+    rare = (F.col("term").rlike(r"^[a-z]?\d") | (F.length("term") <= 2)).cast("int")
+    terms = terms.groupBy("query_id", "terms", "term").agg(F.count(F.lit(1)).alias("times")).withColumn("rare", rare * F.col("times"))
+    rares = terms.groupBy("query_id").agg(F.sum("rare").alias("rare"))
+    met = terms.withColumnRenamed("rare", "r").join(postings, "term").groupBy("query_id", "terms", "community").agg(
+        F.sum("times").alias("covered"), F.sum("r").alias("rare_hits"), F.sum("tf").alias("hits"), (F.max("last") - F.min("first") + 1).alias("span")
+    )
+    parts = met.join(rares, "query_id").withColumn("span", F.when(F.col("hits") >= 2, F.col("span")).otherwise(0)).withColumn("length", F.lit(1))
+    score = F.round(T.rerank_score({c: F.col(c) for c in ("covered", "terms", "rare_hits", "rare", "hits", "span", "length")}) + 1e-9, 6)
+    best = ranked(parts.select("query_id", "community", score.alias("score")), ["query_id"], [F.col("score").desc(), "community"], k).drop("rank")
+    # at most k communities of the 2 k smallest have been met already
+    rest = questions.select("query_id").crossJoin(F.broadcast(summaries.select("community").orderBy("community").limit(2 * k)))
+    rest = rest.join(best.select("query_id", "community"), ["query_id", "community"], "left_anti").withColumn("score", F.lit(0.0))
+    top = ranked(best.unionByName(rest), ["query_id"], [F.col("score").desc(), "community"], k)
+    return top.join(summaries.select("community", "summary"), "community").select("query_id", "community", "summary", "score", F.bround(F.least(F.lit(1.0), "score"), 3).alias("confidence"), "rank")
+
+
 # --- resolution -------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from typing import TYPE_CHECKING
 
@@ -248,14 +249,19 @@ def answers(questions: DataFrame, contexts: DataFrame) -> DataFrame:
     return joined.select("query_id", "mode", F.size("c").cast("long").alias("n_contexts"), F.size(F.filter("c", lambda x: x["masked"])).cast("long").alias("n_masked"), (F.size("c") > 0).alias("grounded"), F.when(F.size("c") > 0, F.concat(F.lit(vocab.ANSWER_PREFIX), bits)).otherwise(F.lit(vocab.NO_CONTENT)).alias("answer"))
 
 
-def ask(questions: DataFrame, chunks: DataFrame, pages: DataFrame, threshold: float = 0.5, store: Store | None = None) -> DataFrame:
-    """The local read path for a batch of questions (query_id, query, role): recall to answer; over the
-    stored index where one is given (its chunks and pages are then those given)."""
+def ask(questions: DataFrame, chunks: DataFrame, pages: DataFrame, threshold: float = 0.5, store: Store | None = None, global_contexts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The read path for a batch of questions (query_id, query, role): recall to answer; over the stored
+    index where one is given (its chunks and pages are then those given). ``global_contexts`` gives
+    contexts (query_id, rank, text) for questions of mode global, which are asked locally without it."""
     routed = route(questions)
+    local = routed if global_contexts is None else routed.where("mode = 'local'")
     if store is not None:
-        dense, sparse = dense_stored(store, routed, secure=True), bm25_stored(store, routed, secure=True)
+        dense, sparse = dense_stored(store, local, secure=True), bm25_stored(store, local, secure=True)
     else:
-        dense, sparse = dense_hashed(chunks, routed, secure=True), bm25(chunks, routed, secure=True)
-    fused = rrf(dense, sparse).select("query_id", "chunk_id").join(routed.select("query_id", "query"), "query_id").join(chunks, "chunk_id")
-    contexts = restored(gate(rerank(fused), threshold), pages)
-    return answers(routed, secured(contexts, routed))
+        dense, sparse = dense_hashed(chunks, local, secure=True), bm25(chunks, local, secure=True)
+    fused = rrf(dense, sparse).select("query_id", "chunk_id").join(local.select("query_id", "query"), "query_id").join(chunks, "chunk_id")
+    contexts = secured(restored(gate(rerank(fused), threshold), pages), local).select("query_id", "rank", "text", "masked")
+    if global_contexts is not None:
+        told = global_contexts(routed.where("mode = 'global'"))
+        contexts = contexts.unionByName(told.select("query_id", "rank", "text", F.lit(False).alias("masked")))
+    return answers(routed, contexts)

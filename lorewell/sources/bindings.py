@@ -51,6 +51,28 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a log of the actions that events don't name: objects made and merged, roadmaps advanced, pages corrected and promoted."""
+    kinds = ("create_object", "advance-roadmap", "correct", "merge", "promote")
+    states = F.array(*map(F.lit, ("development", "risk", "HVM", "EOL")))
+    at = lambda values, n: F.get(values, n.cast("int"))
+    key, who = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda c: c.cast("string")
+    params = F.create_map(F.lit("id"), text(who % 500), F.lit("title"), F.concat(F.lit("object "), text(key)), F.lit("objectType"), F.col("o_orderstatus"), F.lit("aliases"), F.col("o_orderpriority"))
+    return table(spark, sf_dir, "orders").select(
+        key.alias("seq"),
+        at(F.array(*map(F.lit, kinds)), F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("action"),
+        at(F.array(*map(F.lit, ("viewer", "analyst", "strategy", "compliance"))), who % 4).alias("role"),
+        (key % 2 == 0).alias("confirmed"),
+        F.lit("official").alias("source_tier"),
+        at(states, key % 4).alias("current_status"),
+        at(states, F.floor(key / 4) % 4).alias("new_status"),
+        (who % 7 == 0).alias("correction"),
+        text(who).alias("actor"),
+        params.alias("params"),
+    )
+
+
 def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer as a history of states O -> F -> P."""
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("node"), F.col("o_orderstatus").alias("status"), F.struct("o_orderdate", "o_orderkey").alias("seq"), F.lit(False).alias("correction"), "o_orderkey")
