@@ -299,9 +299,16 @@ _L = " + ".join(f"contains(lower(query), '{w}')::INT" for w in vocab.LOCAL_SIGNA
 ROUTED = f"routed AS (SELECT *, CASE WHEN ({_G}) > ({_L}) AND NOT regexp_matches(query, '\\bN[0-9]+|\\bHBM|\\bEUV|JESD[0-9]+') THEN 'global' ELSE 'local' END AS mode FROM questions)"
 
 
-@query(f"WITH {QUESTIONS}, {ROUTED} SELECT query_id, mode FROM routed")
+_ASKS = ("what is ", "overall trend of ", "main themes across EUV and ", "how much, in general, was ", "summary and landscape: ", "")
+_ASKED_OF = "questions AS (SELECT conv_id, turn, ([" + quoted(_ASKS) + f"])[(conv_id + turn) % {len(_ASKS)} + 1] || text AS query FROM conversations WHERE role = 'user')"
+
+
+@query(f"WITH {_ASKED_OF}, {ROUTED} SELECT conv_id, turn, mode FROM routed")
 def route_queries(spark, sf_dir):
-    return R.route(questions(spark)).select("query_id", "mode")
+    """The modes of what users say in conversations, each put as one of several kinds of question."""
+    said = B.table(spark, sf_dir, "conversations").where("role = 'user'")
+    put = F.get(F.array(*map(F.lit, _ASKS)), ((F.col("conv_id") + F.col("turn")) % len(_ASKS)).cast("int"))
+    return R.route(said.select("conv_id", "turn", F.concat(put, "text").alias("query"))).select("conv_id", "turn", "mode")
 
 
 DENSE = """qsrc AS (SELECT query_id, query AS text FROM questions),
@@ -669,14 +676,13 @@ def object_view(spark, sf_dir):
     return G.object_view(facts, _roles(spark), G.policy(rules))
 
 
-_MATRIX = [(a, r, r in roles, s) for a, (roles, s) in vocab.ACTIONS.items() for r in ("viewer", "analyst", "strategy", "compliance")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{r}', {str(p).lower()}, {str(s).lower()})" for a, r, p, s in _MATRIX) + ") t(action, role, permitted, sandbox)")
+@query(f"WITH {ORDERED}, {ACTS}, every AS (SELECT action, role FROM oacts UNION ALL SELECT action, role FROM acts) SELECT action, role, coalesce({_ALLOWED}, false) AS permitted, coalesce(action IN ({_SANDBOX}), false) AS sandbox, count(*) AS n FROM every GROUP BY ALL")
 def action_permission_matrix(spark, sf_dir):
-    spec = spark.createDataFrame([(a, list(r), s) for a, (r, s) in vocab.ACTIONS.items()], "action string, roles array<string>, sandbox boolean")
-    roles = spark.createDataFrame([(r,) for r in ("viewer", "analyst", "strategy", "compliance")], "role string")
-    return spec.crossJoin(roles).select("action", "role", F.array_contains("roles", F.col("role")).alias("permitted"), "sandbox")
+    """Which roles may run which actions, for all that two logs ask for, and how often they do."""
+    logs = B.order_actions(spark, sf_dir).select("action", "role").unionByName(B.actions(spark, sf_dir).select("action", "role"))
+    spec = spark.createDataFrame([(a, list(r), x) for a, (r, x) in vocab.ACTIONS.items()], "action string, roles array<string>, sandbox boolean")
+    asked = logs.groupBy("action", "role").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(spec), "action", "left")
+    return asked.select("action", "role", F.coalesce(F.array_contains("roles", F.col("role")), F.lit(False)).alias("permitted"), F.coalesce("sandbox", F.lit(False)).alias("sandbox"), "n")
 
 
 @query(f"WITH {ACTS} SELECT seq, action, role FROM decided WHERE decision = 'executed' ORDER BY seq DESC LIMIT 100")
@@ -715,9 +721,10 @@ def objects_by_title(spark, sf_dir):
     return B.table(spark, sf_dir, "supplier").groupBy(F.col("s_name").alias("title")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id HAVING count(*) > 1")
+@query("SELECT source, md5(text) AS mark, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
 def unique_check(spark, sf_dir):
-    return K.duplicates(B.table(spark, sf_dir, "labels"), ["doc_id"])
+    """Texts that a source holds more than once."""
+    return K.duplicates(B.table(spark, sf_dir, "documents").select("source", F.md5("text").alias("mark")), ["source", "mark"])
 
 
 MASKS = f"""CASE WHEN NOT controlled OR role = 'compliance' THEN text WHEN role = 'strategy' THEN '{vocab.SUMMARY_PREFIX}' || substr(text, 1, 8) || '{vocab.ELLIPSIS}' WHEN role = 'analyst' THEN '{vocab.MASKED}' END"""
@@ -761,14 +768,26 @@ def review_confidence(spark, sf_dir):
     return K.bumped_confidence(facts, p.select(F.col("p_brand").alias("id"), F.lit(0.03).alias("delta"))).withColumn("confidence", F.round("confidence", 9))
 
 
-_FACTS = [("o1", "status", 0.82), ("o1", "fake", 0.80), ("o1", "weak", 0.78), ("o2", "status", 0.9), ("o3", "at60", 0.60), ("o3", "at85", 0.85), ("o3", "plain", None)]
-_VERDICTS = [("o1", "status", False, True, True, 0.05), ("o1", "fake", False, True, False, -0.5), ("o1", "weak", False, True, True, -0.05), ("o2", None, False, False, None, None)]
+CHECKED = """facts AS (SELECT p_partkey // 4 AS object_id, 'k' || p_partkey % 4 AS key, CASE WHEN p_partkey % 11 > 0 THEN 0.5 + p_size / 128.0 END AS confidence, p_partkey AS k, p_size FROM part),
+told AS (SELECT *, k % 97 = 0 AS gone, k % 89 > 0 AS valid, k % 3 > 0 AS supported, (p_size % 7 - 3) / 16.0 AS delta FROM facts WHERE k % 5 > 0),
+lost AS (SELECT DISTINCT object_id FROM told WHERE gone OR NOT valid),
+moved AS (SELECT f.object_id, f.key, l.object_id IS NOT NULL AS lost, coalesce(f.confidence, 0.78) AS base, t.supported, t.delta FROM facts f LEFT JOIN told t ON t.k = f.k LEFT JOIN lost l ON l.object_id = f.object_id),
+judged_facts AS (SELECT object_id, key, lost, CASE WHEN supported IS NULL THEN base WHEN supported THEN least(1.0, greatest(0.0, base + delta)) ELSE least(0.55, greatest(0.0, base + delta)) END::DOUBLE AS c FROM moved),
+banded AS (SELECT object_id, key, CASE WHEN lost THEN 'object_dropped' WHEN c < 0.6 THEN 'dropped' WHEN c < 0.85 THEN 'pending' ELSE 'keep' END AS band, round_even(c, 3) AS confidence FROM judged_facts)"""
+
+
+def _checked(spark, sf_dir):
+    p = B.table(spark, sf_dir, "part")
+    k, same = F.col("p_partkey"), [F.floor(F.col("p_partkey") / 4).alias("object_id"), F.concat(F.lit("k"), F.col("p_partkey") % 4).alias("key")]
+    facts = p.select(*same, F.when(k % 11 > 0, 0.5 + F.col("p_size") / 128).alias("confidence"))
+    told = p.where(k % 5 > 0).select(*same, (k % 97 == 0).alias("drop"), (k % 89 > 0).alias("valid_type"), (k % 3 > 0).alias("supported"), ((F.col("p_size") % 7 - 3) / 16).alias("delta"))
+    return K.apply_verdicts(facts, told)
 
 
-@query("SELECT object_id, key, band, confidence::DOUBLE AS confidence FROM (VALUES ('o1', 'status', 'keep', 0.87), ('o1', 'fake', 'dropped', 0.3), ('o1', 'weak', 'pending', 0.73), ('o2', 'status', 'object_dropped', 0.9), ('o3', 'at60', 'pending', 0.6), ('o3', 'at85', 'keep', 0.85), ('o3', 'plain', 'pending', 0.78)) t(object_id, key, band, confidence)")
+@query(f"WITH {CHECKED} SELECT * FROM banded")
 def verify_apply(spark, sf_dir):
-    facts = spark.createDataFrame(_FACTS, "object_id string, key string, confidence double")
-    return K.apply_verdicts(facts, spark.createDataFrame(_VERDICTS, "object_id string, key string, drop boolean, valid_type boolean, supported boolean, delta double"))
+    """Facts about parts, with a judge's verdicts on four of five of them."""
+    return _checked(spark, sf_dir)
 
 
 JUDGED = """v AS (SELECT user_id AS object_id, event_type AS key, event_id % 3 > 0 AS supported, (event_id % 7 - 3) / 16.0 AS delta FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1),
@@ -784,22 +803,35 @@ def verify_duplicates(spark, sf_dir):
     return K.apply_verdicts(facts, verdicts)
 
 
-@query("SELECT 3::BIGINT AS objects_in, 2::BIGINT AS objects_kept, 1::BIGINT AS objects_dropped, 1::BIGINT AS facts_dropped, 3::BIGINT AS facts_pending")
+@query(f"WITH {CHECKED}, o AS (SELECT object_id, bool_or(band IN ('keep', 'pending')) AS kept, count(*) FILTER (band = 'dropped') AS d, count(*) FILTER (band = 'pending') AS p FROM banded GROUP BY object_id) SELECT count(*) AS objects_in, count(*) FILTER (kept) AS objects_kept, count(*) FILTER (NOT kept) AS objects_dropped, sum(d)::BIGINT AS facts_dropped, sum(p)::BIGINT AS facts_pending FROM o")
 def verify_counts(spark, sf_dir):
-    return K.review_counts(verify_apply(spark, sf_dir))
+    return K.review_counts(_checked(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES (1, 2::BIGINT, 'n3'), (2, NULL, NULL), (3, 1::BIGINT, 'x')) t(id, objects, first)")
+@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 2 ELSE 1 END::BIGINT AS objects, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 3 THEN 'n' || p_size ELSE p_brand END AS first FROM part")
 def llm_json_parse(spark, sf_dir):
-    rows = [(1, '```json\n{"objects":[{"id":"n3","type":"ProcessNode"},{"id":"n5","type":"ProcessNode"}],"links":[]}\n```'), (2, "sorry, no data"), (3, 'here: {"objects":[{"id":"x","type":"T"}]} done')]
-    p = K.parse_reply(F.col("reply"))
-    return spark.createDataFrame(rows, "id int, reply string").select("id", F.when(p.isNotNull(), F.size(p["objects"])).cast("long").alias("objects"), F.try_element_at(p["objects"], F.lit(1))["id"].alias("first"))
-
-
-@query("SELECT * FROM (VALUES ('http://localhost:8000/v1', true), ('https://10.1.2.3/x', true), ('http://172.20.0.1:80', true), ('http://172.40.0.1', false), ('https://api.example.com/v1', false), ('http://192.168.0.9', true)) t(url, local)")
+    """Replies about parts as models write them: prose alone, JSON in a fence, JSON in prose, nested JSON."""
+    p = B.table(spark, sf_dir, "part")
+    one = lambda name: F.concat(F.lit('{"id":"'), name, F.lit('","type":"'), F.col("p_type"), F.lit('"}'))
+    kinds = [
+        F.lit("sorry, no data"),
+        F.concat(F.lit('```json\n{"objects":['), one(F.col("p_brand")), F.lit(","), one(F.col("p_name")), F.lit('],"links":[]}\n```')),
+        F.concat(F.lit('here: {"objects":['), one(F.col("p_brand")), F.lit("]} done")),
+        F.concat(F.lit('{"objects":['), one(F.concat(F.lit("n"), "p_size")), F.lit('],"links":[{"lt":"x","from":"a","to":"b"}]}')),
+    ]
+    reply = F.get(F.array(*kinds), (F.col("p_partkey") % 4).cast("int"))
+    parsed = K.parse_reply(F.col("reply"))
+    rows = p.select(F.col("p_partkey").alias("id"), reply.alias("reply"))
+    return rows.select("id", F.when(parsed.isNotNull(), F.size(parsed["objects"])).cast("long").alias("objects"), F.try_element_at(parsed["objects"], F.lit(1))["id"].alias("first"))
+
+
+@query("SELECT page_id, page_id % 5 > 0 AND (page_id % 5 != 2 OR page_id % 64 BETWEEN 16 AND 31) AS local FROM pages")
 def egress_hosts(spark, sf_dir):
-    urls = ["http://localhost:8000/v1", "https://10.1.2.3/x", "http://172.20.0.1:80", "http://172.40.0.1", "https://api.example.com/v1", "http://192.168.0.9"]
-    return spark.createDataFrame([(u,) for u in urls], "url string").select("url", security.is_local(F.col("url")).alias("local"))
+    """Whether the hosts of pages, or private addresses in their place, may be sent controlled text."""
+    n = F.col("page_id")
+    hosts = [F.regexp_extract("url", "^https?://([^/]+)", 1), F.lit("localhost:8000"), F.concat(F.lit("172."), n % 64, F.lit(".0.1")), F.concat(F.lit("10."), n % 256, F.lit(".2.3")), F.concat(F.lit("192.168.0."), n % 256, F.lit(":443"))]
+    url = F.concat(F.lit("https://"), F.get(F.array(*hosts), (n % 5).cast("int")), F.lit("/v1"))
+    return B.table(spark, sf_dir, "pages").select("page_id", security.is_local(url).alias("local"))
 
 
 # --- streams, as batches over the same functions ----------------------------------------------
