@@ -10,6 +10,7 @@ from .functions import security, vectors, vocab
 from .functions import text as T
 from .operators import ingest as I
 from .operators import knowledge as K
+from .operators import resolution as V
 from .operators import retrieval as R
 from .operators import governed as G
 from .operators.graph import checkpoint, merge_components, shared_folder
@@ -285,11 +286,15 @@ def hash_embed_buckets(spark, sf_dir):
     return vectors.hashed_features(B.table(spark, sf_dir, "benchmark"), "item_id", "text").select("id", "bucket", F.round(F.col("value") / F.col("norm"), 6).alias("value"))
 
 
-@query("SELECT a.vec_id, count(*) AS near FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) > 0.86 GROUP BY a.vec_id")
+#: Cosines of the given vectors seldom reach what the engine takes for likeness.
+LIKE = 0.25
+
+
+@query(f"SELECT a.vec_id, count(*) AS near FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) > {LIKE} GROUP BY a.vec_id")
 def entity_type_neighbours(spark, sf_dir):
-    e = B.table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors.normalised(vectors.doubles(F.col("embedding"))).alias("v"))
-    pairs = e.alias("a").join(e.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    return pairs.where(vectors.dot(F.col("a.v"), F.col("b.v")) > 0.86).groupBy(F.col("a.vec_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("near"))
+    """How many later vectors of its label each vector is like."""
+    e = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("type"), F.col("embedding").alias("v"))
+    return V.neighbour_counts(e, LIKE).withColumnRenamed("id", "vec_id")
 
 
 # --- the read path ----------------------------------------------------------------------------
@@ -529,10 +534,15 @@ def entity_resolve_alias(spark, sf_dir):
     return r.groupBy("key", "canonical_id").agg(F.countDistinct("name").alias("names"))
 
 
-@query()
+@query(f"""WITH RECURSIVE pairs AS (SELECT a.vec_id AS id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id < a.vec_id WHERE c > {LIKE}),
+near AS (SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, coalesce((SELECT list(other) FROM pairs WHERE id = vec_id), []) AS others FROM embeddings),
+walk(k, chosen) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.k, CASE WHEN list_has_any(n.others, w.chosen) THEN w.chosen ELSE list_append(w.chosen, n.vec_id) END FROM walk w JOIN near n ON n.k = w.k + 1),
+chosen AS (SELECT unnest(chosen) AS id FROM walk WHERE k = (SELECT count(*) FROM near))
+SELECT vec_id AS entity_id, CASE WHEN vec_id IN (SELECT id FROM chosen) THEN vec_id ELSE (SELECT arg_max(other, {{'c': c, 'o': -other}}) FROM pairs WHERE pairs.id = vec_id AND other IN (SELECT id FROM chosen)) END AS canonical_id FROM embeddings""")
 def entity_resolve_vector(spark, sf_dir):
+    """Vectors resolved in order within their label."""
     e = B.table(spark, sf_dir, "embeddings")
-    return K.resolve_vectors(e.select(F.col("vec_id").alias("entity_id"), F.col("vec_id").alias("seq"), F.col("label").alias("type"), F.col("embedding").alias("v")))
+    return V.resolve_vectors(e.select(F.col("vec_id").alias("entity_id"), F.col("vec_id").alias("seq"), F.col("label").alias("type"), F.col("embedding").alias("v")), LIKE)
 
 
 # --- bitemporal -------------------------------------------------------------------------------

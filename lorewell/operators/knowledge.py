@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -277,34 +275,6 @@ def resolve_aliases(entities: DataFrame, aliases: DataFrame | None = None) -> Da
     return keyed.join(first, "key").select("entity_id", "canonical_id")
 
 
-def resolve_vectors(entities: DataFrame, threshold: float = 0.86) -> DataFrame:
-    """(entity_id, canonical_id) for rows (entity_id, seq, type, v): in the order of seq, each joins the
-    canonical entity of its type with the highest cosine above the threshold, or becomes one itself.
-
-    The result depends on that order, so each type is resolved in one pass; a type's canonical
-    entities have to fit one task."""
-
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        kept: list[np.ndarray] = []
-        names: list = []
-        out = []
-        for i, v in zip(pdf["entity_id"], pdf["v"]):
-            v = np.asarray(v, dtype=np.float64)
-            v = v / (np.linalg.norm(v) or 1.0)
-            s = np.stack(kept) @ v if kept else np.zeros(0)
-            if len(s) and s.max() > threshold:
-                out.append((i, names[int(s.argmax())]))
-            else:
-                kept.append(v)
-                names.append(i)
-                out.append((i, i))
-        return pd.DataFrame(out, columns=["entity_id", "canonical_id"])
-
-    kind = entities.schema["entity_id"].dataType.simpleString()
-    return entities.groupBy("type").applyInPandas(ordered, f"entity_id {kind}, canonical_id {kind}")
-
-
 def field_security(facts: DataFrame, roles: DataFrame) -> DataFrame:
     """Every fact as every role sees it: (…, role, display, masked)."""
     both = facts.crossJoin(F.broadcast(roles.select("role")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lorewell.functions import security, vectors, vocab
 from lorewell.functions import text as T
-from lorewell.operators import ingest, knowledge, retrieval
+from lorewell.operators import ingest, knowledge, resolution, retrieval
 from lorewell.plans.engine import Engine
 from lorewell.sources import config, models
 
@@ -180,7 +180,7 @@ def test_resolution(spark):
     manual = spark.createDataFrame([("OTHER", "e1")], "alias string, canonical_id string")
     assert {r["entity_id"]: r["canonical_id"] for r in knowledge.resolve_aliases(e, manual).collect()} == {"e1": "e1", "e2": "e1", "e3": "e1"}
     v = spark.createDataFrame([(1, 1, "t", [1.0, 0.0]), (2, 2, "t", [0.95, 0.3]), (3, 3, "t", [0.75, 0.66]), (4, 4, "u", [1.0, 0.0])], "entity_id long, seq long, type string, v array<double>")
-    assert {r["entity_id"]: r["canonical_id"] for r in knowledge.resolve_vectors(v).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r["entity_id"]: r["canonical_id"] for r in resolution.resolve_vectors(v).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
 def test_uploads_config_tokens_and_egress(spark):
