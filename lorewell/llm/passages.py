@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, folded, fresh, mix64, rolled, ship, tidied, without, word_hashes, word_starts
+from .common import checkpoint, folded, fresh, mix64, rolled, ship, spread_join, tidied, without, word_hashes, word_starts
 from .jaccard import wanted
 
 K, MARGIN = 5, 60
@@ -29,6 +29,8 @@ K, MARGIN = 5, 60
 GAP_COST, SEED_GAP, EVIDENCE = 0.1, 60, 10
 #: Parts into which k-mers and then documents are dealt, and k-mers that a task holds before it deals them.
 PARTS, BUFFER = 2048, 1 << 19
+#: Words of a document that are cut up at a time, and words that a document is aligned with at a time.
+PIECE, WORDS_AT_ONCE = 4096, 1 << 17
 #: Bytes of the columns of packed k-mers, windows (hash, id, place) and matches (id, place, other, place).
 KMERS, WINDOWS, MATCHES = (4, 8, 4), (6, 8, 4), (8, 4, 8, 4)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -416,40 +418,56 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, text
     # whole windows whose k-mers lead to several places meet the first document that holds them
     again = parts(parts(met.where("data IS NOT NULL").select("part", "data")).mapInPandas(shared(WINDOWS), "part long, data binary"))
     spans = checkpoint(met.where("data IS NULL").select(*names).unionByName(again.mapInPandas(boxed, spanned)))
-    texts = wanted(source, spans.select(F.col("other").alias("id")).distinct())
+    # what spans need of the documents they lead to is cut out before it meets them, each piece once
+    places = spans.select(F.col("other").alias("id"), "x0", "x1").distinct()
+    pieces = places.groupBy("id", F.floor(F.col("x0") / PIECE).alias("piece")).agg(F.collect_list(F.struct("x0", "x1")).alias("at"))
 
     @tidied
     def sliced(batches):
-        last, data, starts = None, b"", []
         for pdf in batches:
-            slices = []
-            for other, text, x0, x1 in zip(pdf["other"], pdf["text"], pdf["x0"], pdf["x1"]):
-                if last != (other, len(text)):
-                    last, data = (other, len(text)), folded(text)
-                    starts = np.append(word_starts(data), len(data))
-                slices.append(data[starts[max(0, x0 - MARGIN)] : starts[min(x1 + MARGIN, len(starts) - 1)]])
-            yield pdf[["id", "other", "y0", "y1", "x0"]].assign(words=slices)
-
-    held = spans.join(texts.withColumnRenamed("id", "other"), "other").select("id", "other", "y0", "y1", "x0", "x1", "text").mapInPandas(sliced, "id long, other long, y0 int, y1 int, x0 int, words binary")
-    i, wants, done = fresh(base, "_id", "_asked", "_cut")
-    asked = held.groupBy(F.col("id").alias(i)).agg(F.collect_list(F.struct("other", "y0", "y1", "x0", "words")).alias(wants))
-
-    def trimmed(text: str | None, some) -> tuple:
-        if not text or some is None or not len(some):
-            return text, 0, []
-        own = word_hashes(folded(text))
-        found: list[tuple[int, int, int]] = []
-        for s in some:
-            lo, hi = max(0, s["y0"] - MARGIN), min(len(own), s["y1"] + MARGIN)
-            shift = (s["x0"] - max(0, s["x0"] - MARGIN)) - (s["y0"] - lo)
-            found += [(lo + p, lo + q, s["other"]) for p, q in aligned(own[lo:hi], word_hashes(s["words"]), shift, min_words, percent)]
-        spans = union([f[:2] for f in found])
-        return cut(text, spans) if spans else text, sum(b - a for a, b in spans), [{"first": a, "last": b - 1, "other": c} for a, b, c in sorted(found)]
-
-    @F.pandas_udf("text string, n long, removed array<struct<first: int, last: int, other: long>>")
+            for other, text, at in zip(pdf["id"], pdf["text"], pdf["at"]):
+                data = folded(text)
+                starts = np.append(word_starts(data), len(data))
+                words = [data[starts[max(0, p["x0"] - MARGIN)] : starts[min(p["x1"] + MARGIN, len(starts) - 1)]] if p["x0"] < len(starts) else b"" for p in at]
+                yield pd.DataFrame({"other": other, "x0": [p["x0"] for p in at], "x1": [p["x1"] for p in at], "words": words})
+
+    cutouts = wanted(source, places.select("id").distinct()).join(pieces.select("id", "at"), "id").select("id", "text", "at").mapInPandas(sliced, "other long, x0 int, x1 int, words binary")
+    key = F.concat_ws(" ", "other", "x0", "x1").alias("place")
+    held = spread_join(spans.select("id", "other", "y0", "y1", "x0", key), cutouts.select(key, "words"), "place")
+    # a document that much leads to is aligned with a part of it at a time
+    load = spans.groupBy("id").agg(F.ceil(F.sum(F.col("x1") - F.col("x0") + 2 * MARGIN) / WORDS_AT_ONCE).alias("turns"))
+    turn = F.pmod(F.xxhash64("other", "x0", "y0"), "turns").alias("turn")
+    asked = held.join(load, "id").groupBy("id", turn).agg(F.collect_list(F.struct("other", "y0", "y1", "x0", "words")).alias("wants"))
+    own = wanted(source, spans.select("id").distinct()).withColumn("mark", F.md5("text"))
+
+    @tidied
+    def matched(batches):
+        for pdf in batches:
+            out = []
+            for i, mark, text, wants in zip(pdf["id"], pdf["mark"], pdf["text"], pdf["wants"]):
+                words = word_hashes(folded(text))
+                for w in wants:
+                    lo, hi = max(0, w["y0"] - MARGIN), min(len(words), w["y1"] + MARGIN)
+                    shift = (w["x0"] - max(0, w["x0"] - MARGIN)) - (w["y0"] - lo)
+                    out += [(i, mark, lo + p, lo + q - 1, w["other"]) for p, q in aligned(words[lo:hi], word_hashes(w["words"]), shift, min_words, percent)]
+            if out:
+                yield pd.DataFrame(out, columns=["id", "mark", "first", "last", "other"])
+
+    found = own.join(asked, "id").select("id", "mark", "text", "wants").mapInPandas(matched, "id long, mark string, first int, last int, other long")
+    i, mark, gone, done = fresh(base, "_id", "_mark", "_gone", "_cut")
+    removed = found.groupBy(F.col("id").alias(i), F.col("mark").alias(mark)).agg(F.array_sort(F.collect_set(F.struct("first", "last", "other"))).alias(gone))
+    removed = checkpoint(removed)
+
+    def trimmed(text: str | None, found) -> tuple:
+        spans = union([(s["first"], s["last"] + 1) for s in found]) if found is not None else []
+        return cut(text, spans) if spans else text, sum(b - a for a, b in spans)
+
+    @F.pandas_udf("text string, n long")
     def trim(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        rows = tidied(lambda pairs: (pd.DataFrame([trimmed(*x) for x in zip(*pair)], columns=["text", "n", "removed"]) for pair in pairs))
+        rows = tidied(lambda pairs: (pd.DataFrame([trimmed(*x) for x in zip(*pair)], columns=["text", "n"]) for pair in pairs))
         yield from rows(batches)
 
-    joined = base.join(asked, F.col(f"`{id_col}`").cast("long") == F.col(i), "left").withColumn(done, trim(F.col(f"`{text_col}`"), F.col(wants)))
-    return joined.select(*[F.col(f"{done}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns], F.col(f"{done}.n").alias("n_words_removed"), F.col(f"{done}.removed").alias("removed"))
+    text = F.col(f"`{text_col}`")
+    joined = base.join(removed, (F.col(f"`{id_col}`").cast("long") == F.col(i)) & (F.md5(text) == F.col(mark)), "left").withColumn(done, trim(text, F.col(gone)))
+    none = F.array().cast("array<struct<first:int,last:int,other:bigint>>")
+    return joined.select(*[F.col(f"{done}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns], F.col(f"{done}.n").alias("n_words_removed"), F.coalesce(F.col(gone), none).alias("removed"))
