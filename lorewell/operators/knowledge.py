@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,10 +209,21 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("community"))
 
 
-def community_summaries(labels: DataFrame, types: DataFrame | None = None) -> DataFrame:
-    """(community, members, types, summary): counts, sorted types and the first eight members."""
+#: Members that a model is told to summarise a community.
+TOLD = 64
+
+
+def community_summaries(labels: DataFrame, types: DataFrame | None = None, only: DataFrame | None = None, summariser: Callable[[list[str], int], str] | None = None) -> DataFrame:
+    """(community, members, types, summary): counts, sorted types and the first eight members; of the
+    communities in ``only`` (community), as after merge_components(), where it is given. A
+    ``summariser`` is told the first TOLD members and how many there are."""
+    if only is not None:
+        labels = labels.join(only.select("community").distinct(), "community", "left_semi")
     rows = labels.join(types, "node", "left") if types is not None else labels.withColumn("type", F.lit(None).cast("string"))
-    g = rows.groupBy("community").agg(F.countDistinct("node").alias("members"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"), F.slice(F.array_sort(F.collect_set("node")), 1, 8).alias("first"))
+    g = rows.groupBy("community").agg(F.countDistinct("node").alias("members"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"), F.slice(F.array_sort(F.collect_set("node")), 1, TOLD).alias("told")).withColumn("first", F.slice("told", 1, 8))
+    if summariser is not None:
+        model = F.pandas_udf(lambda m, n: pd.Series([summariser([str(x) for x in a], int(b)) for a, b in zip(m, n)], dtype=object), "string")
+        return g.select("community", "members", "types", model(F.transform("told", lambda x: x.cast("string")), "members").alias("summary"))
     text = F.concat(F.lit("社区"), F.col("community").cast("string"), F.lit("："), F.col("members").cast("string"), F.lit(" 实体，类型 "), F.col("types"), F.lit("。成员："), F.array_join(F.transform("first", lambda x: x.cast("string")), ", "))
     return g.select("community", "members", "types", text.alias("summary"))
 

@@ -208,9 +208,14 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: int = vocab.RECALL, c: int = voc
     return ranked(fused, ["query_id"], [F.col("rrf").desc(), "chunk_id"], k)
 
 
-def rerank(candidates: DataFrame, k: int = vocab.RERANK) -> DataFrame:
-    """Adds score and confidence to rows (query_id, query, chunk_id, text), and keeps the k best."""
-    scored = candidates.withColumn("parts", T.rerank_parts(F.col("query"), F.col("text"))).withColumn("score", F.round(T.rerank_score(F.col("parts")) + 1e-9, 6))
+def rerank(candidates: DataFrame, k: int = vocab.RERANK, scorer: Callable[[list[str], list[str]], list[float]] | None = None) -> DataFrame:
+    """Adds score and confidence to rows (query_id, query, chunk_id, text), and keeps the k best; a
+    ``scorer`` of a batch's queries and texts takes the place of the lexical score."""
+    if scorer is None:
+        scored = candidates.withColumn("parts", T.rerank_parts(F.col("query"), F.col("text"))).withColumn("score", F.round(T.rerank_score(F.col("parts")) + 1e-9, 6))
+    else:
+        model = F.pandas_udf(lambda q, t: pd.Series(list(scorer(q.tolist(), t.tolist())), dtype=float), "double")
+        scored = candidates.withColumn("score", F.round(model("query", "text") + 1e-9, 6))
     return ranked(scored.withColumn("confidence", T.confidence(F.col("score"))), ["query_id"], [F.col("score").desc(), "chunk_id"], k)
 
 
@@ -241,18 +246,23 @@ def secured(contexts: DataFrame, questions: DataFrame) -> DataFrame:
     return seen.withColumn("text", F.col("m.display")).withColumn("masked", F.col("m.masked")).where("text IS NOT NULL").drop("m", "role")
 
 
-def answers(questions: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(query_id, mode, n_contexts, n_masked, grounded, answer): the first three contexts, 60 characters of each."""
+def answers(questions: DataFrame, contexts: DataFrame, generate: Callable[[str, list[str]], str] | None = None) -> DataFrame:
+    """(query_id, mode, n_contexts, n_masked, grounded, answer): the first three contexts, 60 characters of
+    each, or what ``generate`` makes of a question and its contexts (it is not asked without any)."""
     told = contexts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "masked"))).alias("c"))
     joined = questions.join(told, "query_id", "left").withColumn("c", F.coalesce("c", F.array().cast("array<struct<rank:int,text:string,masked:boolean>>")))
-    bits = F.array_join(F.transform(F.slice("c", 1, 3), lambda x: F.substring(x["text"], 1, 60)), vocab.ANSWER_JOIN)
-    return joined.select("query_id", "mode", F.size("c").cast("long").alias("n_contexts"), F.size(F.filter("c", lambda x: x["masked"])).cast("long").alias("n_masked"), (F.size("c") > 0).alias("grounded"), F.when(F.size("c") > 0, F.concat(F.lit(vocab.ANSWER_PREFIX), bits)).otherwise(F.lit(vocab.NO_CONTENT)).alias("answer"))
+    told = F.concat(F.lit(vocab.ANSWER_PREFIX), F.array_join(F.transform(F.slice("c", 1, 3), lambda x: F.substring(x["text"], 1, 60)), vocab.ANSWER_JOIN))
+    if generate is not None:
+        model = F.pandas_udf(lambda q, c: pd.Series([generate(a, list(b)) if len(b) else None for a, b in zip(q, c)], dtype=object), "string")
+        told = model("query", F.transform("c", lambda x: x["text"]))
+    return joined.select("query_id", "mode", F.size("c").cast("long").alias("n_contexts"), F.size(F.filter("c", lambda x: x["masked"])).cast("long").alias("n_masked"), (F.size("c") > 0).alias("grounded"), F.when(F.size("c") > 0, told).otherwise(F.lit(vocab.NO_CONTENT)).alias("answer"))
 
 
-def ask(questions: DataFrame, chunks: DataFrame, pages: DataFrame, threshold: float = 0.5, store: Store | None = None, global_contexts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def ask(questions: DataFrame, chunks: DataFrame, pages: DataFrame, threshold: float = 0.5, store: Store | None = None, global_contexts: Callable[[DataFrame], DataFrame] | None = None, scorer: Callable | None = None, generate: Callable | None = None) -> DataFrame:
     """The read path for a batch of questions (query_id, query, role): recall to answer; over the stored
     index where one is given (its chunks and pages are then those given). ``global_contexts`` gives
-    contexts (query_id, rank, text) for questions of mode global, which are asked locally without it."""
+    contexts (query_id, rank, text) for questions of mode global, which are asked locally without it.
+    ``scorer`` and ``generate`` are models for rerank() and answers()."""
     routed = route(questions)
     local = routed if global_contexts is None else routed.where("mode = 'local'")
     if store is not None:
@@ -260,8 +270,8 @@ def ask(questions: DataFrame, chunks: DataFrame, pages: DataFrame, threshold: fl
     else:
         dense, sparse = dense_hashed(chunks, local, secure=True), bm25(chunks, local, secure=True)
     fused = rrf(dense, sparse).select("query_id", "chunk_id").join(local.select("query_id", "query"), "query_id").join(chunks, "chunk_id")
-    contexts = secured(restored(gate(rerank(fused), threshold), pages), local).select("query_id", "rank", "text", "masked")
+    contexts = secured(restored(gate(rerank(fused, scorer=scorer), threshold), pages), local).select("query_id", "rank", "text", "masked")
     if global_contexts is not None:
         told = global_contexts(routed.where("mode = 'global'"))
         contexts = contexts.unionByName(told.select("query_id", "rank", "text", F.lit(False).alias("masked")))
-    return answers(routed, contexts)
+    return answers(routed, contexts, generate)
