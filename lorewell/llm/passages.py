@@ -12,13 +12,12 @@ the whole window, so that each run of MIN_WORDS words that an earlier document h
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, folded, fresh, mix64, rolled, ship, spread_join, tidied, without, word_hashes, word_starts
@@ -33,7 +32,7 @@ PARTS, BUFFER = 2048, 1 << 19
 PIECE, WORDS_AT_ONCE = 4096, 1 << 17
 #: Bytes of the columns of packed k-mers, windows (hash, id, place) and matches (id, place, other, place).
 KMERS, WINDOWS, MATCHES = (4, 8, 4), (6, 8, 4), (8, 4, 8, 4)
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SPACE = r"\x20\x09-\x0D"
 
 
 def chains(y: np.ndarray, x: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
@@ -335,24 +334,24 @@ def aligned(one: np.ndarray, two: np.ndarray, shift: int, least: int, percent: i
     return found
 
 
-def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
-    return out
+def merged_spans(found: Column) -> Column:
+    """array<struct<lo, hi>> of sorted spans (first, last), those that touch as one."""
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    span = lambda lo, hi: F.array(F.struct(lo.alias("lo"), hi.alias("hi")))
+
+    def add(a: Column, s: Column) -> Column:
+        last, hi = F.element_at(a, -1), s["last"] + 1
+        grown = F.concat(F.slice(a, 1, F.size(a) - 1), span(last["lo"], F.greatest(last["hi"], hi)))
+        return F.when((F.size(a) > 0) & (s["first"] <= F.try_element_at(a, F.lit(-1))["hi"]), grown).otherwise(F.concat(a, span(s["first"], hi)))
+
+    return F.aggregate(found, none, add)
 
 
-def cut(text: str, spans: list[tuple[int, int]]) -> str:
-    """``text`` without the words of the spans (from, to), nor the white space after them."""
-    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
-    out, at = [], 0
-    for lo, hi in spans:
-        out.append(text[at : starts[lo]])
-        at = starts[hi]
-    return "".join(out) + text[at:]
+def without_words(text: Column, spans: Column) -> Column:
+    """``text`` without the words of the spans (lo, hi), nor the white space after them."""
+    words = F.regexp_extract_all(text, F.lit(rf"[^{SPACE}]++[{SPACE}]*+"), F.lit(0))
+    kept = F.filter(words, lambda w, i: ~F.exists(spans, lambda s: (i >= s["lo"]) & (i < s["hi"])))
+    return F.concat(F.regexp_extract(text, rf"^[{SPACE}]*+", 0), F.array_join(kept, ""))
 
 
 def dedup_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -457,17 +456,13 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, text
     i, mark, gone, done = fresh(base, "_id", "_mark", "_gone", "_cut")
     removed = found.groupBy(F.col("id").alias(i), F.col("mark").alias(mark)).agg(F.array_sort(F.collect_set(F.struct("first", "last", "other"))).alias(gone))
     removed = checkpoint(removed)
-
-    def trimmed(text: str | None, found) -> tuple:
-        spans = union([(s["first"], s["last"] + 1) for s in found]) if found is not None else []
-        return cut(text, spans) if spans else text, sum(b - a for a, b in spans)
-
-    @F.pandas_udf("text string, n long")
-    def trim(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        rows = tidied(lambda pairs: (pd.DataFrame([trimmed(*x) for x in zip(*pair)], columns=["text", "n"]) for pair in pairs))
-        yield from rows(batches)
-
-    text = F.col(f"`{text_col}`")
-    joined = base.join(removed, (F.col(f"`{id_col}`").cast("long") == F.col(i)) & (F.md5(text) == F.col(mark)), "left").withColumn(done, trim(text, F.col(gone)))
+    # texts that nothing is taken from stay as they are and where they are
+    text, spans = F.col(f"`{text_col}`"), F.col(done)
+    joined = base.join(removed, (F.col(f"`{id_col}`").cast("long") == F.col(i)) & (F.md5(text) == F.col(mark)), "left").withColumn(done, merged_spans(F.col(gone)))
     none = F.array().cast("array<struct<first:int,last:int,other:bigint>>")
-    return joined.select(*[F.col(f"{done}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns], F.col(f"{done}.n").alias("n_words_removed"), F.coalesce(F.col(gone), none).alias("removed"))
+    n = F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
+    return joined.select(
+        *[F.when(spans.isNull(), text).otherwise(without_words(text, spans)).alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns],
+        F.coalesce(n, F.lit(0)).cast("long").alias("n_words_removed"),
+        F.coalesce(gone, none).alias("removed"),
+    )
