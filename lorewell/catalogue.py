@@ -178,6 +178,31 @@ def entity_cooccur(spark, sf_dir):
     return r.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _part_sheets(spark, sf_dir):
+    """A short text about every part that names nodes, standards, tools and companies."""
+    p = B.table(spark, sf_dir, "part")
+    tools = F.get(F.array(F.lit("EUV"), F.lit("DUV"), F.lit("no tool")), (F.col("p_partkey") % 3).cast("int"))
+    text = F.concat(F.lit("N"), "p_size", F.lit(" and N"), F.col("p_size") + 1, F.lit("P of TSMC, HBM"), F.col("p_size") % 4, F.lit(" by "), tools, F.lit("; xN7 JESD"), "p_partkey", F.lit(" 代工厂 N"), "p_size")
+    return p.select(F.col("p_partkey").cast("string").alias("id"), text.alias("text"), F.lit("A").alias("tier"))
+
+
+_NAMED = "unnest(['N' || p_size, 'N' || (p_size + 1) || 'P', 'HBM' || p_size % 4, (['EUV', 'DUV', NULL])[p_partkey % 3 + 1], 'JESD' || p_partkey, '代工厂', 'TSMC']) AS name, unnest(['ProcessNode', 'ProcessNode', 'Standard', 'Equipment', 'Standard', 'Company', 'Company']) AS type"
+
+
+@query(f"SELECT * FROM (SELECT p_partkey::VARCHAR AS doc_id, {_NAMED} FROM part) WHERE name IS NOT NULL")
+def entity_patterns(spark, sf_dir):
+    """What the engine's own patterns and names find in texts about parts."""
+    return I.entities(_part_sheets(spark, sf_dir)).select("doc_id", "name", "type")
+
+
+@query(rf"WITH {HTML}, b AS (SELECT substr(md5(id || '|' || section), 1, 12) AS page_id, id, body FROM kept), e AS (SELECT DISTINCT id, unnest(regexp_extract_all(body, '[A-Z][a-z]{{7,}}')) AS name FROM split WHERE body != '') SELECT page_id, count(*) AS n FROM b JOIN e USING (id) WHERE contains(body, name) GROUP BY page_id")
+def page_entity_links(spark, sf_dir):
+    """How many entities of its document the body of every web page's section names."""
+    docs = B.web_pages(spark, sf_dir).withColumn("tier", F.lit("A"))
+    links = I.page_entities(I.pages(docs).where("body != ''"), I.entities(docs, patterns=TERM, names=()))
+    return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 class Reader:
     """A model that works by rule, as one on this machine would: long capitalised words are objects, each linked to the next.
 
@@ -590,6 +615,13 @@ def obs_asof(spark, sf_dir):
     return K.as_of(B.observations(spark, sf_dir), 2024)
 
 
+@query("SELECT o_custkey AS obj_id, strftime(o_orderdate, '%Y-%m-%d') AS valid_time, o_orderkey AS seq, o_totalprice AS value FROM orders WHERE year(o_orderdate) <= 1995 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey DESC) = 1")
+def obs_asof_year(spark, sf_dir):
+    """What was known of each customer's orders at the end of a year that most of them are after."""
+    o = B.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("obj_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("valid_time"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("value"))
+    return K.as_of(o, 1995)
+
+
 @query(f"WITH {OBS}, open AS (SELECT *, lead(seq) OVER (PARTITION BY obj_id, valid_time ORDER BY seq) AS nxt FROM obs) SELECT obj_id, valid_time, seq, value FROM open WHERE nxt IS NULL QUALIFY row_number() OVER (PARTITION BY obj_id ORDER BY valid_time DESC, seq DESC) = 1")
 def obs_truth(spark, sf_dir):
     return K.truth(B.observations(spark, sf_dir))
@@ -659,6 +691,12 @@ def action_results(spark, sf_dir):
     return one.unionByName(two)
 
 
+@query(f"""WITH {ORDERED} SELECT seq, action, sha256('{{"aliases":"' || o_orderpriority || '","id":"' || id || '","objectType":"' || o_orderstatus || '","title":"object ' || seq || '"}}') AS params_hash FROM odone JOIN orders ON o_orderkey = seq""")
+def action_audit_hashes(spark, sf_dir):
+    """The audit's hash of the parameters of every executed action, whatever their order."""
+    return K.audit(K.decide(B.order_actions(spark, sf_dir))).select("seq", "action", "params_hash")
+
+
 @query(f"WITH {ORDERED} SELECT id AS node, nxt AS status, count(*) OVER (PARTITION BY id) AS n FROM odone WHERE action = 'advance-roadmap' QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1")
 def action_statuses(spark, sf_dir):
     """The status that executed actions have advanced each node to, and in how many steps."""
