@@ -20,6 +20,7 @@ from .operators.graph import checkpoint, merge_components, shared_folder
 from .sources import bindings as B
 from .sources import objects
 from .sources.store import Store, open_store, write_store
+from .sources.vector_index import open_vectors, search_vectors, write_vectors
 from .streaming import ingest as S
 
 QUERIES: dict = {}
@@ -303,8 +304,8 @@ def vector_int8_codes(spark, sf_dir):
 def vector_int8_topk(spark, sf_dir):
     e, q = _vectors(spark, sf_dir)
     v = vectors.doubles(F.col("embedding"))
-    coded = e.select("vec_id", vectors.int8_decoded(vectors.int8_codes(v), vectors.int8_scale(v)).alias("embedding"))
-    asked = coded.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    coded = e.select("vec_id", F.size("embedding").alias("dim"), vectors.int8_decoded(vectors.int8_codes(v), vectors.int8_scale(v)).alias("embedding"))
+    asked = coded.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "dim", F.col("embedding").alias("q"))
     return R.vector_topk(coded, asked, 10).select("query_id", "id", "score")
 
 
@@ -323,17 +324,20 @@ def vector_truncate_norm(spark, sf_dir):
 
 @query()
 def vector_ann_recall(spark, sf_dir):
-    """Recall at 10 of random-projection buckets against exact search."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
+    """Recall at 10 against exact search, of 8-bit vectors and of the inverted-file index, with the share of vectors that each scores."""
     e, q = _vectors(spark, sf_dir)
-    exact = R.vector_topk(e, q, 10).select("query_id", "id")
-    rows = e.select(F.col("vec_id").alias("id"), array_to_vector(vectors.doubles(F.col("embedding"))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=1.5, numHashTables=6, seed=42).fit(rows)
-    near = model.approxSimilarityJoin(rows.where("id % 50 = 0"), rows, 2.1, "d").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), "d")
-    found = R.ranked(near, ["query_id"], ["d", "id"], 10).select("query_id", "id")
-    return exact.join(found, ["query_id", "id"]).agg(F.count(F.lit(1)).alias("hits")).crossJoin(exact.agg(F.count(F.lit(1)).alias("wanted"))).withColumn("recall", F.col("hits") / F.col("wanted"))
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    write_vectors(e.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("department"), F.col("embedding").alias("v")), path)
+    index = open_vectors(spark, path)
+    exact = checkpoint(R.vector_topk(e, q, 10).select("query_id", "id"))
+    # vectors without any order need many lists; clustered ones few
+    found, seen = search_vectors(index, q.select("query_id", "q"), 10, probes=-(-2 * index.centroids.count() // 3))
+    coded = vector_int8_topk(spark, sf_dir)
+    sizes = exact.agg(F.count(F.lit(1)).alias("wanted"), F.countDistinct("query_id").alias("queries")).crossJoin(index.vectors.agg(F.count(F.lit(1)).alias("n")))
+    hits = lambda rows, method: exact.join(rows.select("query_id", "id"), ["query_id", "id"]).agg(F.lit(method).alias("method"), F.count(F.lit(1)).alias("hits"))
+    share = seen.agg(F.sum("seen").alias("seen")).crossJoin(sizes).select(F.lit("index").alias("method"), (F.col("seen") / F.col("queries") / F.col("n")).alias("share"))
+    both = hits(found, "index").unionByName(hits(coded, "int8")).crossJoin(sizes).join(share, "method", "left")
+    return both.select("method", "hits", "wanted", (F.col("hits") / F.col("wanted")).alias("recall"), F.coalesce("share", F.lit(1.0)).alias("share"))
 
 
 @query(f"WITH src AS (SELECT item_id AS id, text FROM benchmark), {FEATURES} SELECT id, bucket, round(value / norm, 6) AS value FROM feats JOIN norms USING (id)")

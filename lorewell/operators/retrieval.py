@@ -187,12 +187,14 @@ def dense_joined(chunks: DataFrame, questions: DataFrame, k: int = vocab.RECALL,
 def vector_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, id, score, rank): exact cosine top-k of every query over all rows.
 
-    Rows are dealt to as many blocks as there are shuffle partitions, and every query goes to each."""
+    Rows are dealt to as many blocks as there are shuffle partitions, and every query goes to each.
+    Both sides may name the length of their vectors (dim); a null vector takes no part."""
     blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # lengths are taken from the raw columns: Spark infers filters from join keys and puts them at the scan
-    v = rows.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.size(vec_col).alias("dim"), vectors.normalised(vectors.doubles(F.col(vec_col))).alias("v"))
+    # lengths are best known beside vectors that are computed: Spark infers filters from join keys and puts them at the scan
+    known = rows if "dim" in rows.columns else rows.withColumn("dim", F.size(vec_col))
+    v = known.where("dim >= 0").select(F.col(id_col).alias("id"), "dim", vectors.normalised(vectors.doubles(F.col(vec_col))).alias("v"))
     v = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    q = queries.select("query_id", F.size("q").alias("dim"), vectors.normalised(vectors.doubles(F.col("q"))).alias("q"))
+    q = (queries if "dim" in queries.columns else queries.withColumn("dim", F.size("q"))).select("query_id", "dim", vectors.normalised(vectors.doubles(F.col("q"))).alias("q"))
     scored = v.join(q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))), ["dim", "block"]).select("query_id", "id", F.round(vectors.dot(F.col("v"), F.col("q")) + 1e-9, 6).alias("score"))
     return ranked(scored, ["query_id"], [F.col("score").desc(), "id"], k)
 
