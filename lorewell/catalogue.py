@@ -22,6 +22,7 @@ from .sources import objects
 from .sources.store import Store, open_store, write_store
 from .sources.vector_index import open_vectors, search_vectors, write_vectors
 from .streaming import ingest as S
+from .streaming import status
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -948,3 +949,15 @@ def stream_dedup(spark, sf_dir):
 def event_sessions(spark, sf_dir):
     e = B.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return S.sessions(e).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query(ORACLE_SQL["fsm_violations"])
+def stream_status(spark, sf_dir):
+    """The statuses of customers' orders that don't follow, told by state of a stream."""
+    orders = S.source(spark, sf_dir, B.table(spark, sf_dir, "orders").schema, "orders.parquet")
+    # time, then key, as one number
+    seq = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) * 10**9 + F.col("o_orderkey")
+    events = orders.select(F.col("o_custkey").alias("node"), seq.alias("seq"), F.col("o_orderstatus").alias("status"), F.lit(False).alias("correction"))
+    with status.keyed_state(spark):
+        told = _drained(spark, status.violations(events, {"O": "F", "F": "P"}))
+    return told.select("node", (F.col("seq") % 10**9).alias("o_orderkey"), "before", "status")
