@@ -61,6 +61,37 @@ def test_second_ingest_is_deduplicated(spark, docs):
     assert [r["id"] for r in again["docs"].collect()] == ["d10"] and e.docs.count() == 5
 
 
+def test_writes_of_ingests_and_actions_make_objects(spark, docs):
+    e = Engine(spark)
+    first = e.ingest(docs.where("seq <= 2"))
+    counts = {r["id"]: (r["objects_created"], r["objects_merged"], r["links_committed"]) for r in first["counts"].collect()}
+    assert counts["d1"] == (4, 0, 2) and counts["d2"] == (0, 1, 0)
+    second = e.ingest(docs.where("seq > 2"))
+    counts = {r["id"]: (r["objects_created"], r["objects_merged"]) for r in second["counts"].collect()}
+    assert counts == {"d3": (1, 2), "d4": (0, 3)} and second["touched"].count() == 1
+    ids = {r["title"]: r["id"] for r in e.objects().collect()}
+    assert set(ids) == {"代工厂", "N3", "N5", "N2", "EUV"}
+    log = "seq long, action string, role string, confirmed boolean, source_tier string, current_status string, new_status string, correction boolean, actor string, params map<string,string>"
+    actions = [
+        (100, "create_object", "analyst", False, "official", None, None, False, "x", {"id": ids["N3"], "title": "other", "aliases": "three"}),
+        (101, "create_object", "analyst", False, "official", None, None, False, "x", {"id": "own", "title": "Own"}),
+        (102, "mark", "compliance", True, "official", None, None, False, "x", {"id": "own"}),
+        (103, "mark", "analyst", True, "official", None, None, False, "x", {"id": ids["N5"]}),
+    ]
+    e.run_actions(spark.createDataFrame(actions, log))
+    e.compact()
+    got = {r["id"]: r for r in e.objects().collect()}
+    assert got[ids["N3"]]["title"] == "N3" and got[ids["N3"]]["aliases"] == ["three"] and got[ids["N3"]]["doc_ids"] == ["d1", "d2", "d3", "d4"]
+    assert got["own"]["controlled"] and not got[ids["N5"]]["controlled"] and len(got) == 6
+
+
+def test_global_questions_are_answered_from_communities(spark, engine):
+    q = spark.createDataFrame([(1, "overall trend across euv", "viewer"), (2, "what is N3", "viewer")], "query_id int, query string, role string")
+    got = {r["query_id"]: r for r in engine.ask(q).collect()}
+    assert got[1]["mode"] == "global" and "社区" in got[1]["answer"] and got[1]["n_contexts"] == 2
+    assert got[2]["mode"] == "local" and "社区" not in got[2]["answer"]
+
+
 def test_ask_masks_by_role(spark, engine):
     q = [(i, "EUV N3 N5 layers", r) for i, r in enumerate(("viewer", "analyst", "strategy", "compliance"))]
     got = {r["query_id"]: r for r in engine.ask(spark.createDataFrame(q, "query_id int, query string, role string")).collect()}
