@@ -28,6 +28,8 @@ K, MARGIN = 5, 60
 GAP_COST, SEED_GAP, EVIDENCE = 0.1, 60, 10
 #: Parts into which k-mers and then documents are dealt, and k-mers that a task holds before it deals them.
 PARTS, BUFFER = 2048, 1 << 19
+#: With larger inputs there are more parts: one for so many bytes, up to a limit, beyond which parts grow; and k-mers that a task then holds at most.
+PART_BYTES, PARTS_MOST, BUFFER_MOST = 4 << 20, 1 << 22, 1 << 22
 #: Words of a document that are cut up at a time, and words that a document is aligned with at a time.
 PIECE, WORDS_AT_ONCE = 4096, 1 << 17
 #: Bytes of the columns of packed k-mers, windows (hash, id, place) and matches (id, place, other, place).
@@ -202,14 +204,22 @@ def unpacked(data: bytes, sizes: tuple[int, ...]) -> list[np.ndarray]:
     return [np.cumsum((c.view(np.uint64) >> np.uint64(1)).view(np.int64) ^ -(c & 1)) if d else c for c, d in zip(out, stepped(sizes))]
 
 
-def dealt(rows: Iterator[tuple[np.ndarray, ...]], part, sizes: tuple[int, ...]) -> Iterator[pd.DataFrame]:
-    """Rows of columns, packed for each of PARTS parts; matches in the order of their first two columns."""
+def parts_for(docs: DataFrame) -> int:
+    """A power of two that follows the size that Spark knows of ``docs``; PARTS where it knows none."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return PARTS if size >> 60 else min(max(PARTS, 1 << (size // PART_BYTES).bit_length()), PARTS_MOST)
+
+
+def dealt(rows: Iterator[tuple[np.ndarray, ...]], part, sizes: tuple[int, ...], parts: int = PARTS) -> Iterator[pd.DataFrame]:
+    """Rows of columns, packed for each part; matches in the order of their first two columns."""
     waiting, n = [], 0
+    # enough k-mers that a part gets several of them at a time; few parts are sorted faster
+    most, kind = max(BUFFER, min(64 * parts, BUFFER_MOST)), np.int16 if parts <= 1 << 15 else np.int32
 
     def full():
         columns = [np.concatenate(c) for c in zip(*waiting)]
         to = part(*columns)
-        order = np.argsort(to.astype(np.int16), kind="stable") if sizes[0] != 8 else np.lexsort((columns[1], columns[0], to))
+        order = np.argsort(to.astype(kind), kind="stable") if sizes[0] != 8 else np.lexsort((columns[1], columns[0], to))
         to, columns = to[order], [c[order] for c in columns]
         cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(to) != 0])), len(to)).tolist()
         data = [packed([c[a:b] for c in columns], sizes) for a, b in zip(cuts, cuts[1:])]
@@ -220,7 +230,7 @@ def dealt(rows: Iterator[tuple[np.ndarray, ...]], part, sizes: tuple[int, ...])
         if len(columns[0]):
             waiting.append(columns)
             n += len(columns[0])
-        if n >= BUFFER:
+        if n >= most:
             yield from full()
             waiting, n = [], 0
     if n:
@@ -368,9 +378,12 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, text
     base = without(docs, "n_words_removed", "removed")
     source = base.where(f"`{id_col}` IS NOT NULL").select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
+    many = parts_for(source)
+    bits = many.bit_length() - 1
+
     @tidied
     def seeded(batches):
-        # 43 bits of a hash, 11 of them in the part: a k-mer that meets another one's place only makes
+        # 32 bits of a hash and those of the part: a k-mer that meets another one's place only makes
         # windows go to several places, which are then compared whole
         def held():
             for pdf in batches:
@@ -378,13 +391,13 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, text
                     words = word_hashes(folded(text))
                     if len(words) >= max(min_words, K):
                         grams = rolled(words, K)
-                        yield (grams >> np.uint64(21)).view(np.int64), np.full(len(grams), i, dtype=np.int64), np.arange(len(grams))
+                        yield (grams >> np.uint64(32 - bits)).view(np.int64), np.full(len(grams), i, dtype=np.int64), np.arange(len(grams))
 
-        yield from dealt(held(), lambda h, i, y: h >> 32, KMERS)
+        yield from dealt(held(), lambda h, i, y: h >> 32, KMERS, many)
 
     def shared(sizes):
         def met(batches):
-            yield from dealt((firsts(h, i, y) for _, (h, i, y) in gathered(batches, sizes)), lambda i, y, other, x: mix64(i.view(np.uint64)).view(np.int64) & (PARTS - 1), MATCHES)
+            yield from dealt((firsts(h, i, y) for _, (h, i, y) in gathered(batches, sizes)), lambda i, y, other, x: mix64(i.view(np.uint64)).view(np.int64) & (many - 1), MATCHES, many)
 
         return tidied(met)
 

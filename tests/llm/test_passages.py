@@ -119,3 +119,14 @@ def test_runs_of_a_phrase_meet_a_run_as_long(spark):
     docs = {1: words(1, 40) + ["spam"] * 30 + words(2, 40), 2: words(3, 60) + ["spam"] * 60 + words(4, 60), 3: words(5, 60) + ["spam"] * 190 + words(6, 60), 4: ["spam"] * 49 + words(7, 60)}
     docs |= {5: words(8, 60) + ["ham", "eggs", "and"] * 30, 6: words(9, 60) + ["ham", "eggs", "and"] * 80 + words(10, 60)}
     assert dedup(spark, docs) == docs | {3: words(5, 60) + words(6, 60), 6: words(9, 60) + words(10, 60)}
+
+
+@pytest.mark.parametrize("bytes_of_a_part", [1, 1 << 12])
+def test_any_number_of_parts_gives_the_same(spark, tmp_path, monkeypatch, bytes_of_a_part):
+    p, q = words(1, 70), words(2, 55)
+    docs = {i: words(10 + i, 40) + (p if i % 2 else q) + words(40 + i, 30) for i in range(12)}
+    spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(passages, "PART_BYTES", bytes_of_a_part)
+    rows = spark.read.parquet(f"{tmp_path}/docs")
+    assert (passages.parts_for(rows) > passages.PARTS) == (bytes_of_a_part == 1)
+    assert {r["doc_id"]: r["text"].split() for r in passages.dedup_passages(rows).collect()} == left(docs)
