@@ -22,21 +22,20 @@ from __future__ import annotations
 
 import math
 from collections import OrderedDict
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import checkpoint, connected_components, folded, rolled, ship, tidied, word_hashes
+from .common import checkpoint, connected_components, folded, fresh, rolled, ship, tidied, word_hashes
 
 #: Cells of the sketch, one for so many bytes of the input; a cell is heavy when it holds that many deviations over the median cell.
 CELLS, CELLS_MOST, CELL_BYTES = 1 << 16, 1 << 20, 1 << 14
 DEVIATIONS, SLACK = 8, 64
-#: Bits of a bitmap, and bits and cells of its and the sketch's pieces, of which there is a row each.
-FILTER_BITS, FILTER_MOST, PIECE, CELLS_PIECE = 1 << 16, 1 << 26, 1 << 16, 1 << 11
+#: Bits of a bitmap, and cells of the sketch's pieces, of which there is a row each.
+FILTER_BITS, FILTER_MOST, CELLS_PIECE = 1 << 16, 1 << 24, 1 << 11
 #: Documents from which on a list takes part in passes, and from which on in blocks.
 LONG, BLOCKS_FROM = 16, 1024
 #: Minimum hashes of a document, orders in a pass, passes, equal hashes that neighbours need to be looked at, and documents of which a pass has to link one for another.
@@ -103,35 +102,24 @@ def gathered(pieces: DataFrame, size: int, kind) -> np.ndarray:
     return out
 
 
-def held_bits(keys: DataFrame, key: str) -> tuple[Callable[[Column], Column], int]:
-    """(a condition on columns of longs that all of ``keys`` meet, and few others; how many keys there are).
+def among(rows: DataFrame, keys: DataFrame, key: str, others: bool = False) -> DataFrame:
+    """The rows whose ``key`` may be among ``keys`` (key), or with ``others`` those whose key surely isn't.
 
-    It is a bitmap of 16 bits for each key, FILTER_MOST at most (8 MB); beyond some 4 M keys more and
-    more others pass. Joins with the keys decide; the bitmap keeps rows out of their shuffle."""
-    spark, n = keys.sparkSession, keys.count()
-    bits = min(max(FILTER_BITS, 1 << (16 * n).bit_length()), FILTER_MOST)
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)).cast("int")
-
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.zeros(PIECE, dtype=bool)
-        own[pdf["c"].to_numpy(dtype=np.int64) % PIECE] = True
-        return pd.DataFrame({"piece": [int(pdf["c"].iloc[0]) // PIECE], "b": [np.packbits(own).tobytes()]})
-
-    cells = keys.select(cell(F.col(key)).alias("c")).distinct()
-    words = gathered(cells.groupBy(F.floor(F.col("c") / PIECE)).applyInPandas(packed, "piece int, b binary"), bits // 8, np.uint8)
-    held = spark.sparkContext.broadcast(words)
-
-    @F.pandas_udf("boolean")
-    def passes(cell: pd.Series) -> pd.Series:
-        c = cell.to_numpy(dtype=np.int64)
-        return pd.Series((held.value[c // 8] >> (7 - c % 8).astype(np.uint8)) & 1 == 1)
-
-    return (lambda c: passes(cell(c))), n
+    It is a bitmap of 16 bits for each key, FILTER_MOST at most, in FILTER_MOST / 64 rows at most that are
+    broadcast; beyond some million keys more and more others pass. Joins with the keys decide; the
+    bitmap keeps rows out of their shuffle."""
+    bits = min(max(FILTER_BITS, 1 << (16 * keys.count()).bit_length()), FILTER_MOST)
+    cell, word, held = fresh(rows, "_cell", "_word", "_held")
+    of = F.pmod(F.xxhash64(key), F.lit(bits)).cast("int")
+    words = keys.select(of.alias("c")).groupBy((F.col("c") / 64).cast("int").alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, c % 64)")).alias(held))
+    joined = rows.withColumn(cell, of).withColumn(word, F.expr(f"{cell} div 64").cast("int")).join(F.broadcast(words), word, "left" if others else "inner")
+    bit = F.expr(f"shiftright({held}, {cell} % 64) & 1")
+    return joined.where(F.coalesce(bit, F.lit(0)) == (0 if others else 1)).select(*[f"`{c}`" for c in rows.columns])
 
 
 def wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` (id, text) that may be among ``ids`` (id)."""
-    return docs.where(held_bits(ids, "id")[0](F.col("id")))
+    return among(docs, ids, "id")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -392,13 +380,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str
                 yield pd.DataFrame(out, columns=["id", "mark", "n", "end", "hs", "sig"])
 
     # texts whose id no copy has aren't joined with the copies; kept, since both the count of each shingle and the join with it read them
-    copied, schema = held_bits(copies, "id")[0](F.col("id")), "id long, mark binary, n int, end long, hs array<long>, sig array<int>"
-    own = source.where("id IS NOT NULL")
-    twice = own.where(copied).mapInPandas(prefixes, schema).join(copies.select("id", "mark"), ["id", "mark"], "left_anti")
-    made = checkpoint(own.where(~copied).mapInPandas(prefixes, schema).unionByName(twice).drop("mark"))
+    own, schema = source.where("id IS NOT NULL"), "id long, mark binary, n int, end long, hs array<long>, sig array<int>"
+    twice = among(own, copies, "id").mapInPandas(prefixes, schema).join(copies.select("id", "mark"), ["id", "mark"], "left_anti")
+    made = checkpoint(among(own, copies, "id", others=True).mapInPandas(prefixes, schema).unionByName(twice).drop("mark"))
     postings = made.select(F.explode("hs").alias("h"), "id", "n", "end")
     shared = checkpoint(made.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h"))
-    common = postings.where(held_bits(shared, "h")[0](F.col("h"))).join(shared, "h")
+    common = among(postings, shared, "h").join(shared, "h")
     # one exchange by h serves both the least of each list and the join with it
     least = common.groupBy("h").agg(F.min(F.struct("id", "n", "end")).alias("l"), F.max("id").alias("high")).where("l.id != high").select("h", "l")
     listed = checkpoint(common.join(least, "h"))
