@@ -60,7 +60,9 @@ def hashed_features(rows: DataFrame, id_col: str, text_col: str, dims: int = 256
         raise ValueError("buckets are the last byte of a hash")
     digit = lambda h, at: F.position(F.substring(h, at, 1), F.lit("0123456789abcdef")) - 1
     text = F.col(text_col)
-    grams = F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    grams = F.when(
+        F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3)))
+    ).otherwise(F.array().cast("array<string>"))
     # buckets are summed before they are shuffled
     of = lambda values, weight: rows.select(F.col(id_col).alias("id"), F.explode(values).alias("f")).select("id", F.md5("f").alias("h")).select("id", (digit(F.col("h"), 31) * 16 + digit(F.col("h"), 32)).alias("bucket"), weight.alias("value"))
     sign = F.when(digit(F.col("h"), 30) % 2 == 1, 1.0).otherwise(-1.0)

@@ -66,7 +66,9 @@ def verdicts_of(reply: str) -> list:
         whole = {"object_id": o.get("object_id"), "drop": bool(o.get("drop", False)), "valid_type": bool(o.get("valid_type", True))}
         for f in [*o.get("facts", []), None]:
             if whole["object_id"] is not None:
-                own = {"key": None, "supported": None, "delta": None} if f is None else {"key": f.get("key", ""), "supported": bool(f.get("supported", True)), "delta": float(f.get("confidence_delta", 0.0))}
+                own = {"key": None, "supported": None, "delta": None} if f is None else {
+                    "key": f.get("key", ""), "supported": bool(f.get("supported", True)), "delta": float(f.get("confidence_delta", 0.0))
+                }
                 out.append(whole | own)
     return out
 
@@ -142,13 +144,19 @@ def judged(extracted: DataFrame, endpoints: dict[str, Endpoint], at_once: int =
     asked = _asked(with_facts.select("doc_id", "ord", "body", "controlled", "endpoint", "objects"), endpoints, ask, VERDICTS, at_once)
     # facts and verdicts of a section stay apart from those of others
     name = F.concat_ws("|", "doc_id", "ord", "o.id")
-    facts = asked.select("doc_id", "ord", F.col("got.error").alias("error"), F.explode("objects").alias("o")).select("doc_id", "ord", "error", name.alias("object_id"), F.col("o.id").alias("id"), F.explode("o.facts").alias("f"))
+    facts = asked.select("doc_id", "ord", F.col("got.error").alias("error"), F.explode("objects").alias("o")).select(
+        "doc_id", "ord", "error", name.alias("object_id"), F.col("o.id").alias("id"), F.explode("o.facts").alias("f")
+    )
     facts = facts.select("doc_id", "ord", "error", "object_id", "id", "f.key", "f.value", "f.confidence")
-    told = asked.select("doc_id", "ord", F.explode("got.verdicts").alias("v")).select(F.concat_ws("|", "doc_id", "ord", "v.object_id").alias("object_id"), "v.key", "v.drop", "v.valid_type", "v.supported", "v.delta")
+    told = asked.select("doc_id", "ord", F.explode("got.verdicts").alias("v")).select(
+        F.concat_ws("|", "doc_id", "ord", "v.object_id").alias("object_id"), "v.key", "v.drop", "v.valid_type", "v.supported", "v.delta"
+    )
     banded = knowledge.apply_verdicts(facts.select("object_id", "key", "confidence").distinct(), told)
     both = facts.drop("confidence").join(banded, ["object_id", "key"])
     band = F.when(F.col("error").isNotNull(), "pending").otherwise(F.col("band"))
-    return both.select("doc_id", "ord", F.col("id").alias("object_id"), "key", "value", band.alias("band"), "confidence"), asked.select("doc_id", "ord", F.col("got.error").alias("error")).where("error IS NOT NULL")
+    return both.select(
+        "doc_id", "ord", F.col("id").alias("object_id"), "key", "value", band.alias("band"), "confidence"
+    ), asked.select("doc_id", "ord", F.col("got.error").alias("error")).where("error IS NOT NULL")
 
 
 def entities_of(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -49,7 +49,10 @@ def appended(decided: DataFrame) -> dict[str, DataFrame]:
     new = executed(decided, "create_object")
     title = F.coalesce(param("title"), param("id"))
     return {
-        "objects": new.select(param("id").alias("id"), "seq", title.alias("title"), param("objectType").alias("object_type"), F.coalesce(F.split(param("aliases"), ","), none).alias("aliases"), none.alias("doc_ids"), F.lit(False).alias("controlled")),
+        "objects": new.select(
+            param("id").alias("id"), "seq", title.alias("title"), param("objectType").alias("object_type"),
+            F.coalesce(F.split(param("aliases"), ","), none).alias("aliases"), none.alias("doc_ids"), F.lit(False).alias("controlled")
+        ),
         "links": executed(decided, "create_link").select("seq", param("src").alias("src"), param("dst").alias("dst"), F.coalesce(param("lt"), F.lit("related")).alias("lt")),
         "marks": executed(decided, "mark").select("seq", param("id").alias("entity_id")),
         "statuses": executed(decided, "advance-roadmap").select("seq", param("id").alias("node"), F.col("new_status").alias("status")),
@@ -110,7 +113,9 @@ def object_view(facts: DataFrame, roles: DataFrame, see: Column, actions: dict =
     and are counted, masked and summarised ones are counted, filtered says whether either is there;
     actions are those that the role may run. Facts are combined by object and role where they lie."""
     seen = facts.crossJoin(F.broadcast(roles.select("role"))).withColumn("see", see)
-    display = F.when(F.col("see") == "clear", F.col("value")).when(F.col("see") == "summary", F.concat(F.lit(vocab.SUMMARY_PREFIX), F.substring("value", 1, 8), F.lit(vocab.ELLIPSIS))).when(F.col("see") == "masked", F.lit(vocab.MASKED))
+    display = F.when(F.col("see") == "clear", F.col("value")).when(
+        F.col("see") == "summary", F.concat(F.lit(vocab.SUMMARY_PREFIX), F.substring("value", 1, 8), F.lit(vocab.ELLIPSIS))
+    ).when(F.col("see") == "masked", F.lit(vocab.MASKED))
     shown = seen.withColumn("told", F.concat_ws("=", "key", display))
     out = shown.groupBy("id", "role").agg(
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("see") != "hidden", F.col("told")))), "; ").alias("facts"),

@@ -47,13 +47,21 @@ def chunks(docs: DataFrame, size: int = 500, overlap: int = 80) -> DataFrame:
     keep = [c for c in ("source_tier", "controlled", "department", "seq", "name") if c in docs.columns]
     starts = F.filter(T.windows(F.col("body"), size, overlap), lambda at: F.col("later").isNull() | (at > T.last_window(F.col("later"), size, overlap)))
     cut = overwritten(docs).select(F.col("id").alias("doc_id"), *keep, "section", "body", F.explode(starts).alias("pos"))
-    return cut.select(T.stable_id(F.col("doc_id"), F.col("section"), F.col("pos")).alias("chunk_id"), "doc_id", T.stable_id(F.col("doc_id"), F.col("section")).alias("parent_id"), "section", "pos", F.substring("body", F.col("pos") + 1, F.lit(size)).alias("text"), *keep)
+    return cut.select(
+        T.stable_id(F.col("doc_id"), F.col("section"), F.col("pos")).alias("chunk_id"), "doc_id",
+        T.stable_id(F.col("doc_id"), F.col("section")).alias("parent_id"), "section", "pos", F.substring("body", F.col("pos") + 1, F.lit(size)).alias("text"),
+        *keep
+    )
 
 
 def pages(classified: DataFrame) -> DataFrame:
     """(page_id, doc_id, title, summary, body, section) of the documents of tiers A and B; of sections with one title the last stays."""
     rows = overwritten(classified.where("tier != 'C'")).where("later IS NULL")
-    return rows.select(T.stable_id(F.col("id"), F.col("section")).alias("page_id"), F.col("id").alias("doc_id"), F.when(F.col("section") == "", F.col("name")).otherwise(F.col("section")).alias("title"), F.substring("body", 1, 160).alias("summary"), "body", "section")
+    return rows.select(
+        T.stable_id(F.col("id"), F.col("section")).alias("page_id"), F.col("id").alias("doc_id"),
+        F.when(F.col("section") == "", F.col("name")).otherwise(F.col("section")).alias("title"), F.substring("body", 1, 160).alias("summary"), "body",
+        "section"
+    )
 
 
 def page_entities(pages: DataFrame, entities: DataFrame) -> DataFrame:
@@ -84,7 +92,12 @@ def mentions(rows: DataFrame, patterns: tuple = vocab.ENTITY_PATTERNS, names: tu
         return F.transform(F.regexp_extract_all(F.col(body), F.lit(pattern), F.lit(0)), one)
 
     found = [matches(k, p, t) for k, (p, t) in enumerate(patterns)]
-    found += [F.when(F.contains(F.col(body), F.lit(n)), F.array(F.struct((F.lit(len(patterns) + k).cast("long") * 10_000_000).alias("rank"), F.lit(n).alias("name"), F.lit("Company").alias("type")))).otherwise(F.array().cast("array<struct<rank:bigint,name:string,type:string>>")) for k, n in enumerate(names)]
+    found += [
+        F.when(
+            F.contains(F.col(body), F.lit(n)),
+            F.array(F.struct((F.lit(len(patterns) + k).cast("long") * 10_000_000).alias("rank"), F.lit(n).alias("name"), F.lit("Company").alias("type")))
+        ).otherwise(F.array().cast("array<struct<rank:bigint,name:string,type:string>>")) for k, n in enumerate(names)
+    ]
     base = [c for c in rows.columns if c != body]
     out = rows.select(*base, F.explode(reduce(F.concat, found)).alias("m"))
     return out.groupBy(*base, F.col("m.name").alias("name")).agg(F.min(F.struct("m.rank", "m.type")).alias("f")).select(*base, "f.rank", "name", "f.type")

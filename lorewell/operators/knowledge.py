@@ -20,8 +20,15 @@ from .scans import running_sum
 def fold_objects(writes: DataFrame, escalate: bool = False) -> DataFrame:
     """Objects from a log (id, seq, title, object_type, aliases, doc_ids, controlled): the first write
     makes the object, later ones add aliases in order and documents; ``escalate`` also takes over controlled."""
-    g = writes.groupBy("id").agg(F.min_by("title", "seq").alias("title"), F.min_by("object_type", "seq").alias("object_type"), F.min_by("controlled", "seq").alias("first_controlled"), F.bool_or("controlled").alias("any_controlled"), F.array_sort(F.collect_list(F.struct("seq", "aliases"))).alias("a"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("doc_ids")))).alias("doc_ids"), F.count(F.lit(1)).alias("writes"))
-    return g.select("id", "title", "object_type", F.array_distinct(F.flatten(F.transform("a", lambda x: x["aliases"]))).alias("aliases"), "doc_ids", F.col("any_controlled" if escalate else "first_controlled").alias("controlled"), "writes")
+    g = writes.groupBy("id").agg(
+        F.min_by("title", "seq").alias("title"), F.min_by("object_type", "seq").alias("object_type"), F.min_by("controlled", "seq").alias("first_controlled"),
+        F.bool_or("controlled").alias("any_controlled"), F.array_sort(F.collect_list(F.struct("seq", "aliases"))).alias("a"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("doc_ids")))).alias("doc_ids"), F.count(F.lit(1)).alias("writes")
+    )
+    return g.select(
+        "id", "title", "object_type", F.array_distinct(F.flatten(F.transform("a", lambda x: x["aliases"]))).alias("aliases"), "doc_ids",
+        F.col("any_controlled" if escalate else "first_controlled").alias("controlled"), "writes"
+    )
 
 
 def link_view(links: DataFrame) -> DataFrame:
@@ -78,14 +85,20 @@ def superseded(observations: DataFrame) -> DataFrame:
 
 def as_of(observations: DataFrame, year: int) -> DataFrame:
     """The latest observation of each object valid in or before the year (superseded ones count)."""
-    return observations.where(F.try_to_number(F.substring("valid_time", 1, 4), F.lit("9999")) <= year).groupBy("obj_id").agg(F.max(F.struct("valid_time", "seq", "value")).alias("o")).select("obj_id", "o.valid_time", "o.seq", "o.value")
+    return observations.where(F.try_to_number(F.substring("valid_time", 1, 4), F.lit("9999")) <= year).groupBy("obj_id").agg(F.max(F.struct("valid_time", "seq", "value")).alias("o")).select(
+        "obj_id", "o.valid_time", "o.seq", "o.value"
+    )
 
 
 def as_of_at(observations: DataFrame, times: DataFrame) -> DataFrame:
     """As-of join: for every (obj_id, at) the latest observation with valid_time <= at, else nulls."""
-    both = observations.select("obj_id", F.col("valid_time").alias("at"), "seq", "value", F.lit(0).alias("k")).unionByName(times.select("obj_id", "at", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("double").alias("value"), F.lit(1).alias("k")))
+    both = observations.select(
+        "obj_id", F.col("valid_time").alias("at"), "seq", "value", F.lit(0).alias("k")
+    ).unionByName(times.select("obj_id", "at", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("double").alias("value"), F.lit(1).alias("k")))
     w = Window.partitionBy("obj_id").orderBy("at", "k", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("o", F.last(F.when(F.col("k") == 0, F.struct("at", "seq", "value")), ignorenulls=True).over(w)).where("k = 1").select("obj_id", "at", F.col("o.at").alias("valid_time"), F.col("o.value").alias("value"))
+    return both.withColumn(
+        "o", F.last(F.when(F.col("k") == 0, F.struct("at", "seq", "value")), ignorenulls=True).over(w)
+    ).where("k = 1").select("obj_id", "at", F.col("o.at").alias("valid_time"), F.col("o.value").alias("value"))
 
 
 def truth(observations: DataFrame) -> DataFrame:
@@ -117,7 +130,9 @@ def decide(log: DataFrame) -> DataFrame:
     nxt = F.create_map(*[F.lit(x) for pair in vocab.NEXT_STATUS.items() for x in pair])
     skips = (F.col("action") == "advance-roadmap") & ~F.coalesce(F.col("correction"), F.lit(False)) & ~F.try_element_at(nxt, F.col("current_status")).eqNullSafe(F.col("new_status"))
     rumor = (F.col("action") == "revise-capacity") & (F.col("source_tier") == "rumor")
-    decision = F.when(~known, "unknown_action").when(~permitted, "permission_denied").when(skips, "invalid_transition").when(rumor, "rumor_rejected").when(sandboxed & ~F.col("confirmed"), "pending_review").otherwise("executed")
+    decision = F.when(~known, "unknown_action").when(~permitted, "permission_denied").when(skips, "invalid_transition").when(rumor, "rumor_rejected").when(
+        sandboxed & ~F.col("confirmed"), "pending_review"
+    ).otherwise("executed")
     return log.withColumn("decision", decision)
 
 
@@ -144,7 +159,10 @@ def applied(decided: DataFrame) -> DataFrame:
 
 def governed_writes(entities: DataFrame, relations: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What an ingest commits: object candidates, link candidates and pending marks of controlled documents."""
-    objects = entities.join(docs.select(F.col("id").alias("doc_id"), "source_tier", "controlled", "seq"), "doc_id").select(F.col("entity_id").alias("id"), "seq", F.col("name").alias("title"), F.col("type").alias("object_type"), F.array().cast("array<string>").alias("aliases"), F.array("doc_id").alias("doc_ids"), "controlled", "source_tier")
+    objects = entities.join(docs.select(F.col("id").alias("doc_id"), "source_tier", "controlled", "seq"), "doc_id").select(
+        F.col("entity_id").alias("id"), "seq", F.col("name").alias("title"), F.col("type").alias("object_type"),
+        F.array().cast("array<string>").alias("aliases"), F.array("doc_id").alias("doc_ids"), "controlled", "source_tier"
+    )
     return objects, relations, pending_marks(docs)
 
 
@@ -174,8 +192,14 @@ def apply_verdicts(facts: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def review_counts(applied: DataFrame) -> DataFrame:
     """(objects_in, objects_kept, objects_dropped, facts_dropped, facts_pending)."""
-    one = applied.groupBy("object_id").agg(F.max(F.col("band").isin("keep", "pending").cast("int")).alias("kept"), F.sum((F.col("band") == "dropped").cast("int")).alias("d"), F.sum((F.col("band") == "pending").cast("int")).alias("p"))
-    return one.agg(F.count(F.lit(1)).alias("objects_in"), F.sum("kept").alias("objects_kept"), (F.count(F.lit(1)) - F.sum("kept")).alias("objects_dropped"), F.sum("d").alias("facts_dropped"), F.sum("p").alias("facts_pending"))
+    one = applied.groupBy("object_id").agg(
+        F.max(F.col("band").isin("keep", "pending").cast("int")).alias("kept"), F.sum((F.col("band") == "dropped").cast("int")).alias("d"),
+        F.sum((F.col("band") == "pending").cast("int")).alias("p")
+    )
+    return one.agg(
+        F.count(F.lit(1)).alias("objects_in"), F.sum("kept").alias("objects_kept"), (F.count(F.lit(1)) - F.sum("kept")).alias("objects_dropped"),
+        F.sum("d").alias("facts_dropped"), F.sum("p").alias("facts_pending")
+    )
 
 
 def parse_reply(reply: Column) -> Column:
@@ -220,11 +244,17 @@ def community_summaries(labels: DataFrame, types: DataFrame | None = None, only:
     if only is not None:
         labels = labels.join(only.select("community").distinct(), "community", "left_semi")
     rows = labels.join(types, "node", "left") if types is not None else labels.withColumn("type", F.lit(None).cast("string"))
-    g = rows.groupBy("community").agg(F.countDistinct("node").alias("members"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"), F.slice(F.array_sort(F.collect_set("node")), 1, TOLD).alias("told")).withColumn("first", F.slice("told", 1, 8))
+    g = rows.groupBy("community").agg(
+        F.countDistinct("node").alias("members"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"),
+        F.slice(F.array_sort(F.collect_set("node")), 1, TOLD).alias("told")
+    ).withColumn("first", F.slice("told", 1, 8))
     if summariser is not None:
         model = F.pandas_udf(lambda m, n: pd.Series([summariser([str(x) for x in a], int(b)) for a, b in zip(m, n)], dtype=object), "string")
         return g.select("community", "members", "types", model(F.transform("told", lambda x: x.cast("string")), "members").alias("summary"))
-    text = F.concat(F.lit("社区"), F.col("community").cast("string"), F.lit("："), F.col("members").cast("string"), F.lit(" 实体，类型 "), F.col("types"), F.lit("。成员："), F.array_join(F.transform("first", lambda x: x.cast("string")), ", "))
+    text = F.concat(
+        F.lit("社区"), F.col("community").cast("string"), F.lit("："), F.col("members").cast("string"), F.lit(" 实体，类型 "), F.col("types"), F.lit("。成员："),
+        F.array_join(F.transform("first", lambda x: x.cast("string")), ", ")
+    )
     return g.select("community", "members", "types", text.alias("summary"))
 
 
@@ -246,7 +276,9 @@ def community_postings(labels: DataFrame, summaries: DataFrame) -> DataFrame:
     head = told.select("community", F.posexplode("t").alias("place", "term"))
     named = labels.select("community", "node", T.tokens(F.col("node").cast("string")).alias("t")).withColumn("n", F.size("t"))
     placed = running_sum(named, "community", ["node"], "n", "upto").join(told.select("community", F.size("t").alias("start")), "community")
-    tail = placed.select("community", (F.col("start") + F.col("upto") - F.col("n")).alias("at"), F.posexplode("t").alias("i", "term")).select("community", (F.col("at") + F.col("i")).alias("place"), "term")
+    tail = placed.select(
+        "community", (F.col("start") + F.col("upto") - F.col("n")).alias("at"), F.posexplode("t").alias("i", "term")
+    ).select("community", (F.col("at") + F.col("i")).alias("place"), "term")
     every = head.unionByName(tail)
     return every.groupBy("community", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("place").alias("first"), F.max("place").alias("last"))
 

@@ -94,12 +94,20 @@ def resolve_vectors(entities: DataFrame, threshold: float = 0.86, existing: Data
     task. Ids are unique; a null or empty vector is near to nothing."""
     kind = entities.schema["entity_id"].dataType.simpleString()
     columns, keys = ["id", "rank", "v"], ["type", "dim"]
-    rows = entities.select(F.col("entity_id").alias("id"), "seq", "type", F.col("v").cast("array<double>").alias("v"), F.coalesce(F.size("v"), F.lit(0)).alias("dim"), F.lit(1).cast("long").alias("one"))
+    rows = entities.select(
+        F.col("entity_id").alias("id"), "seq", "type", F.col("v").cast("array<double>").alias("v"), F.coalesce(F.size("v"), F.lit(0)).alias("dim"),
+        F.lit(1).cast("long").alias("one")
+    )
     ranked = checkpoint(running_sum(rows, "type", ["seq", "id"], "one", "rank").select("id", "rank", *keys, "v"))
     able = ranked.where("dim > 0")
     canon = None
     if existing is not None:
-        canon = checkpoint(existing.select(F.col("entity_id").alias("id"), F.lit(0).cast("long").alias("rank"), "type", F.size("v").alias("dim"), F.col("v").cast("array<double>").alias("v")).where("dim > 0"))
+        canon = checkpoint(
+            existing.select(
+                F.col("entity_id").alias("id"), F.lit(0).cast("long").alias("rank"), "type", F.size("v").alias("dim"),
+                F.col("v").cast("array<double>").alias("v")
+            ).where("dim > 0")
+        )
 
     def near(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"id": one["id"][(cosines(one, two) > threshold).any(axis=1)]})

@@ -195,7 +195,9 @@ def vector_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
     v = known.where("dim >= 0").select(F.col(id_col).alias("id"), "dim", vectors.normalised(vectors.doubles(F.col(vec_col))).alias("v"))
     v = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     q = (queries if "dim" in queries.columns else queries.withColumn("dim", F.size("q"))).select("query_id", "dim", vectors.normalised(vectors.doubles(F.col("q"))).alias("q"))
-    scored = v.join(q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))), ["dim", "block"]).select("query_id", "id", F.round(vectors.dot(F.col("v"), F.col("q")) + 1e-9, 6).alias("score"))
+    scored = v.join(
+        q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))), ["dim", "block"]
+    ).select("query_id", "id", F.round(vectors.dot(F.col("v"), F.col("q")) + 1e-9, 6).alias("score"))
     return ranked(scored, ["query_id"], [F.col("score").desc(), "id"], k)
 
 
@@ -206,7 +208,10 @@ def rrf(dense: DataFrame, sparse: DataFrame, k: int = vocab.RECALL, c: int = voc
     two = sparse.select(*keys, F.col("rank").alias("r2"), F.col("score").alias("sparse"))
     part = lambda rank: F.coalesce(1.0 / (c + F.col(rank)), F.lit(0.0))
     # both sides lie by query_id already, where a union of them would lose its partitions
-    fused = one.join(two, keys, "full").select(*keys, F.coalesce("dense", F.lit(0.0)).alias("dense"), F.coalesce("sparse", F.lit(0.0)).alias("sparse"), F.round(part("r1") + part("r2") + 1e-12, 9).alias("rrf"))
+    fused = one.join(two, keys, "full").select(
+        *keys, F.coalesce("dense", F.lit(0.0)).alias("dense"), F.coalesce("sparse", F.lit(0.0)).alias("sparse"),
+        F.round(part("r1") + part("r2") + 1e-12, 9).alias("rrf")
+    )
     return ranked(fused, ["query_id"], [F.col("rrf").desc(), "chunk_id"], k)
 
 
@@ -233,7 +238,10 @@ def restored(kept: DataFrame, pages: DataFrame) -> DataFrame:
     joined = kept.withColumn("turn", turn).join(own, "parent_id", "left")
     page = (F.col("turn") == 1) & F.col("body").isNotNull()
     source = F.when(page, F.col("body")).otherwise(F.col("text"))
-    return joined.select("query_id", "rank", "doc_id", "controlled", F.when(page, F.col("page_title")).otherwise(F.col("name")).alias("title"), T.compress(source, F.col("query")).alias("text"), F.bround("confidence", 3).alias("confidence"))
+    return joined.select(
+        "query_id", "rank", "doc_id", "controlled", F.when(page, F.col("page_title")).otherwise(F.col("name")).alias("title"),
+        T.compress(source, F.col("query")).alias("text"), F.bround("confidence", 3).alias("confidence")
+    )
 
 
 def route(questions: DataFrame) -> DataFrame:
@@ -257,10 +265,16 @@ def answers(questions: DataFrame, contexts: DataFrame, generate: Callable[[str,
     if generate is not None:
         model = F.pandas_udf(lambda q, c: pd.Series([generate(a, list(b)) if len(b) else None for a, b in zip(q, c)], dtype=object), "string")
         told = model("query", F.transform("c", lambda x: x["text"]))
-    return joined.select("query_id", "mode", F.size("c").cast("long").alias("n_contexts"), F.size(F.filter("c", lambda x: x["masked"])).cast("long").alias("n_masked"), (F.size("c") > 0).alias("grounded"), F.when(F.size("c") > 0, told).otherwise(F.lit(vocab.NO_CONTENT)).alias("answer"))
+    return joined.select(
+        "query_id", "mode", F.size("c").cast("long").alias("n_contexts"), F.size(F.filter("c", lambda x: x["masked"])).cast("long").alias("n_masked"),
+        (F.size("c") > 0).alias("grounded"), F.when(F.size("c") > 0, told).otherwise(F.lit(vocab.NO_CONTENT)).alias("answer")
+    )
 
 
-def ask(questions: DataFrame, chunks: DataFrame, pages: DataFrame, threshold: float = 0.5, store: Store | None = None, global_contexts: Callable[[DataFrame], DataFrame] | None = None, scorer: Callable | None = None, generate: Callable | None = None) -> DataFrame:
+def ask(
+    questions: DataFrame, chunks: DataFrame, pages: DataFrame, threshold: float = 0.5, store: Store | None = None,
+    global_contexts: Callable[[DataFrame], DataFrame] | None = None, scorer: Callable | None = None, generate: Callable | None = None
+) -> DataFrame:
     """The read path for a batch of questions (query_id, query, role): recall to answer; over the stored
     index where one is given (its chunks and pages are then those given). ``global_contexts`` gives
     contexts (query_id, rank, text) for questions of mode global, which are asked locally without it.

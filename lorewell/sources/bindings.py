@@ -33,7 +33,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of HTML as documents whose headings are marked: (id, name, text, source_tier, controlled, department, seq)."""
     marked = F.regexp_replace(F.regexp_replace("html", r"(?i)<h[1-3][^>]*>", "\n# "), r"<[^>]*>", "\n")
-    return table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("name"), marked.alias("text"), F.lit("analyst").alias("source_tier"), F.lit(False).alias("controlled"), F.lit("web").alias("department"), F.col("page_id").alias("seq"))
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").cast("string").alias("id"), F.col("url").alias("name"), marked.alias("text"), F.lit("analyst").alias("source_tier"),
+        F.lit(False).alias("controlled"), F.lit("web").alias("department"), F.col("page_id").alias("seq")
+    )
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +78,7 @@ def order_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer as a history of states O -> F -> P."""
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("node"), F.col("o_orderstatus").alias("status"), F.struct("o_orderdate", "o_orderkey").alias("seq"), F.lit(False).alias("correction"), "o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("node"), F.col("o_orderstatus").alias("status"), F.struct("o_orderdate", "o_orderkey").alias("seq"),
+        F.lit(False).alias("correction"), "o_orderkey"
+    )

@@ -94,7 +94,12 @@ def search_vectors(index: VectorIndex, queries: DataFrame, k: int, probes: int)
             q = unit(np.stack([np.asarray(x, dtype=np.float64) for x in pdf["q"]]))
             near = np.argsort(-(q @ centres.value.T), axis=1, kind="stable")[:, :probes]
             for i in range(len(q)):
-                yield pd.DataFrame({"id": pdf["query_id"].iloc[i], "list": near[i], "scale": 0.0, "code": [q[i].tobytes()] * near.shape[1], **({"department": pdf["department"].iloc[i]} if within else {})})
+                yield pd.DataFrame(
+                    {
+                        "id": pdf["query_id"].iloc[i], "list": near[i], "scale": 0.0, "code": [q[i].tobytes()] * near.shape[1],
+                        **({"department": pdf["department"].iloc[i]} if within else {})
+                    }
+                )
 
     asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q"), *(["department"] if within else []))
     lists = asked.mapInPandas(probed, f"id {kind}, list int, scale double, code binary" + (", department string" if within else ""))
