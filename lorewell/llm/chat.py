@@ -26,7 +26,10 @@ def format_chats(turns: DataFrame) -> DataFrame:
     row = F.struct("turn", "role", "text")
     once = said.withColumn("n", F.dense_rank().over(in_order)).withColumn("again", F.lag(row).over(in_order).eqNullSafe(row)).where("NOT again")
     own = [F.xxhash64(F.lit(seed), "n", F.length("role"), "role", "text") for seed in (1, 2)]
-    rolled = once.select("conv_id", "n", "role", "text", *[F.bit_xor(h).over(Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)).alias(f"p{k}") for k, h in enumerate(own)])
+    rolled = once.select(
+        "conv_id", "n", "role", "text",
+        *[F.bit_xor(h).over(Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)).alias(f"p{k}") for k, h in enumerate(own)]
+    )
     placed = rolled.withColumn("last", F.lead("n").over(Window.partitionBy("conv_id").orderBy("n")).isNull())
     proper = placed.where("NOT last").select("p0", "p1", "n").distinct()
     first = placed.where("last").groupBy("p0", "p1", "n").agg(F.min("conv_id").alias("conv_id"))

@@ -389,7 +389,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str
     # one exchange by h serves both the least of each list and the join with it
     least = common.groupBy("h").agg(F.min(F.struct("id", "n", "end")).alias("l"), F.max("id").alias("high")).where("l.id != high").select("h", "l")
     listed = checkpoint(common.join(least, "h"))
-    leading = listed.where(f"id != l.id AND {sizes_fit(percent, 'n', 'l.n')}").select(*[F.col(f"l.{c}").alias(f"{c}_a") for c in ("id", "n", "end")], *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "end")])
+    leading = listed.where(f"id != l.id AND {sizes_fit(percent, 'n', 'l.n')}").select(
+        *[F.col(f"l.{c}").alias(f"{c}_a") for c in ("id", "n", "end")], *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "end")]
+    )
     links = checkpoint(_verified(checkpoint(_bounded(leading, percent)), source, k, percent))
     near = connected_components(links)
     members = listed.drop("l").join(near.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")

@@ -155,7 +155,12 @@ def pack_documents(docs: DataFrame, tokenizer: tuple, size: int = 1024, text_col
                 part = pdf.iloc[i : i + 512]
                 ids = [token_ids(x, tokenizer) for x in part["text"]]
                 salt = [zlib.crc32(str(x).encode()) for x in part["key"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "curve": curve_keys(ids), "salt": salt, "ids": [(x.astype("<u2") if x.max() < 65536 else x).tobytes() for x in ids], "wide": [bool(x.max() >= 65536) for x in ids]})
+                yield pd.DataFrame(
+                    {
+                        "doc_id": part["doc_id"], "curve": curve_keys(ids), "salt": salt,
+                        "ids": [(x.astype("<u2") if x.max() < 65536 else x).tobytes() for x in ids], "wide": [bool(x.max() >= 65536) for x in ids]
+                    }
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     source = docs.select("doc_id", F.col("doc_id").cast("string").alias("key"), F.col(text_col).alias("text"))

@@ -117,7 +117,10 @@ def candidates(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
     cores = cores.where(F.length("value").between(VALUE_LEAST, VALUE_MOST) & enough)
     words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[0-9]", "0"), rf"[{SPACE}]+"), lambda w: w != "")
     cores = cores.withColumn("lw", words(F.col("before"))).withColumn("rw", words(F.col("after")))
-    return cores.select(*keep, "start", (F.col("start") + F.length("value")).alias("end"), F.lower("value").alias("value"), kind_of(F.col("value")).alias("kind"), F.try_element_at("lw", F.lit(-1)).alias("w1"), F.try_element_at("lw", F.lit(-2)).alias("w2"), F.get("rw", F.lit(0)).alias("r1"))
+    return cores.select(
+        *keep, "start", (F.col("start") + F.length("value")).alias("end"), F.lower("value").alias("value"), kind_of(F.col("value")).alias("kind"),
+        F.try_element_at("lw", F.lit(-1)).alias("w1"), F.try_element_at("lw", F.lit(-2)).alias("w2"), F.get("rw", F.lit(0)).alias("r1")
+    )
 
 
 def discovered(seen: DataFrame) -> DataFrame:
@@ -173,7 +176,10 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", id_col: str = "d
     out = spread_join(own, found.drop("count"), key, "left", counts=found.select(key, "count"))
     of = lambda k: F.size(F.filter(spans, lambda s: s["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     extra = F.coalesce(F.col(more), F.array().cast(SPANS))
-    return out.select(*[f"`{c}`" for c in base.columns if c != text_col], *map(of, range(len(KINDS))), F.size(extra).cast("long").alias("n_found"), F.sha2(written(F.col(spans)), 256).alias("base_sha256"), written(F.array_sort(F.concat(spans, extra))).alias("spans"))
+    return out.select(
+        *[f"`{c}`" for c in base.columns if c != text_col], *map(of, range(len(KINDS))), F.size(extra).cast("long").alias("n_found"),
+        F.sha2(written(F.col(spans)), 256).alias("base_sha256"), written(F.array_sort(F.concat(spans, extra))).alias("spans")
+    )
 
 
 def _sql_matches(source: str, name: str, pattern: str) -> str:

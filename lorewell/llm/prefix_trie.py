@@ -51,7 +51,10 @@ def merged(tables: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame
 
 def rebuilt(turns: DataFrame) -> DataFrame:
     """(conv_id, part, d, t0, t1, words): the turns of every rebuilt conversation, with a row of depth 0 for each."""
-    said = turns.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = turns.where("conv_id IS NOT NULL").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text")
+    )
     # a stable sort over all tasks; equal rows are alike in all that follows
     laid = said.repartitionByRange("conv_id", F.col("turn").asc_nulls_first(), "role", "text").withColumn("part", F.spark_partition_id())
     hashes = [F.xxhash64(F.lit(seed), F.length("role"), "role", "text").alias(f"t{seed}") for seed in (0, 1)]
@@ -125,14 +128,20 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     worth = known.select("conv_id", "d", ((F.col("n_convs") - 1) * F.col("words")).alias("saves"), F.when(F.col("n_children") == 0, 1).otherwise(0).alias("leaf"))
     lying = paths.select("conv_id", (-F.col("part")).alias("part"), "d", "p0", "p1").join(worth, ["conv_id", "d"], "left")
     below = running(checkpoint(lying.fillna(0, ["saves", "leaf"])), [F.col("d").desc()], saved_tokens=("sum", F.col("saves")), n_leaves=("sum", F.col("leaf")))
-    rolled = merged(below.select(*node, "conv_id", "saved_tokens", "n_leaves"), node, F.min("conv_id").alias("conv_id"), F.sum("saved_tokens").alias("saved_tokens"), F.sum("n_leaves").alias("n_leaves")).drop("conv_id")
+    rolled = merged(
+        below.select(*node, "conv_id", "saved_tokens", "n_leaves"), node, F.min("conv_id").alias("conv_id"), F.sum("saved_tokens").alias("saved_tokens"),
+        F.sum("n_leaves").alias("n_leaves")
+    ).drop("conv_id")
     lengths = paths.groupBy("conv_id").agg(F.max("d").alias("d"))
     ended = end_hashes(paths.join(lengths, ["conv_id", "d"], "left_semi").select(*node, "conv_id"))
     own_id = F.concat_ws(" ", "u0", "u1", F.col("d") - 1)
     upper = nodes.select(F.concat_ws(" ", *node).alias("up"), F.col("conv_id").alias("parent_conv_id"))
     out = known.join(rolled, node).join(ended, node, "left").withColumn("up", F.when(F.col("d") > 0, own_id))
     out = spread_join(out.select("up", *node, "conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"), upper, "up", "left")
-    return out.select("conv_id", F.col("d").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"))
+    return out.select(
+        "conv_id", F.col("d").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256")
+    )
 
 
 _STEP = "list_reduce([a, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))"

@@ -75,7 +75,10 @@ def op12_prefix_trie(spark, sf_dir: str):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_chat_formatting, op3_byte_bpe, op4_substring_dedup, op5_packing, op6_line_dedup, op7_jaccard_join, op8_topk_search, op9_quality, op10_vector_dedup, op11_personal_data, op12_prefix_trie)
+    for f in (
+        op1_token_counts, op2_chat_formatting, op3_byte_bpe, op4_substring_dedup, op5_packing, op6_line_dedup, op7_jaccard_join, op8_topk_search, op9_quality,
+        op10_vector_dedup, op11_personal_data, op12_prefix_trie
+    )
 }
 
 OP8_SQL = """

@@ -151,7 +151,12 @@ def search(rows: DataFrame, is_query: str, k: int = 10, scale: int = 1024, id_co
                 partial = (q @ r.T).astype(np.int64)
                 i, j = np.nonzero((partial >= np.floor(np.frombuffer(row.q_least, np.float64))[:, None]) & (ids[None, :] != own[:, None]))
                 if len(i):
-                    yield pd.DataFrame({"shard": row.shard, "dim": row.dim, "block": row.block, "q_block": row.q_block, "slice": row.slice, "at": [(i * len(ids) + j).astype("<u4").tobytes()], "p": [partial[i, j].astype("<i8").tobytes()]})
+                    yield pd.DataFrame(
+                        {
+                            "shard": row.shard, "dim": row.dim, "block": row.block, "q_block": row.q_block, "slice": row.slice,
+                            "at": [(i * len(ids) + j).astype("<u4").tobytes()], "p": [partial[i, j].astype("<i8").tobytes()]
+                        }
+                    )
 
     collected = meet(second).mapInPandas(collect, f"{pair}, slice int, at binary, p binary")
 

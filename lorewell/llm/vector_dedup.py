@@ -120,7 +120,9 @@ def _meetings(rows: DataFrame, split: DataFrame, columns: list[str], kernel, sch
                 if len(one) > 1 or (two is not None and len(two)):
                     yield from kernel(dim, at, list(one), list(two) if two is not None else None)
 
-    own = dealt.groupBy("dim", "filter", "part").agg(F.collect_list(row).alias("one")).select("dim", "filter", "one", F.lit(None).cast(f"array<{rows.select(row).schema[0].dataType.simpleString()}>").alias("two"))
+    own = dealt.groupBy("dim", "filter", "part").agg(F.collect_list(row).alias("one")).select(
+        "dim", "filter", "one", F.lit(None).cast(f"array<{rows.select(row).schema[0].dataType.simpleString()}>").alias("two")
+    )
     pairs = dealt.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("part != other")
     pairs = pairs.groupBy("dim", "filter", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     pairs = pairs.agg(F.collect_list(F.when(F.col("part") < F.col("other"), row)).alias("one"), F.collect_list(F.when(F.col("part") > F.col("other"), row)).alias("two"))
@@ -154,7 +156,12 @@ def near_vectors(rows: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", v
                     v = matrix(own["v"])
                     v /= np.abs(v).max(axis=1, keepdims=True)
                     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-                    yield pd.DataFrame({"dim": dim, "rep": own["rep"].to_numpy(), "n": own["n"].to_numpy(), "u": [x.tobytes() for x in unit], "code": coded(unit), "filters": decode(unit, total, cosine)})
+                    yield pd.DataFrame(
+                        {
+                            "dim": dim, "rep": own["rep"].to_numpy(), "n": own["n"].to_numpy(), "u": [x.tobytes() for x in unit], "code": coded(unit),
+                            "filters": decode(unit, total, cosine)
+                        }
+                    )
 
     filed_rows = checkpoint(classes.mapInPandas(filed, "dim int, rep long, n long, u binary, code binary, filters array<long>"))
     probing = filed_rows.select("dim", "rep", "code", F.explode("filters").alias("filter"))
@@ -201,7 +208,11 @@ def near_vectors(rows: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", v
     met = checkpoint(_meetings(again, split, ["rep", "n", "u", "filters"], linked, "a long, b long, w long"))
     links = met.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
     components = connected_components(met.where("b IS NOT NULL")).withColumnRenamed("node", "rep")
-    known = checkpoint(classes.join(links, "rep", "left").join(components, "rep", "left").select("v", "low", (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c")))
+    known = checkpoint(
+        classes.join(links, "rep", "left").join(components, "rep", "left").select(
+            "v", "low", (F.coalesce("w", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c")
+        )
+    )
     known = spread_join(known, known.groupBy("c").agg(F.min("low").alias("component")), "c").select("v", "n_links", "component")
     every = rows.select(F.col(id_col).alias("id"), F.when(F.col(id_col).isNotNull(), F.col(vec_col)).alias("v"))
     return (
