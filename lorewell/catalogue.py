@@ -142,7 +142,9 @@ kept AS (SELECT * FROM split WHERE body != '' QUALIFY row_number() OVER (PARTITI
 @query(f"WITH {HTML} SELECT substr(md5(id || '|' || section), 1, 12) AS page_id, id AS doc_id, section, length(body) AS n FROM kept")
 def page_sections(spark, sf_dir):
     rows = I.sectioned(B.web_pages(spark, sf_dir)).where("body != ''")
-    return I.latest(rows, ["id", "section"], "ord").select(T.stable_id(F.col("id"), F.col("section")).alias("page_id"), F.col("id").alias("doc_id"), "section", F.length("body").cast("long").alias("n"))
+    return I.latest(rows, ["id", "section"], "ord").select(
+        T.stable_id(F.col("id"), F.col("section")).alias("page_id"), F.col("id").alias("doc_id"), "section", F.length("body").cast("long").alias("n")
+    )
 
 
 @query(f"WITH {HTML} SELECT substr(md5(id || '|' || section), 1, 12) AS page_id, CASE WHEN section = '' THEN name ELSE section END AS title, substr(body, 1, 160) AS summary FROM kept")
@@ -184,7 +186,10 @@ def _part_sheets(spark, sf_dir):
     """A short text about every part that names nodes, standards, tools and companies."""
     p = B.table(spark, sf_dir, "part")
     tools = F.get(F.array(F.lit("EUV"), F.lit("DUV"), F.lit("no tool")), (F.col("p_partkey") % 3).cast("int"))
-    text = F.concat(F.lit("N"), "p_size", F.lit(" and N"), F.col("p_size") + 1, F.lit("P of TSMC, HBM"), F.col("p_size") % 4, F.lit(" by "), tools, F.lit("; xN7 JESD"), "p_partkey", F.lit(" 代工厂 N"), "p_size")
+    text = F.concat(
+        F.lit("N"), "p_size", F.lit(" and N"), F.col("p_size") + 1, F.lit("P of TSMC, HBM"), F.col("p_size") % 4, F.lit(" by "), tools, F.lit("; xN7 JESD"),
+        "p_partkey", F.lit(" 代工厂 N"), "p_size"
+    )
     return p.select(F.col("p_partkey").cast("string").alias("id"), text.alias("text"), F.lit("A").alias("tier"))
 
 
@@ -197,7 +202,9 @@ def entity_patterns(spark, sf_dir):
     return I.entities(_part_sheets(spark, sf_dir)).select("doc_id", "name", "type")
 
 
-@query(rf"WITH {HTML}, b AS (SELECT substr(md5(id || '|' || section), 1, 12) AS page_id, id, body FROM kept), e AS (SELECT DISTINCT id, unnest(regexp_extract_all(body, '[A-Z][a-z]{{7,}}')) AS name FROM split WHERE body != '') SELECT page_id, count(*) AS n FROM b JOIN e USING (id) WHERE contains(body, name) GROUP BY page_id")
+@query(
+    rf"WITH {HTML}, b AS (SELECT substr(md5(id || '|' || section), 1, 12) AS page_id, id, body FROM kept), e AS (SELECT DISTINCT id, unnest(regexp_extract_all(body, '[A-Z][a-z]{{7,}}')) AS name FROM split WHERE body != '') SELECT page_id, count(*) AS n FROM b JOIN e USING (id) WHERE contains(body, name) GROUP BY page_id"
+)
 def page_entity_links(spark, sf_dir):
     """How many entities of its document the body of every web page's section names."""
     docs = B.web_pages(spark, sf_dir).withColumn("tier", F.lit("A"))
@@ -250,12 +257,16 @@ def corpus_stats(spark, sf_dir):
     return R.corpus_stats(docs_and_chunks(spark, sf_dir)[1]).withColumn("avg_len", F.round("avg_len", 6))
 
 
-@query(f"WITH {DOCS}, {CHUNKS}, {POSTS}, {QUESTIONS}, {TERMS}, {BM25} SELECT query_id, chunk_id, score FROM hits WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 30")
+@query(
+    f"WITH {DOCS}, {CHUNKS}, {POSTS}, {QUESTIONS}, {TERMS}, {BM25} SELECT query_id, chunk_id, score FROM hits WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 30"
+)
 def bm25_topk(spark, sf_dir):
     return R.bm25_stored(store(spark, sf_dir), questions(spark)).select("query_id", "chunk_id", "score")
 
 
-@query(f"WITH {DOCS}, {CHUNKS}, {POSTS}, {QUESTIONS}, {TERMS}, {BM25} SELECT query_id, chunk_id, score FROM hits JOIN chunks c USING (chunk_id) WHERE score > 0 AND NOT c.controlled AND department IN ('src1', 'src3') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 30")
+@query(
+    f"WITH {DOCS}, {CHUNKS}, {POSTS}, {QUESTIONS}, {TERMS}, {BM25} SELECT query_id, chunk_id, score FROM hits JOIN chunks c USING (chunk_id) WHERE score > 0 AND NOT c.controlled AND department IN ('src1', 'src3') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 30"
+)
 def bm25_filtered_topk(spark, sf_dir):
     where = R.metadata_filter({"controlled": False}) & F.col("department").isin("src1", "src3")
     return R.bm25_stored(store(spark, sf_dir), questions(spark), where=where).select("query_id", "chunk_id", "score")
@@ -298,10 +309,15 @@ INT8 = """codes AS (SELECT vec_id, s AS scale, list_transform(e, lambda x: least
 @query(f"WITH {INT8} SELECT vec_id, round(scale, 9) AS scale, array_to_string(c, ',') AS codes FROM codes")
 def vector_int8_codes(spark, sf_dir):
     v = vectors.doubles(F.col("embedding"))
-    return B.table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.int8_scale(v), 9).alias("scale"), F.array_join(F.transform(vectors.int8_codes(v), lambda x: x.cast("string")), ",").alias("codes"))
+    return B.table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.round(vectors.int8_scale(v), 9).alias("scale"),
+        F.array_join(F.transform(vectors.int8_codes(v), lambda x: x.cast("string")), ",").alias("codes")
+    )
 
 
-@query(f"WITH {INT8}, embeddings2 AS (SELECT vec_id, list_transform(c, lambda x: x * scale) AS e FROM codes), unit AS (SELECT vec_id, list_transform(e, lambda x: x / n) AS v FROM (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM embeddings2)) {TOPK % 'true'}")
+@query(
+    f"WITH {INT8}, embeddings2 AS (SELECT vec_id, list_transform(c, lambda x: x * scale) AS e FROM codes), unit AS (SELECT vec_id, list_transform(e, lambda x: x / n) AS v FROM (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM embeddings2)) {TOPK % 'true'}"
+)
 def vector_int8_topk(spark, sf_dir):
     e, q = _vectors(spark, sf_dir)
     v = vectors.doubles(F.col("embedding"))
@@ -310,13 +326,17 @@ def vector_int8_topk(spark, sf_dir):
     return R.vector_topk(coded, asked, 10).select("query_id", "id", "score")
 
 
-@query("SELECT label AS shard, count(*) AS vectors, sum(len(embedding) + 4)::BIGINT AS int8_bytes, sum(4 * len(embedding))::BIGINT AS raw_bytes FROM embeddings WHERE embedding IS NOT NULL GROUP BY label")
+@query(
+    "SELECT label AS shard, count(*) AS vectors, sum(len(embedding) + 4)::BIGINT AS int8_bytes, sum(4 * len(embedding))::BIGINT AS raw_bytes FROM embeddings WHERE embedding IS NOT NULL GROUP BY label"
+)
 def vector_store_stats(spark, sf_dir):
     e = B.table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
     return e.groupBy(F.col("label").alias("shard")).agg(F.count(F.lit(1)).alias("vectors"), F.sum(F.size("embedding") + 4).alias("int8_bytes"), F.sum(4 * F.size("embedding")).alias("raw_bytes"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(e[1:16], lambda x: x * x)) / 1, 6) AS share, round(e[1] / sqrt(list_sum(list_transform(e[1:16], lambda x: x * x))), 6) AS first FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+@query(
+    "SELECT vec_id, round(list_sum(list_transform(e[1:16], lambda x: x * x)) / 1, 6) AS share, round(e[1] / sqrt(list_sum(list_transform(e[1:16], lambda x: x * x))), 6) AS first FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
+)
 def vector_truncate_norm(spark, sf_dir):
     v = vectors.doubles(F.col("embedding"))
     t = F.slice(v, 1, 16)
@@ -350,7 +370,9 @@ def hash_embed_buckets(spark, sf_dir):
 LIKE = 0.25
 
 
-@query(f"SELECT a.vec_id, count(*) AS near FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) > {LIKE} GROUP BY a.vec_id")
+@query(
+    f"SELECT a.vec_id, count(*) AS near FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings) b ON a.label = b.label AND a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) > {LIKE} GROUP BY a.vec_id"
+)
 def entity_type_neighbours(spark, sf_dir):
     """How many later vectors of its label each vector is like."""
     e = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("type"), F.col("embedding").alias("v"))
@@ -421,7 +443,9 @@ def rerank_score(spark, sf_dir):
 def confidence_gate(spark, sf_dir):
     r = _reranked(spark, sf_dir)
     kept = R.gate(r).groupBy("query_id").agg(F.count(F.lit(1)).alias("kept"))
-    return r.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(kept, "query_id", "left").select("query_id", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("n") - F.coalesce("kept", F.lit(0))).alias("dropped"))
+    return r.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(kept, "query_id", "left").select(
+        "query_id", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("n") - F.coalesce("kept", F.lit(0))).alias("dropped")
+    )
 
 
 @query(f"WITH {QUESTIONS}, q AS (SELECT query_id, {TOKENS % 'query'} AS qt FROM questions), b AS (SELECT item_id, text FROM benchmark), "
@@ -460,7 +484,9 @@ shown AS (SELECT query_id, rank, CASE WHEN NOT controlled OR role = 'compliance'
 told AS (SELECT query_id, count(*) AS n, count(*) FILTER (masked) AS m, string_agg(substr(text, 1, 60), '{vocab.ANSWER_JOIN}' ORDER BY rank) FILTER (k <= 3) AS bits FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM shown WHERE text IS NOT NULL) GROUP BY query_id)"""
 
 
-@query(f"WITH {READ}, {PARTS}, {TIERED % 'docs'}, {PARENTS}, {ANSWERS}, {ROUTED} SELECT r.query_id, r.mode, coalesce(t.n, 0) AS n_contexts, coalesce(t.m, 0) AS n_masked, coalesce(t.n, 0) > 0 AS grounded, CASE WHEN t.n > 0 THEN '{vocab.ANSWER_PREFIX}' || t.bits ELSE '{vocab.NO_CONTENT}' END AS answer FROM routed r LEFT JOIN told t USING (query_id)")
+@query(
+    f"WITH {READ}, {PARTS}, {TIERED % 'docs'}, {PARENTS}, {ANSWERS}, {ROUTED} SELECT r.query_id, r.mode, coalesce(t.n, 0) AS n_contexts, coalesce(t.m, 0) AS n_masked, coalesce(t.n, 0) > 0 AS grounded, CASE WHEN t.n > 0 THEN '{vocab.ANSWER_PREFIX}' || t.bits ELSE '{vocab.NO_CONTENT}' END AS answer FROM routed r LEFT JOIN told t USING (query_id)"
+)
 def ask_flagship(spark, sf_dir):
     held = store(spark, sf_dir)
     return R.ask(questions(spark), held.chunks, held.pages, store=held)
@@ -511,7 +537,9 @@ def graph_components(spark, sf_dir):
     return _communities(spark, sf_dir)
 
 
-@query(f"WITH {LINES}, pair2 AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), s AS (SELECT min(dst) AS node FROM edges), h1 AS (SELECT dst AS node FROM pair2 JOIN s ON src = node), h2 AS (SELECT dst AS node FROM pair2 JOIN h1 ON src = node) SELECT node FROM (SELECT node FROM h1 UNION SELECT node FROM h2) WHERE node NOT IN (SELECT node FROM s)")
+@query(
+    f"WITH {LINES}, pair2 AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), s AS (SELECT min(dst) AS node FROM edges), h1 AS (SELECT dst AS node FROM pair2 JOIN s ON src = node), h2 AS (SELECT dst AS node FROM pair2 JOIN h1 ON src = node) SELECT node FROM (SELECT node FROM h1 UNION SELECT node FROM h2) WHERE node NOT IN (SELECT node FROM s)"
+)
 def graph_khop(spark, sf_dir):
     e = _shared_lines(spark, sf_dir)
     return K.khop(e, e.agg(F.min("dst").alias("node")), 2)
@@ -587,7 +615,9 @@ def ask_global(spark, sf_dir):
 # --- resolution -------------------------------------------------------------------------------
 
 
-@query(f"WITH {DOCS}, {MENTIONS}, k AS (SELECT lower(name) AS key, name, doc_id::BIGINT AS seq FROM ments), f AS (SELECT key, arg_min(substr(md5('ent|' || name), 1, 12), {{'s': seq, 'n': name}}) AS canonical_id, count(DISTINCT name) AS names FROM k GROUP BY key) SELECT key, canonical_id, names FROM f")
+@query(
+    f"WITH {DOCS}, {MENTIONS}, k AS (SELECT lower(name) AS key, name, doc_id::BIGINT AS seq FROM ments), f AS (SELECT key, arg_min(substr(md5('ent|' || name), 1, 12), {{'s': seq, 'n': name}}) AS canonical_id, count(DISTINCT name) AS names FROM k GROUP BY key) SELECT key, canonical_id, names FROM f"
+)
 def entity_resolve_alias(spark, sf_dir):
     e = _entities(spark, sf_dir).select("entity_id", "name", F.struct(F.col("doc_id").cast("long"), "name").alias("seq"))
     r = K.resolve_aliases(e).distinct().join(e.select("entity_id", F.lower("name").alias("key"), "name").distinct(), "entity_id")
@@ -620,19 +650,28 @@ def obs_asof(spark, sf_dir):
     return K.as_of(B.observations(spark, sf_dir), 2024)
 
 
-@query("SELECT o_custkey AS obj_id, strftime(o_orderdate, '%Y-%m-%d') AS valid_time, o_orderkey AS seq, o_totalprice AS value FROM orders WHERE year(o_orderdate) <= 1995 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey DESC) = 1")
+@query(
+    "SELECT o_custkey AS obj_id, strftime(o_orderdate, '%Y-%m-%d') AS valid_time, o_orderkey AS seq, o_totalprice AS value FROM orders WHERE year(o_orderdate) <= 1995 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey DESC) = 1"
+)
 def obs_asof_year(spark, sf_dir):
     """What was known of each customer's orders at the end of a year that most of them are after."""
-    o = B.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("obj_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("valid_time"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("value"))
+    o = B.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("obj_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("valid_time"), F.col("o_orderkey").alias("seq"),
+        F.col("o_totalprice").alias("value")
+    )
     return K.as_of(o, 1995)
 
 
-@query(f"WITH {OBS}, open AS (SELECT *, lead(seq) OVER (PARTITION BY obj_id, valid_time ORDER BY seq) AS nxt FROM obs) SELECT obj_id, valid_time, seq, value FROM open WHERE nxt IS NULL QUALIFY row_number() OVER (PARTITION BY obj_id ORDER BY valid_time DESC, seq DESC) = 1")
+@query(
+    f"WITH {OBS}, open AS (SELECT *, lead(seq) OVER (PARTITION BY obj_id, valid_time ORDER BY seq) AS nxt FROM obs) SELECT obj_id, valid_time, seq, value FROM open WHERE nxt IS NULL QUALIFY row_number() OVER (PARTITION BY obj_id ORDER BY valid_time DESC, seq DESC) = 1"
+)
 def obs_truth(spark, sf_dir):
     return K.truth(B.observations(spark, sf_dir))
 
 
-@query(f"WITH {OBS}, moments AS (SELECT DISTINCT obj_id, unnest(['2024-01-10', '2024-01-20']) AS \"at\" FROM obs) SELECT m.obj_id, m.\"at\", max(o.valid_time) AS valid_time, arg_max(o.value, {{'v': o.valid_time, 's': o.seq}}) AS value FROM moments m LEFT JOIN obs o ON o.obj_id = m.obj_id AND o.valid_time <= m.\"at\" GROUP BY ALL")
+@query(
+    f"WITH {OBS}, moments AS (SELECT DISTINCT obj_id, unnest(['2024-01-10', '2024-01-20']) AS \"at\" FROM obs) SELECT m.obj_id, m.\"at\", max(o.valid_time) AS valid_time, arg_max(o.value, {{'v': o.valid_time, 's': o.seq}}) AS value FROM moments m LEFT JOIN obs o ON o.obj_id = m.obj_id AND o.valid_time <= m.\"at\" GROUP BY ALL"
+)
 def obs_asof_join(spark, sf_dir):
     o = B.observations(spark, sf_dir)
     times = o.select("obj_id").distinct().withColumn("at", F.explode(F.array(F.lit("2024-01-10"), F.lit("2024-01-20"))))
@@ -644,7 +683,9 @@ def status_latest(spark, sf_dir):
     return K.status_latest(B.status_events(spark, sf_dir)).select("node", "status", F.col("seq.o_orderkey").alias("o_orderkey"))
 
 
-@query("WITH h AS (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) SELECT o_custkey AS node, o_orderkey, b AS before, o_orderstatus AS status FROM h WHERE b IS NOT NULL AND NOT ((b = 'O' AND o_orderstatus = 'F') OR (b = 'F' AND o_orderstatus = 'P'))")
+@query(
+    "WITH h AS (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders) SELECT o_custkey AS node, o_orderkey, b AS before, o_orderstatus AS status FROM h WHERE b IS NOT NULL AND NOT ((b = 'O' AND o_orderstatus = 'F') OR (b = 'F' AND o_orderstatus = 'P'))"
+)
 def fsm_violations(spark, sf_dir):
     return K.fsm_violations(B.status_events(spark, sf_dir), {"O": "F", "F": "P"}).select("node", "o_orderkey", "before", "status")
 
@@ -690,26 +731,35 @@ SELECT 'orders' AS log, seq, action, result FROM oresult
 UNION ALL SELECT 'events', seq, action, CASE action WHEN 'review' THEN 'reviewed ' || id WHEN 'mark' THEN 'marked ' || id WHEN 'revise-capacity' THEN 'revised ' || id WHEN 'create_link' THEN 'linked ' || id || '->' || id END FROM done""")
 def action_results(spark, sf_dir):
     """What every executed action of two logs, which name all nine actions, comes to."""
-    events = B.actions(spark, sf_dir).withColumn("params", F.map_concat("params", F.create_map(F.lit("src"), F.try_element_at("params", F.lit("id")), F.lit("dst"), F.try_element_at("params", F.lit("id")))))
+    events = B.actions(spark, sf_dir).withColumn(
+        "params",
+        F.map_concat("params", F.create_map(F.lit("src"), F.try_element_at("params", F.lit("id")), F.lit("dst"), F.try_element_at("params", F.lit("id"))))
+    )
     logs = {"orders": B.order_actions(spark, sf_dir), "events": events}
     one, two = (G.results(K.decide(log)).select(F.lit(name).alias("log"), "seq", "action", "result") for name, log in logs.items())
     return one.unionByName(two)
 
 
-@query(f"""WITH {ORDERED} SELECT seq, action, sha256('{{"aliases":"' || o_orderpriority || '","id":"' || id || '","objectType":"' || o_orderstatus || '","title":"object ' || seq || '"}}') AS params_hash FROM odone JOIN orders ON o_orderkey = seq""")
+@query(
+    f"""WITH {ORDERED} SELECT seq, action, sha256('{{"aliases":"' || o_orderpriority || '","id":"' || id || '","objectType":"' || o_orderstatus || '","title":"object ' || seq || '"}}') AS params_hash FROM odone JOIN orders ON o_orderkey = seq"""
+)
 def action_audit_hashes(spark, sf_dir):
     """The audit's hash of the parameters of every executed action, whatever their order."""
     return K.audit(K.decide(B.order_actions(spark, sf_dir))).select("seq", "action", "params_hash")
 
 
-@query(f"WITH {ORDERED} SELECT id AS node, nxt AS status, count(*) OVER (PARTITION BY id) AS n FROM odone WHERE action = 'advance-roadmap' QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1")
+@query(
+    f"WITH {ORDERED} SELECT id AS node, nxt AS status, count(*) OVER (PARTITION BY id) AS n FROM odone WHERE action = 'advance-roadmap' QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1"
+)
 def action_statuses(spark, sf_dir):
     """The status that executed actions have advanced each node to, and in how many steps."""
     log = G.appended(K.decide(B.order_actions(spark, sf_dir)))["statuses"]
     return log.groupBy("node").agg(F.max_by("status", "seq").alias("status"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {ORDERED}, w AS (SELECT * FROM odone WHERE action = 'create_object') SELECT id, 'object ' || min(seq) AS title, arg_min(o_orderstatus, seq) AS object_type, count(*) AS writes FROM w JOIN orders ON o_orderkey = seq GROUP BY id")
+@query(
+    f"WITH {ORDERED}, w AS (SELECT * FROM odone WHERE action = 'create_object') SELECT id, 'object ' || min(seq) AS title, arg_min(o_orderstatus, seq) AS object_type, count(*) AS writes FROM w JOIN orders ON o_orderkey = seq GROUP BY id"
+)
 def object_snapshots(spark, sf_dir):
     """Objects that executed actions make, appended in three batches, with a snapshot after the second."""
     path = f"{shared_folder(spark)}/objects-{uuid.uuid4().hex}"
@@ -739,7 +789,10 @@ def _object_writes(entities, docs):
     return K.governed_writes(entities, None, docs)[0].withColumn("doc_id", F.get("doc_ids", F.lit(0)))
 
 
-_SEEN = [("compliance", None, None, "clear"), (None, None, False, "clear"), ("strategy", None, True, "summary"), ("analyst", None, True, "masked"), ("analyst", "segment", None, "clear"), ("viewer", "balance", None, "hidden")]
+_SEEN = [
+    ("compliance", None, None, "clear"), (None, None, False, "clear"), ("strategy", None, True, "summary"), ("analyst", None, True, "masked"),
+    ("analyst", "segment", None, "clear"), ("viewer", "balance", None, "hidden")
+]
 _MAY = "CASE role " + " ".join(f"WHEN '{r}' THEN '{','.join(a for a, (who, _) in vocab.ACTIONS.items() if r in who)}'" for r in G.ROLES) + " ELSE '' END"
 
 
@@ -759,7 +812,9 @@ def object_view(spark, sf_dir):
     return G.object_view(facts, _roles(spark), G.policy(rules))
 
 
-@query(f"WITH {ORDERED}, {ACTS}, every AS (SELECT action, role FROM oacts UNION ALL SELECT action, role FROM acts) SELECT action, role, coalesce({_ALLOWED}, false) AS permitted, coalesce(action IN ({_SANDBOX}), false) AS sandbox, count(*) AS n FROM every GROUP BY ALL")
+@query(
+    f"WITH {ORDERED}, {ACTS}, every AS (SELECT action, role FROM oacts UNION ALL SELECT action, role FROM acts) SELECT action, role, coalesce({_ALLOWED}, false) AS permitted, coalesce(action IN ({_SANDBOX}), false) AS sandbox, count(*) AS n FROM every GROUP BY ALL"
+)
 def action_permission_matrix(spark, sf_dir):
     """Which roles may run which actions, for all that two logs ask for, and how often they do."""
     logs = B.order_actions(spark, sf_dir).select("action", "role").unionByName(B.actions(spark, sf_dir).select("action", "role"))
@@ -773,7 +828,9 @@ def audit_tail(spark, sf_dir):
     return K.tail(K.audit(K.decide(B.actions(spark, sf_dir))), ["seq"], 100).select("seq", "action", "role")
 
 
-@query("SELECT conv_id, turn, text, n AS version FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1")
+@query(
+    "SELECT conv_id, turn, text, n AS version FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn = 1"
+)
 def page_latest_version(spark, sf_dir):
     return K.versions(B.table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "text", "version")
 
@@ -781,7 +838,10 @@ def page_latest_version(spark, sf_dir):
 @query("SELECT p_brand AS id, arg_min(p_name, p_partkey) AS title, array_to_string(list_sort(list_distinct(list(p_type))), ',') AS aliases, count(*) AS writes FROM part GROUP BY p_brand")
 def object_fold(spark, sf_dir):
     p = B.table(spark, sf_dir, "part")
-    w = p.select(F.col("p_brand").alias("id"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("title"), F.lit("Part").alias("object_type"), F.array("p_type").alias("aliases"), F.array(F.col("p_size").cast("string")).alias("doc_ids"), F.lit(False).alias("controlled"))
+    w = p.select(
+        F.col("p_brand").alias("id"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("title"), F.lit("Part").alias("object_type"),
+        F.array("p_type").alias("aliases"), F.array(F.col("p_size").cast("string")).alias("doc_ids"), F.lit(False).alias("controlled")
+    )
     return K.fold_objects(w).select("id", "title", F.array_join(F.array_sort("aliases"), ",").alias("aliases"), "writes")
 
 
@@ -791,12 +851,17 @@ def link_dedup(spark, sf_dir):
     return K.link_view(li)
 
 
-@query("SELECT s_suppkey AS id, s_name AS title, count(DISTINCT l_partkey) AS n_links, coalesce(array_to_string(list_sort(list_distinct(list(l_partkey) FILTER (l_partkey IS NOT NULL)))[1:5], ','), '') AS first FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL")
+@query(
+    "SELECT s_suppkey AS id, s_name AS title, count(DISTINCT l_partkey) AS n_links, coalesce(array_to_string(list_sort(list_distinct(list(l_partkey) FILTER (l_partkey IS NOT NULL)))[1:5], ','), '') AS first FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL"
+)
 def object_with_links(spark, sf_dir):
     o = B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"))
     li = B.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("supplies").alias("lt"))
     out = K.object_with_links(o, li)
-    return out.select("id", "title", F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.array_join(F.slice(F.transform("links", lambda x: x["dst"].cast("string")), 1, 5), ","), F.lit("")).alias("first"))
+    return out.select(
+        "id", "title", F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.array_join(F.slice(F.transform("links", lambda x: x["dst"].cast("string")), 1, 5), ","), F.lit("")).alias("first")
+    )
 
 
 @query("SELECT s_name AS title, count(*) AS n FROM supplier GROUP BY s_name")
@@ -830,7 +895,9 @@ def row_visibility(spark, sf_dir):
     return both.where(security.row_visible(F.col("role"), F.col("controlled"))).groupBy("role").agg(F.count(F.lit(1)).alias("visible"))
 
 
-@query(f"WITH {DOCS}, m AS (SELECT DISTINCT doc_id::VARCHAR AS e FROM labels WHERE quality = 0) SELECT substr(md5(id || '|'), 1, 12) AS page_id, id AS doc_id, controlled OR id IN (SELECT e FROM m) AS controlled FROM docs")
+@query(
+    f"WITH {DOCS}, m AS (SELECT DISTINCT doc_id::VARCHAR AS e FROM labels WHERE quality = 0) SELECT substr(md5(id || '|'), 1, 12) AS page_id, id AS doc_id, controlled OR id IN (SELECT e FROM m) AS controlled FROM docs"
+)
 def mark_controlled_join(spark, sf_dir):
     d = B.documents(spark, sf_dir)
     pages = d.select(T.stable_id(F.col("id"), F.lit("")).alias("page_id"), F.col("id").alias("doc_id"), "controlled")
@@ -886,12 +953,16 @@ def verify_duplicates(spark, sf_dir):
     return K.apply_verdicts(facts, verdicts)
 
 
-@query(f"WITH {CHECKED}, o AS (SELECT object_id, bool_or(band IN ('keep', 'pending')) AS kept, count(*) FILTER (band = 'dropped') AS d, count(*) FILTER (band = 'pending') AS p FROM banded GROUP BY object_id) SELECT count(*) AS objects_in, count(*) FILTER (kept) AS objects_kept, count(*) FILTER (NOT kept) AS objects_dropped, sum(d)::BIGINT AS facts_dropped, sum(p)::BIGINT AS facts_pending FROM o")
+@query(
+    f"WITH {CHECKED}, o AS (SELECT object_id, bool_or(band IN ('keep', 'pending')) AS kept, count(*) FILTER (band = 'dropped') AS d, count(*) FILTER (band = 'pending') AS p FROM banded GROUP BY object_id) SELECT count(*) AS objects_in, count(*) FILTER (kept) AS objects_kept, count(*) FILTER (NOT kept) AS objects_dropped, sum(d)::BIGINT AS facts_dropped, sum(p)::BIGINT AS facts_pending FROM o"
+)
 def verify_counts(spark, sf_dir):
     return K.review_counts(_checked(spark, sf_dir))
 
 
-@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 2 ELSE 1 END::BIGINT AS objects, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 3 THEN 'n' || p_size ELSE p_brand END AS first FROM part")
+@query(
+    "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 2 ELSE 1 END::BIGINT AS objects, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 3 THEN 'n' || p_size ELSE p_brand END AS first FROM part"
+)
 def llm_json_parse(spark, sf_dir):
     """Replies about parts as models write them: prose alone, JSON in a fence, JSON in prose, nested JSON."""
     p = B.table(spark, sf_dir, "part")
@@ -912,7 +983,10 @@ def llm_json_parse(spark, sf_dir):
 def egress_hosts(spark, sf_dir):
     """Whether the hosts of pages, or private addresses in their place, may be sent controlled text."""
     n = F.col("page_id")
-    hosts = [F.regexp_extract("url", "^https?://([^/]+)", 1), F.lit("localhost:8000"), F.concat(F.lit("172."), n % 64, F.lit(".0.1")), F.concat(F.lit("10."), n % 256, F.lit(".2.3")), F.concat(F.lit("192.168.0."), n % 256, F.lit(":443"))]
+    hosts = [
+        F.regexp_extract("url", "^https?://([^/]+)", 1), F.lit("localhost:8000"), F.concat(F.lit("172."), n % 64, F.lit(".0.1")),
+        F.concat(F.lit("10."), n % 256, F.lit(".2.3")), F.concat(F.lit("192.168.0."), n % 256, F.lit(":443"))
+    ]
     url = F.concat(F.lit("https://"), F.get(F.array(*hosts), (n % 5).cast("int")), F.lit("/v1"))
     return B.table(spark, sf_dir, "pages").select("page_id", security.is_local(url).alias("local"))
 
@@ -945,7 +1019,9 @@ def stream_dedup(spark, sf_dir):
     return _drained(spark, S.first_of_each(S.source(spark, sf_dir, schema, "documents.parquet")).select("sha256"))
 
 
-@query("WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS s FROM events), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM g GROUP BY user_id, k")
+@query(
+    "WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS s FROM events), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM g GROUP BY user_id, k"
+)
 def event_sessions(spark, sf_dir):
     e = B.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return S.sessions(e).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
