@@ -378,6 +378,7 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, text
     base = without(docs, "n_words_removed", "removed")
     source = base.where(f"`{id_col}` IS NOT NULL").select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
+    # there are fewer matches than k-mers, and they are dealt to a quarter of the parts
     many = parts_for(source)
     bits = many.bit_length() - 1
 
@@ -397,7 +398,7 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, text
 
     def shared(sizes):
         def met(batches):
-            yield from dealt((firsts(h, i, y) for _, (h, i, y) in gathered(batches, sizes)), lambda i, y, other, x: mix64(i.view(np.uint64)).view(np.int64) & (many - 1), MATCHES, many)
+            yield from dealt((firsts(h, i, y) for _, (h, i, y) in gathered(batches, sizes)), lambda i, y, other, x: mix64(i.view(np.uint64)).view(np.int64) & (many // 4 - 1), MATCHES, many)
 
         return tidied(met)
 
