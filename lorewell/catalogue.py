@@ -1010,13 +1010,13 @@ def _drained(spark, stream, mode="append"):
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_event_windows(spark, sf_dir):
     schema = B.table(spark, sf_dir, "events").schema
-    return _drained(spark, S.windows(S.timed(S.source(spark, sf_dir, schema, "events.parquet"))), "complete")
+    return _drained(spark, S.windows(S.timed(S.table_source(spark, sf_dir, "events", schema))), "complete")
 
 
 @query("SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL")
 def stream_dedup(spark, sf_dir):
     schema = B.table(spark, sf_dir, "documents").schema
-    return _drained(spark, S.first_of_each(S.source(spark, sf_dir, schema, "documents.parquet")).select("sha256"))
+    return _drained(spark, S.first_of_each(S.table_source(spark, sf_dir, "documents", schema)).select("sha256"))
 
 
 @query(
@@ -1030,7 +1030,7 @@ def event_sessions(spark, sf_dir):
 @query(ORACLE_SQL["fsm_violations"])
 def stream_status(spark, sf_dir):
     """The statuses of customers' orders that don't follow, told by state of a stream."""
-    orders = S.source(spark, sf_dir, B.table(spark, sf_dir, "orders").schema, "orders.parquet")
+    orders = S.table_source(spark, sf_dir, "orders", B.table(spark, sf_dir, "orders").schema)
     # time, then key, as one number
     seq = F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) * 10**9 + F.col("o_orderkey")
     events = orders.select(F.col("o_custkey").alias("node"), seq.alias("seq"), F.col("o_orderstatus").alias("status"), F.lit(False).alias("correction"))

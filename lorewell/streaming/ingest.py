@@ -17,6 +17,16 @@ def source(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", f
     return (stream if files is None else stream.option("maxFilesPerTrigger", files)).parquet(path)
 
 
+def table_source(spark: SparkSession, sf_dir: str, name: str, schema) -> DataFrame:
+    """A stream of a given table, be it a file or a folder of files."""
+    return source(spark, table_path(sf_dir, name), schema, "*")
+
+
+def table_path(sf_dir: str, name: str) -> str:
+    """The path of a given table as a pattern that only it meets: a stream takes a plain path to be a folder."""
+    return f"{sf_dir}/{name}.[p]arquet"
+
+
 def timed(events: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Events with a watermark; times without a zone are taken as they are."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
