@@ -7,6 +7,7 @@ import uuid
 from jobs import build_index, ingest_documents
 from lorewell.catalogue import CHUNKS, DOCS, FIRST, POSTS, TIERED
 from lorewell.operators.graph import shared_folder
+from lorewell.streaming.ingest import table_path
 
 
 def job1_build_index(spark, sf_dir: str):
@@ -19,7 +20,8 @@ def job1_build_index(spark, sf_dir: str):
 def job2_ingest_documents(spark, sf_dir: str):
     folder = f"{shared_folder(spark)}/job2-{uuid.uuid4().hex}"
     for _ in range(2):
-        ingest_documents.run(spark, sf_dir, f"{sf_dir}/labels.parquet", f"{folder}/store", f"{folder}/checkpoint", "documents.parquet")
+        # all files in one batch, so that of equal texts the first of the whole table stays
+        ingest_documents.run(spark, table_path(sf_dir, "documents"), f"{sf_dir}/labels.parquet", f"{folder}/store", f"{folder}/checkpoint", "*", 1_000_000)
     return ingest_documents.output_of(spark, f"{folder}/store")
 
 

@@ -149,3 +149,16 @@ def test_jobs_need_no_corpus_operators():
             with open(f"{ROOT}/jobs/{name}", encoding="utf-8") as f:
                 text = f.read()
             assert "llm" not in text and "corpus_pipeline" not in text, name
+
+
+def test_tables_may_be_folders_of_files(spark, tmp_path):
+    """The registered queries over streams read a table that is a folder as they read one that is a file."""
+    from jobs.queries import job2_ingest_documents
+    from lorewell import catalogue
+
+    sf = str(tmp_path / "sf")
+    for name in ("documents", "labels", "events"):
+        spark.read.parquet(f"{SF}/{name}.parquet").repartition(3).write.parquet(f"{sf}/{name}.parquet")
+    for query in (job2_ingest_documents, catalogue.QUERIES["stream_dedup"], catalogue.QUERIES["stream_event_windows"]):
+        found = rows(query(spark, sf))
+        assert found and found == rows(query(spark, SF))
