@@ -768,7 +768,7 @@ def object_snapshots(spark, sf_dir):
     for batch in range(3):
         # the last batch is written twice, as after a failure
         for _ in range(1 + (batch == 2)):
-            objects.append(writes.where(F.least(F.floor((F.col("seq") - 1) / third), F.lit(2)) == batch), path, batch)
+            objects.append(writes.where(F.greatest(F.least(F.floor((F.col("seq") - 1) / third), F.lit(2)), F.lit(0)) == batch), path, batch)
         if batch == 1:
             objects.compact(spark, path)
     return objects.state(spark, path).select("id", "title", "object_type", "writes")

@@ -203,3 +203,18 @@ def test_postings_score_communities_as_their_whole_texts_do(spark):
     for q, best in want.items():
         own = sorted((x["rank"], -x["score"], x["community"]) for x in got.where(f"query_id = {q}").collect())
         assert [x[1:] for x in own] == sorted(best)[:4]
+
+
+def test_snapshots_hold_the_write_of_sequence_zero(spark, tmp_path):
+    """Keys from 0 on, and below: every write falls into a batch."""
+    from lorewell import catalogue
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    made = [(key, 1, "O", "1-URGENT") for key in (-4, 0, 2, 8, 1000)]
+    rows = spark.createDataFrame(made, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+    for f in orders.schema:
+        if f.name not in rows.columns:
+            rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalogue.QUERIES["object_snapshots"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("1", "object -4", "O", 5)]
