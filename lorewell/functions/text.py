@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,19 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("[A-Za-z0-9]+|[一-鿿]"), F.lit(0)), F.array().cast("array<string>"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row: inside a lambda it would be for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def counted(words: Column) -> Column:
+    """array<struct<term, tf>>: each of the words once, with how often it occurs; within its row, without a shuffle."""
+    # of the words in order, the last of each run
+    ends = lambda w: F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: ~F.get(w, i - 1).eqNullSafe(F.get(w, i)))
+    one = lambda s: F.transform(s["e"], lambda i, j: F.struct(F.get(s["w"], i - 1).alias("term"), (i - F.coalesce(F.get(s["e"], j - 1), F.lit(0))).cast("long").alias("tf")))
+    return bound(F.sort_array(words), lambda w: bound(F.struct(w.alias("w"), ends(w).alias("e")), one))
+
+
 def stable_id(*parts: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 12)
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import tokens
+from .text import bound, tokens
 
 
 def doubles(v: Column) -> Column:
@@ -21,11 +20,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once a row: inside a lambda it would be for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def normalised(v: Column) -> Column:
     """v over its length; a zero vector stays as it is."""
     over = lambda s: F.transform(s["v"], lambda x: x / F.when(s["n"] == 0, F.lit(1.0)).otherwise(s["n"]))
