@@ -21,6 +21,8 @@ from ..operators import ingest
 
 #: Chunks of a block.
 BLOCK = 128
+#: Places that the terms of a bucket are dealt to, and blocks of a term in one place: what meets in a place is bounded.
+PLACES, RUN = 16, 4096
 TABLES = ("chunks", "pages", "stats", "postings", "terms", "blocks", "vectors")
 
 
@@ -52,7 +54,7 @@ def write_store(docs: DataFrame, path: str) -> None:
     """Writes the tables for docs (id, name, text, source_tier, controlled, department, seq) under ``path``.
 
     Each table replaces the one before; a run after one that broke off, or a second run, gives the same.
-    Frequent terms are cut into several files by range; nothing but the number of chunks and their
+    Frequent terms are cut into several files by blocks; nothing but the number of chunks and their
     mean length reaches the driver."""
     spark = docs.sparkSession
 
@@ -65,10 +67,14 @@ def write_store(docs: DataFrame, path: str) -> None:
     tokens = chunks.select("chunk_id", "controlled", "department", T.tokens(F.col("text")).alias("t"))
     sizes = tokens.select(F.size("t").alias("l")).agg(F.count(F.lit(1)).alias("n"), (F.sum("l") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avg_len"))
     n, avg_len = put("stats", sizes).first()
-    every = tokens.select("chunk_id", "controlled", "department", F.size("t").alias("len"), F.explode("t").alias("term"))
-    post = every.groupBy("chunk_id", "controlled", "department", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # terms are counted within the row of their chunk, so that postings are shuffled once, to their places
+    every = tokens.select("chunk_id", "controlled", "department", F.size("t").alias("len"), F.explode(T.counted(F.col("t"))).alias("p"))
+    post = every.select("chunk_id", "controlled", "department", "len", "p.term", "p.tf")
     block = F.pmod(F.xxhash64("chunk_id"), F.lit(-(-max(n, 1) // BLOCK))).alias("block")
-    post = post.select("*", block, scoring.bucket_of(F.col("term"))).repartitionByRange("bucket", "term", "block", "chunk_id").sortWithinPartitions("bucket", "term", "block")
+    post = post.select("*", block, scoring.bucket_of(F.col("term")))
+    # by hash: ranges would be sampled, for which all terms would be counted twice
+    places = F.col("bucket"), F.pmod(F.xxhash64("term", F.lit(1)), F.lit(PLACES)), F.floor(F.col("block") / RUN)
+    post = post.repartition(*places).sortWithinPartitions("bucket", "term", "block")
     post = put("postings", post, "bucket")
     put("terms", post.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df")), "bucket")
     # a little more than the sums of a search can come to, so that rounding leaves no block out
