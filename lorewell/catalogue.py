@@ -430,7 +430,7 @@ top8 AS (SELECT *, 1 / (1 + exp(-6 * (score - 0.4))) AS confidence, row_number()
 
 def _reranked(spark, sf_dir):
     fused, c, q = _fused(spark, sf_dir)
-    return R.rerank(fused.select("query_id", "chunk_id").join(q.select("query_id", "query"), "query_id").join(c, "chunk_id"))
+    return R.rerank(R.candidates(fused, q, c, R.few(q)))
 
 
 @query(f"WITH {READ}, {PARTS} SELECT query_id, chunk_id, score, round(confidence, 6) AS confidence, covered, rare_hits, hits, span FROM top8")
@@ -441,7 +441,7 @@ def rerank_score(spark, sf_dir):
 
 @query(f"WITH {READ}, {PARTS} SELECT query_id, count(*) FILTER (confidence >= 0.5) AS kept, count(*) FILTER (confidence < 0.5) AS dropped FROM top8 GROUP BY query_id")
 def confidence_gate(spark, sf_dir):
-    r = _reranked(spark, sf_dir)
+    r = checkpoint(_reranked(spark, sf_dir).select("query_id", "score"))
     kept = R.gate(r).groupBy("query_id").agg(F.count(F.lit(1)).alias("kept"))
     return r.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(kept, "query_id", "left").select(
         "query_id", F.coalesce("kept", F.lit(0)).alias("kept"), (F.col("n") - F.coalesce("kept", F.lit(0))).alias("dropped")

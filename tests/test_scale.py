@@ -24,3 +24,17 @@ def test_terms_are_counted_within_their_row(spark):
     assert "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
     empty = spark.createDataFrame([([],), (None,)], "t array<string>").select(T.counted(F.col("t")).alias("c")).collect()
     assert [r["c"] for r in empty] == [[], None]
+
+
+def test_few_questions_shuffle_no_table(spark, tmp_path):
+    """Postings meet few terms, and chunks few candidates, without a shuffle of their own; more of them are joined, with equal results."""
+    write_store(bindings.documents(spark, SF), str(tmp_path))
+    held = open_store(spark, str(tmp_path))
+    q = spark.createDataFrame([(1, "of the in"), (2, "la le und")], "query_id int, query string")
+    found = retrieval.bm25_stored(held, q)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "IN (" in plan
+    small = sorted(map(tuple, found.collect()))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(retrieval, "CARRIED_TERMS", 1)
+        assert sorted(map(tuple, retrieval.bm25_stored(held, q).collect())) == small and small
