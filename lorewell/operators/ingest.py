@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -85,29 +85,47 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def mentions(rows: DataFrame, patterns: tuple = vocab.ENTITY_PATTERNS, names: tuple = vocab.COMPANIES, body: str = "body") -> DataFrame:
-    """rows with (rank, name, type): patterns in order, matches in order, then listed names; first of each name."""
-    def matches(k: int, pattern: str, kind: str):
-        one = lambda m, i: F.struct((F.lit(k).cast("long") * 10_000_000 + i).alias("rank"), m.alias("name"), F.lit(kind).alias("type"))
+#: Ranks of a pattern or name; a rank tells its type.
+RANKS = 10_000_000
+
+
+def occurrences(rows: DataFrame, patterns: tuple = vocab.ENTITY_PATTERNS, names: tuple = vocab.COMPANIES, body: str = "body") -> DataFrame:
+    """rows with (rank, name): patterns in order, matches in order, then listed names."""
+    def matches(k: int, pattern: str):
+        one = lambda m, i: F.struct((F.lit(k).cast("long") * RANKS + i).alias("rank"), m.alias("name"))
         return F.transform(F.regexp_extract_all(F.col(body), F.lit(pattern), F.lit(0)), one)
 
-    found = [matches(k, p, t) for k, (p, t) in enumerate(patterns)]
+    found = [matches(k, p) for k, (p, _) in enumerate(patterns)]
     found += [
         F.when(
             F.contains(F.col(body), F.lit(n)),
-            F.array(F.struct((F.lit(len(patterns) + k).cast("long") * 10_000_000).alias("rank"), F.lit(n).alias("name"), F.lit("Company").alias("type")))
-        ).otherwise(F.array().cast("array<struct<rank:bigint,name:string,type:string>>")) for k, n in enumerate(names)
+            F.array(F.struct((F.lit(len(patterns) + k).cast("long") * RANKS).alias("rank"), F.lit(n).alias("name")))
+        ).otherwise(F.array().cast("array<struct<rank:bigint,name:string>>")) for k, n in enumerate(names)
     ]
     base = [c for c in rows.columns if c != body]
-    out = rows.select(*base, F.explode(reduce(F.concat, found)).alias("m"))
-    return out.groupBy(*base, F.col("m.name").alias("name")).agg(F.min(F.struct("m.rank", "m.type")).alias("f")).select(*base, "f.rank", "name", "f.type")
+    return rows.select(*base, F.explode(reduce(F.concat, found)).alias("m")).select(*base, "m.rank", "m.name")
+
+
+def type_of(rank: Column, patterns: tuple = vocab.ENTITY_PATTERNS, names: tuple = vocab.COMPANIES) -> Column:
+    kinds = F.array(*[F.lit(t) for _, t in patterns], *[F.lit("Company") for _ in names])
+    return F.get(kinds, F.floor(rank / RANKS).cast("int"))
+
+
+def mentions(rows: DataFrame, patterns: tuple = vocab.ENTITY_PATTERNS, names: tuple = vocab.COMPANIES, body: str = "body") -> DataFrame:
+    """rows with (rank, name, type): the first of occurrences() of each name. A rank alone is aggregated, which takes no sort."""
+    out = occurrences(rows, patterns, names, body)
+    base = [c for c in out.columns if c not in ("rank", "name")]
+    return out.groupBy(*base, "name").agg(F.min("rank").alias("rank")).select(*base, "rank", "name", type_of(F.col("rank"), patterns, names).alias("type"))
 
 
 def entities(classified: DataFrame, **vocabulary) -> DataFrame:
     """(doc_id, entity_id, name, type): each name once for each document of tiers A and B, the first type kept."""
-    m = mentions(sectioned(classified.where("tier != 'C'")).select(F.col("id").alias("doc_id"), "ord", "body"), **vocabulary)
-    first = m.groupBy("doc_id", "name").agg(F.min(F.struct("ord", "rank", "type")).alias("f"))
-    return first.select("doc_id", T.stable_id(F.lit("ent"), F.col("name")).alias("entity_id"), "name", "f.type")
+    m = occurrences(sectioned(classified.where("tier != 'C'")).select(F.col("id").alias("doc_id"), "ord", "body"), **vocabulary)
+    # section and rank as one number, which is aggregated without a sort
+    place = F.col("ord").cast("long") * 10**12 + F.col("rank")
+    first = m.groupBy("doc_id", "name").agg(F.min(place).alias("place"))
+    kinds = {k: v for k, v in vocabulary.items() if k in ("patterns", "names")}
+    return first.select("doc_id", T.stable_id(F.lit("ent"), F.col("name")).alias("entity_id"), "name", type_of(F.col("place") % 10**12, **kinds).alias("type"))
 
 
 def relations(classified: DataFrame, **vocabulary) -> DataFrame:

@@ -59,3 +59,11 @@ def test_exact_vector_search_over_blocks(spark, monkeypatch):
         got = retrieval.vector_topk(df, q, 5)
         assert {(r["query_id"], r["id"], round(r["score"], 6), r["rank"]) for r in got.collect()} == want
     assert "lambda" not in got._jdf.queryExecution().executedPlan().toString().split("MapInPandas")[0]
+
+
+def test_entities_are_found_without_sorting(spark):
+    docs = spark.createDataFrame([("d", "# one\nN7 and N5 of TSMC\n# two\nN7 HBM3 TSMC", "A")], "id string, text string, tier string")
+    found = ingest.entities(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r["name"], r["type"]) for r in found.collect()) == [("HBM3", "Standard"), ("N5", "ProcessNode"), ("N7", "ProcessNode"), ("TSMC", "Company")]
