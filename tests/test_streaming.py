@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+
 from lorewell.operators import knowledge
 from lorewell.streaming import ingest, status
 
@@ -41,3 +43,45 @@ def test_state_goes_on_where_it_stopped(spark, tmp_path):
     put([(every[-1][0], 3, "P", False), (None, 999, "O", False)])
     assert run(spark, source, out, state) == want
     assert spark.conf.get(status.PROVIDER) == own
+
+
+class Handle:
+    """The state of one group, and how often it was read and written."""
+
+    def __init__(self):
+        self.value, self.timers, self.updates = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    listTimers = lambda self: iter([(t,) for t in self.timers])
+    deleteTimer = lambda self, t: self.timers.remove(t)
+    registerTimer = lambda self, t: self.timers.append(t)
+
+    def update(self, value):
+        self.value, self.updates = value, self.updates + 1
+
+    def clear(self):
+        self.value = None
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentProcessingTimeInMs = lambda: ms
+
+
+def test_nodes_of_a_bucket_share_one_state():
+    """Many nodes take one read and one write; numbers beyond 2**53 that differ by one are told apart, and idle nodes are forgotten one by one."""
+    machine, handle, big = status.StatusMachine(EDGES, idle_ms=100), Handle(), 10**18
+    machine.init(handle)
+    told = lambda rows, ms: sorted(map(tuple, pd.concat(list(machine.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["node", "seq", "status", "correction"])]), Now(ms)))).values.tolist()))
+    assert told([(n, big, "O", False) for n in range(50)], 1000) == [] and handle.updates == 1 and handle.timers == [1100]
+    late = [(7, big, "P", False), (7, big + 1, "P", False), (7, big + 2, "P", True), (7, big + 3, "O", False), (8, big + 1, None, False), (8, big + 2, "F", False)]
+    assert told(late[::-1], 1050) == [(7, big + 1, "O", "P"), (7, big + 3, "P", "O"), (8, big + 1, "O", None)]
+    list(machine.handleExpiredTimer((0,), Now(1100), None))
+    assert handle.value[0] == [7, 8] and handle.timers == [1150]
+    assert told([(9, 1, "P", False), (7, 2, "P", False)], 1120) == []
+    list(machine.handleExpiredTimer((0,), Now(1220), None))
+    assert handle.value is None and handle.timers == []
