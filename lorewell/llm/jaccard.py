@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import checkpoint, connected_components, folded, fresh, rolled, ship, tidied, word_hashes
+from .common import checkpoint, connected_components, folded, fresh, release, rolled, ship, tidied, word_hashes
 
 #: Cells of the sketch, one for so many bytes of the input; a cell is heavy when it holds that many deviations over the median cell.
 CELLS, CELLS_MOST, CELL_BYTES = 1 << 16, 1 << 20, 1 << 14
@@ -318,6 +318,8 @@ def _passes(lists: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percen
         pairs = checkpoint(_alike(long.join(signs, ["id", "n", "end"]), turn, percent))
         new = checkpoint(_verified(pairs.select("a", "b"), docs, k, percent).distinct().join(pairs, ["a", "b"]))
         found.append(new.select("a", "b"))
+        del pairs, long
+        release(docs.sparkSession)
         if new.count() * WORTH < size:
             break
         moved = connected_components(new.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("node").alias("c"), "component")
@@ -389,6 +391,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str
     # one exchange by h serves both the least of each list and the join with it
     least = common.groupBy("h").agg(F.min(F.struct("id", "n", "end")).alias("l"), F.max("id").alias("high")).where("l.id != high").select("h", "l")
     listed = checkpoint(common.join(least, "h"))
+    del postings, shared, common, least
+    release(docs.sparkSession)
     leading = listed.where(f"id != l.id AND {sizes_fit(percent, 'n', 'l.n')}").select(
         *[F.col(f"l.{c}").alias(f"{c}_a") for c in ("id", "n", "end")], *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "end")]
     )

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, folded, fresh, mix64, rolled, ship, spread_join, tidied, without, word_hashes, word_starts
+from .common import checkpoint, folded, fresh, mix64, release, rolled, ship, spread_join, tidied, without, word_hashes, word_starts
 from .jaccard import wanted
 
 K, MARGIN = 5, 60
@@ -431,6 +431,8 @@ def dedup_passages(docs: DataFrame, min_words: int = 50, percent: int = 80, text
     # whole windows whose k-mers lead to several places meet the first document that holds them
     again = parts(parts(met.where("data IS NOT NULL").select("part", "data")).mapInPandas(shared(WINDOWS), "part long, data binary"))
     spans = checkpoint(met.where("data IS NULL").select(*names).unionByName(again.mapInPandas(boxed, spanned)))
+    del blobs, seeds, met, again
+    release(base.sparkSession)
     # what spans need of the documents they lead to is cut out before it meets them, each piece once
     places = spans.select(F.col("other").alias("id"), "x0", "x1").distinct()
     pieces = places.groupBy("id", F.floor(F.col("x0") / PIECE).alias("piece")).agg(F.collect_list(F.struct("x0", "x1")).alias("at"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Gives back what finished steps hold: their broadcasts and shuffles in the driver, their files on disk.
+
+    Spark frees those once the driver collects its garbage, which by itself it does each half hour or
+    when its heap is full; by then a job of hundreds of small stages has filled both."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every end of the rows (a, b): component is the smallest node reachable.
 
@@ -53,7 +63,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         jump = moved.select(F.col("node").alias("component"), F.col("component").alias("j"))
         done = checkpoint(moved.join(jump, "component", "left").select("node", "old", F.coalesce("j", "component").alias("component")))
         labels = done.select("node", "component")
-        if not done.where("old != component").limit(1).count():
+        settled = not done.where("old != component").limit(1).count()
+        del near, hooked, roots, moved, jump, done
+        release(edges.sparkSession)
+        if settled:
             return labels
 
 

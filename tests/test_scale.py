@@ -1,5 +1,6 @@
 """Steps that grow with the input, against plain versions and by their plans."""
 
+import time
 from collections import Counter
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
-from lorewell.operators import ingest, retrieval
+from lorewell.operators import graph, ingest, retrieval
 from lorewell.sources import bindings
 from lorewell.sources.store import open_store, write_store
 
@@ -67,3 +68,17 @@ def test_entities_are_found_without_sorting(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert sorted((r["name"], r["type"]) for r in found.collect()) == [("HBM3", "Standard"), ("N5", "ProcessNode"), ("N7", "ProcessNode"), ("TSMC", "Company")]
+
+
+def test_finished_rounds_are_given_back(spark):
+    """The driver doesn't keep the shuffles of rounds that are over."""
+    held = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    edges = spark.range(200).selectExpr("id AS a", "id + 1 AS b")
+    graph.release(spark)
+    time.sleep(2)
+    before = held.size()
+    assert {r["component"] for r in graph.connected_components(edges).collect()} == {0}
+    deadline = time.time() + 20
+    while held.size() > before + 12 and time.time() < deadline:
+        time.sleep(0.5)
+    assert held.size() <= before + 12
