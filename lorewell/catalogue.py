@@ -521,9 +521,13 @@ comm AS (SELECT node, min(goal) AS community FROM reach GROUP BY node)"""
 
 
 def _shared_lines(spark, sf_dir):
-    """Documents linked to the first document with the same line of 40 or more characters."""
-    line = B.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).where("length(line) >= 40").distinct()
-    hub = line.groupBy("line").agg(F.min("doc_id").alias("dst"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Documents linked to the first document with the same line of 40 or more characters.
+
+    Lines are told apart by the 128 bits of their MD5, so that no text is shuffled; of a document
+    each line is taken once within its row."""
+    long = F.array_distinct(F.filter(F.split("text", "\n", -1), lambda s: F.length(s) >= 40))
+    line = B.table(spark, sf_dir, "documents").select("doc_id", F.explode(long).alias("s")).select("doc_id", F.unhex(F.md5("s")).alias("line"))
+    hub = line.groupBy("line").agg(F.min("doc_id").alias("dst"), F.max("doc_id").alias("last")).where("dst != last").drop("last")
     return line.join(hub, "line").where("doc_id != dst").select(F.col("doc_id").alias("src"), "dst").distinct()
 
 

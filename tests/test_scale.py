@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lorewell import catalogue
 from lorewell.functions import text as T
 from lorewell.operators import graph, ingest, retrieval
 from lorewell.sources import bindings
@@ -70,6 +71,16 @@ def test_entities_are_found_without_sorting(spark):
     assert sorted((r["name"], r["type"]) for r in found.collect()) == [("HBM3", "Standard"), ("N5", "ProcessNode"), ("N7", "ProcessNode"), ("TSMC", "Company")]
 
 
+def test_shared_lines_are_met_without_their_text(spark, tmp_path):
+    long = lambda c: c * 40
+    docs = [(1, f"{long('a')}\n{long('a')}\nshort"), (2, f"{long('b')}\nshort"), (2, f"x\n{long('b')}\n{long('a')}"), (3, long("b")), (4, long("c")), (5, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue._shared_lines(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(2, 1), (3, 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(line" in plan and "hashpartitioning(doc_id" not in plan
+
+
 def test_finished_rounds_are_given_back(spark):
     """The driver doesn't keep the shuffles of rounds that are over."""
     held = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
