@@ -99,3 +99,18 @@ def test_hooks_take_the_place_of_rules(spark):
     only = spark.createDataFrame([(1,)], "community long")
     got = knowledge.community_summaries(labels, only=only, summariser=lambda members, n: f"{n}: {' '.join(members)}").collect()
     assert [(r["community"], r["summary"]) for r in got] == [(1, "2: a b")]
+
+
+def test_answers_go_on_before_their_batch_ends(spark, monkeypatch):
+    """A task holds the answers of some characters of text, not those of a whole batch."""
+    rows = spark.createDataFrame([(str(i), 0, "Memory" * (i % 4), False, "strong" if i % 5 else None) for i in range(60)], "doc_id string, ord int, body string, controlled boolean, endpoint string")
+    caught, own = [], type(rows).mapInPandas
+    monkeypatch.setattr(X, "CHARS_AT_ONCE", 60)
+    monkeypatch.setattr(type(rows), "mapInPandas", lambda self, f, schema: caught.append((self, f)) or own(self, f, schema))
+    found = X.extract(rows, endpoints())
+    asked, run = caught[0]
+    pieces = list(run(iter([asked.toPandas()])))
+    assert len(pieces) > 5 and all(p["body"].str.len().sum() < 60 + 18 for p in pieces)
+    every = [r for p in pieces for r in p.itertuples()]
+    assert [r.doc_id for r in every] == [str(i) for i in range(60)] and all((r.got is None) == (r.endpoint is None) for r in every)
+    assert {r["doc_id"]: r["attempts"] for r in found.collect()} == {r.doc_id: r.got and r.got["attempts"] for r in every}
