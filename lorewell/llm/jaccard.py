@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import checkpoint, connected_components, folded, fresh, release, rolled, ship, tidied, word_hashes
+from .common import checkpoint, compact, connected_components, folded, fresh, release, rolled, ship, tidied, word_hashes
 
 #: Cells of the sketch, one for so many bytes of the input; a cell is heavy when it holds that many deviations over the median cell.
 CELLS, CELLS_MOST, CELL_BYTES = 1 << 16, 1 << 20, 1 << 14
@@ -315,15 +315,15 @@ def _passes(lists: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percen
         if signs is None:
             signs = checkpoint(signed.join(long.select("id", "n", "end"), ["id", "n", "end"], "left_semi"))
         size = signs.count()
-        pairs = checkpoint(_alike(long.join(signs, ["id", "n", "end"]), turn, percent))
-        new = checkpoint(_verified(pairs.select("a", "b"), docs, k, percent).distinct().join(pairs, ["a", "b"]))
+        pairs = compact(_alike(long.join(signs, ["id", "n", "end"]), turn, percent))
+        new = compact(_verified(pairs.select("a", "b"), docs, k, percent).distinct().join(pairs, ["a", "b"]))
         found.append(new.select("a", "b"))
         del pairs, long
         release(docs.sparkSession)
         if new.count() * WORTH < size:
             break
         moved = connected_components(new.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("node").alias("c"), "component")
-        lists = checkpoint(_still_open(lists.drop("size").join(moved, "c", "left").select("h", "id", "n", "end", F.coalesce("component", "c").alias("c"))))
+        lists = compact(_still_open(lists.drop("size").join(moved, "c", "left").select("h", "id", "n", "end", F.coalesce("component", "c").alias("c"))))
     return found, lists
 
 
@@ -366,8 +366,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str
     heavy = heavy_cells(counts)
     rows = first.where("n >= 0").select("id", "mark", "n")
     named = rows.where("n > 0 AND id IS NOT NULL")
-    classes = checkpoint(named.groupBy("mark").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep != last").select("mark", "rep"))
-    copies = checkpoint(named.join(classes, "mark").where("id != rep").select("id", "mark", "rep").distinct())
+    classes = compact(named.groupBy("mark").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep != last").select("mark", "rep"))
+    copies = compact(named.join(classes, "mark").where("id != rep").select("id", "mark", "rep").distinct())
 
     @tidied
     def prefixes(batches):
@@ -396,10 +396,10 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str
     leading = listed.where(f"id != l.id AND {sizes_fit(percent, 'n', 'l.n')}").select(
         *[F.col(f"l.{c}").alias(f"{c}_a") for c in ("id", "n", "end")], *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "end")]
     )
-    links = checkpoint(_verified(checkpoint(_bounded(leading, percent)), source, k, percent))
+    links = compact(_verified(compact(_bounded(leading, percent)), source, k, percent))
     near = connected_components(links)
     members = listed.drop("l").join(near.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    lists = checkpoint(_still_open(members))
+    lists = compact(_still_open(members))
     edges = links.unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     found, lists = _passes(lists, made.select("id", "n", "end", "sig"), source, k, percent)
     for more in found:
@@ -407,7 +407,7 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str
     # a pair that shares one of the longest lists is met in blocks, whatever the other lists make of it
     longest = lists.where(f"size > {BLOCKS_FROM}").drop("end")
     if not longest.isEmpty():
-        edges = edges.unionByName(checkpoint(_block_links(longest, source, k, percent)))
-    edges = edges.unionByName(_verified(checkpoint(_square(lists.where(f"size <= {BLOCKS_FROM}"), percent)), source, k, percent))
+        edges = edges.unionByName(compact(_block_links(longest, source, k, percent)))
+    edges = edges.unionByName(_verified(compact(_square(lists.where(f"size <= {BLOCKS_FROM}"), percent)), source, k, percent))
     components = connected_components(edges).select(F.col("node").alias("id"), "component")
     return rows.join(components, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -34,6 +34,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of narrow results that a partition has, if there are so many.
+PART_ROWS = 1 << 16
+
+
+def parts_of(rows: int) -> int:
+    return max(1, -(-rows // PART_ROWS))
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """checkpoint() of narrow rows, which are then read in parts of some PART_ROWS rows.
+
+    Else each later step has a task for every partition of a small result, empty or not. There never
+    are more partitions than before, so that large results stay as they are."""
+    kept = checkpoint(df)
+    return kept.coalesce(parts_of(kept.count()))
+
+
 def release(spark: SparkSession) -> None:
     """Gives back what finished steps hold: their broadcasts and shuffles in the driver, their files on disk.
 
@@ -47,21 +64,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every end of the rows (a, b): component is the smallest node reachable.
 
     Labels move along edges and then jump to the label of the label, so that the number of rounds
-    grows with the logarithm of the longest path. Each round joins and aggregates; nothing but a
-    count of changes reaches the driver. Both sides of a join on a node or label that many rows
-    share are read from files, so that Spark can split such a key. Loops and repeated edges do no
-    harm; nulls are left out."""
+    grows with the logarithm of the longest path. Each round joins and aggregates; nothing but
+    counts reach the driver. Results go on in as many partitions as the number of edges asks for
+    (parts_of), so that rounds over few edges are a few tasks. Both sides of a join on a node or
+    label that many rows share are read from files, so that Spark can split such a key. Loops and
+    repeated edges do no harm; nulls are left out."""
     e = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a != b")
     both = checkpoint(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
+    parts = parts_of(both.count())
+    both = both.coalesce(parts)
+    kept = lambda df: checkpoint(df.coalesce(parts)).coalesce(parts)
+    labels = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        hooked = labels.join(near.select(F.col("a").alias("node"), "c"), "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("component"))
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").coalesce(parts).groupBy("a").agg(F.min("c").alias("c"))
+        hooked = labels.join(near.select(F.col("a").alias("node"), "c"), "node").select("node", F.col("component").alias("old"), F.least("component", "c").alias("component")).coalesce(parts)
         # the best label that any member brings goes to the root as well, so that trees hook as a whole
         roots = hooked.groupBy(F.col("old").alias("node")).agg(F.min("component").alias("r"))
-        moved = checkpoint(hooked.join(roots, "node", "left").select("node", "old", F.least("component", F.coalesce("r", "component")).alias("component")))
+        moved = kept(hooked.join(roots, "node", "left").select("node", "old", F.least("component", F.coalesce("r", "component")).alias("component")))
         jump = moved.select(F.col("node").alias("component"), F.col("component").alias("j"))
-        done = checkpoint(moved.join(jump, "component", "left").select("node", "old", F.coalesce("j", "component").alias("component")))
+        done = kept(moved.join(jump, "component", "left").select("node", "old", F.coalesce("j", "component").alias("component")))
         labels = done.select("node", "component")
         settled = not done.where("old != component").limit(1).count()
         del near, hooked, roots, moved, jump, done

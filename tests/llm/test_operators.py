@@ -286,6 +286,27 @@ def test_components(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 200: 100}
 
 
+def test_components_of_few_edges_take_few_tasks(spark):
+    """With 50 shuffle partitions that Spark doesn't coalesce, rounds over 60 edges don't cost a task for each."""
+    names = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    sc = spark.sparkContext
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few-edges", "components")
+        labels = connected_components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long"))
+        tracker = sc.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("few-edges") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+        assert {r["component"] for r in labels.collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks < 2000, tasks  # 4914 when every step had a task for each partition
+
+
 def _vectors(spark):
     r = np.random.default_rng(2)
     v = r.normal(size=(400, 16))
