@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import checkpoint, compact, connected_components, release  # noqa: F401
+from ..operators.graph import checkpoint, compact, connected_components, counted, parts_of, release  # noqa: F401
 
 #: ASCII white space, at which the word operators split; bytes.split() uses the same set.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"

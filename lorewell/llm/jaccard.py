@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import checkpoint, compact, connected_components, folded, fresh, release, rolled, ship, tidied, word_hashes
+from .common import checkpoint, compact, connected_components, counted, folded, fresh, parts_of, release, rolled, ship, tidied, word_hashes
 
 #: Cells of the sketch, one for so many bytes of the input; a cell is heavy when it holds that many deviations over the median cell.
 CELLS, CELLS_MOST, CELL_BYTES = 1 << 16, 1 << 20, 1 << 14
@@ -112,7 +112,7 @@ def among(rows: DataFrame, keys: DataFrame, key: str, others: bool = False) -> D
     cell, word, held = fresh(rows, "_cell", "_word", "_held")
     of = F.pmod(F.xxhash64(key), F.lit(bits)).cast("int")
     words = keys.select(of.alias("c")).groupBy((F.col("c") / 64).cast("int").alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, c % 64)")).alias(held))
-    joined = rows.withColumn(cell, of).withColumn(word, F.expr(f"{cell} div 64").cast("int")).join(F.broadcast(words), word, "left" if others else "inner")
+    joined = rows.withColumn(cell, of).withColumn(word, F.expr(f"{cell} div 64").cast("int")).join(F.broadcast(words.coalesce(parts_of(bits // 64))), word, "left" if others else "inner")
     bit = F.expr(f"shiftright({held}, {cell} % 64) & 1")
     return joined.where(F.coalesce(bit, F.lit(0)) == (0 if others else 1)).select(*[f"`{c}`" for c in rows.columns])
 
@@ -124,7 +124,7 @@ def wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b) of those pairs whose whole sets reach the threshold."""
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ends = compact(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     texts = wanted(docs, ends)
     # the side that repeats (a) joins last, so that its text is only repeated on the way to Python
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -259,7 +259,7 @@ def _block_links(lists: DataFrame, docs: DataFrame, k: int, percent: int) -> Dat
     share a list and hold several components are multiplied whole."""
     # a little wider than the largest ratio of sizes that a link allows, so that rounding can't part two of them by two bands
     band = F.floor(F.log("n") / (max(math.log(100 / percent), 1e-3) * (1 + 1e-9)))
-    own = checkpoint(lists.groupBy("id", "n", "c").agg(F.min("h").alias("lead")).withColumn("band", band))
+    own = compact(lists.groupBy("id", "n", "c").agg(F.min("h").alias("lead")).withColumn("band", band))
     parts = lambda docs: F.greatest(F.ceil(F.count(F.lit(1)) / (docs * BLOCK_DOCS)), F.ceil(F.sum("n") / (docs * BLOCK_SHINGLES)))
     groups = own.groupBy("band", "lead").agg(parts(1).alias("parts"))
     bands = own.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("few"))
@@ -268,12 +268,12 @@ def _block_links(lists: DataFrame, docs: DataFrame, k: int, percent: int) -> Dat
     block = F.when(F.col("parts") > 1, F.xxhash64("band", "lead", part)).otherwise(F.xxhash64("band", cell))
     placed = own.join(groups, ["band", "lead"]).join(bands, "band").select("id", "n", "c", "band", block.alias("block"))
     cut = placed.groupBy("block").agg(parts(2).alias("more"))
-    placed = checkpoint(placed.join(cut, "block").select("id", "c", "band", F.xxhash64("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("more"))).alias("block")))
-    rows = checkpoint(lists.select("h", "id").join(placed.select("id", "c", "band", "block"), "id"))
+    placed = compact(placed.join(cut, "block").select("id", "c", "band", F.xxhash64("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("more"))).alias("block")))
+    rows = compact(lists.select("h", "id").join(placed.select("id", "c", "band", "block"), "id"))
     held = rows.groupBy("h", "band", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     side = lambda s: held.select("h", *[F.col(x).alias(f"{x}_{s}") for x in ("band", "block", "low", "high")])
     mixed = "block_a <= block_b AND abs(band_a - band_b) <= 1 AND NOT (low_a = high_a AND low_b = high_b AND low_a = low_b)"
-    meets = checkpoint(side("a").join(side("b"), "h").where(mixed).select("h", "block_a", "block_b").distinct())
+    meets = compact(side("a").join(side("b"), "h").where(mixed).select("h", "block_a", "block_b").distinct())
     # of a block only those documents go to a meeting that are in a list of the other block
     ends = meets.select("h", "block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
     sent = ends.join(rows.select("h", "block", "id", "c"), ["h", "block"]).select("block_a", "block_b", "block", "id", "c").distinct()
@@ -313,8 +313,7 @@ def _passes(lists: DataFrame, signed: DataFrame, docs: DataFrame, k: int, percen
     for turn in range(PASSES):
         long = lists.where(f"size > {LONG}").select("id", "n", "end", "c").distinct()
         if signs is None:
-            signs = checkpoint(signed.join(long.select("id", "n", "end"), ["id", "n", "end"], "left_semi"))
-        size = signs.count()
+            signs, size = counted(signed.join(long.select("id", "n", "end"), ["id", "n", "end"], "left_semi"))
         pairs = compact(_alike(long.join(signs, ["id", "n", "end"]), turn, percent))
         new = compact(_verified(pairs.select("a", "b"), docs, k, percent).distinct().join(pairs, ["a", "b"]))
         found.append(new.select("a", "b"))
@@ -386,11 +385,11 @@ def jaccard_groups(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str
     twice = among(own, copies, "id").mapInPandas(prefixes, schema).join(copies.select("id", "mark"), ["id", "mark"], "left_anti")
     made = checkpoint(among(own, copies, "id", others=True).mapInPandas(prefixes, schema).unionByName(twice).drop("mark"))
     postings = made.select(F.explode("hs").alias("h"), "id", "n", "end")
-    shared = checkpoint(made.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h"))
+    shared = compact(made.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h"))
     common = among(postings, shared, "h").join(shared, "h")
     # one exchange by h serves both the least of each list and the join with it
     least = common.groupBy("h").agg(F.min(F.struct("id", "n", "end")).alias("l"), F.max("id").alias("high")).where("l.id != high").select("h", "l")
-    listed = checkpoint(common.join(least, "h"))
+    listed = compact(common.join(least, "h"))
     del postings, shared, common, least
     release(docs.sparkSession)
     leading = listed.where(f"id != l.id AND {sizes_fit(percent, 'n', 'l.n')}").select(

@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,8 +48,15 @@ def compact(df: DataFrame) -> DataFrame:
 
     Else each later step has a task for every partition of a small result, empty or not. There never
     are more partitions than before, so that large results stay as they are."""
-    kept = checkpoint(df)
-    return kept.coalesce(parts_of(kept.count()))
+    return counted(df)[0]
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """compact() rows and their number, which is counted while they are written, without a job of its own."""
+    seen = Observation()
+    kept = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    rows = seen.get["n"]
+    return kept.coalesce(parts_of(rows)), rows
 
 
 def release(spark: SparkSession) -> None:
@@ -58,6 +66,24 @@ def release(spark: SparkSession) -> None:
     when its heap is full; by then a job of hundreds of small stages has filled both."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trimmed(spark)
+
+
+def trimmed(spark: SparkSession) -> str:
+    """Has the driver's JVM give the system what its native code (compiler, network, compression) has freed; what it says.
+
+    Those blocks else stay with its hundreds of threads. It is Java's command System.trim_native_heap,
+    which newer Javas have on Linux; where there is none, nothing is done."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    given = array(jvm.java.lang.Object, 4)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    given[2], given[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+    # by the method of the interface, since the server's own class isn't open
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+    try:
+        return str(invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given))
+    except Py4JError:
+        return ""
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -70,9 +96,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     label that many rows share are read from files, so that Spark can split such a key. Loops and
     repeated edges do no harm; nulls are left out."""
     e = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a != b")
-    both = checkpoint(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    parts = parts_of(both.count())
-    both = both.coalesce(parts)
+    both, rows = counted(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    parts = parts_of(rows)
     kept = lambda df: checkpoint(df.coalesce(parts)).coalesce(parts)
     labels = kept(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
     while True:

@@ -10,7 +10,8 @@ import public_tokenizers as P
 import pytest
 
 from lorewell.llm import byte_bpe, chat, jaccard, line_dedup, packing, passages, quality, queries, token_counts, topk_search, vector_dedup
-from lorewell.llm.common import connected_components, folded, rolled, word_hashes
+from lorewell.llm.common import connected_components, counted, folded, rolled, word_hashes
+from lorewell.operators.graph import trimmed
 
 ODD = [None, "", " ", "a", "  two  words ", "été ﬁ 日本語 😀", "a\x00b\tc\n\n", "<s> <|endoftext|> <0x0A>", "x" * 5000, "ab" * 3000, "日本" * 2000, " ".join(["It"] * 400), "thing " * 3000]
 SCHEMA = "doc_id long, text string, n_tokens string, ids int, score string, removed int, n_lines_removed int"
@@ -307,6 +308,28 @@ def test_components_of_few_edges_take_few_tasks(spark):
     assert tasks < 2000, tasks  # 4914 when every step had a task for each partition
 
 
+def test_compact_counts_rows_while_it_writes_them(spark):
+    """It has the tasks of its rows' partitions alone; counting was a second job over all of them."""
+    sc = spark.sparkContext
+    sc.setJobGroup("compact", "rows")
+    try:
+        kept, rows = counted(spark.range(0, 100_000, 1, 50).where("id % 2 = 0"))
+        tracker = sc.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("compact") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert (rows, tasks, kept.rdd.getNumPartitions(), kept.count()) == (50_000, 50, 1, 50_000)
+    assert counted(spark.range(0))[1] == 0
+
+
+def test_native_memory_of_the_driver_is_given_back(spark):
+    said = trimmed(spark)
+    if not said:
+        pytest.skip("this Java has no System.trim_native_heap")
+    assert "Trim native heap" in said
+
+
 def _vectors(spark):
     r = np.random.default_rng(2)
     v = r.normal(size=(400, 16))
