@@ -82,11 +82,12 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner",
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers (xor-shift and multiply)."""
     x = x.astype(np.uint64)
-    x ^= x >> np.uint64(33)
+    y = x >> np.uint64(33)
+    x ^= y
     x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
+    x ^= np.right_shift(x, np.uint64(33), out=y)
     x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
+    x ^= np.right_shift(x, np.uint64(33), out=y)
     return x
 
 
@@ -115,7 +116,9 @@ def folded(text: str | None) -> bytes:
 def word_starts(data: bytes) -> np.ndarray:
     """The places at which the words of ``data`` begin."""
     space = _is_space[np.frombuffer(data, dtype=np.uint8)]
-    return np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(space) else np.zeros(0, dtype=np.int64)
+    first = ~space
+    first[1:] &= space[:-1]
+    return np.flatnonzero(first)
 
 
 def word_hashes(data: bytes) -> np.ndarray:
@@ -138,7 +141,8 @@ def _block_hashes(data: bytes) -> np.ndarray:
     starts = word_starts(data)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    sizes = np.diff(starts, append=len(data))
+    sizes = np.empty_like(starts)
+    sizes[:-1], sizes[-1] = starts[1:] - starts[:-1], len(data) - starts[-1]
     factors = _first_places if (most := int(sizes.max())) <= len(_first_places) else _place_factors(most)
     own = np.frombuffer(data, dtype=np.uint8)[starts[0] :]
     starts = starts - starts[0]
@@ -177,8 +181,9 @@ def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each run of ``k`` neighbours in ``hashes``."""
     n = len(hashes) - k + 1
     out = np.zeros(max(n, 0), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            out = (out ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        return mix64(out)
+    high = out.copy()
+    for i in range(k if n > 0 else 0):
+        out ^= hashes[i : i + n]
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= np.right_shift(out, np.uint64(29), out=high)
+    return mix64(out)

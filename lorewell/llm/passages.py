@@ -43,23 +43,27 @@ def chains(y: np.ndarray, x: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     An anchor's score is its size plus that of the best chain that ends before it in y and in x,
     less GAP_COST for each word between, if that is positive. A Fenwick tree over x holds the prefix
     maxima of (score + GAP_COST * end), so that a chain takes n log n steps."""
-    order = np.lexsort((x, y))
-    ranks = np.searchsorted(np.unique(x), x) + 1
-    top = int(ranks.max()) if len(ranks) else 0
+    if len(y) == 1:
+        return [np.zeros(1, dtype=np.int64)]
+    order = np.lexsort((x, y)).tolist()
+    ranks = (np.searchsorted(np.unique(x), x) + 1).tolist()
+    top = max(ranks, default=0)
     tree: list[tuple[float, int]] = [(-1e18, -1)] * (top + 1)
-    score, before = np.zeros(len(y)), np.full(len(y), -1)
+    # plain numbers, as reading single ones of an array is slow
+    y, x, size = y.tolist(), x.tolist(), size.tolist()
+    score, before = [0.0] * len(y), [-1] * len(y)
     waiting: list[int] = []
     at = None
-    for i in order.tolist():
+    for i in order:
         if y[i] != at:
             for j in waiting:
-                entry, r = (score[j] + GAP_COST * (y[j] + x[j] + 2 * size[j]), j), int(ranks[j])
+                entry, r = (score[j] + GAP_COST * (y[j] + x[j] + 2 * size[j]), j), ranks[j]
                 while r <= top:
                     if entry > tree[r]:
                         tree[r] = entry
                     r += r & -r
             waiting, at = [], y[i]
-        best, r = (-1e18, -1), int(ranks[i]) - 1
+        best, r = (-1e18, -1), ranks[i] - 1
         while r:
             if tree[r] > best:
                 best = tree[r]
@@ -69,13 +73,13 @@ def chains(y: np.ndarray, x: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
         if gain > 0:
             before[i] = best[1]
         waiting.append(i)
-    out, used = [], np.zeros(len(y), dtype=bool)
-    for i in np.argsort(-score, kind="stable").tolist():
+    out, used = [], [False] * len(y)
+    for i in np.argsort(-np.array(score), kind="stable").tolist():
         own = []
         while i >= 0 and not used[i]:
             used[i] = True
             own.append(i)
-            i = int(before[i])
+            i = before[i]
         if own:
             out.append(np.array(own[::-1]))
     return out
@@ -176,32 +180,43 @@ def boxes(rows: np.ndarray, least: int) -> list[tuple[int, int, int, int, int, i
     return out + [tuple(r) for r in near]
 
 
-def zigzag(ids: np.ndarray) -> np.ndarray:
-    """Differences of neighbours, with the sign in the lowest bit."""
-    d = np.diff(ids, prepend=0)
-    return (d << 1) ^ (d >> 63)
-
-
 def stepped(sizes: tuple[int, ...]) -> list[bool]:
     """Which columns are kept as differences: ids, and the places of matches, which are in order."""
     return [k == 8 or sizes[0] == 8 for k in sizes]
 
 
-def packed(columns: list[np.ndarray], sizes: tuple[int, ...]) -> bytes:
-    """Integer columns as the planes of their low bytes, compressed (most planes have few values)."""
-    columns = [zigzag(c) if d else c for c, d in zip(columns, stepped(sizes))]
-    return zstandard.compress(b"".join(np.ascontiguousarray(c.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes() for c, k in zip(columns, sizes)), 1)
+def packed(columns: list[np.ndarray], sizes: tuple[int, ...], cuts: list[int] | None = None) -> list[bytes]:
+    """Integer columns from each cut to the next (or whole) as the planes of their low bytes, compressed (most planes have few values).
+
+    Differences of neighbours begin anew at each cut; their sign is in the lowest bit."""
+    cuts = [0, len(columns[0])] if cuts is None else cuts
+    planes = []
+    for c, k, d in zip(columns, sizes, stepped(sizes)):
+        c = c.astype("<i8")
+        if d:
+            step = c.copy()
+            step[1:] -= c[:-1]
+            step[cuts[:-1]] = c[cuts[:-1]]
+            c = (step << 1) ^ (step >> 63)
+        planes.append(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8)[:, :k].T))
+    compress = zstandard.ZstdCompressor(level=1).compress
+    return [compress(b"".join([p[:, a:b].tobytes() for p in planes])) for a, b in zip(cuts, cuts[1:])]
 
 
 def unpacked(data: bytes, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    data = zstandard.decompress(data)
     n, at, out = len(data) // sum(sizes), 0, []
-    for k in sizes:
-        c = np.zeros((n, 8), dtype=np.uint8)
-        c[:, :k] = np.frombuffer(data, dtype=np.uint8, count=n * k, offset=at).reshape(k, n).T
-        out.append(c.view("<i8")[:, 0])
+    for k, d in zip(sizes, stepped(sizes)):
+        c = np.frombuffer(data, dtype=np.uint8, count=n * k, offset=at).reshape(k, n).T
+        if k in (4, 8):
+            c = np.ascontiguousarray(c).view(f"<u{k}")[:, 0].astype(np.uint64, copy=False)
+        else:
+            whole = np.zeros((n, 8), dtype=np.uint8)
+            whole[:, :k] = c
+            c = whole.view("<u8")[:, 0]
+        signed = c.view(np.int64)
+        out.append(np.cumsum((c >> np.uint64(1)).view(np.int64) ^ -(signed & 1)) if d else signed)
         at += n * k
-    return [np.cumsum((c.view(np.uint64) >> np.uint64(1)).view(np.int64) ^ -(c & 1)) if d else c for c, d in zip(out, stepped(sizes))]
+    return out
 
 
 def parts_for(docs: DataFrame) -> int:
@@ -221,8 +236,8 @@ def dealt(rows: Iterator[tuple[np.ndarray, ...]], part, sizes: tuple[int, ...],
         to = part(*columns)
         order = np.argsort(to.astype(kind), kind="stable") if sizes[0] != 8 else np.lexsort((columns[1], columns[0], to))
         to, columns = to[order], [c[order] for c in columns]
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(to) != 0])), len(to)).tolist()
-        data = [packed([c[a:b] for c in columns], sizes) for a, b in zip(cuts, cuts[1:])]
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])), len(to)).tolist()
+        data = packed(columns, sizes, cuts)
         for i in range(0, len(data), 256):
             yield pd.DataFrame({"part": to[cuts[i : min(i + 256, len(data))]], "data": data[i : i + 256]})
 
@@ -239,14 +254,14 @@ def dealt(rows: Iterator[tuple[np.ndarray, ...]], part, sizes: tuple[int, ...],
 
 def gathered(batches, sizes: tuple[int, ...]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The parts that dealt() has packed, from rows in the order of the part."""
-    at, waiting = None, []
+    at, waiting, decompress = None, [], zstandard.ZstdDecompressor().decompress
     for pdf in batches:
         for part, data in zip(pdf["part"], pdf["data"]):
             if part != at and waiting:
                 yield at, [np.concatenate(c) for c in zip(*waiting)]
                 waiting = []
             at = part
-            waiting.append(unpacked(data, sizes))
+            waiting.append(unpacked(decompress(data), sizes))
     if waiting:
         yield at, [np.concatenate(c) for c in zip(*waiting)]
 
@@ -309,22 +324,22 @@ def aligned(one: np.ndarray, two: np.ndarray, shift: int, least: int, percent: i
     if not len(a) or not len(b) or len(one) < K or len(two) < K:
         return []
     order = np.argsort(b, kind="stable")
-    low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    places = np.arange(len(a))
-    hit = np.flatnonzero(high > low)
+    ordered = b[order]
+    low = ordered.searchsorted(a)
+    hit = np.flatnonzero(ordered[np.minimum(low, len(b) - 1)] == a)
     if not len(hit):
         return []
-    at = np.empty(len(hit), dtype=np.int64)
-    single = high[hit] - low[hit] == 1
-    at[single] = order[low[hit[single]]]
-    for n in np.flatnonzero(~single):
+    low = low[hit]
+    at, after = order[low], np.minimum(low + 1, len(b) - 1)
+    for n in np.flatnonzero((after > low) & (ordered[after] == a[hit])).tolist():
         i = hit[n]
-        own = order[low[i] : high[i]]
-        j = int(np.searchsorted(own, i + shift))
+        own = order[low[n] : ordered.searchsorted(a[i], "right")]
+        j = int(own.searchsorted(i + shift))
         at[n] = own[j - 1] if j == len(own) or (j and i + shift - own[j - 1] <= own[j] - i - shift) else own[j]
-    starts = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(at) != 1)]))
-    sizes = np.diff(np.append(starts, len(hit))) + K - 1
-    y, x = places[hit[starts]], at[starts]
+    runs = np.concatenate([[0], np.flatnonzero((hit[1:] - hit[:-1] != 1) | (at[1:] - at[:-1] != 1)) + 1, [len(hit)]])
+    starts = runs[:-1]
+    sizes = runs[1:] - starts + K - 1
+    y, x = hit[starts], at[starts]
     found = []
     for chain in chains(y, x, sizes):
         parts: list[list[int]] = []
@@ -337,10 +352,16 @@ def aligned(one: np.ndarray, two: np.ndarray, shift: int, least: int, percent: i
         parts = together(parts, percent)
         found += [(p[0], p[1]) for p in parts if p[4] >= least]
     # a chain takes each word of ``two`` once; a run repeated more often in ``one``, whose k-mers then
-    # come back there, is found by whole windows
+    # come back there, is found by whole windows: only those of which ``two`` has every k-mer are made
     if len(one) >= least and len(two) >= least and len(a) - len(np.unique(a)) > least - K:
-        same = np.flatnonzero(np.isin(windows(one, least), windows(two, least)))
-        found += [(int(g[0]), int(g[-1]) + least) for g in np.split(same, np.flatnonzero(np.diff(same) != 1) + 1) if len(g)]
+        n = least - K + 1
+        whole = np.arange(len(one) - least + 1) if n < 1 else hit[: max(len(hit) - n + 1, 0)]
+        if n > 1:
+            whole = whole[hit[n - 1 :] - whole == n - 1]
+        if len(whole):
+            held, own = np.sort(windows(two, least)), windows(one[whole[0] : whole[-1] + least], least)[whole - whole[0]]
+            whole = whole[held[np.minimum(held.searchsorted(own), len(held) - 1)] == own]
+        found += [(int(g[0]), int(g[-1]) + least) for g in np.split(whole, np.flatnonzero(np.diff(whole) != 1) + 1) if len(g)]
     return found
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from lorewell.llm import passages
@@ -130,3 +131,31 @@ def test_any_number_of_parts_gives_the_same(spark, tmp_path, monkeypatch, bytes_
     rows = spark.read.parquet(f"{tmp_path}/docs")
     assert (passages.parts_for(rows) > passages.PARTS) == (bytes_of_a_part == 1)
     assert {r["doc_id"]: r["text"].split() for r in passages.dedup_passages(rows).collect()} == left(docs)
+
+
+def hashes(w):
+    return word_hashes(folded(" ".join(w)))
+
+
+@pytest.mark.parametrize("repeated, made", [(30, 0), (70, 1)])
+def test_windows_are_made_only_where_another_text_has_all_their_words(monkeypatch, repeated, made):
+    """A phrase over and over needs whole windows where the other text has 50 words in a row, and only there."""
+    calls, real = [], passages.windows
+    monkeypatch.setattr(passages, "windows", lambda *a: calls.append(1) or real(*a))
+    phrase = words(1, repeated)
+    one, two = phrase * 3 if made else words(2, 60) * 2 + phrase, words(3, 40) + phrase + words(4, 40)
+    spans = passages.aligned(hashes(one), hashes(two), 0, 50, 80)
+    assert bool(calls) == bool(made)
+    assert {k for a, b in spans for k in range(a, b)} == (set(range(3 * repeated)) if made else set())
+
+
+def test_packed_blocks_come_back_as_they_were():
+    r = np.random.default_rng(5)
+    for sizes in (passages.KMERS, passages.WINDOWS, passages.MATCHES):
+        columns = [r.integers(0, 1 << (8 * k - 1 - (k == 8)), 1000) for k in sizes]
+        cuts = [0, 1, 300, 301, 1000]
+        whole = [passages.zstandard.decompress(b) for b in passages.packed(columns, sizes, cuts)]
+        for a, b, data in zip(cuts, cuts[1:], whole):
+            alone = passages.packed([c[a:b] for c in columns], sizes)
+            assert data == passages.zstandard.decompress(alone[0])
+            assert all((x == c[a:b]).all() for x, c in zip(passages.unpacked(data, sizes), columns))
