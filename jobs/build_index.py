@@ -1,7 +1,7 @@
 """Builds the index that questions are asked of, from all documents: python -m jobs.build_index --config jobs/build_index.json
 
-Writes, under the output folder, chunks, pages and vectors by department, and postings, terms and block
-maxima by a hash of the term. A run replaces what the last one wrote, table by table, so that a run
+Writes, under the output folder, chunks, pages, vectors by department, and postings with block maxima by
+a hash of the term. A run replaces what the last one wrote, table by table, so that a run
 that broke off is mended by the next and a second run changes nothing.
 """
 
@@ -39,7 +39,7 @@ def run(spark: SparkSession, documents: str, labels: str, output: str, departmen
 
 def output_of(spark: SparkSession, output: str) -> DataFrame:
     """The postings of an index, as they lie in the folder."""
-    return open_store(spark, output).postings.select("term", "chunk_id", "department", "controlled", "len", "tf")
+    return open_store(spark, output).named()
 
 
 if __name__ == "__main__":

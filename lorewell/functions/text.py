@@ -36,9 +36,13 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+#: Characters of white space in the Unicode sense.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Without white space, in the Unicode sense, at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space, in the Unicode sense, at both ends; a pattern would try each space inside."""
+    return F.btrim(text, F.lit(SPACE))
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
@@ -60,8 +64,8 @@ def sections(text: Column) -> Column:
         F.when(p.rlike(r"(?d)^#{1,3}\s*."), strip(F.regexp_extract(p, r"(?d)^#{1,3}\s*(.+)", 1))).otherwise(F.lit("")).alias("title"),
         strip(F.when(p.rlike(r"(?d)^#{1,3}\s*."), F.regexp_replace(p, r"(?d)^#{1,3}\s*.+", "")).otherwise(p)).alias("body"),
     )
-    found = F.filter(F.transform(F.split(strip(text), "\n(?=#{1,3}\\s)", -1), part), lambda s: s["body"] != "")
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit("").alias("title"), strip(text).alias("body"))))
+    split = F.filter(F.transform(F.split(strip(text), "\n(?=#{1,3}\\s)", -1), part), lambda s: s["body"] != "")
+    return bound(split, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit("").alias("title"), strip(text).alias("body")))))
 
 
 def windows(body: Column, size: int = 500, overlap: int = 80) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -66,27 +67,76 @@ def hashed_features(rows: DataFrame, id_col: str, text_col: str, dims: int = 256
     return summed.join(norms, "id")
 
 
+class Codes(dict):
+    """Features as twice their bucket, and one more where a token's sign is positive; kept up to a limit."""
+
+    LIMIT = 200_000
+
+    def __missing__(self, feature: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        h = hashlib.md5(feature.encode()).digest()
+        found = self[feature] = 2 * h[15] + (h[14] & 1)
+        return found
+
+
 class Hashed:
-    """hashed_features() of single texts as dense vectors, for Arrow batches; hashes are kept up to a limit."""
+    """hashed_features() of texts as dense vectors, for Arrow batches."""
 
-    TOKEN, LIMIT = re.compile("[A-Za-z0-9]+|[一-鿿]"), 200_000
+    TOKEN = re.compile("[A-Za-z0-9]+|[一-鿿]")
+    #: Trigrams of so few letters are looked up in a table, and characters that are taken at once.
+    TABLE, ROOM = 1 << 24, 1 << 21
 
     def __init__(self):
-        self.known: dict[str, tuple[int, float]] = {}
-
-    def of(self, feature: str) -> tuple[int, float]:
-        """The bucket of a feature, and its sign as a token."""
-        if (found := self.known.get(feature)) is None:
-            if len(self.known) >= self.LIMIT:
-                self.known.clear()
-            h = hashlib.md5(feature.encode()).digest()
-            found = self.known[feature] = (h[15], 1.0 if h[14] & 1 else -1.0)
-        return found
+        self.known = Codes()
+
+    def of(self, features: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, features), np.int64, len(features))
+
+    def buckets(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The buckets of the trigrams at ``starts`` of a run of code points; each different one is hashed once."""
+        seen = np.zeros(int(points.max(initial=0)) + 1, dtype=bool)
+        seen[points] = True
+        letters, code = np.flatnonzero(seen).astype(np.uint32), (np.cumsum(seen) - 1)[points]
+        n = len(letters)
+        grams = (code[starts] * n + code[starts + 1]) * n + code[starts + 2]
+        if n**3 <= self.TABLE:
+            held = np.zeros(n**3, dtype=bool)
+            held[grams] = True
+            distinct, place = np.flatnonzero(held), None
+        else:
+            distinct, place = np.unique(grams, return_inverse=True)
+        texts = letters[np.stack([distinct // n**2, distinct // n % n, distinct % n], axis=1)].tobytes().decode("utf-32-le", "surrogatepass")
+        of = self.of([texts[i : i + 3] for i in range(0, len(texts), 3)]) >> 1
+        if place is not None:
+            return of[place]
+        table = np.zeros(n**3, dtype=np.uint8)
+        table[distinct] = of
+        return table[grams]
+
+    def matrix(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors of texts as rows, and how many tokens each has."""
+        v, sizes = np.zeros((len(texts), 256)), np.zeros(len(texts), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            # some 2 million characters at a time, one text at least
+            to, room = at + 1, self.ROOM - len(texts[at])
+            while to < len(texts) and len(texts[to]) <= room:
+                room -= len(texts[to])
+                to += 1
+            some = texts[at:to]
+            points = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            owner = np.repeat(np.arange(len(some)), [len(t) for t in some])
+            starts = np.flatnonzero(owner[:-2] == owner[2:]) if len(owner) > 2 else np.zeros(0, dtype=np.int64)
+            tokens = [self.TOKEN.findall(t.lower()) for t in some]
+            sizes[at:to] = [len(t) for t in tokens]
+            sums = 0.5 * np.bincount(owner[starts] * 256 + self.buckets(points, starts), minlength=len(some) * 256) if len(starts) else np.zeros(len(some) * 256)
+            codes = self.of(list(chain.from_iterable(tokens)))
+            places = np.repeat(np.arange(len(some)), sizes[at:to]) * 256 + (codes >> 1)
+            sums += np.bincount(places, weights=2.0 * (codes & 1) - 1, minlength=len(some) * 256)
+            v[at:to] = sums.reshape(len(some), 256)
+            at = to
+        return v, sizes
 
     def vector(self, text: str) -> np.ndarray:
-        tokens = [self.of(t) for t in self.TOKEN.findall(text.lower())]
-        grams = [self.of(text[i : i + 3])[0] for i in range(len(text) - 2)]
-        v = 0.5 * np.bincount(np.array(grams, dtype=np.int64), minlength=256)
-        if tokens:
-            v += np.bincount([b for b, _ in tokens], weights=[s for _, s in tokens], minlength=256)
-        return v
+        return self.matrix([text])[0][0]

@@ -1,16 +1,22 @@
 """Steps that grow with the input, against plain versions and by their plans."""
 
+import hashlib
+import os
+import re
 import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lorewell import catalogue
 from lorewell.functions import text as T
+from lorewell.functions import vectors as V
 from lorewell.operators import graph, ingest, retrieval
 from lorewell.sources import bindings
+from lorewell.sources import store as stored
 from lorewell.sources.store import open_store, write_store
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +99,72 @@ def test_finished_rounds_are_given_back(spark):
     while held.size() > before + 12 and time.time() < deadline:
         time.sleep(0.5)
     assert held.size() <= before + 12
+
+
+def test_an_index_takes_little_disk(spark, tmp_path):
+    """Its files are at most four times those of its documents, and nothing is shuffled for its postings."""
+    sf = "/root/testdata/sf0.01"
+    write_store(bindings.documents(spark, sf), str(tmp_path))
+    size = sum(os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(tmp_path) for f in fs if f.endswith(".parquet"))
+    assert size < 4 * os.path.getsize(f"{sf}/documents.parquet")
+    chunks = open_store(spark, str(tmp_path)).chunks
+    lists = chunks.select("no", "text", "controlled", "department").mapInArrow(stored.inverted(75.0), stored.LISTS).sortWithinPartitions("term")
+    assert "Exchange" not in lists._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lists_hold_every_posting(monkeypatch):
+    """Over segments, batches and kinds of chunks of any cut; a block's weight is the highest of its chunks."""
+    monkeypatch.setattr(stored, "SEGMENT", 8)
+    monkeypatch.setattr(stored, "BLOCK", 2)
+    rng = np.random.default_rng(5)
+    no = [*range(3, 30), *range(1 << 33, (1 << 33) + 9)]
+    texts = [" ".join(rng.choice(["a", "b", "的", "n5", "zz"], rng.integers(0, 9))) for _ in no]
+    kinds = [(["src1", "src2", None][i // 5 % 3], i % 2 == 0) for i in range(len(no))]
+    rows = list(zip(no, texts, kinds))
+    cut = lambda some: pa.RecordBatch.from_pydict({"no": pa.array([r[0] for r in some], pa.int64()), "text": pa.array([r[1] for r in some], pa.string()), "department": pa.array([r[2][0] for r in some], pa.string()), "controlled": pa.array([r[2][1] for r in some], pa.bool_())})
+    words = [t.split() for t in texts]
+    want = [(w, *k, n, c, len(t)) for n, t, k in zip(no, words, kinds) for w, c in Counter(t).items()]
+    weight = lambda c, size: c * 2.5 / (c + 1.5 * (0.25 + 0.75 * size / 4.0))
+    for cuts in ([0, len(rows)], [0, 0, 1, 7, 20, 29, len(rows)]):
+        made = [r for b in stored.inverted(4.0)(cut(rows[i:j]) for i, j in zip(cuts, cuts[1:])) for r in b.to_pylist()]
+        got = [(r["term"], r["department"], r["controlled"], r["segment"] * 8 + p, c, n) for r in made for p, c, n in zip(r["place"], r["tf"], r["len"])]
+        assert sorted(got, key=repr) == sorted(want, key=repr) and all(r["n"] == len(r["place"]) for r in made)
+        for r in made:
+            for b, most in zip(r["block"], r["most"], strict=True):
+                assert most == pytest.approx(max(weight(c, n) for p, c, n in zip(r["place"], r["tf"], r["len"]) if p // 2 == b), rel=1e-8)
+    assert [b.num_rows for b in stored.inverted(1.0)([cut([(1, "", (None, True))])])] == [0] and not list(stored.inverted(1.0)([]))
+
+
+def test_ties_of_a_stored_search_go_by_id(spark, tmp_path):
+    docs = [(str(i), f"d{i}", "alpha beta" if i % 3 else "alpha beta gamma", "analyst", False, f"src{i % 4}", i) for i in range(60)]
+    docs = spark.createDataFrame(docs, "id string, name string, text string, source_tier string, controlled boolean, department string, seq long")
+    write_store(docs, str(tmp_path))
+    q = spark.createDataFrame([(1, "alpha"), (2, "gamma beta")], "query_id int, query string")
+    got = retrieval.bm25_stored(open_store(spark, str(tmp_path)), q, k=7)
+    names = ["query_id", "chunk_id", "score", "rank"]
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, retrieval.bm25(ingest.chunks(docs), q, k=7).select(names).collect()))
+
+
+def test_strip_takes_white_space_alone(spark):
+    every = [chr(c) for c in (*range(1, 0x250), 0x1680, 0x180E, *range(0x1FF0, 0x2070), 0x3000, 0xFEFF)]
+    texts = [*(f"{c}a {c} b{c}\n" for c in every), "", " \n ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    a, b = zip(*df.select(T.strip(F.col("t")), F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).collect())
+    assert a == b
+
+
+def test_hashed_vectors_of_many_texts(monkeypatch):
+    def plain(text):
+        v = np.zeros(256)
+        for weight, features in ((1.0, re.findall("[A-Za-z0-9]+|[一-鿿]", text.lower())), (0.5, [text[i : i + 3] for i in range(len(text) - 2)])):
+            for f in features:
+                h = hashlib.md5(f.encode()).digest()
+                v[h[15]] += weight * (1 if weight < 1 or h[14] & 1 else -1)
+        return v
+
+    texts = ["", "a", "ab", "abc", "的N3产能 é", "\U0001f600a\U0001f600b", "x" * 40, "", "of the the"]
+    for table, room in ((1 << 24, 1 << 21), (0, 5)):
+        monkeypatch.setattr(V.Hashed, "TABLE", table)
+        monkeypatch.setattr(V.Hashed, "ROOM", room)
+        v, sizes = V.Hashed().matrix(texts)
+        assert np.array_equal(v, [plain(t) for t in texts]) and sizes.tolist() == [0, 1, 1, 1, 4, 2, 1, 0, 3]
