@@ -24,7 +24,7 @@ SETTINGS = {
 
 def run(spark: SparkSession, documents: str, labels: str, output: str, departments: str = "") -> dict:
     """Writes the index; gives the rows read and the rows of each table written."""
-    docs = bindings.as_documents(spark.read.parquet(documents), spark.read.parquet(labels))
+    docs = bindings.as_documents(spark.read.parquet(documents), spark.read.parquet(labels), sent=True)
     if departments:
         docs = docs.where(F.col("department").isin(*[d.strip() for d in departments.split(",")]))
     told = {"read": docs.count()}

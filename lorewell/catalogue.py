@@ -93,7 +93,7 @@ def store(spark, sf_dir) -> Store:
     state = files[0].union(files[1]).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", *files[0].columns))), ","), 256)).first()[0]
     key = spark.sparkContext.applicationId, state
     if key not in _stores:
-        write_store(B.documents(spark, sf_dir), path := f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+        write_store(B.documents(spark, sf_dir, sent=True), path := f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
         _stores[key] = path
     return open_store(spark, _stores[key])
 

@@ -10,9 +10,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def as_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, name, text, source_tier, controlled, department, seq) of rows (doc_id, text, lang, source) and labels (doc_id, toxic)."""
+#: Up to so many ids of controlled documents are sent to all tasks.
+SENT = 1 << 20
+
+
+def as_documents(documents: DataFrame, labels: DataFrame, sent: bool = False) -> DataFrame:
+    """(id, name, text, source_tier, controlled, department, seq) of rows (doc_id, text, lang, source) and labels (doc_id, toxic).
+
+    With ``sent`` the labels are read first, and the ids of controlled documents are sent to the documents
+    if there are few, so that texts aren't shuffled to meet them."""
     toxic = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    if sent and (marked := toxic.where("toxic = 1")).limit(SENT + 1).count() <= SENT:
+        toxic = F.broadcast(marked)
     tier = F.element_at(F.array(F.lit("official"), F.lit("analyst"), F.lit("rumor")), F.substring("source", 4, 10).cast("int") % 3 + 1)
     name = F.concat("source", F.lit("_"), "lang", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return documents.join(toxic, "doc_id", "left").select(
@@ -26,8 +35,8 @@ def as_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+def documents(spark: SparkSession, sf_dir: str, sent: bool = False) -> DataFrame:
+    return as_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sent)
 
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """The stored index: what asking needs of the documents, as Parquet tables of one folder.
 
 Vectors lie by department, postings by a hash of the term. Chunks are numbered as they are written; runs
-of numbers are segments, and postings hold, for each term, segment, department and mark of control, the
-list of its chunks. A segment is made within one task, so that postings aren't shuffled. Lists also hold
-the highest weight that the term has in each block of chunks, so that a search can leave out the blocks
-that can't reach its best chunks.
+of numbers are segments, and postings hold, for each term and segment, the list of its chunks. A segment
+is made within one task, so that postings aren't shuffled. Kinds tell which numbers of a segment are of
+one department and mark of control. Lists also hold the highest weight that the term has in each block
+of chunks, so that a search can leave out the blocks that can't reach its best chunks.
 """
 
 from __future__ import annotations
@@ -27,14 +27,15 @@ from ..operators.graph import release
 #: Chunks of a block, and of a segment, as powers of two.
 BLOCK_BITS, SEGMENT_BITS = 7, 14
 BLOCK, SEGMENT = 1 << BLOCK_BITS, 1 << SEGMENT_BITS
-TABLES = ("chunks", "pages", "stats", "postings", "vectors")
+TABLES = ("chunks", "kinds", "pages", "stats", "postings", "vectors")
 #: A list's places in its segment, counts and lengths fit 16 bits: chunks have 500 characters at most.
-LISTS = "term string, department string, controlled boolean, segment long, n int, place array<smallint>, tf array<smallint>, len array<smallint>, block array<smallint>, most array<double>"
+LISTS = "term string, segment long, n int, place array<smallint>, tf array<smallint>, len array<smallint>, block array<smallint>, most array<double>"
 
 
 @dataclass(frozen=True)
 class Store:
     chunks: DataFrame
+    kinds: DataFrame
     pages: DataFrame
     stats: DataFrame
     lists: DataFrame
@@ -42,10 +43,16 @@ class Store:
 
     @property
     def postings(self) -> DataFrame:
-        """(bucket, term, department, controlled, no, block, tf, len): a row for each chunk of each term."""
+        """(bucket, term, no, block, tf, len): a row for each chunk of each term."""
         no = F.col("segment") * SEGMENT + F.col("place")
-        rows = self.lists.select("bucket", "term", "department", "controlled", "segment", F.inline(F.arrays_zip("place", "tf", "len")))
-        return rows.select("bucket", "term", "department", "controlled", no.alias("no"), F.shiftright(no, BLOCK_BITS).alias("block"), "tf", "len")
+        rows = self.lists.select("bucket", "term", "segment", F.inline(F.arrays_zip("place", "tf", "len")))
+        return rows.select("bucket", "term", no.alias("no"), F.shiftright(no, BLOCK_BITS).alias("block"), "tf", "len")
+
+    def kept(self, rows: DataFrame) -> DataFrame:
+        """Rows with the department and the mark of control (department, controlled) of the chunks that they number (no)."""
+        kinds = self.kinds.select(F.col("segment").alias("_segment"), "department", "controlled", "first", "last")
+        own = (F.shiftright("no", SEGMENT_BITS) == F.col("_segment")) & F.col("no").between(F.col("first"), F.col("last"))
+        return rows.join(kinds, own).drop("_segment", "first", "last")
 
     @property
     def terms(self) -> DataFrame:
@@ -54,7 +61,7 @@ class Store:
 
     @property
     def blocks(self) -> DataFrame:
-        """(bucket, term, block, most): the highest weight of a term in the chunks of a block that share a list."""
+        """(bucket, term, block, most): the highest weight of a term in the chunks of a block."""
         rows = self.lists.select("bucket", "term", "segment", F.inline(F.arrays_zip("block", "most")))
         return rows.select("bucket", "term", (F.col("segment") * (SEGMENT // BLOCK) + F.col("block")).alias("block"), "most")
 
@@ -66,12 +73,11 @@ class Store:
             at[ids["place"].to_numpy()] = np.arange(len(ids))
             rows = pa.array(np.repeat(np.arange(len(lists)), lists["n"].to_numpy()))
             every = {c: pa.concat_arrays([x.flatten() for x in lists[c].chunks]).to_numpy() for c in ("place", "tf", "len")}
-            own = lists.select(["term", "department", "controlled"]).take(rows)
-            of = ids["chunk_id"].take(pa.array(at[every["place"]]))
-            return pa.table({"term": own["term"], "chunk_id": of, "department": own["department"], "controlled": own["controlled"], "len": every["len"].astype(np.int32), "tf": every["tf"].astype(np.int64)})
+            own = ids.select(["chunk_id", "department", "controlled"]).take(pa.array(at[every["place"]]))
+            return pa.table({"term": lists["term"].take(rows), "chunk_id": own["chunk_id"], "department": own["department"], "controlled": own["controlled"], "len": every["len"].astype(np.int32), "tf": every["tf"].astype(np.int64)})
 
-        ids = self.chunks.select(F.shiftright("no", SEGMENT_BITS).alias("segment"), (F.col("no") % SEGMENT).cast("int").alias("place"), "chunk_id")
-        lists = self.lists.select("segment", "term", "department", "controlled", "n", "place", "tf", "len")
+        ids = self.chunks.select(F.shiftright("no", SEGMENT_BITS).alias("segment"), (F.col("no") % SEGMENT).cast("int").alias("place"), "chunk_id", "department", "controlled")
+        lists = self.lists.select("segment", "term", "n", "place", "tf", "len")
         return lists.groupBy("segment").cogroup(ids.groupBy("segment")).applyInArrow(flat, "term string, chunk_id string, department string, controlled boolean, len int, tf long")
 
 
@@ -94,19 +100,17 @@ def hashed_vectors(chunks: DataFrame) -> DataFrame:
 
 
 def inverted(avg_len: float) -> Callable:
-    """Rows (no, text, controlled, department) as the lists of each run of rows in one segment."""
+    """Rows (no, text) as the lists of each run of rows in one segment."""
     token = re.compile("[A-Za-z0-9]+|[一-鿿]")
 
-    def listed(segment: int, places: np.ndarray, texts: list, groups: list) -> pa.RecordBatch:
+    def listed(segment: int, places: np.ndarray, texts: list) -> pa.RecordBatch:
         words = [token.findall(t or "") for t in texts]
         length = np.fromiter(map(len, words), np.int64, len(words))
         known: dict[str, int] = {}
         ids = np.fromiter((known.setdefault(w, len(known)) for w in chain.from_iterable(words)), np.int64, int(length.sum()))
-        kinds: dict[tuple, int] = {}
-        kind = np.fromiter((kinds.setdefault(g, len(kinds)) for g in groups), np.int64, len(groups))
         chunk = np.repeat(np.arange(len(texts)), length)
-        # in the order of term, kind and chunk
-        key, tf = np.unique((ids * len(kinds) + kind[chunk]) * len(texts) + chunk, return_counts=True)
+        # in the order of term and chunk
+        key, tf = np.unique(ids * len(texts) + chunk, return_counts=True)
         lists, chunk = np.divmod(key, max(1, len(texts)))
         new = np.diff(lists, prepend=-1) != 0
         starts = np.flatnonzero(new)
@@ -118,34 +122,31 @@ def inverted(avg_len: float) -> Callable:
         most = np.maximum.reduceat(weights, first) if len(first) else weights
         offsets = pa.array(np.append(starts, len(key)).astype(np.int32))
         bounds = pa.array(np.append(np.searchsorted(first, starts), len(first)).astype(np.int32))
-        term, kind = np.divmod(lists[starts], max(1, len(kinds)))
-        departments, controlled = (pa.array([g[i] for g in kinds], t) for i, t in ((0, pa.string()), (1, pa.bool_())))
         of = lambda at, values: pa.ListArray.from_arrays(at, pa.array(values.astype(np.int16)))
         made = {
-            "term": pa.array(list(known), pa.string()).take(pa.array(term)), "department": departments.take(pa.array(kind)), "controlled": controlled.take(pa.array(kind)),
+            "term": pa.array(list(known), pa.string()).take(pa.array(lists[starts])),
             "segment": pa.array(np.full(len(starts), segment, dtype=np.int64)), "n": pa.array(np.diff(np.append(starts, len(key))).astype(np.int32)),
             "place": of(offsets, place), "tf": of(offsets, tf), "len": of(offsets, size), "block": of(bounds, block[first]), "most": pa.ListArray.from_arrays(bounds, pa.array(most))
         }
         return pa.RecordBatch.from_pydict(made)
 
     def made(batches):
-        segment, places, texts, groups = -1, [], [], []
+        segment, places, texts = -1, [], []
         for b in batches:
             at, place = np.divmod(b["no"].to_numpy(), SEGMENT)
-            text, group = b["text"].to_pylist(), list(zip(b["department"].to_pylist(), b["controlled"].to_pylist()))
+            text = b["text"].to_pylist()
             cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
             for i, j in zip(cuts, cuts[1:]):
                 if i == j:
                     continue
                 if at[i] != segment and texts:
-                    yield listed(segment, np.concatenate(places), texts, groups)
-                    places, texts, groups = [], [], []
+                    yield listed(segment, np.concatenate(places), texts)
+                    places, texts = [], []
                 segment = int(at[i])
                 places.append(place[i:j])
                 texts += text[i:j]
-                groups += group[i:j]
         if texts:
-            yield listed(segment, np.concatenate(places), texts, groups)
+            yield listed(segment, np.concatenate(places), texts)
 
     return made
 
@@ -161,15 +162,19 @@ def write_store(docs: DataFrame, path: str) -> None:
         rows.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(f"{path}/{name}")
         return opened(spark, f"{path}/{name}")
 
-    # neighbours have much in common, so that lists are longer
+    # chunks of a kind are neighbours, so that few rows tell the kinds of a segment
     laid = ingest.chunks(docs.sortWithinPartitions("department", "controlled"))
     chunks = put("chunks", laid.withColumn("no", F.monotonically_increasing_id()))
+    runs = chunks.groupBy(F.shiftright("no", SEGMENT_BITS).alias("segment"), "department", "controlled")
+    kinds = put("kinds", runs.agg(F.min("no").alias("first"), F.max("no").alias("last"), F.count(F.lit(1)).alias("n")))
+    if kinds.where("last - first + 1 != n").limit(1).count():
+        raise RuntimeError("chunks weren't numbered in the order of their departments")
     put("pages", ingest.pages(ingest.classify(docs)))
     # what joins of the documents have shuffled goes from the disk
     release(spark)
     held = put("vectors", hashed_vectors(chunks), "department")
     _, avg_len = put("stats", held.agg(F.count(F.lit(1)).alias("n"), (F.sum("len") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avg_len"))).first()
-    lists = chunks.select("no", F.lower("text").alias("text"), "controlled", "department").mapInArrow(inverted(avg_len or 1.0), LISTS)
+    lists = chunks.select("no", F.lower("text").alias("text")).mapInArrow(inverted(avg_len or 1.0), LISTS)
     put("postings", lists.withColumn("bucket", scoring.bucket_of(F.col("term"))).sortWithinPartitions("bucket", "term", "segment"), "bucket")
 
 

@@ -108,31 +108,30 @@ def test_an_index_takes_little_disk(spark, tmp_path):
     size = sum(os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(tmp_path) for f in fs if f.endswith(".parquet"))
     assert size < 4 * os.path.getsize(f"{sf}/documents.parquet")
     chunks = open_store(spark, str(tmp_path)).chunks
-    lists = chunks.select("no", "text", "controlled", "department").mapInArrow(stored.inverted(75.0), stored.LISTS).sortWithinPartitions("term")
+    lists = chunks.select("no", "text").mapInArrow(stored.inverted(75.0), stored.LISTS).sortWithinPartitions("term")
     assert "Exchange" not in lists._jdf.queryExecution().executedPlan().toString()
 
 
 def test_lists_hold_every_posting(monkeypatch):
-    """Over segments, batches and kinds of chunks of any cut; a block's weight is the highest of its chunks."""
+    """Over segments and batches of any cut; a block's weight is the highest of its chunks."""
     monkeypatch.setattr(stored, "SEGMENT", 8)
     monkeypatch.setattr(stored, "BLOCK", 2)
     rng = np.random.default_rng(5)
     no = [*range(3, 30), *range(1 << 33, (1 << 33) + 9)]
     texts = [" ".join(rng.choice(["a", "b", "的", "n5", "zz"], rng.integers(0, 9))) for _ in no]
-    kinds = [(["src1", "src2", None][i // 5 % 3], i % 2 == 0) for i in range(len(no))]
-    rows = list(zip(no, texts, kinds))
-    cut = lambda some: pa.RecordBatch.from_pydict({"no": pa.array([r[0] for r in some], pa.int64()), "text": pa.array([r[1] for r in some], pa.string()), "department": pa.array([r[2][0] for r in some], pa.string()), "controlled": pa.array([r[2][1] for r in some], pa.bool_())})
+    rows = list(zip(no, texts))
+    cut = lambda some: pa.RecordBatch.from_pydict({"no": pa.array([r[0] for r in some], pa.int64()), "text": pa.array([r[1] for r in some], pa.string())})
     words = [t.split() for t in texts]
-    want = [(w, *k, n, c, len(t)) for n, t, k in zip(no, words, kinds) for w, c in Counter(t).items()]
+    want = [(w, n, c, len(t)) for n, t in zip(no, words) for w, c in Counter(t).items()]
     weight = lambda c, size: c * 2.5 / (c + 1.5 * (0.25 + 0.75 * size / 4.0))
     for cuts in ([0, len(rows)], [0, 0, 1, 7, 20, 29, len(rows)]):
         made = [r for b in stored.inverted(4.0)(cut(rows[i:j]) for i, j in zip(cuts, cuts[1:])) for r in b.to_pylist()]
-        got = [(r["term"], r["department"], r["controlled"], r["segment"] * 8 + p, c, n) for r in made for p, c, n in zip(r["place"], r["tf"], r["len"])]
-        assert sorted(got, key=repr) == sorted(want, key=repr) and all(r["n"] == len(r["place"]) for r in made)
+        got = [(r["term"], r["segment"] * 8 + p, c, n) for r in made for p, c, n in zip(r["place"], r["tf"], r["len"])]
+        assert sorted(got) == sorted(want) and all(r["n"] == len(r["place"]) for r in made)
         for r in made:
             for b, most in zip(r["block"], r["most"], strict=True):
                 assert most == pytest.approx(max(weight(c, n) for p, c, n in zip(r["place"], r["tf"], r["len"]) if p // 2 == b), rel=1e-8)
-    assert [b.num_rows for b in stored.inverted(1.0)([cut([(1, "", (None, True))])])] == [0] and not list(stored.inverted(1.0)([]))
+    assert [b.num_rows for b in stored.inverted(1.0)([cut([(1, "")])])] == [0] and not list(stored.inverted(1.0)([]))
 
 
 def test_ties_of_a_stored_search_go_by_id(spark, tmp_path):
@@ -168,3 +167,20 @@ def test_hashed_vectors_of_many_texts(monkeypatch):
         monkeypatch.setattr(V.Hashed, "ROOM", room)
         v, sizes = V.Hashed().matrix(texts)
         assert np.array_equal(v, [plain(t) for t in texts]) and sizes.tolist() == [0, 1, 1, 1, 4, 2, 1, 0, 3]
+
+
+def test_documents_meet_few_labels_without_a_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", f"src{i % 3}") for i in range(9)] + [(None, "x", "en", "src1")], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 2), (3, 1), (4, None), (5, 1), (None, 1)], "doc_id long, toxic int")
+    monkeypatch.setattr(bindings, "SENT", 3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain, few = (bindings.as_documents(docs, labels, sent) for sent in (False, True))
+        assert "SortMergeJoin" in plain._jdf.queryExecution().executedPlan().toString() and "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(bindings, "SENT", 2)
+        many = bindings.as_documents(docs, labels, True)
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+        rows = [sorted(map(tuple, d.collect()), key=repr) for d in (plain, few, many)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows[0] == rows[1] == rows[2] and {r[0] for r in rows[0] if r[4]} == {"1", "5"}
