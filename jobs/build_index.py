@@ -1,7 +1,7 @@
 """Builds the index that questions are asked of, from all documents: python -m jobs.build_index --config jobs/build_index.json
 
-Writes, under the output folder, chunks, pages, vectors by department, and postings with block maxima by
-a hash of the term. A run replaces what the last one wrote, table by table, so that a run
+Writes, under the output folder, chunks, pages, vectors by department, postings with block maxima by a
+hash of the term, and the runs of chunks of one department (kinds). A run replaces what the last one wrote, table by table, so that a run
 that broke off is mended by the next and a second run changes nothing.
 """
 
